@@ -5,16 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import piece_codec
+from . import langid, mixing, piece_codec, simhash, token_store
 from .common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.predict(docs, langid.fit(docs))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(piece_codec.encode_decode(table(spark, sf_dir, "documents")))
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = mixing.quality_weights(table(spark, sf_dir, "labels"))
+    return mixing.mix(table(spark, sf_dir, "documents"), weights).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edited_and_next(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_piece_codec": op2_piece_codec,
+    "op3_source_mix": op3_source_mix,
+    "op9_token_store": op9_token_store,
+    "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_source_mix": mixing.ORACLE_SQL}
