@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, piece_codec, simhash, token_store
+from . import ann, html_cut, langid, mixing, piece_codec, simhash, token_store, warc
 from .common import table
 
 
@@ -27,6 +27,19 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(warc.round_trip(table(spark, sf_dir, "pages")))
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+def op8_html_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_cut.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(table(spark, sf_dir, "documents"))
 
@@ -39,6 +52,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_piece_codec": op2_piece_codec,
     "op3_source_mix": op3_source_mix,
+    "op4_warc": op4_warc,
+    "op5_nearest": op5_nearest,
+    "op8_html_cut": op8_html_cut,
     "op9_token_store": op9_token_store,
     "op10_simhash": op10_simhash,
 }
