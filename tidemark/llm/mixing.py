@@ -54,8 +54,8 @@ def targets(sizes: DataFrame) -> DataFrame:
     return rows.withColumn("at", level["level"]).select("source", "source_size", "docs", F.coalesce(F.least(F.col("cap"), F.col("at") * F.col("w")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Rows (key, size, source, source_size, target, taken), one for each row of docs.
+def mix(docs: DataFrame, weights: DataFrame | None = None, key: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (key, size, source, source_size, target, taken, keep...), one for each row of docs.
 
     size: words of the text (null: 0). taken: words the mix takes, repeats counted: the whole epochs
     of its source's target times its size, plus its part of the last, incomplete epoch. The document
@@ -63,13 +63,14 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, key: str = "doc_id",
     weights: optional (doc_id, weight), clipped to WEIGHTS; missing ones are 1. Rows of equal keys
     and equal size in a source share their order and are summed by row. An empty table gives no rows.
     """
-    rows = docs.select(F.col(key).alias("k"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = docs.select(F.col(key).alias("k"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)))
+    kept = [f"c{i}" for i in range(len(keep))]
     if weights is not None:
         rows = rows.join(weights.select(F.col("doc_id").alias("k"), "weight"), "k", "left")
     else:
         rows = rows.withColumn("weight", F.lit(1.0))
     weight = F.greatest(F.lit(WEIGHTS[0]), F.least(F.lit(WEIGHTS[1]), F.coalesce("weight", F.lit(1.0))))
-    rows = rows.select("k", "source", "size", (-F.log(uniform(F.col("k"))) / weight).alias("at"))
+    rows = rows.select("k", "source", "size", *kept, (-F.log(uniform(F.col("k"))) / weight).alias("at"))
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")))
     same = lambda a, b: a.eqNullSafe(b)
     plan = plan.withColumnRenamed("source", "s")
@@ -88,7 +89,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, key: str = "doc_id",
     epochs = F.when(F.col("source_size") > 0, F.least(F.lit(MAX_EPOCHS), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long")
     budget = F.when(epochs < MAX_EPOCHS, F.floor(F.col("target")).cast("long") - epochs * F.col("source_size")).otherwise(0)
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), budget - before))
-    return rows.select(F.col("k").alias(key), "size", "source", "source_size", "target", (epochs * F.col("size") + part).alias("taken"))
+    return rows.select(F.col("k").alias(key), "size", "source", "source_size", "target", (epochs * F.col("size") + part).alias("taken"), *(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)))
 
 
 #: DuckDB's view of the same mix over documents and labels.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_cut, langid, mixing, piece_codec, simhash, token_store, warc
+from . import ann, dart_minhash, html_cut, langid, mixing, piece_codec, simhash, suffix_dedup, token_store, warc
 from .common import table
 
 
@@ -36,6 +36,15 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dart_minhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("stays"))
+
+
 def op8_html_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_cut.extract(table(spark, sf_dir, "pages"))
 
@@ -54,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
     "op4_warc": op4_warc,
     "op5_nearest": op5_nearest,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_dart_minhash": op7_dart_minhash,
     "op8_html_cut": op8_html_cut,
     "op9_token_store": op9_token_store,
     "op10_simhash": op10_simhash,
