@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation, recognition
+from . import evaluation, recognition, relations
 
 FLAGSHIP = "identify"
-_GROUPS = (recognition, evaluation)
+_GROUPS = (recognition, evaluation, relations)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for g in _GROUPS for k, f in g.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for g in _GROUPS for k, s in g.ORACLE_SQL.items()}
