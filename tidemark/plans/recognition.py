@@ -166,6 +166,46 @@ def cascade(spark, d):
     )
 
 
+def gated(spark, d):
+    """Open queries past the gate: a probe of the first frames at a few rates, then the whole query at the rate that won.
+
+    A query below the gate ends there (stage 1 evidence, rate 0); one whose best probe has too few
+    aligned landmarks ends at the probe; rate 0 doesn't compete.
+    """
+    first = dec.decide(headers(spark, d), ranked(spark, d), DecisionConfig(CASCADE.stage1, CASCADE.min_aligned))
+    passed = gate(spark, d)
+    rates = spark.createDataFrame([(r,) for r in CASCADE.probe_rates], "rate double")
+    hits_all = rated_hits(spark, d, rates)
+    q = excerpts(spark, d)
+    early = small(q.where(F.col("anchor_frame") < CASCADE.probe_frames).select(F.col("query_id").alias("pq"), F.col("qidx").alias("pi")))
+    probed = hits_all.join(early, (F.col("query_id.query_id") == F.col("pq")) & (F.col("qidx") == F.col("pi"))).select("query_id", "track_id", "qidx", "offset")
+    sizes = small(q.where(F.col("anchor_frame") < CASCADE.probe_frames).groupBy("query_id").agg(F.count(F.lit(1)).alias("query_landmarks")))
+    one = MatchConfig(max_candidates=1)
+
+    def tops(h, n):
+        t = mt.rank(h, one).select("query_id.query_id", "query_id.rate", "track_id", "score").join(n, "query_id")
+        return t.withColumn("evidence", dec.ratio(F.col("score"), F.col("query_landmarks")))
+
+    probe = dec.best_hypothesis(tops(probed, sizes)).select("query_id", F.col("rate").alias("p_rate"), F.col("score").alias("p_aligned"))
+    full = tops(hits_all, small(headers(spark, d))).select(F.col("query_id").alias("fq"), F.col("rate").alias("fr"), F.col("track_id").alias("f_track"), F.col("score").alias("f_aligned"), F.col("evidence").alias("f_evidence"))
+    rows = first.select("query_id", "decision", F.col("track_id").alias("t1"), F.col("evidence").alias("e1")).join(passed, "query_id").join(probe, "query_id", "left")
+    rows = rows.join(full, (F.col("query_id") == F.col("fq")) & (F.col("p_rate") == F.col("fr")), "left")
+    once = F.col("decision") == "MATCH"
+    tried = ~once & F.col("gate_passed")
+    good = tried & F.coalesce(F.col("p_aligned") >= CASCADE.min_aligned, F.lit(False))
+    ok = good & dec.accepted(F.col("f_evidence"), F.col("f_aligned"), CASCADE.stage2, CASCADE.min_aligned)
+    return rows.select(
+        "query_id",
+        "gate_passed",
+        tried.alias("escalated"),
+        good.alias("probe_passed"),
+        F.when(once | ok, "MATCH").otherwise("NO_MATCH").alias("decision"),
+        F.when(once, F.col("t1")).when(ok, F.col("f_track")).alias("track_id"),
+        F.when(good, F.col("p_rate")).otherwise(0.0).alias("rate"),
+        F.when(good, F.coalesce("f_evidence", F.lit(0.0))).otherwise(F.col("e1")).alias("evidence"),
+    )
+
+
 def evidence_rows(spark, d):
     """Stored evidence of each query: first candidate, gate value, truth (a document that contains the passage), split."""
     top = ranked(spark, d).where("rank = 1")
@@ -265,6 +305,7 @@ QUERIES = {
     "runner_up_margin__W4": runner_up_margin,
     "gate__P4_D4": gate,
     "cascade_rates__D3": cascade,
+    "gated_cascade__D4_D5": gated,
     "evidence_rows__Z9": evidence_rows,
     "replay__Q8": replay,
     "identify_confusion__A15": identify_confusion,
@@ -304,6 +345,18 @@ ORACLE_SQL = {
   f AS (SELECT dec.*, r2.rate, r2.track_id AS bt, r2.evidence, r2.score AS bs, coalesce(ev0 >= {_S1} AND aligned >= 5, FALSE) AS once, coalesce(r2.evidence >= {_S2} AND r2.score >= 5, FALSE) AS ok FROM dec LEFT JOIN r2 USING (query_id))
   SELECT query_id, CASE WHEN once THEN 1 ELSE 2 END::BIGINT AS stage, CASE WHEN once OR ok THEN 'MATCH' ELSE 'NO_MATCH' END AS decision, CASE WHEN once THEN track_id WHEN ok THEN bt END AS track_id,
   CASE WHEN once THEN 0.0 ELSE coalesce(rate, 0.0) END::DOUBLE AS rate, CASE WHEN once THEN ev0 ELSE coalesce(evidence, 0.0) END AS evidence FROM f""",
+    "gated_cascade__D4_D5": f"""{_RANKED}, rates AS (SELECT unnest([{', '.join(map(str, CASCADE.probe_rates))}])::DOUBLE AS rate),
+  rh AS (SELECT struct_pack(q := q.query_id, r := rate) AS query_id, p.track_id, q.qidx, q.anchor_frame AS qf, p.anchor_frame - floor(q.anchor_frame / (1 + rate / 100))::BIGINT AS off FROM q CROSS JOIN rates JOIN track_id_l p ON p.hash = q.hash),
+  ph AS (SELECT query_id, track_id, qidx, off FROM rh WHERE qf < {CASCADE.probe_frames}), {_densest('ph', 'pb')}, {_densest('rh', 'rb')},
+  pt AS (SELECT query_id, track_id, count(DISTINCT qidx) AS m FROM ph GROUP BY ALL), rt AS (SELECT query_id, track_id, count(DISTINCT qidx) AS m FROM rh GROUP BY ALL),
+  p1 AS (SELECT query_id.q AS query_id, query_id.r AS rate, score FROM pb JOIN pt USING (query_id, track_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_offset_count DESC, m DESC, track_id) = 1),
+  r1 AS (SELECT query_id.q AS query_id, query_id.r AS rate, track_id, score FROM rb JOIN rt USING (query_id, track_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_offset_count DESC, m DESC, track_id) = 1),
+  p2 AS (SELECT query_id, rate, score FROM p1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, abs(rate), rate) = 1),
+  f AS (SELECT dec.query_id, dec.track_id AS t1, coalesce(ev0, 0.0) AS e1, coalesce(aligned::DOUBLE / m, 0.0) >= {_GATE} AS gate_passed, coalesce(ev0 >= {_S1} AND aligned >= 5, FALSE) AS once, p2.rate AS pr, p2.score AS pa, r1.track_id AS ft, r1.score AS fa, r1.score::DOUBLE / dec.query_landmarks AS fe
+    FROM dec LEFT JOIN p2 USING (query_id) LEFT JOIN r1 ON r1.query_id = dec.query_id AND r1.rate = p2.rate),
+  g AS (SELECT *, NOT once AND gate_passed AS escalated, NOT once AND gate_passed AND coalesce(pa >= 5, FALSE) AS probe_passed FROM f)
+  SELECT query_id, gate_passed, escalated, probe_passed, CASE WHEN once OR ok THEN 'MATCH' ELSE 'NO_MATCH' END AS decision, CASE WHEN once THEN t1 WHEN ok THEN ft END AS track_id, CASE WHEN probe_passed THEN pr ELSE 0.0 END::DOUBLE AS rate,
+  CASE WHEN probe_passed THEN coalesce(fe, 0.0) ELSE e1 END AS evidence FROM (SELECT *, probe_passed AND coalesce(fe >= {_S2} AND fa >= 5, FALSE) AS ok FROM g)""",
     "evidence_rows__Z9": f"{_EVID} SELECT * FROM evid",
     "replay__Q8": f"""{_EVID} SELECT query_id, split, CASE WHEN one THEN 'stage1' WHEN pass AND two THEN 'stage2' WHEN pass THEN 'open' ELSE 'gated' END AS verdict, one OR (pass AND two) AS accepted, is_negative
   FROM (SELECT *, evidence >= {_S1} AND aligned >= 5 AS one, concentration >= {_GATE} AS pass, evidence >= {_S2} AND aligned >= 5 AS two FROM evid)""",

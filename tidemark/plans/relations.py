@@ -187,7 +187,13 @@ def versions(spark, d):
     return ct.resolve_version(cats, pins, db, stored)
 
 
+def tiling(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("source_id"), F.floor(F.abs("s_acctbal") % 60).cast("double").alias("length"))
+    return ct.tile(s).withColumn("place", F.col("place").cast("long"))
+
+
 QUERIES = {
+    "tiling__Q4": tiling,
     "duplicate_content__A30": duplicates, "content_hash__A31": content_hash, "pending_enrichment__J6": pending, "unmatched__J7_J8": unmatched, "coalesce_sidecar__J9": sidecar, "catalog_drift__J17": drift,
     "id_symmetric_difference__set": sym_diff, "cohort_union__set": cohort_union, "sha_overlap__set": sha_overlap, "overlap_intervals__J16_W9": overlaps, "screen_candidates__J10": screening, "upsert__A35_Z4": upserted,
     "violations__constraints": constraints, "enrichment_status__A22": enrichment, "json_normalise__scalar": json_normalise, "text_normalise__scalar": text_normalise, "license_predicates__P6_P7": licences, "catalog_access__P14": access,
@@ -197,6 +203,9 @@ QUERIES = {
 
 _U = "u AS (SELECT user_id % 10 AS tenant, user_id AS key_id, ts, event_id, value AS s, event_type = 'purchase' AS matched FROM events)"
 ORACLE_SQL = {
+    "tiling__Q4": """WITH RECURSIVE s AS (SELECT s_suppkey AS source_id, floor(abs(s_acctbal) % 60)::DOUBLE AS len FROM supplier), w AS (SELECT source_id, len, -1::BIGINT AS place, 0.0::DOUBLE AS pos, 0.0::DOUBLE AS start, 0.0::DOUBLE AS duration FROM s WHERE len > 0
+  UNION ALL SELECT source_id, len, place + 1, pos + d, pos, d FROM (SELECT *, CASE WHEN pos + want <= len THEN want WHEN pos + 3 <= len THEN 3.0 END::DOUBLE AS d FROM (SELECT source_id, len, place, pos, CASE (place + 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 5.0 ELSE 10.0 END AS want FROM w)) WHERE d IS NOT NULL)
+  SELECT source_id, place, start, duration FROM w WHERE place >= 0""",
     "duplicate_content__A30": "SELECT sha256(text) AS sha, count(*) AS copies, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "content_hash__A31": "SELECT source, count(*) AS row_count, sum(('0x' || substr(sha256(doc_id::VARCHAR || chr(31) || sha256(text)), 1, 15))::BIGINT)::VARCHAR AS digest_sum FROM documents GROUP BY 1",
     "pending_enrichment__J6": "SELECT c.c_custkey, c.c_mktsegment, CASE WHEN m.k IS NULL THEN 'missing' ELSE 'stale' END AS why FROM customer c LEFT JOIN (SELECT o_custkey AS k, max(o_orderdate) AS f FROM orders GROUP BY 1) m ON m.k = c.c_custkey WHERE m.k IS NULL OR m.f < TIMESTAMP '1998-01-01'",
