@@ -28,7 +28,7 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.digests(warc.round_trip(table(spark, sf_dir, "pages")))
+    return warc.digests(warc.round_trip(table(spark, sf_dir, "pages"), payloads=False))
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import parts, shared_dir
+from .common import shared_dir
 
 END = "\r\n\r\n"
 #: Records of one file; bounds what a reading task holds.
@@ -82,8 +82,7 @@ def records(caps: DataFrame) -> DataFrame:
 
 
 def write(caps: DataFrame, path: str) -> None:
-    n = parts(caps.sparkSession)
-    records(caps.repartition(n)).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    records(caps).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 _LENGTH = re.compile(rb"\r\nContent-Length: *(\d+)", re.I)
@@ -150,8 +149,9 @@ def assemble(recs: DataFrame) -> DataFrame:
 
     A transaction is keyed by its response's (or revisit's) record id. Records that name no present
     response keep their row with a null response; records that repeat an id count once (the smallest).
+    Payloads are part of the response if recs has them; without them less is moved.
     """
-    body = F.struct("id", "type", "target", "digest", "refers_to", "http_bytes", "payload")
+    body = F.struct("id", "type", "target", "digest", "refers_to", "http_bytes", *(["payload"] if "payload" in recs.columns else []))
     side = F.struct("id", "target")
     about = F.struct("id", "target", F.col("fields")["page-id"].alias("page_id"), F.col("fields")["has-url"].alias("has_url"))
     main = F.col("type").isin("response", "revisit")
@@ -162,11 +162,12 @@ def assemble(recs: DataFrame) -> DataFrame:
     )
 
 
-def round_trip(pages: DataFrame, **names) -> DataFrame:
-    """Write the pages' captures as archives, read them back and assemble them."""
+def round_trip(pages: DataFrame, payloads: bool = True, **names) -> DataFrame:
+    """Write the pages' captures as archives, read them back and assemble them, with or without payloads."""
     path = shared_dir(pages.sparkSession, "warc")
     write(captures(pages, **names), path)
-    return assemble(read_records(pages.sparkSession, path))
+    recs = read_records(pages.sparkSession, path)
+    return assemble(recs if payloads else recs.drop("payload"))
 
 
 def digests(transactions: DataFrame) -> DataFrame:
