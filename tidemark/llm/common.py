@@ -33,11 +33,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    """Cut the lineage with a reliable checkpoint in the shared folder, in no more parts than a shuffle has."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(df.sparkSession, "checkpoint"))
-    return df.checkpoint()
+    return df.coalesce(max(parts(df.sparkSession), 1)).checkpoint()
 
 
 def parts(spark: SparkSession) -> int:
@@ -64,16 +64,16 @@ class TwoGenerationCache:
 
     def values(self, keys: set) -> dict:
         """A dict that holds all the keys (and others)."""
-        miss = keys - self.new.keys()
-        if len(self.new) + len(miss) > self.cap and self.new:
-            self.old, self.new, miss = self.new, {}, keys
+        new = self.new
+        miss = [k for k in keys if k not in new]  # a set less a dict's keys would walk the whole dict
+        if len(new) + len(miss) > self.cap and new:
+            self.old, self.new, miss = new, {}, list(keys)
         if self.old:
-            known = miss & self.old.keys()
-            self.new.update((k, self.old[k]) for k in known)
-            miss = miss - known
+            old = self.old
+            self.new.update((k, old[k]) for k in miss if k in old)
+            miss = [k for k in miss if k not in old]
         if miss:
-            todo = list(miss)
-            self.new.update(zip(todo, self.make(todo), strict=True))
+            self.new.update(zip(miss, self.make(miss), strict=True))
         return self.new
 
 

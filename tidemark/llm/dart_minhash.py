@@ -7,10 +7,12 @@ the dart of least rank in each coordinate is the signature, and two texts agree
 the probability of their weighted Jaccard similarity. Bands of coordinates propose pairs, and every
 proposed pair that can matter is compared exactly.
 
-Within a band bucket each text is compared with one pivot, not with all others. Distance
-1 - similarity is a metric, so texts that failed against the pivot are then compared only with those
-members of other classes whose distance to the pivot differs by no more than the allowed distance;
-what this leaves out can't be a link. No bucket is gathered in one task.
+Pairs are never emitted for a whole bucket. First each text meets one pivot of its bucket, which
+joins tight groups at a cost in proportion to their size. Then only members of different components
+meet, and only those whose sketches (a few bits of each coordinate) allow the similarity; this is
+tested inside the join. Pairs with like sketches go first, so that most others are found to be
+connected already. A pair at the similarity asked for fails the sketch test with probability
+below 1e-5. No bucket is gathered in one task.
 """
 
 from __future__ import annotations
@@ -30,7 +32,11 @@ BANDS, BAND_ROWS = 24, 4
 COORDINATES = BANDS * BAND_ROWS
 #: The lowest rank region is [0, 2^-LOWEST); then they double up to 1, then have width 1.
 LOWEST = 12
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
+#: Bits that a sketch keeps of each coordinate.
+SKETCH_BITS = 4
+#: Shingles that a comparing task remembers.
+HELD_SHINGLES = 3_000_000
 _WORDS = TwoGenerationCache(hash_strings, CACHE_WORDS)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,8 +64,9 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     """Weighted Jaccard: sum of minima over sum of maxima; 0 if either is empty."""
     if not len(a[0]) or not len(b[0]):
         return 0.0
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = np.minimum(a[1][i], b[1][j]).sum()
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    same = b[0][at] == a[0]
+    both = np.minimum(a[1][same], b[1][at[same]]).sum()
     return float(both / (a[1].sum() + b[1].sum() - both))
 
 
@@ -130,13 +137,37 @@ def bands(sigs: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def sketches(sigs: np.ndarray) -> np.ndarray:
+    """n x 6 (int64): the low SKETCH_BITS of each coordinate."""
+    per = 64 // SKETCH_BITS
+    low = (sigs & np.uint64((1 << SKETCH_BITS) - 1)).reshape(len(sigs), -1, per)
+    return (low << (np.arange(per, dtype=np.uint64) * np.uint64(SKETCH_BITS))).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
+def agreements(a: str, b: str) -> Column:
+    """Coordinates whose sketches agree."""
+    out = F.lit(COORDINATES)
+    for i in range(COORDINATES * SKETCH_BITS // 64):
+        x = F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
+        out = out - F.bit_count(x)
+    return out
+
+
+def least_agreements(threshold: float, sigmas: float) -> int:
+    """What a pair of this similarity falls short of by chance at so many standard deviations."""
+    p = threshold + (1 - threshold) / (1 << SKETCH_BITS)
+    return max(0, int(COORDINATES * p - sigmas * (COORDINATES * p * (1 - p)) ** 0.5))
+
+
 def text_id(text: str) -> Column:
     """128 bits that stand for the text; null like empty."""
     return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
 
 
 def band_table(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, tid, bands) for each row; tid its text_id, bands null for a text without words."""
+    """(key, tid, bands, sketch) for each row; tid its text_id, bands and sketch null for a text without words."""
 
     def run(batches):
         import pyarrow as pa
@@ -147,17 +178,19 @@ def band_table(docs: DataFrame, key: str, text: str) -> DataFrame:
                 sets = shingles(texts[at])
                 some = [i for i, (h, _) in enumerate(sets) if len(h)]
                 keys: list = [None] * len(sets)
+                short: list = [None] * len(sets)
                 if some:
                     size = [len(sets[i][0]) for i in some]
                     sig = signatures(np.repeat(np.arange(len(some)), size), np.concatenate([sets[i][0] for i in some]), np.concatenate([sets[i][1] for i in some]), len(some))
-                    for i, row in zip(some, bands(sig), strict=True):
-                        keys[i] = row
+                    for i, row, sk in zip(some, bands(sig), sketches(sig), strict=True):
+                        keys[i], short[i] = row, sk
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at.start, at.stop - at.start), batch.column(2).slice(at.start, at.stop - at.start), pa.array(keys, pa.list_(pa.int64()))], names=["k", "tid", "bands"]
+                    [batch.column(0).slice(at.start, at.stop - at.start), batch.column(2).slice(at.start, at.stop - at.start), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.list_(pa.int64()))],
+                    names=["k", "tid", "bands", "sketch"],
                 )
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"), text_id(text).alias("tid"))
-    return rows.mapInArrow(run, "k bigint, tid binary, bands array<bigint>")
+    return rows.mapInArrow(run, "k bigint, tid binary, bands array<bigint>, sketch array<bigint>")
 
 
 def _packed(docs: DataFrame, text: str) -> DataFrame:
@@ -168,9 +201,11 @@ def _packed(docs: DataFrame, text: str) -> DataFrame:
         import zstandard
 
         press = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            texts = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(list(texts), pa.binary()), pa.array([press((t or "").encode()) for t in texts.values()], pa.binary())], names=["tid", "z"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                batch = whole.slice(lo, 1000)
+                texts = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(list(texts), pa.binary()), pa.array([press((t or "").encode()) for t in texts.values()], pa.binary())], names=["tid", "z"])
 
     return docs.select(text_id(text).alias("tid"), F.col(text).cast("string").alias("t")).mapInArrow(run, "tid binary, z binary")
 
@@ -183,38 +218,51 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        last, kept = None, None
-        for batch in batches:
-            za, zb, bs = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(1).to_pylist()
-            out = []
-            for x, y, b in zip(za, zb, bs, strict=True):
-                if b != last:  # rows come sorted by b
-                    last, kept = b, shingles([unpack(y).decode()])[0]
-                out.append(similarity(shingles([unpack(x).decode()])[0], kept))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "j"])
+        held: dict = {}
+        size = 0
+
+        def of(tid, z):
+            nonlocal size
+            if tid not in held:
+                got = shingles([unpack(z).decode()])[0]
+                size += len(got[0])
+                while held and size > HELD_SHINGLES:  # the oldest go
+                    size -= len(held.pop(next(iter(held)))[0])
+                held[tid] = got
+            return held[tid]
+
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                batch = whole.slice(lo, 1000)
+                a, b, za, zb = (batch.column(i).to_pylist() for i in range(4))
+                out = [similarity(of(i, x), of(j, y)) for i, j, x, y in zip(a, b, za, zb, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "j"])
 
     left = pairs.join(texts.select(F.col("tid").alias("a"), F.col("z").alias("za")), "a")
     both = left.join(texts.select(F.col("tid").alias("b"), F.col("z").alias("zb")), "b")
     return both.select("a", "b", "za", "zb").mapInArrow(run, "a binary, b binary, j double")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(tid, label): the smallest id that links reach from each node.
+def components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(tid, label) after the links (a, b) between labels have joined them; a component's label is one of its own.
 
-    Each round takes the least label among a node's neighbours, then follows that label's own label;
-    labels are checkpointed, and rounds end when none changes.
+    Each round every label that has a smaller neighbour takes the least one, follows that choice
+    twice, and the links between labels that still differ are what the next round gets; so links
+    shrink from round to round, and rounds end when none is left.
     """
-    ends = checkpointed(links.select(F.col("a").alias("s"), F.col("b").alias("t")).union(links.select("b", "a")).distinct())
-    touched = checkpointed(ends.groupBy("s").agg(F.min("t").alias("t")).select(F.col("s").alias("tid"), F.least("s", "t").alias("label")))
-    while True:
-        near = ends.join(touched, ends["t"] == touched["tid"]).groupBy("s").agg(F.min("label").alias("low"))
-        step = touched.join(near, touched["tid"] == near["s"], "left").select("tid", F.col("label").alias("was"), F.least("label", F.coalesce("low", "label")).alias("label"))
-        jump = step.join(touched.select(F.col("tid").alias("at"), F.col("label").alias("beyond")), F.col("label") == F.col("at"), "left")
-        new = checkpointed(jump.select("tid", "was", F.least("label", F.coalesce("beyond", "label")).alias("label")))
-        moved = new.where(F.col("label") != F.col("was")).limit(1).count()
-        touched = new.select("tid", "label")
-        if not moved:
-            return nodes.join(touched.withColumnRenamed("tid", "n"), F.col("tid") == F.col("n"), "left").select("tid", F.coalesce("label", "tid").alias("label"))
+    links = checkpointed(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    while not links.isEmpty():
+        hook = links.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("v"), "m")
+        hook = checkpointed(hook)
+        for _ in range(2):
+            further = hook.select(F.col("v").alias("w"), F.col("m").alias("n"))
+            hook = hook.join(further, F.col("m") == F.col("w"), "left").select("v", F.coalesce("n", "m").alias("m"))
+        hook = checkpointed(hook)
+        ends = links.join(hook.select(F.col("v").alias("a"), F.col("m").alias("ma")), "a", "left").join(hook.select(F.col("v").alias("b"), F.col("m").alias("mb")), "b", "left")
+        ends = ends.select(F.coalesce("ma", "a").alias("x"), F.coalesce("mb", "b").alias("y")).where("x != y")
+        links = checkpointed(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        labels = checkpointed(labels.join(hook, F.col("label") == F.col("v"), "left").select("tid", F.coalesce("m", "label").alias("label")))
+    return labels
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
@@ -245,35 +293,47 @@ def labelled(docs: DataFrame, key: str, text: str, threshold: float) -> DataFram
     path = shared_dir(spark, "dart-bands")
     band_table(docs, key, text).write.parquet(path)
     stored = spark.read.parquet(path)
-    distinct = stored.where("bands IS NOT NULL").groupBy("tid").agg(F.first("bands").alias("bands"))
-    keyed = distinct.select("tid", F.posexplode("bands").alias("band", "bucket"))
-    pivots = keyed.groupBy("band", "bucket").agg(F.min("tid").alias("pivot"), F.max("tid").alias("last")).where("pivot != last").select("band", "bucket", "pivot")
+    words, tags = range(COORDINATES * SKETCH_BITS // 64), range(BANDS // 2)
+    distinct = stored.where("bands IS NOT NULL").groupBy("tid").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    keyed = distinct.select("tid", *(F.col("sketch")[i].alias(f"s{i}") for i in words), F.posexplode("bands").alias("band", "bucket"))
+    one = F.struct("tid", *(f"s{i}" for i in words))
+    pivots = keyed.groupBy("band", "bucket").agg(F.min(one).alias("p"), F.max("tid").alias("last")).where("p.tid != last").select("band", "bucket", F.col("p.tid").alias("pivot"), *(F.col(f"p.s{i}").alias(f"p{i}") for i in words))
     members_path = shared_dir(spark, "dart-members")
     # Only buckets that hold two texts or more.
-    keyed.join(pivots, ["band", "bucket"]).select("band", "bucket", "tid", "pivot").write.parquet(members_path)
+    near = agreements("s", "p") >= least_agreements(threshold, 4.7)
+    keyed.join(pivots, ["band", "bucket"]).select("band", "bucket", "tid", F.when(near & (F.col("tid") != F.col("pivot")), F.col("pivot")).alias("pivot")).write.parquet(members_path)
     members = spark.read.parquet(members_path)
-    nodes = members.select("tid").distinct()
+    nodes_path = shared_dir(spark, "dart-nodes")
+    # 32 bits of each band, two to a word, tell in which band a pair meets first.
+    low = lambda i: F.col("bands")[i].bitwiseAND(F.lit(0xFFFFFFFF))
+    tagged = distinct.select("tid", *(F.col("sketch")[i].alias(f"s{i}") for i in words), *(F.shiftleft(low(2 * i + 1), 32).bitwiseOR(low(2 * i)).alias(f"t{i}") for i in tags))
+    tagged.join(members.select("tid").distinct(), "tid", "left_semi").write.parquet(nodes_path)
+    nodes = spark.read.parquet(nodes_path)
     texts_path = shared_dir(spark, "dart-texts")
-    _packed(docs, text).groupBy("tid").agg(F.first("z").alias("z")).join(nodes, "tid", "left_semi").write.parquet(texts_path)
+    _packed(docs, text).join(nodes.select("tid"), "tid", "left_semi").groupBy("tid").agg(F.first("z").alias("z")).write.parquet(texts_path)
     texts = spark.read.parquet(texts_path)
 
-    pairs = members.where("tid != pivot").select(F.col("tid").alias("a"), F.col("pivot").alias("b")).distinct()
-    judged = checkpointed(compare(pairs, texts))
-    links = judged.where(F.col("j") >= threshold).select("a", "b")
-    labels = checkpointed(components(nodes, links))
-
-    # Texts that failed against their pivot, and the members that may still be linked to them.
-    far = 1 - threshold + 1e-9
-    rated = members.join(judged.withColumnsRenamed({"a": "tid", "b": "pivot"}), ["tid", "pivot"], "left").withColumn("d", F.when(F.col("tid") == F.col("pivot"), 0.0).otherwise(1 - F.col("j")))
-    rated = checkpointed(rated.join(labels, "tid").select("band", "bucket", "tid", "label", "d"))
-    failed = rated.where(F.col("d") > far)
-    left = failed.select("band", "bucket", F.col("tid").alias("a"), F.col("label").alias("la"), F.col("d").alias("da"))
-    right = rated.select("band", "bucket", F.col("tid").alias("b"), F.col("label").alias("lb"), F.col("d").alias("db"))
-    more = left.join(right, ["band", "bucket"]).where((F.col("la") != F.col("lb")) & (F.abs(F.col("da") - F.col("db")) <= far) & ((F.col("db") <= far) | (F.col("a") < F.col("b"))))
-    more = checkpointed(more.select("a", "b").distinct())
-    if not more.isEmpty():
-        again = checkpointed(compare(more, texts).where(F.col("j") >= threshold).select("a", "b"))
-        if not again.isEmpty():
-            labels = checkpointed(components(nodes, links.union(again)))
+    def joined(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Labels after the pairs that reach the threshold are linked."""
+        found = compare(pairs, texts).where(F.col("j") >= threshold).select("a", "b")
+        of = lambda end: labels.select(F.col("tid").alias(end), F.col("label").alias(f"l{end}"))
+        return components(labels, found.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+
+    labels = joined(nodes.select("tid", F.col("tid").alias("label")), members.where("pivot IS NOT NULL").select(F.col("tid").alias("a"), F.col("pivot").alias("b")).distinct())
+    for sigmas in (0.5, 4.7):
+        rated = members.select("band", "bucket", "tid").join(labels, "tid")
+        mixed = rated.groupBy("band", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band", "bucket")
+        rated = checkpointed(rated.join(mixed, ["band", "bucket"], "left_semi").join(nodes, "tid"))
+        left = rated.select("band", "bucket", F.col("tid").alias("a"), F.col("label").alias("la"), *(F.col(f"s{i}").alias(f"a{i}") for i in words), *(F.col(f"t{i}").alias(f"x{i}") for i in tags))
+        right = rated.select("band", "bucket", F.col("tid").alias("b"), F.col("label").alias("lb"), *(F.col(f"s{i}").alias(f"b{i}") for i in words), *(F.col(f"t{i}").alias(f"y{i}") for i in tags))
+        differ = lambda i: F.col(f"x{i // 2}").bitwiseXOR(F.col(f"y{i // 2}")).bitwiseAND(F.lit(0xFFFFFFFF if i % 2 == 0 else -(1 << 32))) != 0
+        first = F.lit(True)
+        for i in range(BANDS - 1):
+            first = first & ((left["band"] <= i) | differ(i))
+        may = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (agreements("a", "b") >= least_agreements(threshold, sigmas)) & first
+        same = (left["band"] == right["band"]) & (left["bucket"] == right["bucket"])
+        pairs = checkpointed(left.join(right, same & may).select("a", "b").distinct())
+        if not pairs.isEmpty():
+            labels = joined(labels, pairs)
 
     return stored.select("k", "tid").join(labels.withColumnRenamed("tid", "n"), F.col("tid") == F.col("n"), "left").select("k", "tid", F.coalesce("label", "tid").alias("label"))
