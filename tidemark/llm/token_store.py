@@ -22,13 +22,18 @@ from pyspark.sql import functions as F
 from .common import TwoGenerationCache, chunks, order_plan, packed_in_order, shared_dir
 
 CHUNK_BITS = 8
-#: Bits of a bitmap between two entries of its rank directory.
-RANK_BLOCK = 512
+#: Bits of a bitmap between two entries of its rank directory: one machine word.
+RANK_BLOCK = 64
 #: A segment is closed once it has so many tokens.
 SEGMENT_TOKENS = 500_000
 MAGIC = b"DAC1"
 END_ID = 1
-CACHE_WORDS = 300_000
+#: Units that a Python worker remembers in each of two generations.
+CACHE_UNITS = 400_000
+#: Units that the library gets at once; its objects are large.
+ENCODE_UNITS = 8192
+#: Plain words that the library gets as one text.
+LINE_WORDS = 128
 
 
 class DirectCodes:
@@ -62,15 +67,8 @@ class DirectCodes:
             on = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
             at, which = at[on], which[on]
             block = at // RANK_BLOCK
-            inside = bits.reshape(-1, RANK_BLOCK // 8)
-            byte = (at % RANK_BLOCK) >> 3
-            before = np.zeros(len(at), np.int64)
-            for lo in range(0, len(at), 4096):  # bounded copies of blocks
-                sl = slice(lo, lo + 4096)
-                counts = np.bitwise_count(inside[block[sl]])
-                counts[np.arange(RANK_BLOCK // 8)[None, :] >= byte[sl, None]] = 0
-                before[sl] = counts.sum(axis=1, dtype=np.int64)
-            before += np.bitwise_count(bits[at >> 3] & ((1 << (at & 7)) - 1).astype(np.uint8))
+            below = (np.uint64(1) << (at % RANK_BLOCK).astype(np.uint64)) - np.uint64(1)
+            before = np.bitwise_count(bits.view("<u8")[block] & below)
             at = rank[block].astype(np.int64) + before
             shift += CHUNK_BITS
             out[which] |= self.levels[k + 1][at].astype(np.uint32) << np.uint32(shift)
@@ -106,7 +104,7 @@ class DirectCodes:
             at += n
             if i < k - 1:
                 blocks = -(-n // RANK_BLOCK)
-                bitmaps.append(np.frombuffer(raw, np.uint8, blocks * RANK_BLOCK // 8, at))
+                bitmaps.append(np.frombuffer(raw, np.uint8, blocks * RANK_BLOCK // 8, at).copy())  # aligned
                 at += blocks * RANK_BLOCK // 8
                 ranks.append(np.frombuffer(raw, "<u4", blocks, at))
                 at += 4 * blocks
@@ -119,13 +117,29 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: A word of these letters keeps its tokens when ASCII punctuation that follows is cut off; lower case and composition act on each letter alone.
-_PLAIN = re.compile(r"([a-zà-öø-ÿß]+)([.,!?%&*#$;:]*)")
-_UPPER = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿß.,!?%&*#$;:]+")
+#: Latin-1 letters in lower case; composition leaves them alone.
+_PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
+#: ASCII punctuation after such a letter and before white space: a token run of its own.
+_TAIL = re.compile(r"(?<=[a-zß-öø-ÿ])([.,!?%&*#$;:]+)(?!\S)")
 
 
-def words_of(text: str) -> list[str]:
-    """Space-free units that the tokenizer treats alone: it drops white space, and neither its normaliser nor its patterns look across."""
+def units_of(text: str) -> list[str]:
+    """Strings that the tokenizer encodes alone as it does within the text.
+
+    It drops white space, and neither its normaliser nor its patterns look across. Latin-1 texts are
+    put in lower case first (a letter's lower case depends on nothing around it there) and lose
+    punctuation from word ends to units of its own, so that there are fewer different units. Texts
+    with special tokens' openings keep their case; control characters that only Python takes for
+    white space keep the text whole.
+    """
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return [text]
+    if "<|" not in text:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split()
+        text = _TAIL.sub(r" \1", text.lower())
     return text.split()
 
 
@@ -141,27 +155,40 @@ def _worker(path: str) -> TwoGenerationCache:
 
         tok = Tokenizer.from_file(path)
 
-        def make(units: list[str]) -> list[bytes]:
-            got = tok.encode_batch_fast(units, add_special_tokens=False)
-            return [np.array(e.ids, "<u4").tobytes() for e in got]
+        ends = np.zeros(tok.get_vocab_size(), bool)
+        ends[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
 
-        cores = TwoGenerationCache(make, CACHE_WORDS)
+        def each(units: list[str]) -> list[bytes]:
+            return [struct.pack(f"<{len(ids)}I", *ids) for e in tok.encode_batch_fast(units, add_special_tokens=False) for ids in (e.ids,)]
 
-        def cut(words: list[str]) -> list[bytes]:
-            split = []
-            for w in words:
-                m = _PLAIN.fullmatch(w.lower()) if _UPPER.fullmatch(w) else None
-                split.append((m[1], m[2]) if m else (w, ""))
-            known = cores.values({x for pair in split for x in pair if x})
-            return [known[a] + known[b] if b else known[a] for a, b in split]
+        def lines(words: list[str]) -> list[bytes]:
+            """Plain words, many to a text: each is one run of letters, so its tokens end with the one that closes a word."""
+            groups = [words[lo : lo + LINE_WORDS] for lo in range(0, len(words), LINE_WORDS)]
+            out = []
+            for group, e in zip(groups, tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                cuts = [0, *((np.flatnonzero(ends[ids]) + 1) * 4).tolist()]
+                raw = ids.tobytes()
+                out += [raw[x:y] for x, y in zip(cuts, cuts[1:], strict=False)] if len(cuts) == len(group) + 1 else each(group)
+            return out
 
-        _WORKER[path] = TwoGenerationCache(cut, CACHE_WORDS)
+        def make(units: list[str]) -> list[bytes]:
+            out = {}
+            for lo in range(0, len(units), ENCODE_UNITS):
+                part = units[lo : lo + ENCODE_UNITS]
+                plain = [u for u in part if _PLAIN.fullmatch(u)]
+                out.update(zip(plain, lines(plain), strict=True))
+                rest = [u for u in part if u not in out]
+                out.update(zip(rest, each(rest), strict=True))
+            return [out[u] for u in units]
+
+        _WORKER[path] = TwoGenerationCache(make, CACHE_UNITS)
     return _WORKER[path]
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """The library's ids of each whole text, as little-endian unsigned 32-bit integers."""
-    words = [words_of(t) for t in texts]
+    words = [units_of(t) for t in texts]
     known = _worker(path).values(set(chain.from_iterable(words)))
     return [b"".join([known[w] for w in ws]) for ws in words]
 
