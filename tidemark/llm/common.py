@@ -57,13 +57,23 @@ def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[slice]:
 
 
 class TwoGenerationCache:
-    """Values of keys; after `cap` new keys the older half goes. Lives in a Python worker."""
+    """Values of keys; after `cap` new keys the older half goes.
+
+    Lives in a Python worker, which Spark uses again for other operators: the cache that is asked
+    empties the one that was asked before it, so that a worker holds one at a time.
+    """
+
+    asked: TwoGenerationCache | None = None
 
     def __init__(self, make: Callable[[list], list], cap: int):
         self.make, self.cap, self.new, self.old = make, cap, {}, {}
 
     def values(self, keys: set) -> dict:
         """A dict that holds all the keys (and others)."""
+        if TwoGenerationCache.asked is not self:
+            if TwoGenerationCache.asked is not None:
+                TwoGenerationCache.asked.new, TwoGenerationCache.asked.old = {}, {}
+            TwoGenerationCache.asked = self
         new = self.new
         miss = [k for k in keys if k not in new]  # a set less a dict's keys would walk the whole dict
         if len(new) + len(miss) > self.cap and new:

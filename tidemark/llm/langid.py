@@ -25,7 +25,7 @@ NGRAMS = (1, 2, 3, 4)
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 SCALE = 30.0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -247,17 +247,20 @@ def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: st
         return docs.select(key, *keep, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # BUCKETS rows, whatever the input
-    cols = [key, *keep, text]
+    cols = [key, *keep] if text in (key, *keep) else [key, *keep, text]
+    at, kept = cols.index(text), 1 + len(keep)
 
     def run(batches):
         import pyarrow as pa
 
         model = shared.value
         cache = TwoGenerationCache(model.word_scores, CACHE_WORDS)
-        for batch in batches:
-            got = model.predict([t or "" for t in batch.column(len(cols) - 1).to_pylist()], cache)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*(f"c{i}" for i in range(len(cols) - 1)), "lang_pred", "score"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                batch = whole.slice(lo, 1000)
+                got = model.predict([t or "" for t in batch.column(at).to_pylist()], cache)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*(f"c{i}" for i in range(kept)), "lang_pred", "score"])
 
     rows = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(cols)))
-    kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(cols[:-1]))
-    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(cols[:-1])), "lang_pred", "score")
+    kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(cols[:kept]))
+    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(cols[:kept])), "lang_pred", "score")
