@@ -29,7 +29,7 @@ SEGMENT_TOKENS = 500_000
 MAGIC = b"DAC1"
 END_ID = 1
 #: Units that a Python worker remembers in each of two generations.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 250_000
 #: Units that the library gets at once; its objects are large.
 ENCODE_UNITS = 8192
 #: Plain words that the library gets as one text.
@@ -217,7 +217,7 @@ def write(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", tok
                 names=["bucket", "seg", "doc_ids", "n_tokens", "code"],
             )
 
-        for batch in batches:
+        for batch in (whole.slice(lo, 512) for whole in batches for lo in range(0, whole.num_rows, 512)):
             bs, ks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             texts = [unpack(z).decode() for z in batch.column(3).to_pylist()]
             for at in chunks(texts):
