@@ -198,6 +198,15 @@ def test_repeats_against_brute_force(spark):
     assert suffix_dedup.remove_repeats(no_rows(df)).count() == 0
 
 
+def test_texts_of_one_anchor_whose_hashes_agree_in_32_bits_stay(spark):
+    texts = ["xhejdxzlnqioblrieqepeoqosriapozfsyyntcyyfpqbgqakdq", "zxmtlqchozfgaktieqepeoqosriapozfsyyttneddplymmzhhl"]
+    a = suffix_dedup.Anchors([t.encode() for t in texts])
+    assert a.lead[0] == a.lead[1] and a.stretch[0] != a.stretch[1] and (a.stretch[0] ^ a.stretch[1]) & np.uint64(0xFFFFFFFF) == 0
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for rows in (df.coalesce(1), df.repartition(2, "doc_id")):  # within a flush, and between flushes
+        assert [r.kept for r in suffix_dedup.remove_repeats(rows, as_text=True).orderBy("doc_id").collect()] == texts
+
+
 def test_family_merges_geometrically():
     f, rng, all_ = suffix_dedup.Family(), np.random.default_rng(7), {}
     for _ in range(40):

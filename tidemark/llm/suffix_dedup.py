@@ -6,17 +6,18 @@ hash. Equal windows have equal anchors at equal places, so only suffixes that st
 (about one position in 15) need an index, partitioned by anchor over the cluster. A document's
 windows led by one anchor are neighbours; the bytes they span are the anchor's stretch.
 
-1. Each partition keeps a logarithmic family of sorted arrays of (anchor, stretch) fingerprints:
-   a new batch gets its own array, and arrays of equal size class merge, so each entry is merged a
-   logarithmic number of times. Scanning the family settles stretches that occur as a whole in a
-   document with a smaller id, and finds those whose anchor alone does.
+1. Each partition keeps a logarithmic family of sorted arrays of stretch fingerprints: a new batch
+   gets its own array, and arrays of equal size class merge, so each entry is merged a logarithmic
+   number of times. Scanning the family settles stretches that occur as a whole in a document with
+   a smaller id, and finds those whose anchor alone does.
 2. For the latter, stretches are sent as bytes. Each batch gets a suffix array of their suffixes
    (to MATCH bytes), arrays merge geometrically in the same way, and each batch is scanned against
    the family for matches of MATCH bytes with a smaller id.
 3. The settled windows meet their documents, and the bytes they cover go.
 
-Fingerprints in step 1 have 64 bits beside the partition number, so a false match needs a collision
-within one partition; step 2 compares bytes.
+A stretch's fingerprint in step 1 has 64 bits of its own beside the partition number, also among
+stretches of one anchor: m different ones give about m^2 / 2^65 false matches. 32 bits of the anchor
+go along to find what step 2 has to look at; step 2 compares bytes.
 """
 
 from __future__ import annotations
@@ -105,9 +106,9 @@ class Anchors:
     def bucket(self, n: int) -> np.ndarray:
         return (self.lead % np.uint64(n)).astype(np.int64)
 
-    def key(self, n: int) -> np.ndarray:
-        """32 bits of the anchor's hash beside its bucket, then 32 of the stretch's."""
-        return ((self.lead // np.uint64(n)) << np.uint64(32)) | (self.stretch & np.uint64(0xFFFFFFFF))
+    def short(self, n: int) -> np.ndarray:
+        """32 bits of the anchor's hash beside its bucket."""
+        return (self.lead // np.uint64(n)).astype(np.uint32)
 
 
 class Family:
@@ -224,9 +225,9 @@ def _by_home(batches):
 
 
 def _offers(n: int):
-    """Step 1, from documents: batches of (key, id) for each index partition, the least id of equal keys.
+    """Step 1, from documents: batches of (key, id, anchor) for each index partition, the least id of equal keys.
 
-    Larger ids of a key of the same flush are settled at once and sent as rows to pass on.
+    A key is a stretch's hash. Larger ids of a key of the same flush are settled at once and sent as rows to pass on.
     """
 
     def run(batches):
@@ -234,14 +235,14 @@ def _offers(n: int):
         size = 0
 
         def flush():
-            bucket, key, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            bucket, key, ids, lead = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((ids, key, bucket))
-            bucket, key, ids = bucket[order], key[order], ids[order]
+            bucket, key, ids, lead = bucket[order], key[order], ids[order], lead[order]
             new = np.ones(len(key), bool)
             new[1:] = (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1])
             head = np.flatnonzero(new)
             least = ids[head][np.cumsum(new) - 1]
-            rows = [(int(b), BATCH, _press(key[head][at], ids[head][at])) for b, at in _groups(bucket[head])]
+            rows = [(int(b), BATCH, _press(key[head][at], ids[head][at], lead[head][at])) for b, at in _groups(bucket[head])]
             rest = np.flatnonzero(ids > least)
             # sent to whichever partition shares the home's number; step 1 passes them on
             rows += [(h, FULL, _press(ids[rest][at], key[rest][at])) for h, at in _groups(_home(ids[rest], n))]
@@ -251,7 +252,7 @@ def _offers(n: int):
             for at in _steps(texts):
                 a = Anchors(texts[at])
                 if len(a.doc):
-                    held.append((a.bucket(n), a.key(n), ids[at][a.doc]))
+                    held.append((a.bucket(n), a.stretch, ids[at][a.doc], a.short(n)))
                 size += len(a.raw)
                 if size >= FLUSH_BYTES and held:
                     yield from flush()
@@ -269,17 +270,21 @@ def _settle(n: int):
     """
 
     def close(family: Family, held: list):
-        key, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, ids, lead = (np.concatenate(x) for x in zip(*held, strict=True))
         pairs = np.lexsort((ids, key))
-        key, ids = key[pairs], ids[pairs]
+        key, ids, lead = key[pairs], ids[pairs], lead[pairs]
         full = family.least(key) < ids
-        lead = key >> np.uint64(32)
+        pairs = np.argsort(lead, kind="stable")
+        key, ids, lead, full = key[pairs], ids[pairs], lead[pairs], full[pairs]
         new = np.append(True, lead[1:] != lead[:-1])
         head, group = np.flatnonzero(new), np.cumsum(new) - 1
         half = ~full & (np.minimum.reduceat(ids, head)[group] < ids)
         top = np.maximum.reduceat(np.where(half, ids, np.iinfo(np.int64).min), head)[group]
         source = ~full & (top > ids)
         flag = half + 2 * source
+        # by key again: neighbours are pressed together
+        pairs = np.argsort(key, kind="stable")
+        key, ids, full, flag = key[pairs], ids[pairs], full[pairs], flag[pairs]
         for h, at in _groups(_home(ids, n)):
             f, s = at[full[at]], at[flag[at] > 0]
             if len(f):
@@ -296,9 +301,9 @@ def _settle(n: int):
                     out += close(family, held)
                 now, family, held = home, Family(), []
             if kind == BATCH:
-                key, ids = _unpress(blob, "u8", "i8")
+                key, ids, lead = _unpress(blob, "u8", "i8", "u4")
                 family.insert(key, ids)
-                held.append((key, ids))
+                held.append((key, ids, lead))
             else:
                 out.append((home, kind, blob))
             if len(out) >= 4096:
@@ -416,7 +421,7 @@ def _doubtful(n: int):
                     a = Anchors(texts[at])
                     if not len(a.doc):
                         continue
-                    own, key = ids[at][a.doc], a.key(n)
+                    own, key = ids[at][a.doc], a.stretch
                     flag = heard.find(own, key)
                     some = np.flatnonzero(flag)
                     if not len(some):
@@ -519,7 +524,7 @@ def _cut(n: int, keep: list[str], as_text: bool):
             for ids, texts, batch in _documents(_unpacked(blob)):
                 for at in _steps(texts):
                     a = Anchors(texts[at])
-                    own, key = ids[at][a.doc], a.key(n) if len(a.doc) else a.lead
+                    own, key = ids[at][a.doc], a.stretch
                     gone = removed_bytes(a, full.find(own, key) > 0, half.find(own, key).view(np.uint64))
                     spans, kept = [], []
                     for s, t in zip(a.start, texts[at], strict=True):
