@@ -332,6 +332,25 @@ def test_main_text_of_a_page():
     assert html_cut.main_text(PAGE) == want
 
 
+def test_text_after_inline_boilerplate_stays():
+    for tag, words in (("span", ' class="share"'), ("button", ""), ("b", ' id="promo"')):
+        assert html_cut.main_text(f"<p>Alpha <{tag}{words}>Share</{tag}> gamma delta.</p>") == "Alpha gamma delta."
+    assert html_cut.main_text('<p>Alpha <span class="share">Share <span>this</span> now</span> gamma delta.</p>') == "Alpha gamma delta."
+    assert html_cut.main_text('<p>Alpha <i class="share">Share <b class="ad">it</i> now</b> gamma delta.</p>') == "Alpha gamma delta."
+
+
+def test_wrappers_around_the_text_dont_cut_it():
+    text = "The paragraph has several words, and ends with a full stop."
+    for page in ('<body class="no-sidebar"><p>{}</p></body>', '<form id="aspnetForm"><nav><a href="/">Home</a></nav><p>{}</p></form>', '<div class="page with-sidebar"><article><p>{}</p></article></div>', '<form id="search"><main><form><article><p>{}</p></article></form></main></form>'):
+        assert html_cut.main_text(page.format(text)) == text
+    assert html_cut.main_text(f'<article><p>{text}</p><div class="related"><article><p>Another text of many words, told elsewhere.</p></article></div></article><aside><article><p>One more text of many words.</p></article></aside>') == text
+
+
+def test_formulas_and_fallback_text_stay():
+    page = '<p>We know that <math><mi>a</mi><mo>=</mo><mi>b</mi><annotation encoding="application/x-tex">a=b</annotation></math> holds.</p><noscript><p>The text for readers without scripts.</p></noscript><object data="x"><p>The text for readers without the object.</p></object>'
+    assert html_cut.main_text(page) == "We know that a=b holds.\nThe text for readers without scripts.\nThe text for readers without the object."
+
+
 def test_extract_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "v", "<"), (4, "v", "<a href='"), (5, "v", "</p></div>"), (6, "v", "<script>only"), (7, "v", "<p>" * 3000 + "deep words in many paragraphs, all open."), (8, "w", PAGE), (8, "w", PAGE), (None, "x", "<!-- open")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"k": F.lit(1), "u": F.lit(2), "h": F.lit(3), "text": F.lit(4)})

@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
-RAW_TAGS = frozenset("script style template noscript iframe noembed noframes xmp svg math textarea object canvas audio video".split())
+RAW_TAGS = frozenset("script style template iframe noembed xmp svg annotation annotation-xml textarea".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that an opening tag of the key's kind ends, if the nearest open block is one of them.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "tbody": {"tr", "td", "th", "thead"}, "thead": {"tr", "td", "th"}, "tfoot": {"tr", "td", "th", "tbody"}, "body": {"head"}}
+#: Elements whose verdict an article or main within them doesn't overrule.
+APART = frozenset("nav footer aside menu header dialog select search head title".split())
 # Log-odds of the classifier.
 PRIOR = -0.4
 TAG_ODDS = {"article": 3.0, "main": 2.5, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "menu": -9.0, "header": -9.0, "dialog": -9.0, "select": -9.0, "fieldset": -9.0, "search": -9.0, "head": -30.0, "title": -30.0, "button": -9.0, "h1": 1.0, "h2": 0.6, "h3": 0.4, "p": 0.8, "blockquote": 0.8, "pre": 0.8, "li": -0.3}
@@ -51,6 +53,28 @@ class Block:
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
+    forms: tuple[int, ...] = ()  # forms whose log-odds count
+
+
+def _passed(stack: list[tuple[str, int, float]]) -> tuple[float, tuple[int, ...]]:
+    """What open elements pass on to their text, and the forms that count in it.
+
+    The outermost article or main (unless its own words lower it) overrules what is around it but
+    APART elements; one within another overrules forms only.
+    """
+    total, apart, inner, forms = 0.0, 0.0, False, {}
+    for tag, number, odds in stack:
+        if tag in ("article", "main") and odds >= 0:
+            total -= sum(forms.values())
+            forms = {}
+            if not inner:
+                total, inner = apart, True
+        if tag in APART:
+            apart += odds
+        if tag in ("form", "fieldset"):
+            forms[number] = odds
+        total += odds
+    return total, tuple(forms)
 
 
 def _attribute_odds(attrs: str) -> float:
@@ -69,8 +93,9 @@ def _attribute_odds(attrs: str) -> float:
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, with their log-odds; never fails on broken markup."""
     stack: list[tuple[str, int, float]] = []  # block elements: tag, number, log-odds that it passes on
-    inline: list[tuple[str, float]] = []  # open inline elements with a bearing
+    inline: list[tuple[str, float, Block | None]] = []  # open inline elements with a bearing (and those of their tag within): the block that goes on after them
     out: list[Block] = []
+    wraps: dict[int, float] = {}  # forms and what they say
     count, at, links, lowered = 0, 0, 0, None
 
     def text(piece: str) -> None:
@@ -79,7 +104,8 @@ def blocks(page: str) -> list[Block]:
             return
         if current is None:
             # what the innermost article says outweighs a header within it
-            current = Block(tuple(n for _, n, _ in stack), PRIOR + sum(o for _, _, o in stack) + sum(o for _, o in inline))
+            odds, forms = _passed(stack)
+            current = Block(tuple(n for _, n, _ in stack), PRIOR + odds + sum(o for _, o, _ in inline), forms=forms)
             out.append(current)
         piece = html_lib.unescape(piece) if "&" in piece else piece
         current.pieces.append(piece)
@@ -113,13 +139,19 @@ def blocks(page: str) -> list[Block]:
             if closing:
                 for i in range(len(inline) - 1, -1, -1):
                     if inline[i][0] == tag:
-                        del inline[i]
+                        _, odds, before = inline.pop(i)
+                        if odds < 0 and i < len(inline):  # badly nested: those left open go on
+                            inline[i], current = (*inline[i][:2], before), None
+                        elif odds < 0:
+                            current = before
                         break
-            elif tag not in VOID_TAGS and (m[3] or tag == "button"):
-                odds = _attribute_odds(m[3]) + TAG_ODDS.get(tag, 0.0)
+            elif tag not in VOID_TAGS and (m[3] or tag == "button" or inline):
+                odds = min(0.0, _attribute_odds(m[3]) + TAG_ODDS.get(tag, 0.0))
                 if odds < 0:
-                    inline.append((tag, odds))
+                    inline.append((tag, odds, current))
                     current = None
+                elif any(t == tag for t, _, _ in inline):
+                    inline.append((tag, odds, None))
             continue
         current = None
         links = 0
@@ -143,7 +175,11 @@ def blocks(page: str) -> list[Block]:
                 odds = 0.0
             if tag == "article" and any(t == "article" for t, _, _ in stack):
                 odds = 0.0
-            stack.append((tag, count, odds + (_attribute_odds(m[3]) if m[3] else 0.0)))
+            # words on html and body tell pages apart, not the texts within one
+            odds += _attribute_odds(m[3]) if m[3] and tag not in ("html", "body") else 0.0
+            stack.append((tag, count, odds))
+            if tag in ("form", "fieldset"):
+                wraps[count] = odds
     kept = []
     for b in out:
         b.text = " ".join("".join(b.pieces).split())
@@ -152,6 +188,15 @@ def blocks(page: str) -> list[Block]:
             words = b.text.count(" ") + 1
             b.odds += LINK_ODDS * min(1.0, b.linked / n) + LENGTH_ODDS * min(1.0, words / LONG_WORDS) + (STOP_ODDS if b.text[-1] in ".!?…:;\"”»" else 0.0)
             kept.append(b)
+    # a form around most of the page's text is no form to fill in
+    if wraps:
+        size = dict.fromkeys(wraps, 0)
+        for b in kept:
+            for f in wraps.keys() & set(b.path):
+                size[f] += len(b.text)
+        most = sum(len(b.text) for b in kept if b.odds > TAG_ODDS["head"] / 2) / 2
+        for b in kept:
+            b.odds -= sum(wraps[f] for f in b.forms if size[f] > most)
     return kept
 
 
