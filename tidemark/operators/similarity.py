@@ -45,12 +45,34 @@ def dtw(a: np.ndarray, b: np.ndarray) -> float:
     return float(row[-1] / len(a))
 
 
+def dtw_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """dtw of each row of a with the same row of b, cell by cell over all rows at once."""
+    if not a.shape[1] or not b.shape[1]:
+        return np.full(len(a), np.inf)
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    row = np.full((len(b) + 1, a.shape[1]), np.inf)
+    row[0] = 0.0
+    for x in a:
+        cost, best = np.abs(b - x), np.minimum(row[1:], row[:-1])
+        row[0] = last = np.inf
+        for j in range(len(b)):
+            last = cost[j] + np.minimum(best[j], last)
+            row[j + 1] = last
+    return row[-1] / len(a)
+
+
 def melody_match(queries: DataFrame, melodies: DataFrame, limit: float = 10.0, k: int = 3) -> DataFrame:
     """(query_id, song, cost, rank, accepted): the k songs of least warping cost; accepted if the best is within the limit."""
 
     @F.pandas_udf("double")
     def cost(q: pd.Series, m: pd.Series) -> pd.Series:
-        return pd.Series([dtw(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(q, m, strict=True)])
+        out = np.empty(len(q))
+        sizes = pd.DataFrame({"q": q.map(len).to_numpy(), "m": m.map(len).to_numpy()})
+        for at in sizes.groupby(["q", "m"]).indices.values():
+            for lo in range(0, len(at), 2000):  # bounds what is stacked
+                some = at[lo : lo + 2000]
+                out[some] = dtw_pairs(np.stack(q.iloc[some].to_list()).astype(float), np.stack(m.iloc[some].to_list()).astype(float))
+        return pd.Series(out)
 
     pairs = melodies.crossJoin(small(queries)).select("query_id", "song", cost("qm", "melody").alias("cost"))
     w = Window.partitionBy("query_id").orderBy("cost", "song")

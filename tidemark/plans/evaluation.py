@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import evaluate as ev
 from tidemark.operators import keys as ky
 from tidemark.operators import similarity as sim
-from tidemark.session import small, table
+from tidemark.session import table
 
 K = 3
 
@@ -189,15 +189,14 @@ def recommend(spark, d):
 
 
 def melody(spark, d):
-    """Melodies from the first 24 parts of vectors; warping has no SQL twin."""
-    e = table(spark, d, "embeddings")
-    m = e.select(F.col("vec_id").cast("string").alias("song"), F.slice(F.col("embedding").cast("array<double>"), 1, 24).alias("melody"))
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.slice(F.col("embedding").cast("array<double>"), 1, 24).alias("qm"))
-    return sim.melody_match(small(q), m)
+    """Every vector as a melody asks for its like among all; warping has no SQL twin."""
+    e = table(spark, d, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    m = e.select(F.col("vec_id").cast("string").alias("song"), F.col("embedding").alias("melody")).repartition(spark.sparkContext.defaultParallelism)
+    return sim.melody_match(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qm")), m)
 
 
 def melody_resize(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 20).alias("m"))
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("m"))
     r = sim.resize(e, "m", 100)
     return r.select("vec_id", F.round(F.col("m")[0], 9).alias("first"), F.round(F.col("m")[10], 9).alias("tenth"), F.round(F.col("m")[99], 9).alias("last"))
 
