@@ -104,11 +104,11 @@ def resolve_version(catalogs: DataFrame, pins: DataFrame, current: DataFrame, st
     return rows.select("catalog_id", "version", problem.alias("problem"))
 
 
-def tile(sources: DataFrame, durations: tuple[float, ...] = (3.0, 5.0, 10.0), gap: float = 0.0, most: int = 1000) -> DataFrame:
+def tile(sources: DataFrame, durations: tuple[float, ...] = (3.0, 5.0, 10.0), gap: float = 0.0) -> DataFrame:
     """Disjoint excerpts (source_id, place, start, duration) of each source, one after another.
 
     Durations cycle; where the next doesn't fit, the shortest is tried; where that doesn't, the source
-    is done. The state is a fold over at most `most` steps of one row, so nothing leaves the row.
+    is done. The state is a fold over the steps of one row, so nothing leaves the row.
     """
     ds, short = F.array(*(F.lit(x) for x in durations)), F.lit(min(durations))
     step = F.struct(F.lit(0.0).alias("at"), F.array().cast("array<struct<start:double,duration:double>>").alias("out"))
@@ -119,6 +119,6 @@ def tile(sources: DataFrame, durations: tuple[float, ...] = (3.0, 5.0, 10.0), ga
         d = F.when(fits(want), want).when(fits(short), short)
         return F.when(d.isNull(), acc).otherwise(F.struct((acc["at"] + d + gap).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), d.alias("duration")))).alias("out")))
 
-    steps = F.sequence(F.lit(1), F.least(F.lit(most), F.ceil(F.col("length") / short).cast("int") + 1))
+    steps = F.sequence(F.lit(1), F.ceil(F.col("length") / short).cast("int") + 1)
     rows = sources.where("length > 0").withColumn("tiles", F.aggregate(steps, step, put)["out"])
     return rows.select("source_id", F.posexplode("tiles").alias("place", "t")).select("source_id", "place", "t.start", "t.duration")
