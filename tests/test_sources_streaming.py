@@ -44,11 +44,25 @@ def test_annotation_sheet(spark, tmp_path):
     assert got == {("t2", "annotator is missing"), ("t2", "time is not UTC ISO-8601"), ("t2", "bpm is out of range"), ("t2", "duration is not positive"), ("t1", "track_id repeats")}
 
 
-def test_sidecar_and_artifacts(spark, tmp_path):
-    sha = "A" * 64
-    (tmp_path / "m.json").write_text('{"tracks": [{"key": "%s", "title": " None "}, {"key": "t1", "title": "Song", "artist": ""}]}' % sha)
-    got = {(r.key_kind, r.key, r.title, r.artist) for r in files.sidecar(spark, str(tmp_path / "m.json")).collect()}
-    assert got == {("sha256", sha.lower(), None, None), ("track_id", "t1", "Song", None)}
+def test_sidecar(spark, tmp_path):
+    """Lists, objects and {"tracks": ...}: an entry is found by either of its ids; entries without a name are dropped."""
+    sha, listed = "A" * 64, '[{"sha256": "%s", "track_id": "t1", "title": " Song ", "artist": "None"}, {"track_id": "t2", "title": "none"}, 3, {"track_id": "t3", "artist": "B"}, {"track_id": "t3", "artist": "C"}]' % ("b" * 64)
+    listed = listed.replace(", {", ",\n {")
+    keyed = '{"%s": {"title": "By hash"}, "t9": {"artist": 7, "year": 1990}, "t8": {"title": "  "}, "t7": 1}' % sha
+    of = lambda text: {(r.key_kind, r.key, r.title, r.artist) for r in files.sidecar(spark, written(tmp_path, text)).collect()}
+    want = {("sha256", "b" * 64, "Song", None), ("track_id", "t1", "Song", None), ("track_id", "t3", None, "C")}
+    assert of(listed) == want and of('{"tracks": %s}' % listed) == want
+    want = {("sha256", sha.lower(), "By hash", None), ("track_id", "t9", None, "7")}
+    assert of(keyed) == want and of('{"tracks": %s}' % keyed) == want
+    assert of("[]") == set()
+
+
+def written(tmp_path, text):
+    (tmp_path / "m.json").write_text(text)
+    return str(tmp_path / "m.json")
+
+
+def test_artifacts(spark, tmp_path):
     root = tmp_path / "art"
     (root / "sub").mkdir(parents=True)
     (root / "a.bin").write_bytes(b"1")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words of licences, forbidden ones first.
-FORBIDDEN = ("-nc", "noncommercial", "-nd", "noderiv", "all rights reserved")
-PERMISSIVE = ("publicdomain", "public domain", "cc0", "/by/", "/by-sa/", "cc-by", "cc by")
+# Parts of licence addresses that are refused, that are allowed, and that have a name.
+FORBIDDEN = ("-nd", "-nc", "/nc-", "by-nc", "by-nd", "nc-sa", "nc-nd")
+PERMISSIVE = ("creativecommons.org/publicdomain/zero", "creativecommons.org/publicdomain/mark", "creativecommons.org/licenses/by/", "creativecommons.org/licenses/by-sa/")
+LICENCE_NAMES = {"publicdomain/zero": "CC0-1.0", "publicdomain/mark": "PublicDomainMark-1.0", "/licenses/by-sa/": "CC-BY-SA", "/licenses/by/": "CC-BY"}
+UNKNOWN_LICENCE = "UNKNOWN"
 ERROR_LIMIT, ERROR_MARK = 512, "…[truncated]"
 
 
@@ -27,14 +29,17 @@ def stem(path: Column) -> Column:
 
 
 def permissive(licence: Column) -> Column:
+    """Whether a licence address is one of the allowed ones; a forbidden part anywhere refuses it. Null is refused."""
     low = F.lower(F.coalesce(licence, F.lit("")))
-    any_of = lambda words: F.greatest(*(F.contains(low, F.lit(w)) for w in words), F.lit(False))
+    any_of = lambda parts: F.greatest(*(F.contains(low, F.lit(x)) for x in parts), F.lit(False))
     return ~any_of(FORBIDDEN) & any_of(PERMISSIVE)
 
 
 def licence_name(licence: Column) -> Column:
-    low = F.lower(F.coalesce(licence, F.lit("")))
-    return F.when(F.contains(low, F.lit("publicdomain")) | F.contains(low, F.lit("cc0")), "public domain").when(F.contains(low, F.lit("by-sa")), "CC BY-SA").when(F.contains(low, F.lit("/by/")), "CC BY").otherwise("other")
+    low, name = F.lower(F.coalesce(licence, F.lit(""))), F.lit(UNKNOWN_LICENCE)
+    for part, short in reversed(LICENCE_NAMES.items()):
+        name = F.when(F.contains(low, F.lit(part)), short).otherwise(name)
+    return name
 
 
 def valid_catalog_id(c: Column) -> Column:

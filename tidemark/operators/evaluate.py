@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.index import ordinals
+from tidemark.session import running
+
 
 def n_if(c: Column) -> Column:
     return F.sum(F.when(c, 1).otherwise(0)).cast("long")
@@ -48,14 +51,22 @@ def sweep(rows: DataFrame) -> DataFrame:
     ok = F.col("eligible")
     per = rows.groupBy("score").agg(n_if(ok & ~F.col("is_negative") & F.col("right")).alias("a"), n_if(ok & ~F.col("is_negative") & ~F.col("right")).alias("b"), n_if(ok & F.col("is_negative")).alias("c"))
     totals = rows.agg(n_if(~F.col("is_negative")).alias("positives"), n_if(F.col("is_negative")).alias("negatives"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = per.select("score", F.sum("a").over(w).alias("tp"), F.sum("b").over(w).alias("wrong"), F.sum("c").over(w).alias("fp")).crossJoin(F.broadcast(totals))
+    sums = running(per, [F.desc("score")], {"tp": F.col("a"), "wrong": F.col("b"), "fp": F.col("c")})
+    out = sums.select("score", "tp", "wrong", "fp").crossJoin(F.broadcast(totals))
     return out.select("score", "tp", "wrong", "fp", share(F.col("tp"), F.col("positives")).alias("recall"), share(F.col("fp"), F.col("negatives")).alias("far"))
 
 
-def pick_threshold(swept: DataFrame, max_far: float) -> DataFrame:
-    """The point of most recall whose far is at most max_far (the least threshold of several); no row if there is none."""
-    return swept.where(F.coalesce("far", F.lit(0.0)) <= max_far).orderBy(F.desc("recall"), "score").limit(1)
+def pick_threshold(swept: DataFrame, max_far: float, fallback: bool = False) -> DataFrame:
+    """The point of most recall whose far is at most max_far (the least threshold of several); no row if there is none.
+
+    With `fallback` there always is one: else the point of most recall without any false accept (the least
+    threshold of several), else the one of the greatest threshold.
+    """
+    within, none = F.coalesce("far", F.lit(0.0)) <= max_far, F.coalesce(F.col("far") == 0, F.lit(False))
+    if not fallback:
+        return swept.where(within).orderBy(F.desc("recall"), "score").limit(1)
+    rung = F.when(within, 0).when(none, 1).otherwise(2)
+    return swept.withColumn("rung", rung).orderBy("rung", F.when(F.col("rung") < 2, -F.col("recall")), F.when(F.col("rung") < 2, F.col("score")).otherwise(-F.col("score"))).limit(1).drop("rung")
 
 
 def best_recalls(swept: DataFrame, fars: list[float]) -> DataFrame:
@@ -74,8 +85,9 @@ def compare(a: DataFrame, b: DataFrame, on: str, value: str, band: float = 0.005
 
 
 def interleave(df: DataFrame, key: str) -> DataFrame:
-    """Even places of the sorted keys to 'tune', odd ones to 'hold'. One row for each key is sorted."""
-    return df.select(key).distinct().withColumn("split", F.when((F.row_number().over(Window.orderBy(key)) - 1) % 2 == 0, "tune").otherwise("hold"))
+    """Even places of the sorted keys to 'tune', odd ones to 'hold'; places come from per-range counts, not one sorted task."""
+    places = ordinals(df, key)
+    return places.select(F.col("track_id").alias(key), F.when(F.col("track_ord") % 2 == 0, "tune").otherwise("hold").alias("split"))
 
 
 def hash_split(key: Column) -> Column:
@@ -84,14 +96,14 @@ def hash_split(key: Column) -> Column:
 
 
 def last_n(df: DataFrame, key: str, n: int) -> DataFrame:
-    return df.withColumn("held_out", F.row_number().over(Window.orderBy(F.desc(key))) <= n)
+    """Marks the rows of the n greatest keys: each part of the table keeps n of its own before they meet."""
+    last = df.select(F.col(key).alias("_last")).distinct().orderBy(F.desc("_last")).limit(n)
+    return df.join(F.broadcast(last), F.col(key) == F.col("_last"), "left").withColumn("held_out", F.col("_last").isNotNull()).drop("_last")
 
 
 def stride_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """n rows at even strides of the sorted keys: places floor(i * len / n). Places come from per-range counts, not one sorted task."""
-    from tidemark.operators.index import ordinals
-
-    size = df.count()
+    size = df.select(key).distinct().count()
     spark = df.sparkSession
     places = F.broadcast(spark.createDataFrame([(i * size // n,) for i in range(n)], "track_ord int").distinct())
     return ordinals(df, key).join(places, "track_ord").select(F.col("track_id").alias(key), F.col("track_ord").cast("long").alias("place"))

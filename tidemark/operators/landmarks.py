@@ -43,6 +43,17 @@ def token_landmarks(df: DataFrame, key: str, text: str, out: str, cfg: LandmarkC
     return pairs.select(out, pack_key(F.col("f1"), F.col("f2"), F.col("k") + 1).alias("hash"), "anchor_frame")
 
 
+def landmark_count(text: Column, frames: int | None = None, cfg: LandmarkConfig = LandmarkConfig()) -> Column:
+    """How many landmarks token_landmarks makes of a text (of its first `frames` anchors): 0 for a null one."""
+    n, reach = F.size(F.split(text, SPACES)), min(cfg.fan_out, cfg.max_dt)
+    anchors = n if frames is None else F.least(n, F.lit(frames))
+    # anchors before `tail` have `reach` partners, those after it one fewer each
+    tail = F.greatest(F.lit(0), n - reach)
+    rest = F.greatest(F.lit(0), anchors - tail)
+    total = F.least(anchors, tail) * reach + rest * (n - 1 - tail) - F.floor(rest * (rest - 1) / 2)
+    return F.when(text.isNull(), 0).otherwise(total).cast("long")
+
+
 def pair_peaks(peaks: DataFrame, cfg: LandmarkConfig = LandmarkConfig()) -> DataFrame:
     """(track_id, hash, anchor_frame) from (track_id, frame, freq_bin): each peak with the first fan_out later ones at most max_dt frames on."""
     cfg.validate()

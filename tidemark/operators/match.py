@@ -15,28 +15,43 @@ def query_landmarks(landmarks: DataFrame) -> DataFrame:
     return landmarks.withColumn("qidx", F.row_number().over(w))
 
 
+#: Bytes of query landmarks for an estimated byte of the queries' plan, at most.
+LANDMARK_FACTOR = 64
+
+
 def probe(queries: DataFrame, landmarks: DataFrame) -> DataFrame:
-    """(query_id, track_id, qidx, offset) of every query landmark with every posting of its hash."""
-    q = small(queries.select("query_id", "qidx", "hash", F.col("anchor_frame").alias("q_frame")))
-    return landmarks.join(q, "hash").select("query_id", "track_id", "qidx", (F.col("anchor_frame") - F.col("q_frame")).alias("offset"))
+    """(query_id, track_id, qidx, frame, q_frame, offset) of every query landmark with every posting of its hash."""
+    q = small(queries.select("query_id", "qidx", "hash", F.col("anchor_frame").alias("q_frame")), LANDMARK_FACTOR)
+    hits = landmarks.join(q, "hash").select("query_id", "track_id", "qidx", F.col("anchor_frame").alias("frame"), "q_frame")
+    return hits.withColumn("offset", F.col("frame") - F.col("q_frame"))
 
 
-def densest(hits: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
-    """For each (query_id, track_id): score, best_offset, best_offset_count, window_end, lo, hi.
+def alignments(hits: DataFrame, cfg: MatchConfig = MatchConfig(), by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """For each query (by) and track_id: score, best_offset, best_offset_count, lo, hi, total_hits, matched_query_landmarks.
 
-    The window [v - tolerance, v] with most distinct query landmarks, then most hits, then least v.
-    Each hit is counted at the window ends that see it, so both counts are plain aggregates.
-    best_offset is the window's most frequent offset (the least of several).
+    The window [v - tolerance, v] with most distinct query landmarks, then most hits, then least v;
+    only offsets that occur need to be tried as its end, since one that doesn't sees no more than the
+    last one below it. best_offset is the window's most frequent offset (the least of several).
+    Hits move once, to their query and track; the rest happens there: hits of equal offset become one
+    row with the query landmarks it saw, and a frame of the tolerance's width looks back over them.
     """
-    t = cfg.validate().tolerance
-    ends = hits.withColumn("v", F.explode(F.sequence(F.col("offset"), F.col("offset") + t)))
-    per_end = ends.groupBy("query_id", "track_id", "v").agg(F.countDistinct("qidx").alias("d"), F.count(F.lit(1)).alias("h"))
-    best = per_end.groupBy("query_id", "track_id").agg(F.max(F.struct("d", "h", (-F.col("v")).alias("nv"))).alias("b")).select("query_id", "track_id", F.col("b.d").alias("score"), F.col("b.h").alias("best_offset_count"), (-F.col("b.nv")).alias("window_end"))
-    per_offset = hits.groupBy("query_id", "track_id", "offset").agg(F.count(F.lit(1)).alias("n"))
-    inside = per_offset.join(best, ["query_id", "track_id"]).where(F.col("offset").between(F.col("window_end") - t, F.col("window_end")))
-    return inside.groupBy("query_id", "track_id", "score", "best_offset_count", "window_end").agg(
-        (-F.max(F.struct("n", (-F.col("offset")).alias("o")))["o"]).alias("best_offset"), F.min("offset").alias("lo"), F.max("offset").alias("hi")
-    )
+    keys = [*by, "track_id"]
+    frame = Window.partitionBy(*keys).orderBy("offset").rangeBetween(-cfg.validate().tolerance, 0)
+    distinct = lambda lists: F.size(F.array_distinct(F.flatten(lists))).cast("long")
+    per = hits.repartition(*keys).groupBy(*keys, "offset").agg(F.count(F.lit(1)).alias("n"), F.collect_set("qidx").alias("seen"))
+    modal = F.max(F.struct("n", (-F.col("offset")).alias("o"))).over(frame)["o"]
+    ends = per.select(
+        *keys, "n", "seen", F.struct(distinct(F.collect_list("seen").over(frame)).alias("d"), F.sum("n").over(frame).alias("h"), (-F.col("offset")).alias("v"), F.min("offset").over(frame).alias("lo"), modal.alias("o")).alias("end"),
+    )
+    best = ends.groupBy(*keys).agg(F.max("end").alias("b"), F.sum("n").alias("total_hits"), distinct(F.collect_list("seen")).alias("matched_query_landmarks"))
+    return best.select(
+        *keys, F.col("b.d").alias("score"), F.col("b.h").alias("best_offset_count"), (-F.col("b.o")).alias("best_offset"), F.col("b.lo").alias("lo"), (-F.col("b.v")).alias("hi"), "total_hits", "matched_query_landmarks",
+    )
+
+
+def densest(hits: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+    """For each (query_id, track_id): score, best_offset, best_offset_count, lo, hi."""
+    return alignments(hits, cfg).drop("total_hits", "matched_query_landmarks")
 
 
 def totals(hits: DataFrame) -> DataFrame:
@@ -51,12 +66,11 @@ def second_best(hits: DataFrame, best: DataFrame, cfg: MatchConfig = MatchConfig
     """The densest window outside [lo - tolerance, hi + tolerance] of the first: second_best_score, second_best_offset."""
     t = cfg.tolerance
     rest = hits.join(best.select("query_id", "track_id", "lo", "hi"), ["query_id", "track_id"]).where((F.col("offset") < F.col("lo") - t) | (F.col("offset") > F.col("hi") + t))
-    again = densest(rest.select("query_id", "track_id", "qidx", "offset"), cfg)
+    again = densest(rest, cfg)
     return again.select("query_id", "track_id", F.col("score").alias("second_best_score"), F.col("best_offset").alias("second_best_offset"))
 
 
-def rank(hits: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+def rank(hits: DataFrame, cfg: MatchConfig = MatchConfig(), by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """The candidates of each query by (-score, -hits, -matched, track_id), at most max_candidates."""
-    rows = densest(hits, cfg).join(totals(hits), ["query_id", "track_id"])
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("best_offset_count"), F.desc("matched_query_landmarks"), "track_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.max_candidates)
+    order = Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("best_offset_count"), F.desc("matched_query_landmarks"), "track_id")
+    return alignments(hits, cfg, by).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.max_candidates)

@@ -13,10 +13,10 @@ K = 3
 
 
 def vectors(spark, d):
-    """Labels 0-7 are the catalog, 8-9 held out; every tenth vector asks."""
+    """Labels 0-7 are the catalog, 8-9 held out; the vectors whose id 20 divides ask, against all of the catalog."""
     e = table(spark, d, "embeddings")
     catalog = e.where("label < 8").select(F.col("vec_id").alias("track_id"), F.col("embedding").alias("v"))
-    queries = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("q_label"))
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("q_label"))
     return catalog, queries
 
 
@@ -77,9 +77,8 @@ def summarize(spark, d):
 
 def summarize_sets(spark, d):
     o = outcomes(spark, d)
-    o.createOrReplaceTempView("outcomes_v")
-    return spark.sql("""SELECT event_type, cohort, count(*) AS queries, count_if(error IS NOT NULL) AS errors, count_if(size(returned_ids) > 0) AS answered
-        FROM outcomes_v GROUP BY GROUPING SETS ((event_type), (cohort), (event_type, cohort), ())""")
+    sets = o.groupingSets([["event_type"], ["cohort"], ["event_type", "cohort"], []], "event_type", "cohort")
+    return sets.agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.count_if(F.size("returned_ids") > 0).alias("answered"))
 
 
 def latency(spark, d):
@@ -184,7 +183,7 @@ def moving_average(spark, d):
 def recommend(spark, d):
     e = table(spark, d, "embeddings")
     songs = e.select(F.col("vec_id").alias("track_id"), F.col("embedding").alias("v"))
-    wanted = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    wanted = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
     return sim.recommend(songs, wanted).select("query_id", "track_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -196,9 +195,9 @@ def melody(spark, d):
 
 
 def melody_resize(spark, d):
+    """Whole resized arrays, one row for each place."""
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("m"))
-    r = sim.resize(e, "m", 100)
-    return r.select("vec_id", F.round(F.col("m")[0], 9).alias("first"), F.round(F.col("m")[10], 9).alias("tenth"), F.round(F.col("m")[99], 9).alias("last"))
+    return sim.resize(e, "m", 100).select("vec_id", F.posexplode("m").alias("place", "value")).select("vec_id", F.col("place").cast("long").alias("place"), F.round("value", 9).alias("value"))
 
 
 QUERIES = {
@@ -210,7 +209,7 @@ QUERIES = {
 }
 
 _DIST = "(list_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) ^ 2)"
-_NEAR = f"near AS (SELECT q.vec_id AS query_id, q.label AS q_label, c.vec_id AS track_id, c.label AS t_label, {_DIST} AS dist, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DIST}, 12), c.vec_id) AS rank FROM embeddings q JOIN embeddings c ON c.label < 8 WHERE q.vec_id % 10 = 0)"
+_NEAR = f"near AS (SELECT q.vec_id AS query_id, q.label AS q_label, c.vec_id AS track_id, c.label AS t_label, {_DIST} AS dist, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DIST}, 12), c.vec_id) AS rank FROM embeddings q JOIN embeddings c ON c.label < 8 WHERE q.vec_id % 20 = 0)"
 _SCORED = f"WITH {_NEAR}, scored AS (SELECT query_id, round(-dist, 9) AS score, q_label >= 8 AS is_negative, t_label = q_label AS \"right\" FROM near WHERE rank <= 2 AND query_id <> track_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) = 1)"
 _SWEPT = _SCORED + """, per AS (SELECT score, count(*) FILTER (NOT is_negative AND "right") AS a, count(*) FILTER (NOT is_negative AND NOT "right") AS b, count(*) FILTER (is_negative) AS c FROM scored GROUP BY 1),
 swept AS (SELECT score, (sum(a) OVER w)::BIGINT AS tp, (sum(b) OVER w)::BIGINT AS wrong, (sum(c) OVER w)::BIGINT AS fp, (sum(a) OVER w)::DOUBLE / nullif((SELECT count(*) FROM scored WHERE NOT is_negative), 0) AS recall,
@@ -262,5 +261,7 @@ ORACLE_SQL = {
   w AS (SELECT file, class AS winner, total::DOUBLE AS total FROM t QUALIFY row_number() OVER (PARTITION BY file ORDER BY t.total DESC, class) = 1)
   SELECT file, winner, total, (max(c) + sum(c::DECIMAL(18,6))::DOUBLE / count(*)) / 2 AS confidence, count(*) AS segments FROM k JOIN w USING (file) GROUP BY 1, 2, 3""",
     "moving_average__W12": "SELECT user_id, event_id, (sum(value::DECIMAL(18,6)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))::DOUBLE / 5 AS smooth FROM events",
-    "recommend__J19": f"SELECT q.vec_id AS query_id, c.vec_id AS track_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DIST}, 12), c.vec_id) - 1 AS rank FROM embeddings q CROSS JOIN embeddings c WHERE q.vec_id % 50 = 0 QUALIFY rank BETWEEN 1 AND 3",
+    "melody_resize__X19": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS m, len(embedding) AS n FROM embeddings), p AS (SELECT vec_id, m, n, i, i * n / 99.0::DOUBLE AS x FROM e CROSS JOIN (SELECT unnest(range(100)) AS i)),
+  q AS (SELECT vec_id, m, i, least(floor(x), n - 1)::INT AS lo, least(floor(x) + 1, n - 1)::INT AS hi, least(x, (n - 1)::DOUBLE) - least(floor(x), n - 1) AS f FROM p) SELECT vec_id, i::BIGINT AS place, round(m[lo + 1] * (1 - f) + m[hi + 1] * f, 9) AS value FROM q""",
+    "recommend__J19": f"SELECT q.vec_id AS query_id, c.vec_id AS track_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DIST}, 12), c.vec_id) - 1 AS rank FROM embeddings q CROSS JOIN embeddings c WHERE q.vec_id % 20 = 0 QUALIFY rank BETWEEN 1 AND 3",
 }

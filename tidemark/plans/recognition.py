@@ -10,13 +10,13 @@ from tidemark.operators import decide as dec
 from tidemark.operators import index as ix
 from tidemark.operators import landmarks as lm
 from tidemark.operators import match as mt
-from tidemark.session import small, table
+from tidemark.session import checkpointed, small, spread, table
 
 CASCADE = CascadeConfig()
 
 
 def catalog(spark: SparkSession, d: str) -> DataFrame:
-    return lm.token_landmarks(table(spark, d, "documents"), "doc_id", "text", "track_id")
+    return lm.token_landmarks(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", "track_id")
 
 
 def excerpts(spark: SparkSession, d: str) -> DataFrame:
@@ -24,9 +24,8 @@ def excerpts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def headers(spark: SparkSession, d: str) -> DataFrame:
-    """Every query with its number of landmarks, also those without any."""
-    n = excerpts(spark, d).groupBy("query_id").agg(F.count(F.lit(1)).alias("query_landmarks"))
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).join(n, "query_id", "left").fillna(0, ["query_landmarks"])
+    """Every query with its number of landmarks, also those without any; it follows from the number of tokens."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), lm.landmark_count(F.col("text")).alias("query_landmarks"))
 
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +69,7 @@ def event_landmarks(spark, d):
 
 def postings_build(spark, d):
     ords = ix.ordinals(table(spark, d, "documents"), "doc_id")
-    rows = ix.postings(catalog(spark, d), small(ords))
+    rows = ix.postings(catalog(spark, d), ords)
     return longs(rows.groupBy("track_ord").agg(F.count(F.lit(1)).alias("postings"), F.countDistinct("hash").alias("unique_hashes"), F.max("anchor_frame").alias("last_frame")), "track_ord", "last_frame")
 
 
@@ -79,8 +78,7 @@ def index_stats(spark, d):
 
 
 def posting_lookup(spark, d):
-    keys = excerpts(spark, d).where("anchor_frame = 0").select("hash")
-    found = ix.lookup(catalog(spark, d), small(keys))
+    found = ix.lookup(catalog(spark, d), small(excerpts(spark, d).select("hash"), mt.LANDMARK_FACTOR))
     return found.groupBy("hash").agg(F.count(F.lit(1)).alias("postings"), F.countDistinct("track_id").alias("tracks"), F.min("anchor_frame").cast("long").alias("first_frame"))
 
 
@@ -107,7 +105,7 @@ def match_rank(spark, d):
 def match_totals(spark, d):
     h = hits(spark, d)
     per_query = mt.query_totals(h).select("query_id", F.col("total_hits").alias("query_hits"), F.col("matched_query_landmarks").alias("query_matched"))
-    return mt.totals(h).join(small(per_query), "query_id")
+    return mt.totals(h).join(per_query, "query_id")
 
 
 def second_best(spark, d):
@@ -118,7 +116,7 @@ def second_best(spark, d):
 
 
 def identify(spark, d):
-    return dec.decide(headers(spark, d), ranked(spark, d), DecisionConfig())
+    return dec.decide(headers(spark, d), ranked(spark, d, MatchConfig(max_candidates=2)), DecisionConfig())
 
 
 def runner_up_margin(spark, d):
@@ -134,75 +132,91 @@ def gate(spark, d):
     return rows.select("query_id", value.alias("gate_value"), (value >= CASCADE.gate).alias("gate_passed"))
 
 
-def rated_hits(spark, d, rates: DataFrame) -> DataFrame:
-    """Hits of queries whose frames run rate percent fast or slow: anchors and differences are scaled and rounded down.
+def rated(hits: DataFrame, rates: tuple[float, ...]) -> DataFrame:
+    """Hits at each rate (percent): the query's anchor frames are divided by 1 + rate / 100 and rounded down.
 
-    The analogue on landmark streams of resampling the signal; a rate of 0 is the query itself.
+    The analogue on landmark streams of resampling the signal. Only anchors are scaled: the frame
+    difference in a landmark's key stays, so every rate meets the same postings and a rate shifts offsets only.
     """
-    q = excerpts(spark, d).crossJoin(F.broadcast(rates))
-    scale = 1 + F.col("rate") / 100
-    frame = F.floor(F.col("anchor_frame") / scale).cast("long")
-    q = q.withColumn("q", F.struct("query_id", "rate")).select(F.col("q").alias("query_id"), "qidx", "hash", frame.alias("anchor_frame"))
-    return mt.probe(q, catalog(spark, d))
+    rows = hits.withColumn("rate", F.explode(F.array(*(F.lit(r) for r in rates))))
+    return rows.withColumn("offset", F.col("frame") - F.floor(F.col("q_frame") / (1 + F.col("rate") / 100)).cast("long"))
 
 
-def cascade(spark, d):
-    """Open queries (no match at stage 1) against all rates; the best hypothesis, rate 0 among them, decides at stage 2."""
-    first = dec.decide(headers(spark, d), ranked(spark, d), DecisionConfig(CASCADE.stage1, CASCADE.min_aligned))
-    rates = spark.createDataFrame([(r,) for r in (0.0, *CASCADE.rates)], "rate double")
-    tried = mt.rank(rated_hits(spark, d, rates), MatchConfig(max_candidates=1)).select("query_id.query_id", "query_id.rate", "track_id", "score")
-    tried = tried.join(small(headers(spark, d)), "query_id").withColumn("evidence", dec.ratio(F.col("score"), F.col("query_landmarks")))
-    best = dec.best_hypothesis(tried).select("query_id", "rate", F.col("track_id").alias("best_track"), "evidence", F.col("score").alias("best_aligned"))
-    rows = first.select("query_id", F.col("decision").alias("d1"), F.col("track_id").alias("t1"), F.col("evidence").alias("e1"), F.col("aligned").alias("a1")).join(best, "query_id", "left")
-    at_once = F.col("d1") == "MATCH"
-    ok = dec.accepted(F.col("evidence"), F.col("best_aligned"), CASCADE.stage2, CASCADE.min_aligned)
+def hypotheses(hits: DataFrame, rates: tuple[float, ...], sizes: DataFrame) -> DataFrame:
+    """The first candidate of each query and rate, with its evidence: score over the query's landmarks."""
+    tops = mt.rank(rated(hits, rates), MatchConfig(max_candidates=1), ("query_id", "rate"))
+    return tops.join(sizes, "query_id").select("query_id", "rate", "track_id", "score", dec.ratio(F.col("score"), F.col("query_landmarks")).alias("evidence"))
+
+
+def first_stage(spark, d, found: DataFrame) -> DataFrame:
+    """Each query's verdict at stage 1, its first candidate's concentration (the gate value) and score."""
+    heads = headers(spark, d)
+    top = mt.rank(found, MatchConfig(max_candidates=1))
+    rows = heads.join(top, "query_id", "left")
+    score = F.coalesce("score", F.lit(0)).cast("long")
+    evidence = dec.ratio(score, F.col("query_landmarks"))
     return rows.select(
+        "query_id", "track_id", score.alias("aligned"), evidence.alias("evidence"), "query_landmarks",
+        dec.ratio(score, F.coalesce("matched_query_landmarks", F.lit(0))).alias("gate_value"), dec.accepted(evidence, score, CASCADE.stage1, CASCADE.min_aligned).alias("at_once"),
+    )
+
+
+def cascade(spark, d):
+    """Queries that stage 1 leaves open against all rates; the best hypothesis, stage 1's as rate 0 among them, decides at stage 2.
+
+    Hits are found once; the open queries' ones are scaled. A match at stage 1 costs nothing more. NO_MATCH has no stage.
+    """
+    found = hits(spark, d)
+    first = checkpointed(first_stage(spark, d, found))
+    open_ = first.where(~F.col("at_once"))
+    tried = hypotheses(found.join(F.broadcast(open_.select("query_id")), "query_id", "left_semi"), CASCADE.rates, open_.select("query_id", "query_landmarks"))
+    zero = open_.where("track_id IS NOT NULL").select("query_id", F.lit(0.0).alias("rate"), "track_id", F.col("aligned").alias("score"), "evidence")
+    best = dec.best_hypothesis(tried.unionByName(zero)).select("query_id", "rate", F.col("track_id").alias("best_track"), F.col("evidence").alias("best_evidence"), F.col("score").alias("best_aligned"))
+    ok = dec.accepted(F.col("best_evidence"), F.col("best_aligned"), CASCADE.stage2, CASCADE.min_aligned)
+    once = F.col("at_once")
+    return first.join(best, "query_id", "left").select(
         "query_id",
-        F.when(at_once, 1).otherwise(2).cast("long").alias("stage"),
-        F.when(at_once | ok, "MATCH").otherwise("NO_MATCH").alias("decision"),
-        F.when(at_once, F.col("t1")).when(ok, F.col("best_track")).alias("track_id"),
-        F.when(at_once, 0.0).otherwise(F.coalesce("rate", F.lit(0.0))).alias("rate"),
-        F.when(at_once, F.col("e1")).otherwise(F.coalesce("evidence", F.lit(0.0))).alias("evidence"),
+        F.when(once, 1).when(ok, 2).cast("long").alias("stage"),
+        F.when(once | ok, "MATCH").otherwise("NO_MATCH").alias("decision"),
+        F.when(once, F.col("track_id")).when(ok, F.col("best_track")).alias("track_id"),
+        F.when(once, 0.0).otherwise(F.coalesce("rate", F.lit(0.0))).alias("rate"),
+        F.when(once, F.col("evidence")).otherwise(F.coalesce("best_evidence", "evidence")).alias("evidence"),
+        F.when(once, F.col("aligned")).otherwise(F.coalesce("best_aligned", "aligned")).alias("aligned"),
     )
 
 
 def gated(spark, d):
     """Open queries past the gate: a probe of the first frames at a few rates, then the whole query at the rate that won.
 
-    A query below the gate ends there (stage 1 evidence, rate 0); one whose best probe has too few
-    aligned landmarks ends at the probe; rate 0 doesn't compete.
+    A match at stage 1 passes no gate. A rejected query, wherever it was rejected, has rate 0 and its
+    stage-1 evidence. Probes with too few aligned landmarks don't compete, nor does rate 0.
     """
-    first = dec.decide(headers(spark, d), ranked(spark, d), DecisionConfig(CASCADE.stage1, CASCADE.min_aligned))
-    passed = gate(spark, d)
-    rates = spark.createDataFrame([(r,) for r in CASCADE.probe_rates], "rate double")
-    hits_all = rated_hits(spark, d, rates)
-    q = excerpts(spark, d)
-    early = small(q.where(F.col("anchor_frame") < CASCADE.probe_frames).select(F.col("query_id").alias("pq"), F.col("qidx").alias("pi")))
-    probed = hits_all.join(early, (F.col("query_id.query_id") == F.col("pq")) & (F.col("qidx") == F.col("pi"))).select("query_id", "track_id", "qidx", "offset")
-    sizes = small(q.where(F.col("anchor_frame") < CASCADE.probe_frames).groupBy("query_id").agg(F.count(F.lit(1)).alias("query_landmarks")))
-    one = MatchConfig(max_candidates=1)
-
-    def tops(h, n):
-        t = mt.rank(h, one).select("query_id.query_id", "query_id.rate", "track_id", "score").join(n, "query_id")
-        return t.withColumn("evidence", dec.ratio(F.col("score"), F.col("query_landmarks")))
-
-    probe = dec.best_hypothesis(tops(probed, sizes)).select("query_id", F.col("rate").alias("p_rate"), F.col("score").alias("p_aligned"))
-    full = tops(hits_all, small(headers(spark, d))).select(F.col("query_id").alias("fq"), F.col("rate").alias("fr"), F.col("track_id").alias("f_track"), F.col("score").alias("f_aligned"), F.col("evidence").alias("f_evidence"))
-    rows = first.select("query_id", "decision", F.col("track_id").alias("t1"), F.col("evidence").alias("e1")).join(passed, "query_id").join(probe, "query_id", "left")
-    rows = rows.join(full, (F.col("query_id") == F.col("fq")) & (F.col("p_rate") == F.col("fr")), "left")
-    once = F.col("decision") == "MATCH"
-    tried = ~once & F.col("gate_passed")
-    good = tried & F.coalesce(F.col("p_aligned") >= CASCADE.min_aligned, F.lit(False))
-    ok = good & dec.accepted(F.col("f_evidence"), F.col("f_aligned"), CASCADE.stage2, CASCADE.min_aligned)
+    found = hits(spark, d)
+    first = checkpointed(first_stage(spark, d, found))
+    open_ = first.where(~F.col("at_once") & (F.col("gate_value") >= CASCADE.gate))
+    mine = found.join(F.broadcast(open_.select("query_id")), "query_id", "left_semi")
+    early = F.col("q_frame") < CASCADE.probe_frames
+    n_early = lm.landmark_count(F.col("text"), CASCADE.probe_frames)
+    sizes = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), n_early.alias("query_landmarks"))
+    probes = hypotheses(mine.where(early), CASCADE.probe_rates, sizes).where(F.col("score") >= CASCADE.min_aligned)
+    probe = checkpointed(dec.best_hypothesis(probes).select("query_id", F.col("rate").alias("p_rate")))
+    # the whole query at the one rate that won: each hit is scaled once
+    again = mine.join(F.broadcast(probe), "query_id").withColumn("offset", F.col("frame") - F.floor(F.col("q_frame") / (1 + F.col("p_rate") / 100)).cast("long"))
+    full = mt.rank(again, MatchConfig(max_candidates=1)).select("query_id", F.col("track_id").alias("f_track"), F.col("score").alias("f_aligned"))
+    rows = first.join(probe, "query_id", "left").join(full, "query_id", "left")
+    once, f_evidence = F.col("at_once"), dec.ratio(F.col("f_aligned"), F.col("query_landmarks"))
+    tried, good = ~once & (F.col("gate_value") >= CASCADE.gate), F.col("p_rate").isNotNull()
+    ok = good & dec.accepted(f_evidence, F.col("f_aligned"), CASCADE.stage2, CASCADE.min_aligned)
     return rows.select(
         "query_id",
-        "gate_passed",
+        tried.alias("gate_passed"),
         tried.alias("escalated"),
         good.alias("probe_passed"),
+        F.when(once, 1).when(ok, 2).cast("long").alias("stage"),
         F.when(once | ok, "MATCH").otherwise("NO_MATCH").alias("decision"),
-        F.when(once, F.col("t1")).when(ok, F.col("f_track")).alias("track_id"),
-        F.when(good, F.col("p_rate")).otherwise(0.0).alias("rate"),
-        F.when(good, F.coalesce("f_evidence", F.lit(0.0))).otherwise(F.col("e1")).alias("evidence"),
+        F.when(once, F.col("track_id")).when(ok, F.col("f_track")).alias("track_id"),
+        F.when(ok, F.col("p_rate")).otherwise(0.0).alias("rate"),
+        F.when(ok, f_evidence).otherwise(F.col("evidence")).alias("evidence"),
     )
 
 
@@ -213,7 +227,7 @@ def evidence_rows(spark, d):
     items, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
     # truth through the index: only candidates that share a landmark can hold the passage
     pairs = hits(spark, d).select("query_id", "track_id").distinct()
-    held = pairs.join(small(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))), "query_id").join(docs.select(F.col("doc_id").alias("track_id"), "text"), "track_id").where(F.contains("text", "passage"))
+    held = pairs.join(small(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")), 8), "query_id").join(docs.select(F.col("doc_id").alias("track_id"), "text"), "track_id").where(F.contains("text", "passage"))
     truth = held.groupBy("query_id").agg(F.min("track_id").alias("truth"))
     truths = held.select(F.col("query_id").alias("q"), F.col("track_id").alias("top_truth"))
     rows = rows.join(truth, "query_id", "left").join(truths, (F.col("query_id") == F.col("q")) & (F.col("track_id") == F.col("top_truth")), "left")
@@ -327,7 +341,7 @@ ORACLE_SQL = {
   SELECT track_id, count(*) AS landmarks, sum((f1 << 18) | (f2 << 8) | dt)::BIGINT AS hash_sum, sum(anchor_frame)::BIGINT AS anchor_sum FROM p GROUP BY 1""",
     "postings_build__S7_B": f"WITH {_CAT}, o AS (SELECT doc_id AS track_id, (dense_rank() OVER (ORDER BY doc_id) - 1)::BIGINT AS track_ord FROM (SELECT DISTINCT doc_id FROM documents)) SELECT track_ord, count(*) AS postings, count(DISTINCT hash) AS unique_hashes, max(anchor_frame)::BIGINT AS last_frame FROM track_id_l JOIN o USING (track_id) GROUP BY 1",
     "index_stats__A7": f"WITH {_CAT} SELECT count(*) AS postings, count(DISTINCT hash) AS unique_hashes, count(DISTINCT track_id) AS tracks FROM track_id_l",
-    "posting_lookup__J2": f"WITH {_CAT}, {_QRY} SELECT hash, count(*) AS postings, count(DISTINCT track_id) AS tracks, min(anchor_frame)::BIGINT AS first_frame FROM track_id_l WHERE hash IN (SELECT hash FROM q WHERE anchor_frame = 0) GROUP BY 1",
+    "posting_lookup__J2": f"WITH {_CAT}, {_QRY} SELECT hash, count(*) AS postings, count(DISTINCT track_id) AS tracks, min(anchor_frame)::BIGINT AS first_frame FROM track_id_l WHERE hash IN (SELECT hash FROM q) GROUP BY 1",
     "hash_histogram__J2": f"WITH {_CAT} SELECT postings_per_hash, count(*) AS hashes FROM (SELECT hash, count(*) AS postings_per_hash FROM track_id_l GROUP BY 1) GROUP BY 1",
     "index_content_hash__A31": f"WITH {_CAT} SELECT track_id, count(*) AS row_count, sum(('0x' || substr(sha256(hash::VARCHAR || chr(31) || anchor_frame::VARCHAR), 1, 15))::BIGINT)::VARCHAR AS digest_sum FROM track_id_l GROUP BY 1",
     "probe_hits__J1": f"{_HITS} SELECT query_id, track_id, off::BIGINT AS \"offset\", count(*) AS hits FROM hits GROUP BY ALL",
@@ -343,20 +357,20 @@ ORACLE_SQL = {
   r1 AS (SELECT query_id.q AS query_id, query_id.r AS rate, track_id, score FROM rb JOIN rt USING (query_id, track_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_offset_count DESC, m DESC, track_id) = 1),
   r2 AS (SELECT r1.*, score::DOUBLE / query_landmarks AS evidence FROM r1 JOIN head USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score::DOUBLE / query_landmarks DESC, abs(rate), rate) = 1),
   f AS (SELECT dec.*, r2.rate, r2.track_id AS bt, r2.evidence, r2.score AS bs, coalesce(ev0 >= {_S1} AND aligned >= 5, FALSE) AS once, coalesce(r2.evidence >= {_S2} AND r2.score >= 5, FALSE) AS ok FROM dec LEFT JOIN r2 USING (query_id))
-  SELECT query_id, CASE WHEN once THEN 1 ELSE 2 END::BIGINT AS stage, CASE WHEN once OR ok THEN 'MATCH' ELSE 'NO_MATCH' END AS decision, CASE WHEN once THEN track_id WHEN ok THEN bt END AS track_id,
-  CASE WHEN once THEN 0.0 ELSE coalesce(rate, 0.0) END::DOUBLE AS rate, CASE WHEN once THEN ev0 ELSE coalesce(evidence, 0.0) END AS evidence FROM f""",
+  SELECT query_id, CASE WHEN once THEN 1 WHEN ok THEN 2 END::BIGINT AS stage, CASE WHEN once OR ok THEN 'MATCH' ELSE 'NO_MATCH' END AS decision, CASE WHEN once THEN track_id WHEN ok THEN bt END AS track_id,
+  CASE WHEN once THEN 0.0 ELSE coalesce(rate, 0.0) END::DOUBLE AS rate, CASE WHEN once THEN ev0 ELSE coalesce(evidence, ev0, 0.0) END AS evidence, (CASE WHEN once THEN aligned ELSE coalesce(bs, aligned) END)::BIGINT AS aligned FROM f""",
     "gated_cascade__D4_D5": f"""{_RANKED}, rates AS (SELECT unnest([{', '.join(map(str, CASCADE.probe_rates))}])::DOUBLE AS rate),
   rh AS (SELECT struct_pack(q := q.query_id, r := rate) AS query_id, p.track_id, q.qidx, q.anchor_frame AS qf, p.anchor_frame - floor(q.anchor_frame / (1 + rate / 100))::BIGINT AS off FROM q CROSS JOIN rates JOIN track_id_l p ON p.hash = q.hash),
   ph AS (SELECT query_id, track_id, qidx, off FROM rh WHERE qf < {CASCADE.probe_frames}), {_densest('ph', 'pb')}, {_densest('rh', 'rb')},
   pt AS (SELECT query_id, track_id, count(DISTINCT qidx) AS m FROM ph GROUP BY ALL), rt AS (SELECT query_id, track_id, count(DISTINCT qidx) AS m FROM rh GROUP BY ALL),
   p1 AS (SELECT query_id.q AS query_id, query_id.r AS rate, score FROM pb JOIN pt USING (query_id, track_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_offset_count DESC, m DESC, track_id) = 1),
   r1 AS (SELECT query_id.q AS query_id, query_id.r AS rate, track_id, score FROM rb JOIN rt USING (query_id, track_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_offset_count DESC, m DESC, track_id) = 1),
-  p2 AS (SELECT query_id, rate, score FROM p1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, abs(rate), rate) = 1),
+  p2 AS (SELECT query_id, rate, score FROM p1 WHERE score >= 5 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, abs(rate), rate) = 1),
   f AS (SELECT dec.query_id, dec.track_id AS t1, coalesce(ev0, 0.0) AS e1, coalesce(aligned::DOUBLE / m, 0.0) >= {_GATE} AS gate_passed, coalesce(ev0 >= {_S1} AND aligned >= 5, FALSE) AS once, p2.rate AS pr, p2.score AS pa, r1.track_id AS ft, r1.score AS fa, r1.score::DOUBLE / dec.query_landmarks AS fe
     FROM dec LEFT JOIN p2 USING (query_id) LEFT JOIN r1 ON r1.query_id = dec.query_id AND r1.rate = p2.rate),
-  g AS (SELECT *, NOT once AND gate_passed AS escalated, NOT once AND gate_passed AND coalesce(pa >= 5, FALSE) AS probe_passed FROM f)
-  SELECT query_id, gate_passed, escalated, probe_passed, CASE WHEN once OR ok THEN 'MATCH' ELSE 'NO_MATCH' END AS decision, CASE WHEN once THEN t1 WHEN ok THEN ft END AS track_id, CASE WHEN probe_passed THEN pr ELSE 0.0 END::DOUBLE AS rate,
-  CASE WHEN probe_passed THEN coalesce(fe, 0.0) ELSE e1 END AS evidence FROM (SELECT *, probe_passed AND coalesce(fe >= {_S2} AND fa >= 5, FALSE) AS ok FROM g)""",
+  g AS (SELECT *, NOT once AND gate_passed AS escalated, NOT once AND gate_passed AND pr IS NOT NULL AS probe_passed FROM f)
+  SELECT query_id, escalated AS gate_passed, escalated, probe_passed, CASE WHEN once THEN 1 WHEN ok THEN 2 END::BIGINT AS stage, CASE WHEN once OR ok THEN 'MATCH' ELSE 'NO_MATCH' END AS decision, CASE WHEN once THEN t1 WHEN ok THEN ft END AS track_id, CASE WHEN ok THEN pr ELSE 0.0 END::DOUBLE AS rate,
+  CASE WHEN ok THEN fe ELSE e1 END AS evidence FROM (SELECT *, probe_passed AND coalesce(fe >= {_S2} AND fa >= 5, FALSE) AS ok FROM g)""",
     "evidence_rows__Z9": f"{_EVID} SELECT * FROM evid",
     "replay__Q8": f"""{_EVID} SELECT query_id, split, CASE WHEN one THEN 'stage1' WHEN pass AND two THEN 'stage2' WHEN pass THEN 'open' ELSE 'gated' END AS verdict, one OR (pass AND two) AS accepted, is_negative
   FROM (SELECT *, evidence >= {_S1} AND aligned >= 5 AS one, concentration >= {_GATE} AS pass, evidence >= {_S2} AND aligned >= 5 AS two FROM evid)""",

@@ -24,11 +24,11 @@ def content_hash(spark, d):
 
 def pending(spark, d):
     orders = table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("fetched_at")).withColumnRenamed("o_custkey", "c_custkey")
-    return ct.pending(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), orders, "c_custkey", F.lit("1998-01-01").cast("timestamp_ntz"))
+    return ct.pending(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), orders, "c_custkey", F.lit("2000-06-01").cast("timestamp_ntz"))
 
 
 def unmatched(spark, d):
-    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    c, o = table(spark, d, "customer"), table(spark, d, "orders").where("o_totalprice > 300000")
     return c.join(o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers")).withColumn("c_nationkey", F.col("c_nationkey").cast("long"))
 
 
@@ -48,7 +48,7 @@ def drift(spark, d):
 
 def sym_diff(spark, d):
     a = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    b = table(spark, d, "orders").select(F.col("o_custkey").alias("id")).distinct()
+    b = table(spark, d, "orders").where("o_totalprice > 300000").select((F.col("o_custkey") + 7).alias("id")).distinct()
     return ct.symmetric_difference(a, b)
 
 
@@ -111,9 +111,10 @@ def text_normalise(spark, d):
 
 
 def licences(spark, d):
-    """URLs with a licence path put on by page number."""
-    tail = F.element_at(F.array(*(F.lit(x) for x in ("/by/4.0", "/by-sa/4.0", "/by-nc/4.0", "/publicdomain/zero", "/about"))), (F.col("page_id") % 5 + 1).cast("int"))
-    u = F.concat("url", tail)
+    """URLs with a licence address put on by page number."""
+    tails = ("creativecommons.org/licenses/by/4.0", "CreativeCommons.org/licenses/by-sa/4.0", "creativecommons.org/licenses/by-nc/4.0", "creativecommons.org/publicdomain/zero/1.0", "creativecommons.org/publicdomain/mark/1.0", "example.com/by/someone", "CC BY 4.0")
+    tail = F.element_at(F.array(*(F.lit(x) for x in tails)), (F.col("page_id") % len(tails) + 1).cast("int"))
+    u = F.concat("url", F.lit("?"), tail)
     host = F.regexp_extract("url", r"^https?://([^/]+)", 1)
     rows = table(spark, d, "pages").select(host.alias("host"), tx.permissive(u).alias("ok"), tx.licence_name(u).alias("name"))
     return rows.groupBy("name", "ok").agg(F.count(F.lit(1)).alias("pages"), F.countDistinct("host").alias("hosts"))
@@ -121,9 +122,9 @@ def licences(spark, d):
 
 def access(spark, d):
     """Keys (customers) with lists of nations they may read, against catalogs (nations)."""
-    c = table(spark, d, "customer").where("c_custkey % 10 = 0").select("c_custkey", F.when(F.col("c_nationkey") < 5, F.array().cast("array<int>")).otherwise(F.array("c_nationkey", (F.col("c_nationkey") + 1) % 25)).alias("allowed"))
+    c = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_nationkey") < 5, F.array().cast("array<int>")).otherwise(F.array("c_nationkey", (F.col("c_nationkey") + 1) % 25)).alias("allowed"))
     n = table(spark, d, "nation").select("n_nationkey")
-    return c.crossJoin(small(n, 1000)).where(ct.may_read(F.col("allowed"), F.col("n_nationkey"))).groupBy("c_custkey").agg(F.count(F.lit(1)).alias("readable"))
+    return c.crossJoin(F.broadcast(n)).where(ct.may_read(F.col("allowed"), F.col("n_nationkey"))).groupBy("c_custkey").agg(F.count(F.lit(1)).alias("readable"))
 
 
 def page_of(spark, d):
@@ -151,7 +152,7 @@ def quota(spark, d):
 
 def token_bucket(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("key_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), "event_id")
-    return us.token_bucket(e, rate=1 / 3600, burst=2.0)
+    return us.token_bucket(e, rate=1 / 3600, burst=2.0).withColumn("tokens", F.round("tokens", 6))
 
 
 def min_interval(spark, d):
@@ -208,12 +209,12 @@ ORACLE_SQL = {
   SELECT source_id, place, start, duration FROM w WHERE place >= 0""",
     "duplicate_content__A30": "SELECT sha256(text) AS sha, count(*) AS copies, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "content_hash__A31": "SELECT source, count(*) AS row_count, sum(('0x' || substr(sha256(doc_id::VARCHAR || chr(31) || sha256(text)), 1, 15))::BIGINT)::VARCHAR AS digest_sum FROM documents GROUP BY 1",
-    "pending_enrichment__J6": "SELECT c.c_custkey, c.c_mktsegment, CASE WHEN m.k IS NULL THEN 'missing' ELSE 'stale' END AS why FROM customer c LEFT JOIN (SELECT o_custkey AS k, max(o_orderdate) AS f FROM orders GROUP BY 1) m ON m.k = c.c_custkey WHERE m.k IS NULL OR m.f < TIMESTAMP '1998-01-01'",
-    "unmatched__J7_J8": "SELECT c_nationkey::BIGINT AS c_nationkey, count(*) AS customers FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey) GROUP BY 1",
+    "pending_enrichment__J6": "SELECT c.c_custkey, c.c_mktsegment, CASE WHEN m.k IS NULL THEN 'missing' ELSE 'stale' END AS why FROM customer c LEFT JOIN (SELECT o_custkey AS k, max(o_orderdate) AS f FROM orders GROUP BY 1) m ON m.k = c.c_custkey WHERE m.k IS NULL OR m.f < TIMESTAMP '2000-06-01'",
+    "unmatched__J7_J8": "SELECT c_nationkey::BIGINT AS c_nationkey, count(*) AS customers FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000) GROUP BY 1",
     "coalesce_sidecar__J9": "SELECT p.p_partkey, coalesce(g.title, s.s_name) AS title FROM part p LEFT JOIN (SELECT p_name, max(p_brand) AS title FROM part GROUP BY 1) g ON p.p_size % 2 = 0 AND g.p_name = p.p_name LEFT JOIN supplier s ON s.s_suppkey = p.p_partkey",
     "catalog_drift__J17": """WITH a AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1), b AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1)
   SELECT CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' WHEN a.n = b.n THEN 'same' ELSE 'changed' END AS change, count(*) AS customers, sum(a.n)::BIGINT AS before, sum(b.n)::BIGINT AS after FROM a FULL JOIN b USING (o_custkey) GROUP BY 1""",
-    "id_symmetric_difference__set": "SELECT id, 'left' AS side FROM (SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT id, 'right' FROM (SELECT o_custkey AS id FROM orders EXCEPT SELECT c_custkey FROM customer)",
+    "id_symmetric_difference__set": "WITH o AS (SELECT o_custkey + 7 AS id FROM orders WHERE o_totalprice > 300000) SELECT id, 'left' AS side FROM (SELECT c_custkey AS id FROM customer EXCEPT SELECT id FROM o) UNION ALL SELECT id, 'right' FROM (SELECT id FROM o EXCEPT SELECT c_custkey FROM customer)",
     "cohort_union__set": "SELECT cohort, count(*) AS n, min(id) AS low, max(id) AS high FROM (SELECT o_orderkey AS id, 'legacy' AS cohort FROM orders UNION ALL SELECT DISTINCT l_orderkey, 'expanded' FROM lineitem) GROUP BY 1",
     "sha_overlap__set": "SELECT sha, 'sources' AS \"with\" FROM (SELECT sha256(text) AS sha FROM documents WHERE source = 'src0' INTERSECT SELECT sha256(text) FROM documents WHERE source <> 'src0') UNION ALL SELECT sha, 'benchmark' FROM (SELECT sha256(text) AS sha FROM documents INTERSECT SELECT sha256(text) FROM benchmark)",
     "overlap_intervals__J16_W9": "SELECT user_id, event_id, next_start FROM (SELECT user_id, event_id, epoch_us(ts) AS start, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS next_start FROM events WHERE event_type = 'purchase') WHERE next_start < start + 3600000000",
@@ -226,14 +227,17 @@ ORACLE_SQL = {
   SELECT user_id, CASE WHEN a IS NULL OR a < 80 THEN 'no_match' WHEN b IS NOT NULL AND a - b < 5 THEN 'ambiguous' ELSE 'matched' END AS status, a::BIGINT AS top FROM g""",
     "json_normalise__scalar": "SELECT event_type, count(k) AS n, sum(k)::BIGINT AS k_sum, min(k)::BIGINT AS low, max(k)::BIGINT AS high FROM (SELECT event_type, greatest(0, least(90, (props->>'k')::INT)) AS k FROM events) GROUP BY 1",
     "text_normalise__scalar": "SELECT trim(regexp_replace(lower(p_name || '--' || p_type), '[^a-z0-9]+', ' ', 'g')) AS name, count(*) AS n, min(regexp_replace(p_brand || '_' || p_size, '_[0-9]+$', '')) AS base FROM part GROUP BY 1",
-    "license_predicates__P6_P7": """WITH p AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, lower(url || ['/by/4.0', '/by-sa/4.0', '/by-nc/4.0', '/publicdomain/zero', '/about'][page_id % 5 + 1]) AS u FROM pages)
-  SELECT CASE WHEN contains(u, 'publicdomain') OR contains(u, 'cc0') THEN 'public domain' WHEN contains(u, 'by-sa') THEN 'CC BY-SA' WHEN contains(u, '/by/') THEN 'CC BY' ELSE 'other' END AS name,
-  NOT regexp_matches(u, '-nc|noncommercial|-nd|noderiv|all rights reserved') AND regexp_matches(u, 'publicdomain|public domain|cc0|/by/|/by-sa/|cc-by|cc by') AS ok, count(*) AS pages, count(DISTINCT host) AS hosts FROM p GROUP BY 1, 2""",
-    "catalog_access__P14": "SELECT c_custkey, count(*) AS readable FROM customer CROSS JOIN nation WHERE c_custkey % 10 = 0 AND (c_nationkey < 5 OR n_nationkey IN (c_nationkey, (c_nationkey + 1) % 25)) GROUP BY 1",
+    "license_predicates__P6_P7": """WITH p AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, lower(url) AS u, page_id % 7 AS m FROM pages)
+  SELECT CASE m WHEN 0 THEN 'CC-BY' WHEN 1 THEN 'CC-BY-SA' WHEN 3 THEN 'CC0-1.0' WHEN 4 THEN 'PublicDomainMark-1.0' ELSE 'UNKNOWN' END AS name, m IN (0, 1, 3, 4) AND NOT regexp_matches(u, '-nd|-nc|/nc-|by-nc|by-nd|nc-sa|nc-nd') AS ok, count(*) AS pages, count(DISTINCT host) AS hosts FROM p GROUP BY 1, 2""",
+    "catalog_access__P14": "SELECT c_custkey, count(*) AS readable FROM customer CROSS JOIN nation WHERE (c_nationkey < 5 OR n_nationkey IN (c_nationkey, (c_nationkey + 1) % 25)) GROUP BY 1",
     "pagination__limit": "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100",
     "usage_daily__A35_T4": f"WITH {_U} SELECT tenant, key_id, strftime(ts, '%Y-%m-%d') AS usage_day, sum(round(s::DECIMAL(18,6), 3)::DECIMAL(14,3))::DOUBLE AS audio_seconds, count(*) AS request_count, count(*) FILTER (matched) AS match_count FROM u GROUP BY 1, 2, 3",
     "tenant_total__A36": f"WITH {_U} SELECT t.tenant, coalesce(sum(round(s::DECIMAL(18,6), 3)::DECIMAL(14,3)), 0)::DOUBLE AS audio_seconds FROM (SELECT unnest(range(12)) AS tenant) t LEFT JOIN u USING (tenant) GROUP BY 1",
     "quota__T2": f"WITH {_U}, r AS (SELECT *, coalesce(sum(s::DECIMAL(18,6)) OVER (PARTITION BY tenant, ts::DATE ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM u) SELECT tenant, count(*) AS requests, count(*) FILTER (used < 500) AS accepted FROM r GROUP BY 1",
+    "token_bucket__T1": """WITH RECURSIVE e AS (SELECT user_id AS key_id, epoch_us(ts) / 1e6::DOUBLE AS ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+  s AS (SELECT key_id, event_id, i, ts AS last, 2.0::DOUBLE AS had FROM e WHERE i = 1
+    UNION ALL SELECT e.key_id, e.event_id, e.i, greatest(s.last, e.ts), least(2.0::DOUBLE, (CASE WHEN s.had >= 1 THEN s.had - 1 ELSE s.had END) + greatest(0.0, e.ts - s.last) * (1.0::DOUBLE / 3600)) FROM s JOIN e ON e.key_id = s.key_id AND e.i = s.i + 1)
+  SELECT key_id, event_id, had >= 1 AS allowed, CASE WHEN had >= 1 THEN 0 ELSE ceil((1.0 - had) / (1.0::DOUBLE / 3600)) END::INT AS retry_after, round(CASE WHEN had >= 1 THEN had - 1 ELSE had END, 6) AS tokens FROM s""",
     "min_interval__T5": f"WITH {_U}, g AS (SELECT key_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY key_id ORDER BY ts, event_id) AS gap FROM u) SELECT key_id, sum(CASE WHEN gap IS NULL OR gap < 0 THEN 0 ELSE greatest(0, 1800000000 - gap) END)::BIGINT AS wait_micros FROM g GROUP BY 1",
     "latency_buckets__T6": "SELECT event_type, count(*) FILTER (value <= 5) AS le_5_0, count(*) FILTER (value <= 25) AS le_25_0, count(*) FILTER (value <= 100) AS le_100_0, count(*) AS le_inf FROM events GROUP BY 1",
     "ordered_turns__W5": "SELECT conv_id, count(*) AS turns, count(*) FILTER (before <> role) AS changes FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) GROUP BY 1",

@@ -50,17 +50,25 @@ def annotation_errors(rows: DataFrame) -> DataFrame:
 
 
 def sidecar(spark: SparkSession, path: str) -> DataFrame:
-    """(key_kind, key, title, artist) of a JSON list of entries, or {"tracks": [...]}: a key of 64 hexadecimal digits is a content hash, any other an id.
+    """(key_kind, key, title, artist) of a JSON list of entries, an object {key: entry}, or {"tracks": either of them}.
 
-    Blank and "none" texts are null; entries without a key are dropped.
+    A listed entry is found by its sha256 and by its track_id, if it has both by either; in an object, a key of
+    64 hexadecimal digits is a content hash (in lower case) and any other an id. Blank and "none" texts are null;
+    entries without title and artist, and what is no object, are dropped. Of repeated keys the last counts.
     """
-    entry = "struct<key:string,track_id:string,sha256:string,title:string,artist:string>"
-    text = spark.read.option("wholetext", "true").text(path)
-    listed, tracks = F.from_json("value", f"array<{entry}>"), F.from_json("value", f"struct<tracks:array<{entry}>>")["tracks"]
-    rows = text.select(F.explode(F.when(F.ltrim("value").startswith("{"), tracks).otherwise(listed)).alias("e"))
-    key = F.coalesce("e.sha256", "e.track_id", "e.key")
+    about = "title:string,artist:string"
+    text = spark.read.text(path, wholetext=True)
+    inner = F.coalesce(F.get_json_object("value", "$.tracks"), F.col("value"))
+    rows = text.select(F.ltrim(inner).alias("v"))
     clean = lambda c: F.when(~F.lower(F.trim(c)).isin("", "none"), F.trim(c))
-    return rows.where(key.isNotNull()).select(F.when(version(key).isNotNull(), "sha256").otherwise("track_id").alias("key_kind"), F.coalesce(version(key), key).alias("key"), clean(F.col("e.title")).alias("title"), clean(F.col("e.artist")).alias("artist"))
+    listed = rows.where(F.col("v").startswith("[")).select(F.posexplode(F.from_json("v", f"array<struct<track_id:string,sha256:string,{about}>>")).alias("place", "e"))
+    keys = F.array(F.struct(F.lit("sha256").alias("key_kind"), clean(F.col("e.sha256")).alias("key")), F.struct(F.lit("track_id").alias("key_kind"), clean(F.col("e.track_id")).alias("key")))
+    a = listed.select("place", F.explode(keys).alias("k"), "e.title", "e.artist").select("place", "k.key_kind", "k.key", "title", "artist")
+    mapped = rows.where(F.col("v").startswith("{")).select(F.posexplode(F.map_entries(F.from_json("v", f"map<string,struct<{about}>>"))).alias("place", "m"))
+    b = mapped.select("place", F.when(version(F.col("m.key")).isNotNull(), "sha256").otherwise("track_id").alias("key_kind"), F.coalesce(version(F.col("m.key")), F.col("m.key")).alias("key"), "m.value.title", "m.value.artist")
+    both = a.unionByName(b).select("place", "key_kind", "key", clean(F.col("title")).alias("title"), clean(F.col("artist")).alias("artist"))
+    both = both.where("key IS NOT NULL AND (title IS NOT NULL OR artist IS NOT NULL)")
+    return both.groupBy("key_kind", "key").agg(F.max_by(F.struct("title", "artist"), "place").alias("t")).select("key_kind", "key", "t.title", "t.artist")
 
 
 def members(spark: SparkSession, root: str) -> DataFrame:
