@@ -56,16 +56,17 @@ def sidecar(spark: SparkSession, path: str) -> DataFrame:
     64 hexadecimal digits is a content hash (in lower case) and any other an id. Blank and "none" texts are null;
     entries without title and artist, and what is no object, are dropped. Of repeated keys the last counts.
     """
-    about = "title:string,artist:string"
+    entry = "struct<track_id:string,sha256:string,title:string,artist:string>"
     text = spark.read.text(path, wholetext=True)
-    inner = F.coalesce(F.get_json_object("value", "$.tracks"), F.col("value"))
-    rows = text.select(F.ltrim(inner).alias("v"))
+    rows = text.select(F.ltrim(F.coalesce(F.get_json_object("value", "$.tracks"), F.col("value"))).alias("v"))
     clean = lambda c: F.when(~F.lower(F.trim(c)).isin("", "none"), F.trim(c))
-    listed = rows.where(F.col("v").startswith("[")).select(F.posexplode(F.from_json("v", f"array<struct<track_id:string,sha256:string,{about}>>")).alias("place", "e"))
+    # each entry on its own: what is no object is null and drops out
+    parsed = lambda c: F.when(F.ltrim(c).startswith("{"), F.from_json(c, entry))
+    listed = rows.where(F.col("v").startswith("[")).select(F.posexplode(F.from_json("v", "array<string>")).alias("place", "x")).select("place", parsed(F.col("x")).alias("e"))
     keys = F.array(F.struct(F.lit("sha256").alias("key_kind"), clean(F.col("e.sha256")).alias("key")), F.struct(F.lit("track_id").alias("key_kind"), clean(F.col("e.track_id")).alias("key")))
     a = listed.select("place", F.explode(keys).alias("k"), "e.title", "e.artist").select("place", "k.key_kind", "k.key", "title", "artist")
-    mapped = rows.where(F.col("v").startswith("{")).select(F.posexplode(F.map_entries(F.from_json("v", f"map<string,struct<{about}>>"))).alias("place", "m"))
-    b = mapped.select("place", F.when(version(F.col("m.key")).isNotNull(), "sha256").otherwise("track_id").alias("key_kind"), F.coalesce(version(F.col("m.key")), F.col("m.key")).alias("key"), "m.value.title", "m.value.artist")
+    mapped = rows.where(F.col("v").startswith("{")).select(F.posexplode(F.map_entries(F.from_json("v", "map<string,string>"))).alias("place", "m")).select("place", "m.key", parsed(F.col("m.value")).alias("e"))
+    b = mapped.select("place", F.when(version(F.col("key")).isNotNull(), "sha256").otherwise("track_id").alias("key_kind"), F.coalesce(version(F.col("key")), F.col("key")).alias("key"), "e.title", "e.artist")
     both = a.unionByName(b).select("place", "key_kind", "key", clean(F.col("title")).alias("title"), clean(F.col("artist")).alias("artist"))
     both = both.where("key IS NOT NULL AND (title IS NOT NULL OR artist IS NOT NULL)")
     return both.groupBy("key_kind", "key").agg(F.max_by(F.struct("title", "artist"), "place").alias("t")).select("key_kind", "key", "t.title", "t.artist")
