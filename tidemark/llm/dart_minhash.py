@@ -8,36 +8,41 @@ the probability of their weighted Jaccard similarity. Bands of coordinates propo
 proposed pair that can matter is compared exactly.
 
 Pairs are never emitted for a whole bucket. First each text meets one pivot of its bucket, which
-joins tight groups at a cost in proportion to their size. Then only members of different components
-meet, and only those whose sketches (a few bits of each coordinate) allow the similarity; this is
-tested inside the join. Pairs with like sketches go first, so that most others are found to be
-connected already. A pair at the similarity asked for fails the sketch test with probability
-below 1e-5. No bucket is gathered in one task.
+joins tight groups at a cost in proportion to their size. Buckets that still hold texts of different
+components are then gone through by Python workers, in blocks of bounded size (a large bucket becomes
+pairs of blocks): texts of different components whose sketches allow the similarity are compared
+exactly, in the first band in which they meet, and only links that join components leave the
+worker, fewer than a block pair has members. A pair at the similarity asked for fails the sketch
+test with probability below 1e-5. No bucket is gathered in one task.
 """
 
 from __future__ import annotations
 
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoGenerationCache, checkpointed, chunks, hash_strings, mix64, shared_dir
+from .common import batchwise, checkpointed, chunks, mix64, shared_dir, spread, word_hashes
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: 24 bands of 4: a pair at similarity 0.8 is missed with probability (1 - 0.8^4)^24, about 3e-6.
 BANDS, BAND_ROWS = 24, 4
 COORDINATES = BANDS * BAND_ROWS
-#: The lowest rank region is [0, 2^-LOWEST); then they double up to 1, then have width 1.
-LOWEST = 12
-CACHE_WORDS = 150_000
+#: Rank regions end here, and then double.
+RANK_ENDS = (2.0**-6, 2.0**-3, 0.5, 1.0)
 #: Bits that a sketch keeps of each coordinate.
 SKETCH_BITS = 4
+#: Standard deviations below its expected agreements at which a pair is not compared.
+SIGMAS = 4.7
 #: Shingles that a comparing task remembers.
-HELD_SHINGLES = 3_000_000
-_WORDS = TwoGenerationCache(hash_strings, CACHE_WORDS)
+HELD_SHINGLES = 1_000_000
+#: Members and shingles of one block of a bucket, on average.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Bytes of a block pair's bitmaps; where they would be larger, pairs are compared one by one.
+BITMAP_BYTES = 64 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,19 +52,33 @@ def shingles(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     Words are runs of non-space; a text of fewer than five words has one shingle of all of them; one
     without words has none.
     """
-    words = [t.split() for t in texts]
-    known = _WORDS.values(set(chain.from_iterable(words)))
-    out = []
-    for ws in words:
-        w = np.array([known[x] for x in ws], np.uint64)
-        n = max(1, len(w) - SHINGLE_WORDS + 1)
-        h = np.zeros(n if len(w) else 0, np.uint64)
-        for i in range(min(len(w), SHINGLE_WORDS)):
-            h = mix64(h * _MULT + w[i : i + n])
-        out.append(np.unique(h, return_counts=True))
+    w, counts = word_hashes(texts)
+    h = np.zeros(max(0, len(w) - SHINGLE_WORDS + 1), np.uint64)
+    for i in range(SHINGLE_WORDS):
+        h = h * _MULT + w[i : i + len(h)]
+    h = mix64(h)
+    out, at = [], 0
+    for n in counts.tolist():
+        if n >= SHINGLE_WORDS:
+            out.append(_counted(h[at : at + n - SHINGLE_WORDS + 1]))
+        elif n:
+            one = np.zeros(1, np.uint64)
+            for x in w[at : at + n]:
+                one = one * _MULT + x
+            out.append((mix64(one), np.ones(1, np.int64)))
+        else:
+            out.append((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+        at += n
     return out
 
 
+def _counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in ascending order, and their counts."""
+    h = np.sort(h)
+    head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return (h, np.ones(len(h), np.int64)) if len(head) == len(h) else (h[head], np.diff(head, append=len(h)))
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard: sum of minima over sum of maxima; 0 if either is empty."""
     if not len(a[0]) or not len(b[0]):
@@ -70,61 +89,55 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(both / (a[1].sum() + b[1].sum() - both))
 
 
-def _uniform(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
+@lru_cache(maxsize=4096)
+def _poisson(area: float) -> np.ndarray:
+    """Distribution function of the number of darts in a region, as thresholds of 64-bit hashes."""
+    j = np.arange(int(area + 12 * area**0.5 + 24))
+    total = np.cumsum(np.exp(j * np.log(area) - area - np.concatenate([[0.0], np.cumsum(np.log(j[1:]))])))
+    return np.minimum(total * 2.0**64, 2.0**64 - 2048).astype(np.uint64)
 
 
 def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, k: int = COORDINATES) -> np.ndarray:
-    """n x k signature (uint64) of n documents with at least one element each; elements sorted by document."""
-    best = np.zeros((n, k), np.uint64)
-    filled = np.zeros((n, k), bool)
-    doc, element, weight = np.asarray(doc), np.asarray(element, np.uint64), np.asarray(weight, np.float64)
-    level = 0
+    """n x k signature (uint64) of n documents with at least one element each; elements sorted by document.
+
+    A dart's hash is its identity, its rank within its region and, by the low 32 bits, its coordinate;
+    so the least hash of a coordinate is the dart of least rank.
+    """
+    doc, element, weight = np.asarray(doc, np.int64), np.asarray(element, np.uint64), np.asarray(weight, np.float64)
+    best, filled = np.zeros(n * k, np.uint64), np.zeros(n * k, bool)
+    none, low = np.uint64(2**64 - 1), np.uint64(0xFFFFFFFF)
+    level, lo = 0, 0.0
     with np.errstate(over="ignore"):
         while len(doc):
-            lo = 0.0 if level == 0 else 2.0 ** (level - 1 - LOWEST) if level <= LOWEST else float(level - LOWEST)
-            hi = 2.0 ** (level - LOWEST) if level <= LOWEST else lo + 1
-            found = []
-            part, w_lo, w_hi = np.arange(len(doc)), 0.0, 1.0
-            while len(part):  # weight regions [0,1), [1,2), [2,4), ...
-                area = (w_hi - w_lo) * (hi - lo)
-                region = np.uint64((level << 40) + int(w_hi))
-                h = mix64(element[part] + region * _MULT)
-                u = _uniform(h)
-                # Poisson number of darts by inversion
-                term = total = float(np.exp(-area))
-                some = np.flatnonzero(u > total)
-                j = 0
-                while len(some):
-                    at = part[some]
-                    g = mix64(h[some] ^ np.uint64(j + 1) * np.uint64(0xD1B54A32D192ED03))
-                    pos, rank = w_lo + (w_hi - w_lo) * _uniform(mix64(g + np.uint64(1))), lo + (hi - lo) * _uniform(mix64(g + np.uint64(2)))
-                    own = pos < weight[at]
-                    found.append((doc[at][own], (mix64(g + np.uint64(3)) % np.uint64(k)).astype(np.int64)[own], rank[own], g[own]))
-                    j += 1
-                    term *= area / j
-                    total += term
-                    if term < 1e-18 and j > area:
-                        break
-                    some = some[u[some] > total]
+            hi = RANK_ENDS[level] if level < len(RANK_ENDS) else lo * 2
+            least = np.full(n * k, none)
+            part, w_lo, w_hi = slice(None), 0.0, 1.0
+            while True:  # weight regions [0,1), [1,2), [2,4), ...
+                e, d, w = element[part], doc[part], weight[part]
+                if not len(e):
+                    break
+                until = _poisson((w_hi - w_lo) * (hi - lo))
+                h = e * (mix64(np.array([(level << 40) + int(w_hi)], np.uint64) * _MULT) | np.uint64(1))
+                some = np.flatnonzero(h >= until[0])
+                h = h[some]
+                count = np.searchsorted(until, h, side="right")
+                h, some = np.repeat(h, count), np.repeat(some, count)
+                j = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
+                h = mix64(h ^ (j + 1).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+                if (w < w_hi).any():  # some own a part of the region only
+                    own = w_lo + (w_hi - w_lo) * (mix64(h + np.uint64(1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < w[some]
+                    h, some = h[own], some[own]
+                np.minimum.at(least, d[some] * k + ((h & low) * np.uint64(k) >> np.uint64(32)).astype(np.int64), h)
                 w_lo, w_hi = w_hi, w_hi * 2
-                part = part[weight[part] > w_lo]
-            if found:
-                d, c, r, g = (np.concatenate(x) for x in zip(*found, strict=True))
-                order = np.lexsort((g, r, c, d))
-                d, c, g = d[order], c[order], g[order]
-                first = np.ones(len(d), bool)
-                first[1:] = (d[1:] != d[:-1]) | (c[1:] != c[:-1])
-                d, c, g = d[first], c[first], g[first]
-                new = ~filled[d, c]  # earlier regions have lower ranks
-                best[d[new], c[new]] = g[new]
-                filled[d[new], c[new]] = True
-            open_ = ~filled.all(axis=1)
-            keep = open_[doc]
+                part = np.flatnonzero(weight > w_lo)
+            new = ~filled & (least != none)  # earlier regions have lower ranks
+            best[new] = least[new]
+            filled |= new
+            keep = ~filled.reshape(n, k).all(axis=1)[doc]
             if not keep.all():
                 doc, element, weight = doc[keep], element[keep], weight[keep]
-            level += 1
-    return best
+            level, lo = level + 1, hi
+    return best.reshape(n, k)
 
 
 def bands(sigs: np.ndarray) -> np.ndarray:
@@ -167,30 +180,35 @@ def text_id(text: str) -> Column:
 
 
 def band_table(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, tid, bands, sketch) for each row; tid its text_id, bands and sketch null for a text without words."""
+    """(key, tid, bands, sketch, size) for each row; tid its text_id, size its shingles; bands and sketch null for a text without words."""
 
     def run(batches):
         import pyarrow as pa
 
+        def lists(some: np.ndarray, rows: np.ndarray, n: int):
+            """One list for each of n texts, null where there is no row."""
+            has = np.zeros(n, bool)
+            has[some] = True
+            ends = np.concatenate([[0], np.cumsum(has) * rows.shape[1]]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.reshape(-1), pa.int64()), mask=pa.array(~has))
+
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for at in chunks(texts, 500_000):
                 sets = shingles(texts[at])
-                some = [i for i, (h, _) in enumerate(sets) if len(h)]
-                keys: list = [None] * len(sets)
-                short: list = [None] * len(sets)
-                if some:
-                    size = [len(sets[i][0]) for i in some]
-                    sig = signatures(np.repeat(np.arange(len(some)), size), np.concatenate([sets[i][0] for i in some]), np.concatenate([sets[i][1] for i in some]), len(some))
-                    for i, row, sk in zip(some, bands(sig), sketches(sig), strict=True):
-                        keys[i], short[i] = row, sk
+                size = np.array([len(h) for h, _ in sets], np.int64)
+                some = np.flatnonzero(size)
+                sig = np.zeros((0, COORDINATES), np.uint64)
+                if len(some):
+                    sig = signatures(np.repeat(np.arange(len(some)), size[some]), np.concatenate([h for h, _ in sets]), np.concatenate([n for _, n in sets]), len(some))
+                total = np.array([n.sum() for _, n in sets], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at.start, at.stop - at.start), batch.column(2).slice(at.start, at.stop - at.start), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.list_(pa.int64()))],
-                    names=["k", "tid", "bands", "sketch"],
+                    [*(batch.column(c).slice(at.start, at.stop - at.start) for c in (0, 2)), lists(some, bands(sig), len(sets)), lists(some, sketches(sig), len(sets)), pa.array(total)],
+                    names=["k", "tid", "bands", "sketch", "size"],
                 )
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"), text_id(text).alias("tid"))
-    return rows.mapInArrow(run, "k bigint, tid binary, bands array<bigint>, sketch array<bigint>")
+    rows = spread(docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))).select("k", "t", text_id("t").alias("tid"))
+    return rows.transform(batchwise(run, "k bigint, tid binary, bands array<bigint>, sketch array<bigint>, size bigint"))
 
 
 def _packed(docs: DataFrame, text: str) -> DataFrame:
@@ -207,7 +225,7 @@ def _packed(docs: DataFrame, text: str) -> DataFrame:
                 texts = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(list(texts), pa.binary()), pa.array([press((t or "").encode()) for t in texts.values()], pa.binary())], names=["tid", "z"])
 
-    return docs.select(text_id(text).alias("tid"), F.col(text).cast("string").alias("t")).mapInArrow(run, "tid binary, z binary")
+    return docs.select(text_id(text).alias("tid"), F.col(text).cast("string").alias("t")).transform(batchwise(run, "tid binary, z binary"))
 
 
 def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -240,7 +258,130 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     left = pairs.join(texts.select(F.col("tid").alias("a"), F.col("z").alias("za")), "a")
     both = left.join(texts.select(F.col("tid").alias("b"), F.col("z").alias("zb")), "b")
-    return both.select("a", "b", "za", "zb").mapInArrow(run, "a binary, b binary, j double")
+    return both.select("a", "b", "za", "zb").transform(batchwise(run, "a binary, b binary, j double"))
+
+
+class _Block:
+    """Members of one bucket (side -1), or of two blocks of it, and what is known of their components."""
+
+    def __init__(self, band: int, side: np.ndarray, label: list[bytes], sketch: np.ndarray, tags: np.ndarray, sets: list[tuple[np.ndarray, np.ndarray]]):
+        self.side, self.sketch, self.tags, self.band = side, sketch, tags.view(np.uint32).reshape(len(tags), -1), band
+        names = {x: i for i, x in enumerate(dict.fromkeys(label))}
+        self.names, self.root = list(names), np.array([names[x] for x in label])
+        self.sets, self.size = sets, np.array([n.sum() for _, n in sets], np.int64)
+        self.bits = self._bitmaps()
+
+    def _bitmaps(self) -> np.ndarray | None:
+        """For each member, which of the shingles it has that several members have (the n-th of equal ones is one of its own)."""
+        owner = np.repeat(np.arange(len(self.sets)), self.size)
+        rest = []
+        for h, n in self.sets:
+            if len(h) < n.sum():
+                which = np.repeat(np.arange(len(h)), n)
+                nth = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                h = np.where(nth > 0, mix64(h[which] + nth.astype(np.uint64) * _MULT), h[which])
+            rest.append(h)
+        _, place, count = np.unique(np.concatenate(rest), return_inverse=True, return_counts=True)
+        shared = count > 1
+        words = -(-int(shared.sum()) // 64)
+        if len(self.sets) * words * 8 > BITMAP_BYTES:
+            return None
+        column = (np.cumsum(shared) - 1)[place]
+        some = shared[place]
+        bits = np.zeros((len(self.sets), max(1, words)), np.uint64)
+        np.bitwise_or.at(bits.reshape(-1), owner[some] * bits.shape[1] + (column[some] >> 6), np.uint64(1) << (column[some] & 63).astype(np.uint64))
+        return bits
+
+    def similarities(self, i: int, js: np.ndarray) -> np.ndarray:
+        if self.bits is None:
+            return np.array([similarity(self.sets[i], self.sets[j]) for j in js])
+        out = np.empty(len(js))
+        step = max(1, (8 << 20) // self.bits.shape[1] // 8)
+        for lo in range(0, len(js), step):
+            at = js[lo : lo + step]
+            both = np.bitwise_count(self.bits[at] & self.bits[i]).sum(axis=1, dtype=np.int64)
+            out[lo : lo + step] = both / (self.size[i] + self.size[at] - both)
+        return out
+
+    def links(self, threshold: float, least: int) -> list[tuple[bytes, bytes]]:
+        """Labels that pairs at the threshold join; never more than there are labels less one."""
+        out, m = [], len(self.root)
+        each = np.uint64(0x1111111111111111)
+        # the most typical member first: it joins most of a group of copies
+        typical = np.packbits(np.unpackbits(self.sketch.view(np.uint8), axis=1).mean(axis=0) > 0.5).view(np.uint64)
+        far = self._differ(typical[None, :], self.sketch, each)
+        order, within = np.argsort(far, kind="stable"), (self.side < 0).all()
+        for step, i in enumerate(order[:-1]):
+            js = order[step + 1 :]
+            js = js[(self.root[js] != self.root[i]) & (within | (self.side[js] != self.side[i]))]
+            if not len(js):
+                continue
+            js = js[COORDINATES - self._differ(self.sketch[i][None, :], self.sketch[js], each) >= least]
+            if not len(js):
+                continue
+            js = js[(self.tags[js] == self.tags[i]).argmax(axis=1) == self.band]
+            for j in js[self.similarities(i, js) >= threshold] if len(js) else ():
+                a, b = self.root[i], self.root[j]
+                if a != b:
+                    out.append((self.names[a], self.names[b]))
+                    self.root[self.root == b] = a
+        assert len(out) < m
+        return out
+
+    @staticmethod
+    def _differ(a: np.ndarray, b: np.ndarray, each: np.uint64) -> np.ndarray:
+        """Coordinates whose sketches differ."""
+        x = a ^ b
+        x |= x >> np.uint64(2)
+        x |= x >> np.uint64(1)
+        return np.bitwise_count(x & each).sum(axis=1, dtype=np.int64)
+
+
+def block_links(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): labels to join, from rows (band, bucket, lo, hi, side, label, z, s0.., t0..) sorted by (band, bucket, lo, hi).
+
+    lo and hi are two blocks of a bucket (or one), side the member's own.
+    """
+    words, tags = COORDINATES * SKETCH_BITS // 64, BANDS // 2
+    least = least_agreements(threshold, SIGMAS)
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        now, held = None, []
+
+        def close():
+            side, label, z, numbers = ([x for h in held for x in h[0]], [x for h in held for x in h[1]], [x for h in held for x in h[2]], np.concatenate([h[3] for h in held]))
+            if len(set(label)) < 2:
+                return [], []
+            sets = []
+            for lo in range(0, len(z), 256):
+                sets += shingles([unpack(x).decode() for x in z[lo : lo + 256]])
+            side = np.array(side) if now[2] != now[3] else np.full(len(side), -1)
+            found = _Block(now[0], side, label, np.ascontiguousarray(numbers[:, :words]), np.ascontiguousarray(numbers[:, words:]), sets).links(threshold, least)
+            return [a for a, _ in found], [b for _, b in found]
+
+        for batch in batches:
+            keys = np.column_stack([batch.column(c).to_numpy() for c in range(4)])
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            numbers = np.column_stack([batch.column(c).to_numpy() for c in range(7, 7 + words + tags)]).astype(np.int64).view(np.uint64)
+            out: tuple[list, list] = ([], [])
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                key = tuple(keys[lo].tolist())
+                if key != now and held:
+                    for x, y in zip(out, close(), strict=True):
+                        x += y
+                    held = []
+                now = key
+                part = batch.slice(lo, hi - lo)
+                held.append((part.column(4).to_pylist(), part.column(5).to_pylist(), part.column(6).to_pylist(), numbers[lo:hi]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["a", "b"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in close()], names=["a", "b"])
+
+    return rows.transform(batchwise(run, "a binary, b binary"))
 
 
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -294,14 +435,14 @@ def labelled(docs: DataFrame, key: str, text: str, threshold: float) -> DataFram
     band_table(docs, key, text).write.parquet(path)
     stored = spark.read.parquet(path)
     words, tags = range(COORDINATES * SKETCH_BITS // 64), range(BANDS // 2)
-    distinct = stored.where("bands IS NOT NULL").groupBy("tid").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    keyed = distinct.select("tid", *(F.col("sketch")[i].alias(f"s{i}") for i in words), F.posexplode("bands").alias("band", "bucket"))
+    distinct = stored.where("bands IS NOT NULL").groupBy("tid").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("size").alias("size"))
+    keyed = distinct.select("tid", "size", *(F.col("sketch")[i].alias(f"s{i}") for i in words), F.posexplode("bands").alias("band", "bucket"))
     one = F.struct("tid", *(f"s{i}" for i in words))
     pivots = keyed.groupBy("band", "bucket").agg(F.min(one).alias("p"), F.max("tid").alias("last")).where("p.tid != last").select("band", "bucket", F.col("p.tid").alias("pivot"), *(F.col(f"p.s{i}").alias(f"p{i}") for i in words))
     members_path = shared_dir(spark, "dart-members")
     # Only buckets that hold two texts or more.
-    near = agreements("s", "p") >= least_agreements(threshold, 4.7)
-    keyed.join(pivots, ["band", "bucket"]).select("band", "bucket", "tid", F.when(near & (F.col("tid") != F.col("pivot")), F.col("pivot")).alias("pivot")).write.parquet(members_path)
+    near = agreements("s", "p") >= least_agreements(threshold, SIGMAS)
+    keyed.join(pivots, ["band", "bucket"]).select("band", "bucket", "tid", "size", F.when(near & (F.col("tid") != F.col("pivot")), F.col("pivot")).alias("pivot")).write.parquet(members_path)
     members = spark.read.parquet(members_path)
     nodes_path = shared_dir(spark, "dart-nodes")
     # 32 bits of each band, two to a word, tell in which band a pair meets first.
@@ -320,20 +461,14 @@ def labelled(docs: DataFrame, key: str, text: str, threshold: float) -> DataFram
         return components(labels, found.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
 
     labels = joined(nodes.select("tid", F.col("tid").alias("label")), members.where("pivot IS NOT NULL").select(F.col("tid").alias("a"), F.col("pivot").alias("b")).distinct())
-    for sigmas in (0.5, 4.7):
-        rated = members.select("band", "bucket", "tid").join(labels, "tid")
-        mixed = rated.groupBy("band", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band", "bucket")
-        rated = checkpointed(rated.join(mixed, ["band", "bucket"], "left_semi").join(nodes, "tid"))
-        left = rated.select("band", "bucket", F.col("tid").alias("a"), F.col("label").alias("la"), *(F.col(f"s{i}").alias(f"a{i}") for i in words), *(F.col(f"t{i}").alias(f"x{i}") for i in tags))
-        right = rated.select("band", "bucket", F.col("tid").alias("b"), F.col("label").alias("lb"), *(F.col(f"s{i}").alias(f"b{i}") for i in words), *(F.col(f"t{i}").alias(f"y{i}") for i in tags))
-        differ = lambda i: F.col(f"x{i // 2}").bitwiseXOR(F.col(f"y{i // 2}")).bitwiseAND(F.lit(0xFFFFFFFF if i % 2 == 0 else -(1 << 32))) != 0
-        first = F.lit(True)
-        for i in range(BANDS - 1):
-            first = first & ((left["band"] <= i) | differ(i))
-        may = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (agreements("a", "b") >= least_agreements(threshold, sigmas)) & first
-        same = (left["band"] == right["band"]) & (left["bucket"] == right["bucket"])
-        pairs = checkpointed(left.join(right, same & may).select("a", "b").distinct())
-        if not pairs.isEmpty():
-            labels = joined(labels, pairs)
-
+    rated = members.select("band", "bucket", "tid", "size").join(labels, "tid")
+    mixed = rated.groupBy("band", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).where("lo != hi")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_MEMBERS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    rated = rated.join(mixed.select("band", "bucket", blocks.alias("blocks")), ["band", "bucket"]).join(nodes, "tid").join(texts, "tid")
+    side = F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")
+    rated = rated.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    numbers = [F.col(f"s{i}") for i in words] + [F.col(f"t{i}") for i in tags]
+    rated = rated.select(F.col("band").cast("long"), "bucket", F.least("side", "other").cast("long").alias("lo"), F.greatest("side", "other").cast("long").alias("hi"), "side", "label", "z", *numbers)
+    rated = rated.repartition("band", "bucket", "lo", "hi").sortWithinPartitions("band", "bucket", "lo", "hi")
+    labels = components(labels, block_links(rated, threshold))
     return stored.select("k", "tid").join(labels.withColumnRenamed("tid", "n"), F.col("tid") == F.col("n"), "left").select("k", "tid", F.coalesce("label", "tid").alias("label"))
