@@ -13,13 +13,12 @@ from __future__ import annotations
 
 import re
 import struct
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import TwoGenerationCache, chunks, order_plan, packed_in_order, shared_dir
+from .common import Runs, batchwise, chunks, order_plan, packed_in_order, shared_dir, sliced, span_hashes, word_spans
 
 CHUNK_BITS = 8
 #: Bits of a bitmap between two entries of its rank directory: one machine word.
@@ -28,10 +27,12 @@ RANK_BLOCK = 64
 SEGMENT_TOKENS = 500_000
 MAGIC = b"DAC1"
 END_ID = 1
-#: Units that a Python worker remembers in each of two generations.
-CACHE_UNITS = 250_000
+#: Units that a Python worker remembers.
+CACHE_UNITS = 400_000
 #: Units that the library gets at once; its objects are large.
-ENCODE_UNITS = 8192
+ENCODE_UNITS = 4096
+#: Characters of texts that are encoded together (a longer text alone).
+CHUNK = 1 << 20
 #: Plain words that the library gets as one text.
 LINE_WORDS = 128
 
@@ -118,35 +119,59 @@ def default_tokenizer() -> str:
 
 
 #: Latin-1 letters in lower case; composition leaves them alone.
-_PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
+_LETTERS = "a-zß-öø-ÿ"
+_PLAIN = re.compile(f"[{_LETTERS}]+")
+_LETTER = np.array([_PLAIN.fullmatch(chr(c)) is not None for c in range(256)])
 #: ASCII punctuation after such a letter and before white space: a token run of its own.
-_TAIL = re.compile(r"(?<=[a-zß-öø-ÿ])([.,!?%&*#$;:]+)(?!\S)")
+_TAIL = np.array([chr(c) in ".,!?%&*#$;:" for c in range(256)])
+#: Characters that only Python takes for white space.
+_CONTROL = re.compile("[\x1c-\x1f]")
 
 
-def units_of(text: str) -> list[str]:
-    """Strings that the tokenizer encodes alone as it does within the text.
+def units_of(text: str) -> tuple[str, np.ndarray, np.ndarray]:
+    """A text (put in lower case where that is safe), and the starts and ends of its units.
 
-    It drops white space, and neither its normaliser nor its patterns look across. Latin-1 texts are
+    A unit is a string that the tokenizer encodes alone as it does within the text: it drops white
+    space, and neither its normaliser nor its patterns look across. Latin-1 texts are
     put in lower case first (a letter's lower case depends on nothing around it there) and lose
     punctuation from word ends to units of its own, so that there are fewer different units. Texts
     with special tokens' openings keep their case; control characters that only Python takes for
-    white space keep the text whole.
+    white space keep the text whole. Texts that are alike in this may be joined by spaces.
     """
-    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-        return [text]
+    kind = _kind(text)
+    if kind == "whole":
+        return text, np.zeros(1, np.int64), np.full(1, len(text))
+    if kind == "words":
+        return text, *word_spans(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+    text = text.lower()
+    codes = np.frombuffer(text.encode("latin-1"), np.uint8)
+    start, stop = word_spans(codes)
+    if not len(start):
+        return text, start, stop
+    # the last character of each word that is no such punctuation
+    last = np.maximum.accumulate(np.where(_TAIL[codes], -1, np.arange(len(codes))))[stop - 1]
+    cut = np.flatnonzero((last >= start) & (last < stop - 1) & _LETTER[codes[np.maximum(last, 0)]]) if len(start) else start
+    start = np.insert(start, cut + 1, last[cut] + 1)
+    stop = np.insert(stop, cut, last[cut] + 1)
+    return text, start, stop
+
+
+def _kind(text: str) -> str:
+    if _CONTROL.search(text):
+        return "whole"
     if "<|" not in text:
         try:
             text.encode("latin-1")
+            return "latin"
         except UnicodeEncodeError:
-            return text.split()
-        text = _TAIL.sub(r" \1", text.lower())
-    return text.split()
+            pass
+    return "words"
 
 
-_WORKER: dict[str, TwoGenerationCache] = {}
+_WORKER: dict[str, Runs] = {}
 
 
-def _worker(path: str) -> TwoGenerationCache:
+def _worker(path: str) -> Runs:
     if path not in _WORKER:
         import os
 
@@ -182,15 +207,39 @@ def _worker(path: str) -> TwoGenerationCache:
                 out.update(zip(rest, each(rest), strict=True))
             return [out[u] for u in units]
 
-        _WORKER[path] = TwoGenerationCache(make, CACHE_UNITS)
+        _WORKER[path] = Runs(make, "<u4", CACHE_UNITS)
     return _WORKER[path]
 
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """The library's ids of each whole text, as little-endian unsigned 32-bit integers."""
-    words = [units_of(t) for t in texts]
-    known = _worker(path).values(set(chain.from_iterable(words)))
-    return [b"".join([known[w] for w in ws]) for ws in words]
+def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The library's ids of all whole texts in order (unsigned 32-bit), and how many each has.
+
+    Each different unit is encoded (or remembered) once.
+    """
+    counts, found = np.zeros(len(texts), np.int64), []
+    kinds = [_kind(t) for t in texts]
+    for kind in ("latin", "words", "whole"):
+        mine = [i for i, k in enumerate(kinds) if k == kind]
+        for at in chunks([texts[i] for i in mine], CHUNK if kind != "whole" else 0):
+            own = np.array(mine[at])
+            text, start, stop = units_of(" ".join([texts[i] for i in own]))
+            if not len(start):
+                continue
+            codes = np.frombuffer(text.encode("latin-1"), np.uint8) if kind == "latin" else np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            known = _worker(path)
+            ids, ends = known.gather(known.places(span_hashes(codes, start, stop), sliced(text, start, stop)))
+            # units of each text: spans that start before its end
+            last = np.searchsorted(start, np.cumsum([len(texts[i]) + 1 for i in own]))
+            total = np.concatenate([[0], ends])[last]
+            counts[own] = np.diff(total, prepend=0)
+            found.append((own, ids))
+    if len(found) == 1 and len(found[0][0]) == len(texts):
+        return found[0][1], counts
+    out, ends = np.zeros(counts.sum(), np.uint32), np.cumsum(counts)
+    for own, ids in found:
+        size = counts[own]
+        out[np.arange(size.sum()) - np.repeat(np.cumsum(size) - ends[own], size)] = ids
+    return out, counts
 
 
 def write(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> None:
@@ -207,35 +256,36 @@ def write(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", tok
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        end = np.array([end_id], "<u4").tobytes()
-        bucket, seg, ids, blobs, total = None, 0, [], [], 0
+        end = np.array([end_id], np.uint32)
+        bucket, seg, ids, parts, total = None, 0, [], [], 0
 
         def close():
-            code = DirectCodes.encode(np.frombuffer(b"".join(blobs), "<u4")).to_bytes()
+            code = DirectCodes.encode(np.concatenate(parts)).to_bytes()
             return pa.RecordBatch.from_arrays(
-                [pa.array([bucket], pa.int32()), pa.array([seg], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(b) // 4 for b in blobs]], pa.list_(pa.int64())), pa.array([code], pa.binary())],
+                [pa.array([bucket], pa.int32()), pa.array([seg], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(p) for p in parts]], pa.list_(pa.int64())), pa.array([code], pa.binary())],
                 names=["bucket", "seg", "doc_ids", "n_tokens", "code"],
             )
 
         for batch in (whole.slice(lo, 512) for whole in batches for lo in range(0, whole.num_rows, 512)):
             bs, ks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             texts = [unpack(z).decode() for z in batch.column(3).to_pylist()]
-            for at in chunks(texts):
-                for b, k, got in zip(bs[at], ks[at], encode_texts(texts[at], tok), strict=True):
-                    if blobs and (b != bucket or total >= SEGMENT_TOKENS):
+            for at in chunks(texts, CHUNK):
+                got, counts = encode_texts(texts[at], tok)
+                for b, k, own in zip(bs[at], ks[at], np.split(got, np.cumsum(counts)[:-1]), strict=True):
+                    if parts and (b != bucket or total >= SEGMENT_TOKENS):
                         yield close()
-                        ids, blobs, total, seg = [], [], 0, seg + 1 if b == bucket else 0
-                    elif not blobs:
+                        ids, parts, total, seg = [], [], 0, seg + 1 if b == bucket else 0
+                    elif not parts:
                         seg = 0
                     bucket = b
                     ids.append(k)
-                    blobs.append(got + end)
-                    total += len(got) // 4 + 1
-        if blobs:
+                    parts.append(np.append(own, end))
+                    total += len(own) + 1
+        if parts:
             yield close()
 
     rows = packed_in_order(df, key, text, plan)
-    rows.mapInArrow(run, "bucket int, seg int, doc_ids array<bigint>, n_tokens array<bigint>, code binary").write.parquet(path)
+    rows.transform(batchwise(run, "bucket int, seg int, doc_ids array<bigint>, n_tokens array<bigint>, code binary")).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
@@ -271,7 +321,7 @@ def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     totals = stored.select("bucket", "seg", F.expr("aggregate(n_tokens, 0L, (a, x) -> a + x)").alias("n"))
     # A row for each segment of half a million tokens: few enough for one running sum.
     before = totals.select("bucket", "seg", (F.sum("n").over(Window.orderBy("bucket", "seg")) - F.col("n")).alias("before"))
-    docs = stored.select("bucket", "seg", "doc_ids", "n_tokens", "code").mapInArrow(run, "bucket int, seg int, k bigint, inside bigint, n_tokens bigint, ids_crc32 bigint")
+    docs = stored.select("bucket", "seg", "doc_ids", "n_tokens", "code").transform(batchwise(run, "bucket int, seg int, k bigint, inside bigint, n_tokens bigint, ids_crc32 bigint"))
     return docs.join(before, ["bucket", "seg"]).select(F.col("k").alias(key), (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
