@@ -48,6 +48,41 @@ class DecisionConfig:
         return self
 
 
+@dataclass(frozen=True)
+class AnalysisConfig:
+    """From samples to peaks: frames of n_fft samples every hop, bins of a band, a percentile gate."""
+
+    rate: int = 11025
+    n_fft: int = 1024
+    hop: int = 128
+    low_hz: float = 200.0
+    high_hz: float = 3000.0
+    percentile: float = 75.0
+
+    @property
+    def frame_rate(self) -> float:
+        return self.rate / self.hop
+
+    @property
+    def bin_hz(self) -> float:
+        return self.rate / self.n_fft
+
+    def seconds(self, frames: float) -> float:
+        return frames * self.hop / self.rate
+
+    def validate(self) -> AnalysisConfig:
+        if self.rate < 1 or self.n_fft < 2 or self.hop < 1 or self.hop > self.n_fft:
+            raise ValueError("rate >= 1, n_fft >= 2 and 1 <= hop <= n_fft are needed")
+        if not 0 <= self.low_hz < self.high_hz <= self.rate / 2:
+            raise ValueError("0 <= low_hz < high_hz <= rate / 2 is needed")
+        if self.high_hz // self.bin_hz > 1023:
+            raise ValueError("the band's last bin doesn't fit 10 bits")
+        if not 0 <= self.percentile < 100:
+            raise ValueError("percentile must be in [0, 100)")
+        return self
+
+
+# Thresholds, rates and probe length of the service.
 @dataclass(frozen=True)
 class CascadeConfig:
     """Rates in percent tried for queries that the first stage leaves open."""

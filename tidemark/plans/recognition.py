@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.config import CascadeConfig, DecisionConfig, LandmarkConfig, MatchConfig
+from tidemark.config import AnalysisConfig, CascadeConfig, DecisionConfig, LandmarkConfig, MatchConfig
 from tidemark.operators import decide as dec
 from tidemark.operators import index as ix
 from tidemark.operators import landmarks as lm
 from tidemark.operators import match as mt
-from tidemark.session import checkpointed, small, spread, table
+from tidemark.session import checkpointed, shared_dir, small, spread, table
 
 CASCADE = CascadeConfig()
+ANALYSIS = AnalysisConfig()
 
 
 def catalog(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +100,11 @@ def ranked(spark, d, cfg: MatchConfig = MatchConfig()):
 
 
 def match_rank(spark, d):
-    return longs(ranked(spark, d), "best_offset", "rank").select("query_id", "track_id", "rank", "score", "best_offset", "best_offset_count", "total_hits", "matched_query_landmarks")
+    return match_columns(ranked(spark, d))
+
+
+def match_columns(rows: DataFrame) -> DataFrame:
+    return longs(rows, "best_offset", "rank").select("query_id", "track_id", "rank", "score", "best_offset", "best_offset_count", "total_hits", "matched_query_landmarks")
 
 
 def match_totals(spark, d):
@@ -156,7 +161,7 @@ def first_stage(spark, d, found: DataFrame) -> DataFrame:
     score = F.coalesce("score", F.lit(0)).cast("long")
     evidence = dec.ratio(score, F.col("query_landmarks"))
     return rows.select(
-        "query_id", "track_id", score.alias("aligned"), evidence.alias("evidence"), "query_landmarks",
+        "query_id", "track_id", score.alias("aligned"), evidence.alias("evidence"), "query_landmarks", F.col("best_offset").cast("long").alias("best_offset"),
         dec.ratio(score, F.coalesce("matched_query_landmarks", F.lit(0))).alias("gate_value"), dec.accepted(evidence, score, CASCADE.stage1, CASCADE.min_aligned).alias("at_once"),
     )
 
@@ -186,6 +191,10 @@ def cascade(spark, d):
 
 
 def gated(spark, d):
+    return identify_gated(spark, d).drop("best_offset")
+
+
+def identify_gated(spark, d):
     """Open queries past the gate: a probe of the first frames at a few rates, then the whole query at the rate that won.
 
     A match at stage 1 passes no gate. A rejected query, wherever it was rejected, has rate 0 and its
@@ -202,7 +211,7 @@ def gated(spark, d):
     probe = checkpointed(dec.best_hypothesis(probes).select("query_id", F.col("rate").alias("p_rate")))
     # the whole query at the one rate that won: each hit is scaled once
     again = mine.join(F.broadcast(probe), "query_id").withColumn("offset", F.col("frame") - F.floor(F.col("q_frame") / (1 + F.col("p_rate") / 100)).cast("long"))
-    full = mt.rank(again, MatchConfig(max_candidates=1)).select("query_id", F.col("track_id").alias("f_track"), F.col("score").alias("f_aligned"))
+    full = mt.rank(again, MatchConfig(max_candidates=1)).select("query_id", F.col("track_id").alias("f_track"), F.col("score").alias("f_aligned"), F.col("best_offset").alias("f_offset"))
     rows = first.join(probe, "query_id", "left").join(full, "query_id", "left")
     once, f_evidence = F.col("at_once"), dec.ratio(F.col("f_aligned"), F.col("query_landmarks"))
     tried, good = ~once & (F.col("gate_value") >= CASCADE.gate), F.col("p_rate").isNotNull()
@@ -217,9 +226,26 @@ def gated(spark, d):
         F.when(once, F.col("track_id")).when(ok, F.col("f_track")).alias("track_id"),
         F.when(ok, F.col("p_rate")).otherwise(0.0).alias("rate"),
         F.when(ok, f_evidence).otherwise(F.col("evidence")).alias("evidence"),
+        F.when(once, F.col("best_offset")).when(ok, F.col("f_offset")).cast("long").alias("best_offset"),
     )
 
 
+def service_identify(spark, d):
+    """The service's answer: the gated cascade's verdict with the track's metadata, and where it starts, for matches only."""
+    found = identify_gated(spark, d).select("query_id", "decision", "stage", "track_id", "rate", "evidence", "best_offset")
+    about = table(spark, d, "documents").select(F.col("doc_id").alias("track_id"), "source", "lang")
+    # a row for each query: Spark broadcasts it if it is small, whatever the catalog's size
+    rows = about.join(found, "track_id", "right")
+    return rows.select("query_id", "decision", "stage", "track_id", "source", "lang", "rate", "evidence", (F.col("best_offset") * ANALYSIS.hop / ANALYSIS.rate).alias("offset_seconds"))
+
+
+def stored_index_rank(spark, d):
+    """Candidates by an index that was written, checked and read again."""
+    path = shared_dir(spark, "index")
+    ix.save(catalog(spark, d), path, "documents")
+    return match_columns(mt.rank(mt.probe(excerpts(spark, d), ix.load(spark, path, "documents", LandmarkConfig()))))
+
+
 def evidence_rows(spark, d):
     """Stored evidence of each query: first candidate, gate value, truth (a document that contains the passage), split."""
     top = ranked(spark, d).where("rank = 1")
@@ -320,6 +346,8 @@ QUERIES = {
     "gate__P4_D4": gate,
     "cascade_rates__D3": cascade,
     "gated_cascade__D4_D5": gated,
+    "service_identify__D7_J5": service_identify,
+    "stored_index_rank__S7_S8": stored_index_rank,
     "evidence_rows__Z9": evidence_rows,
     "replay__Q8": replay,
     "identify_confusion__A15": identify_confusion,
@@ -371,6 +399,19 @@ ORACLE_SQL = {
   g AS (SELECT *, NOT once AND gate_passed AS escalated, NOT once AND gate_passed AND pr IS NOT NULL AS probe_passed FROM f)
   SELECT query_id, escalated AS gate_passed, escalated, probe_passed, CASE WHEN once THEN 1 WHEN ok THEN 2 END::BIGINT AS stage, CASE WHEN once OR ok THEN 'MATCH' ELSE 'NO_MATCH' END AS decision, CASE WHEN once THEN t1 WHEN ok THEN ft END AS track_id, CASE WHEN ok THEN pr ELSE 0.0 END::DOUBLE AS rate,
   CASE WHEN ok THEN fe ELSE e1 END AS evidence FROM (SELECT *, probe_passed AND coalesce(fe >= {_S2} AND fa >= 5, FALSE) AS ok FROM g)""",
+    "service_identify__D7_J5": f"""{_RANKED}, rates AS (SELECT unnest([{', '.join(map(str, CASCADE.probe_rates))}])::DOUBLE AS rate),
+  rh AS (SELECT struct_pack(q := q.query_id, r := rate) AS query_id, p.track_id, q.qidx, q.anchor_frame AS qf, p.anchor_frame - floor(q.anchor_frame / (1 + rate / 100))::BIGINT AS off FROM q CROSS JOIN rates JOIN track_id_l p ON p.hash = q.hash),
+  ph AS (SELECT query_id, track_id, qidx, off FROM rh WHERE qf < {CASCADE.probe_frames}), {_densest('ph', 'pb')}, {_densest('rh', 'rb')},
+  pt AS (SELECT query_id, track_id, count(DISTINCT qidx) AS m FROM ph GROUP BY ALL), rt AS (SELECT query_id, track_id, count(DISTINCT qidx) AS m FROM rh GROUP BY ALL),
+  p1 AS (SELECT query_id.q AS query_id, query_id.r AS rate, score FROM pb JOIN pt USING (query_id, track_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_offset_count DESC, m DESC, track_id) = 1),
+  r1 AS (SELECT query_id.q AS query_id, query_id.r AS rate, track_id, score, best_offset FROM rb JOIN rt USING (query_id, track_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_offset_count DESC, m DESC, track_id) = 1),
+  p2 AS (SELECT query_id, rate, score FROM p1 WHERE score >= 5 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, abs(rate), rate) = 1),
+  f AS (SELECT dec.query_id, dec.track_id AS t1, coalesce(ev0, 0.0) AS e1, coalesce(aligned::DOUBLE / m, 0.0) >= {_GATE} AS gate_passed, coalesce(ev0 >= {_S1} AND aligned >= 5, FALSE) AS once, p2.rate AS pr, p2.score AS pa, r1.track_id AS ft, r1.score AS fa, r1.best_offset AS fo, dec.best_offset AS o1, r1.score::DOUBLE / dec.query_landmarks AS fe
+    FROM dec LEFT JOIN p2 USING (query_id) LEFT JOIN r1 ON r1.query_id = dec.query_id AND r1.rate = p2.rate),
+  g AS (SELECT *, NOT once AND gate_passed AS escalated, NOT once AND gate_passed AND pr IS NOT NULL AS probe_passed FROM f),
+  a AS (SELECT *, probe_passed AND coalesce(fe >= {_S2} AND fa >= 5, FALSE) AS ok FROM g), b AS (SELECT query_id, CASE WHEN once OR ok THEN 'MATCH' ELSE 'NO_MATCH' END AS decision, CASE WHEN once THEN 1 WHEN ok THEN 2 END::BIGINT AS stage, CASE WHEN once THEN t1 WHEN ok THEN ft END AS track_id, CASE WHEN ok THEN pr ELSE 0.0 END::DOUBLE AS rate, CASE WHEN ok THEN fe ELSE e1 END AS evidence, CASE WHEN once THEN o1 WHEN ok THEN fo END AS o FROM a)
+  SELECT query_id, decision, stage, track_id, source, lang, rate, evidence, o * 128 / 11025.0::DOUBLE AS offset_seconds FROM b LEFT JOIN documents ON doc_id = track_id""",
+    "stored_index_rank__S7_S8": f"{_RANKED} SELECT query_id, track_id, rank, score, best_offset, best_offset_count, total_hits, matched_query_landmarks FROM ranked",
     "evidence_rows__Z9": f"{_EVID} SELECT * FROM evid",
     "replay__Q8": f"""{_EVID} SELECT query_id, split, CASE WHEN one THEN 'stage1' WHEN pass AND two THEN 'stage2' WHEN pass THEN 'open' ELSE 'gated' END AS verdict, one OR (pass AND two) AS accepted, is_negative
   FROM (SELECT *, evidence >= {_S1} AND aligned >= 5 AS one, concentration >= {_GATE} AS pass, evidence >= {_S2} AND aligned >= 5 AS two FROM evid)""",

@@ -55,6 +55,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return _MADE[-1]
 
 
+def made() -> tuple[str, ...]:
+    """The folders that shared_dir has named and release hasn't removed."""
+    return tuple(_MADE)
+
+
 def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
     """Remove the folders made so far but those in `keep`; only once nothing that reads them is asked for."""
     for path in [p for p in _MADE if p not in keep]:
