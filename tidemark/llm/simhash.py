@@ -7,18 +7,16 @@ is positive. A text without words has fingerprint 0.
 
 from __future__ import annotations
 
-from itertools import chain, combinations
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoGenerationCache, chunks, hash_strings, mix64, order_plan, packed_in_order
+from .common import batchwise, chunks, mix64, order_plan, packed_in_order, word_hashes
 
 BITS = 64
-CACHE_WORDS = 400_000
 _BYTE_SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64) * 2 - 1)
-_WORDS = TwoGenerationCache(hash_strings, CACHE_WORDS)
 
 
 def term_hashes(words: np.ndarray) -> np.ndarray:
@@ -42,9 +40,9 @@ def fingerprint(words: np.ndarray) -> int:
 def fingerprints(texts: list[str]) -> list[int]:
     out: list[int] = []
     for at in chunks(texts):
-        words = [t.split() for t in texts[at]]
-        known = _WORDS.values(set(chain.from_iterable(words)))
-        out += [fingerprint(np.array([known[w] for w in ws], np.uint64)) for ws in words]
+        hashes, counts = word_hashes(texts[at])
+        ends = np.cumsum([0, *counts])
+        out += [fingerprint(hashes[lo:hi]) for lo, hi in zip(ends, ends[1:], strict=False)]
     return out
 
 
@@ -65,7 +63,7 @@ def fingerprint_table(df: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    return rows.mapInArrow(run, f"k {kind}, fingerprint bigint").withColumnRenamed("k", key)
+    return rows.transform(batchwise(run, f"k {kind}, fingerprint bigint")).withColumnRenamed("k", key)
 
 
 def within_radius(fps: DataFrame, queries: DataFrame, radius: int = 3, blocks: int | None = None, fp: str = "fingerprint") -> DataFrame:
@@ -139,5 +137,5 @@ def edited_and_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
                     yield emit(pairs)
 
     rows = packed_in_order(df, key, text, plan, sentinels=True)
-    out = rows.mapInArrow(run, "k bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = rows.transform(batchwise(run, "k bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"))
     return out.withColumnRenamed("k", key)
