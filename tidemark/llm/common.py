@@ -179,37 +179,6 @@ def sliced(text: str, start: np.ndarray, stop: np.ndarray) -> Callable[[np.ndarr
     return lambda at: [text[lo:hi] for lo, hi in zip(start[at].tolist(), stop[at].tolist(), strict=True)]
 
 
-class TwoGenerationCache:
-    """Values of keys; after `cap` new keys the older half goes.
-
-    Lives in a Python worker, which Spark uses again for other operators: the cache that is asked
-    empties the one that was asked before it, so that a worker holds one at a time.
-    """
-
-    asked: TwoGenerationCache | None = None
-
-    def __init__(self, make: Callable[[list], list], cap: int):
-        self.make, self.cap, self.new, self.old = make, cap, {}, {}
-
-    def values(self, keys: set) -> dict:
-        """A dict that holds all the keys (and others)."""
-        if TwoGenerationCache.asked is not self:
-            if TwoGenerationCache.asked is not None:
-                TwoGenerationCache.asked.new, TwoGenerationCache.asked.old = {}, {}
-            TwoGenerationCache.asked = self
-        new = self.new
-        miss = [k for k in keys if k not in new]  # a set less a dict's keys would walk the whole dict
-        if len(new) + len(miss) > self.cap and new:
-            self.old, self.new, miss = new, {}, list(keys)
-        if self.old:
-            old = self.old
-            self.new.update((k, old[k]) for k in miss if k in old)
-            miss = [k for k in miss if k not in old]
-        if miss:
-            self.new.update(zip(miss, self.make(miss), strict=True))
-        return self.new
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64 on uint64 values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -280,13 +249,6 @@ def word_hashes(texts: list[str], limit: int = 1 << 19) -> tuple[np.ndarray, np.
     return np.concatenate(hashes), counts
 
 
-def hash_strings(words: list[str]) -> list[int]:
-    import xxhash
-
-    h = xxhash.xxh3_64_intdigest
-    return [h(w.encode()) for w in words]
-
-
 class OrderPlan:
     """Range buckets over an integer id, whose bounds are ids of rows (nulls sort last)."""
 

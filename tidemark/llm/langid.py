@@ -12,20 +12,24 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoGenerationCache, chunks, mix64
+from .common import Runs, batchwise, chunks, mix64, sliced, span_hashes, spread
 
 UNDETERMINED = "und"
 NGRAMS = (1, 2, 3, 4)
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 SCALE = 30.0
-CACHE_WORDS = 150_000
+#: Words that a Python worker remembers.
+CACHE_WORDS = 200_000
+#: Characters of texts that are gone through together (a longer text alone).
+CHUNK = 1 << 19
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -64,6 +68,24 @@ def _word_buckets(words: list[str]) -> list[np.ndarray]:
     return np.split(buckets.astype(np.uint16), np.cumsum(np.bincount(idx, minlength=len(words)))[:-1])
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter in the sense of words_of."""
+    return np.array([(c := chr(i)).isalnum() and not c.isdecimal() for i in range(0x110000)])
+
+
+def word_places(texts: list[str], known: Runs) -> tuple[np.ndarray, np.ndarray]:
+    """The run numbers of all words of all texts in order, and the end of each text's words among them."""
+    low = [t.lower() for t in texts]
+    text, ends = " ".join(low), np.cumsum([len(t) + 1 for t in low])
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    inside = np.zeros(len(codes) + 2, bool)
+    inside[1:-1] = _letters()[codes]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, stop = edge[::2], edge[1::2]
+    return known.places(span_hashes(codes, start, stop), sliced(text, start, stop)), np.searchsorted(start, ends)
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -83,14 +105,19 @@ class LanguageModel:
         out[:, -1] = count
         return list(out)
 
-    def predict(self, texts: list[str], cache: TwoGenerationCache | None = None) -> list[tuple[str, float]]:
-        cache = cache or TwoGenerationCache(self.word_scores, CACHE_WORDS)
+    def predict(self, texts: list[str], known: Runs | None = None) -> list[tuple[str, float]]:
+        """Language and probability of each text; of equally probable languages the first by name."""
+        known = known or Runs(self.word_scores, np.float64, CACHE_WORDS)
         out = []
-        for at in chunks(texts):
-            words = [words_of(t) for t in texts[at]]
-            known = cache.values(set(chain.from_iterable(words)))
-            for ws in words:
-                s = np.array([known[w] for w in ws]).sum(axis=0) if ws else np.zeros(len(self.bias) + 1)
+        for at in chunks(texts, CHUNK):
+            places, ends = word_places(texts[at], known)
+            width = len(self.languages) + 1
+            rows, count = known.gather(places)[0].reshape(-1, width), np.diff(ends, prepend=0)
+            sums = np.zeros((len(count), width))
+            some = np.flatnonzero(count)
+            if len(some):
+                sums[some] = np.add.reduceat(rows, (ends - count)[some], axis=0)
+            for s in sums:
                 if not s[-1]:
                     out.append((UNDETERMINED, 0.0))
                     continue
@@ -113,20 +140,20 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches):
         import pyarrow as pa
 
-        cache = TwoGenerationCache(_word_buckets, CACHE_WORDS)
+        known = Runs(_word_buckets, np.uint16, CACHE_WORDS)
         df, n = np.zeros(BUCKETS, np.int64), 0
         seen = np.zeros(BUCKETS, bool)
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for at in chunks(texts):
-                words = [set(words_of(t)) for t in texts[at]]
-                known = cache.values(set().union(*words))
-                for ws in words:
-                    if ws:
-                        seen[np.concatenate([known[w] for w in ws])] = True
-                        df += seen
-                        seen[:] = False
-                    n += 1
+            for at in chunks(texts, CHUNK):
+                places, ends = word_places(texts[at], known)
+                buckets, stops = known.gather(places)
+                stops = np.concatenate([[0], stops])[ends]
+                for own in np.split(buckets, stops[:-1]):
+                    seen[own] = True
+                    df += seen
+                    seen[own] = False
+                n += len(ends)
         yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()]), pa.array([n], pa.int64())], names=["df", "n"])
 
     def add(batches):
@@ -139,7 +166,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()]), pa.array([n], pa.int64())], names=["df", "n"])
 
     kind = "df binary, n bigint"
-    rows = texts.mapInArrow(count, kind).repartition(16).mapInArrow(add, kind).collect()
+    rows = texts.transform(batchwise(count, kind)).repartition(16).transform(batchwise(add, kind)).collect()
     return sum((np.frombuffer(r["df"], np.int64) for r in rows), np.zeros(BUCKETS, np.int64)), sum(r["n"] for r in rows)
 
 
@@ -158,7 +185,7 @@ def _features(rows: DataFrame) -> list:
                 ts.append((n / max(1, n.sum())).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bs, pa.binary()), pa.array(ts, pa.binary())], names=["lang", "u", "b", "x"])
 
-    return sorted(rows.mapInArrow(run, "lang string, u double, b binary, x binary").collect(), key=lambda r: (r["u"], r["lang"], r["b"]))
+    return sorted(rows.transform(batchwise(run, "lang string, u double, b binary, x binary")).collect(), key=lambda r: (r["u"], r["lang"], r["b"]))
 
 
 def fit(
@@ -189,8 +216,8 @@ def fit(
     sample = rows.select("lang", u, "t").where(F.col("u") < F.element_at(share, F.col("lang")))
     df, n_docs = document_frequencies(rows.select("t"))
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    data = [(languages.index(r["lang"]), np.frombuffer(r["b"], "<u2").astype(np.int64), np.frombuffer(r["x"], "<f4") * SCALE) for r in _features(sample)]
-    data = [(y, b, x * idf[b]) for y, b, x in data if len(b)]
+    # 6 bytes for each n-gram of the sample
+    data = [(languages.index(r["lang"]), np.frombuffer(r["b"], "<u2"), np.frombuffer(r["x"], "<f4")) for r in _features(sample) if len(r["b"])]
     kept = [d for i, d in enumerate(data) if i % 5 == 4] or data
     data = [d for i, d in enumerate(data) if i % 5 != 4] or data
 
@@ -205,7 +232,7 @@ def fit(
     for _ in range(epochs):
         for i in rng.permutation(len(data)):
             y, b, x = data[i]
-            b, x = np.append(b, BUCKETS), np.append(x, 1.0)
+            b, x = np.append(b.astype(np.int64), BUCKETS), np.append(x * (SCALE * idf[b]), 1.0)
             zb, nb = z[b], n[b]
             w = solved(zb, nb)
             s = x @ w
@@ -218,7 +245,7 @@ def fit(
             n[b] = nb + g * g
     w = solved(z, n)
 
-    logits = np.array([x @ w[b] + w[BUCKETS] for _, b, x in kept]).reshape(len(kept), k)
+    logits = np.array([(x * (SCALE * idf[b])) @ w[b] + w[BUCKETS] for _, b, x in kept]).reshape(len(kept), k)
     ys = np.array([y for y, _, _ in kept], np.int64)
 
     blur = k / (len(ys) + 2.0 * k)  # as if some rows were mislabelled, so that separable rows don't ask for certainty
@@ -254,13 +281,13 @@ def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: st
         import pyarrow as pa
 
         model = shared.value
-        cache = TwoGenerationCache(model.word_scores, CACHE_WORDS)
+        known = Runs(model.word_scores, np.float64, CACHE_WORDS)
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 batch = whole.slice(lo, 1000)
-                got = model.predict([t or "" for t in batch.column(at).to_pylist()], cache)
+                got = model.predict([t or "" for t in batch.column(at).to_pylist()], known)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*(f"c{i}" for i in range(kept)), "lang_pred", "score"])
 
     rows = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(cols)))
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(cols[:kept]))
-    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(cols[:kept])), "lang_pred", "score")
+    return rows.transform(batchwise(run, f"{kinds}, lang_pred string, score double")).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(cols[:kept])), "lang_pred", "score")
