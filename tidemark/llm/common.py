@@ -193,7 +193,7 @@ _SPACE = re.compile(r"\s")
 
 
 @lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n of an odd number, and of its inverse, modulo 2^64."""
     out = []
     for base in (_ODD, pow(_ODD, -1, 1 << 64)):
@@ -214,7 +214,7 @@ def word_spans(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def span_hashes(codes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """64 bits for the code points of each span."""
     n = len(codes)
-    up, down = _powers(1 << max(20, n.bit_length()))
+    up, down = powers(1 << max(20, n.bit_length()))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     return mix64((sums[stop] - sums[start]) * down[start])

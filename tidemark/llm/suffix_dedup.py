@@ -29,28 +29,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, parts, shared_dir
+from .common import batchwise, mix64, parts, powers, shared_dir
 
 MATCH = 50
 ANCHOR = 20
 #: Text of one index partition, and of one partition of documents, on average.
-PARTITION_BYTES = 16 << 20
+PARTITION_BYTES = 12 << 20
 #: A task sends what it gathered once it has read so much text.
-FLUSH_BYTES = 12 << 20
+FLUSH_BYTES = 10 << 20
 #: Text that is hashed at once (a longer single document is hashed alone).
-STEP_BYTES = 1 << 20
-_P = 0x9E3779B97F4A7C15
-_P_INV = pow(_P, -1, 1 << 64)
+STEP_BYTES = 1 << 18
 #: Stands for a null id: larger than every other.
 LAST_ID = (1 << 63) - 1
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base))
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 class Anchors:
     """Anchors of the MATCH-byte windows of some documents.
 
@@ -70,35 +62,30 @@ class Anchors:
         windows = n - MATCH + 1
         if windows <= 0:
             return
-        up, down = _powers(_P, n), _powers(_P_INV, n + 1)
+        up, down = powers(1 << max(20, n.bit_length()))
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-        h = mix64((sums[ANCHOR:] - sums[:-ANCHOR]) * down[: n - ANCHOR + 1])
-        # leftmost position of the least hash within each window, by doubling
-        span = MATCH - ANCHOR + 1
-        least, where, done = h, np.arange(len(h), dtype=np.int32 if n < 1 << 31 else np.int64), 1
-        while done < span:
+        np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+        code = sums[ANCHOR:] - sums[:-ANCHOR]
+        code *= down[: len(code)]
+        # 32 bits of hash over 32 of place: the least is the leftmost of the least hash
+        least = code * np.uint64(0xD1B54A32D192ED03)
+        least &= np.uint64(0xFFFFFFFF00000000)
+        least |= np.arange(len(code), dtype=np.uint64)
+        span, done = MATCH - ANCHOR + 1, 1
+        while done < span:  # within each window, by doubling
             step = min(done, span - done)
-            right = least[step:] < least[:-step]
-            where = np.where(right, where[step:], where[:-step])
-            least = np.where(right, least[step:], least[:-step])
+            least = np.minimum(least[step:], least[:-step])
             done += step
-        owner = where[:windows]
-        inside = np.zeros(windows, bool)
-        for s, k in zip(self.start[size >= MATCH], size[size >= MATCH], strict=True):
-            inside[s : s + k - MATCH + 1] = True
-        starts = np.flatnonzero(inside)
-        if not len(starts):
+        own = np.maximum(0, size - MATCH + 1)
+        inside = np.repeat(np.tile([True, False], len(size)), np.column_stack([own, size - own]).reshape(-1))[:windows]
+        goes_on = inside[1:] & inside[:-1] & (least[1:windows] == least[: windows - 1])
+        self.first, self.last = np.flatnonzero(inside & ~np.append(False, goes_on)), np.flatnonzero(inside & ~np.append(goes_on, False))
+        if not len(self.first):
             return
-        owner = owner[starts].astype(np.int64)
-        new = np.ones(len(starts), bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (starts[1:] != starts[:-1] + 1)
-        head = np.flatnonzero(new)
-        self.first, self.at = starts[head], owner[head]
-        self.last = starts[np.append(head[1:], len(starts)) - 1]
+        self.at = (least[self.first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         self.doc = np.searchsorted(self.start, self.first, side="right") - 1
         # of several documents that start there, the empty ones come first
-        self.lead = h[self.at]
+        self.lead = mix64(code[self.at])
         body = (sums[self.last + MATCH] - sums[self.first]) * down[self.first]
         place = ((self.last - self.first).astype(np.uint64) << np.uint64(32)) + (self.at - self.first).astype(np.uint64)
         self.stretch = mix64(body ^ mix64(place + np.uint64(1)))
@@ -556,17 +543,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(parts(spark), math.ceil(total / PARTITION_BYTES))
     path = shared_dir(spark, "suffix-answers")
-    _dealt(rows.select("k", "t").mapInArrow(_offers(n), ROW), n).mapInArrow(_settle(n), ROW).write.parquet(path)
+    _dealt(rows.select("k", "t").transform(batchwise(_offers(n), ROW)), n).transform(batchwise(_settle(n), ROW)).write.parquet(path)
     answers = spark.read.schema(ROW).parquet(path)
 
     def with_texts(answers: DataFrame, rows: DataFrame) -> DataFrame:
-        packed = rows.mapInArrow(_packed(n, rows.columns), ROW)
+        packed = rows.transform(batchwise(_packed(n, rows.columns), ROW))
         return _dealt(answers.select("home", "kind", "blob").union(packed), n)
 
-    doubtful = with_texts(answers.where(F.col("kind") == HALF), rows.select("k", "t")).mapInArrow(_doubtful(n), ROW)
-    masks = _dealt(doubtful, n).mapInArrow(_scanned(n), ROW)
+    doubtful = with_texts(answers.where(F.col("kind") == HALF), rows.select("k", "t")).transform(batchwise(_doubtful(n), ROW))
+    masks = _dealt(doubtful, n).transform(batchwise(_scanned(n), ROW))
     kinds = "".join(f", c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = with_texts(answers.where(F.col("kind") == FULL).union(masks), rows).mapInArrow(_cut(n, list(keep), as_text), f"k bigint, n_bytes bigint, spans array<struct<start:bigint,stop:bigint>>, kept {'string' if as_text else 'binary'}{kinds}")
+    out = with_texts(answers.where(F.col("kind") == FULL).union(masks), rows).transform(batchwise(_cut(n, list(keep), as_text), f"k bigint, n_bytes bigint, spans array<struct<start:bigint,stop:bigint>>, kept {'string' if as_text else 'binary'}{kinds}"))
     return out.withColumnsRenamed({"k": key} | {f"c{i}": c for i, c in enumerate(keep)})
 
 
