@@ -1,58 +1,80 @@
 """WARC archives: writing captures, reading records, assembling transactions.
 
 A capture is three records: a request, a response (or a revisit of an earlier response with the
-same payload digest) and metadata; request and metadata name the response in WARC-Concurrent-To.
-Files are written by Spark's text writer with the record end as line separator, so they go through
-its commit protocol to any store; each file is a plain WARC (gzip).
+same payload digest) and metadata; request and metadata name the response in WARC-Concurrent-To,
+and a revisit names the response's record in WARC-Refers-To.
+
+Each record is a gzip member of its own, and the two line breaks that end it are another, constant
+one; so a file decompresses to a plain WARC, and a record can be read from its offset. Spark's text
+source writes and reads them with the constant member as line separator: files go through its
+commit protocol to any store, are split between tasks, and no file is held in memory.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
+import zlib
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from .common import shared_dir
+from .common import batchwise, shared_dir
 
 END = "\r\n\r\n"
-#: Records of one file; bounds what a reading task holds.
-RECORDS_PER_FILE = 3000
+#: The member that ends a record; its bytes stand in no member of a record in UTF-8 but by chance of 2^-192.
+END_MEMBER = gzip.compress(END.encode(), mtime=0)
+_TEXT = {"lineSep": END_MEMBER.decode("latin-1"), "encoding": "ISO-8859-1"}
 DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+def payload_digest(payload: Column) -> Column:
+    """Bare upper-case base32 SHA-1 of the text in UTF-8: each 5 hexadecimal digits are 4 of base 32."""
+    digits = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
+    sha = F.sha1(payload.cast("binary"))
+    parts = [F.lpad(F.conv(F.substring(sha, i, 5), 16, 32), 4, "0") for i in range(1, 41, 5)]
+    return F.translate(F.concat(*parts), digits, _BASE32)
 
 
-@F.pandas_udf(StringType())
-def payload_digest(payload: pd.Series) -> pd.Series:
-    """Bare upper-case base32 SHA-1 of the text in UTF-8."""
-    return payload.map(lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode())
+def _stem(page_id: Column, url: Column, missing: Column, digest: Column, copy: Column) -> Column:
+    """What a capture's record ids have in common."""
+    return F.concat_ws("-", F.coalesce(page_id.cast("string"), F.lit("null")), F.lower(F.hex(F.xxhash64(url, missing, digest))), copy.cast("string"))
 
 
 def captures(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html", min_payload: int = 0) -> DataFrame:
-    """Rows (capture, page_id, url, payload, payload_bytes, digest, refers_to).
+    """Rows (capture, page_id, url, payload, payload_bytes, digest, revisit, refers_to), one for each row of pages.
 
     A null body is an empty payload. Of captures whose payloads are equal and have at least
-    min_payload bytes, that with the smallest key is the response; the others refer to its key.
-    Rows that repeat key, url and body are one capture each, told apart by `capture`; of equal
-    keys, the first by url is the response. Null keys come last. A null url is 'about:blank'.
+    min_payload bytes, that with the smallest key is the response; the others are revisits, have no
+    payload here, and refer to its capture. Of equal keys the first by url is the response; rows
+    that repeat key, url and body are one capture each, numbered, the first of them the response. Null
+    keys come last and a null url after an empty one; it is written as 'about:blank'. A very long body is
+    one record like any other. An empty table gives no rows. Other columns are ignored.
+
+    Payloads move once, one of each digest (a digest that many pages share is one on the map side
+    already); what is ranked and joined beside them is narrow.
     """
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(body).cast("string"), F.lit("")).alias("payload"))
-    rows = rows.withColumn("digest", payload_digest("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    rank = F.struct(F.col("page_id").isNull(), F.col("page_id"), F.coalesce("url", F.lit("")))
-    # One row for each digest that several captures share: partial minima, no group is gathered.
-    first = rows.where(F.col("payload_bytes") >= min_payload).groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d"), F.col("first"))
-    rows = rows.join(first, F.col("digest") == F.col("d"), "left").drop("d")
-    refers = F.when(F.col("first").isNotNull() & (F.col("first") != rank), F.col("first.page_id"))
-    stem = F.concat_ws("-", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lower(F.hex(F.xxhash64("url", "digest"))))
-    return rows.select(stem.alias("capture"), "page_id", "url", "payload", "payload_bytes", "digest", refers.alias("refers_to"), (F.col("first").isNotNull() & (F.col("first") != rank)).alias("revisit"))
-
-
-def _block(kind: str, headers: list, block) -> list:
-    """Columns of one record: head, headers, length, block."""
+    rows = rows.withColumn("digest", payload_digest(F.col("payload")))
+    narrow = rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("payload_bytes"))
+    narrow = narrow.groupBy("page_id", "url", "digest", "payload_bytes").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.col("url").isNull().alias("missing"))
+    first = narrow.where(F.col("payload_bytes") >= min_payload).groupBy(F.col("digest").alias("d")).agg(F.min(rank).alias("first"), F.sum("n").alias("all")).where("all > 1").drop("all")
+    rows_of = narrow.join(first, F.col("digest") == F.col("d"), "left").drop("d").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    revisit = F.col("first").isNotNull() & ~((F.col("first") == rank) & (F.col("copy") == 1))
+    own = _stem(F.col("page_id"), F.coalesce("url", F.lit("")), F.col("url").isNull(), F.col("digest"), F.col("copy"))
+    target = _stem(F.col("first.page_id"), F.col("first.url"), F.col("first.missing"), F.col("digest"), F.lit(1))
+    caps = rows_of.select(own.alias("capture"), "page_id", "url", "payload_bytes", "digest", revisit.alias("revisit"), F.when(revisit, target).alias("refers_to"))
+    payloads = rows.groupBy(F.col("digest").alias("d")).agg(F.first("payload").alias("payload"))
+    return caps.join(payloads, (F.col("digest") == F.col("d")) & ~F.col("revisit"), "left").drop("d")
+
+
+def _block(kind: str, headers: list, block: Column) -> Column:
+    """One record's text: head, headers, length, block."""
     lines = [F.lit(f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Date: {DATE}")]
     for name, value in headers:
         lines.append(F.when(value.isNotNull(), F.concat(F.lit(f"\r\n{name}: "), value)).otherwise(""))
@@ -73,7 +95,7 @@ def records(caps: DataFrame) -> DataFrame:
     response = _block("response", [("WARC-Record-ID", own), *target, *digest, *msg("response")], F.concat(http, F.col("payload")))
     revisit = _block(
         "revisit",
-        [("WARC-Record-ID", own), *target, *digest, ("WARC-Profile", F.lit(_PROFILE)), ("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("refers_to").cast("string"), F.lit("null")), F.lit(">"))), *msg("response")],
+        [("WARC-Record-ID", own), *target, *digest, ("WARC-Profile", F.lit(_PROFILE)), ("WARC-Refers-To", uri("response", F.col("refers_to"))), *msg("response")],
         http,
     )
     about = F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit("\r\nhas-url: "), F.when(F.col("url").isNull(), "no").otherwise("yes"), F.lit("\r\n"))
@@ -82,7 +104,20 @@ def records(caps: DataFrame) -> DataFrame:
 
 
 def write(caps: DataFrame, path: str) -> None:
-    records(caps).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    """The captures' records below the path, each a gzip member followed by END_MEMBER."""
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for text in batch.column(0).to_pylist():
+                z = zlib.compressobj(level=6, wbits=31)
+                out.append(z.compress(text.encode()) + z.flush())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+
+    packed = records(caps).transform(batchwise(pack, "value binary"))
+    packed.select(F.col("value").cast("string").alias("value")).write.options(**_TEXT).text(path)
 
 
 _LENGTH = re.compile(rb"\r\nContent-Length: *(\d+)", re.I)
@@ -106,26 +141,21 @@ RECORD = "type string, id string, concurrent_to string, target string, digest st
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives under the path; one file at a time in a task.
+    """Every record of the archives under the path, one member at a time.
 
-    A response's payload is checked against its digest header; a mismatch raises.
+    A response's payload is checked against its digest header; a mismatch, or a member that is no
+    record, raises.
     """
 
     def run(batches):
-        import zlib
-
-        for frame in batches:
-            for content in frame["content"]:
-                gz = zlib.decompressobj(wbits=47)
-                raw = b""
-                out, rest = [], bytes(content)
-                while rest:  # a file may have several gzip members
-                    out += [gz.decompress(rest), gz.flush()]
-                    rest, gz = gz.unused_data, zlib.decompressobj(wbits=47)
-                raw = b"".join(out)
-                rows = []
-                for h, block in split_records(raw):
-                    kind, payload, http, fields = h["warc-type"], None, None, {}
+        import pyarrow as pa
+
+        kinds = pa.schema([("type", pa.string()), ("id", pa.string()), ("concurrent_to", pa.string()), ("target", pa.string()), ("digest", pa.string()), ("refers_to", pa.string()), ("http_bytes", pa.int64()), ("payload", pa.binary()), ("fields", pa.map_(pa.string(), pa.string()))])
+        for batch in batches:
+            rows = []
+            for member in batch.column(0).to_pylist():
+                for h, block in split_records(gzip.decompress(member)):
+                    kind, payload, http, fields = h["warc-type"], None, None, []
                     if kind in ("response", "revisit"):
                         head, _, body = block.partition(b"\r\n\r\n")
                         http = int(_LENGTH.search(head)[1])
@@ -134,14 +164,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                             if "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode() != h["warc-payload-digest"] or len(body) != http:
                                 raise ValueError(f"payload of {h['warc-record-id']} doesn't have its digest")
                     elif kind == "metadata":
-                        fields = {k: v.strip() for k, _, v in (x.partition(":") for x in block.decode().split("\r\n")) if k}
+                        fields = [(k, v.strip()) for k, _, v in (x.partition(":") for x in block.decode().split("\r\n")) if k]
                     rows.append((kind, h["warc-record-id"], h.get("warc-concurrent-to"), h.get("warc-target-uri"), h.get("warc-payload-digest"), h.get("warc-refers-to"), http, payload, fields))
-                for lo in range(0, len(rows), 1000):
-                    yield pd.DataFrame(rows[lo : lo + 1000], columns=[c.split()[0] for c in RECORD.split(", ")]).astype({"http_bytes": "Int64"})
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(columns, kinds, strict=True)], schema=kinds)
 
-    # binaryFile: one row a file; small partitions keep a task to few files
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInPandas(run, RECORD)
+    members = spark.read.options(**_TEXT).text(path).select(F.col("value").cast("binary").alias("value"))
+    return members.transform(batchwise(run, RECORD))
 
 
 def assemble(recs: DataFrame) -> DataFrame:
@@ -178,5 +207,5 @@ def digests(transactions: DataFrame) -> DataFrame:
         r["http_bytes"].alias("payload_bytes"),
         F.substring_index(r["digest"], ":", -1).alias("payload_digest"),
         r["type"].alias("record_type"),
-        F.regexp_extract(r["refers_to"], r"<urn:page:(-?\d+)>", 1).alias("to"),
+        F.regexp_extract(r["refers_to"], r"^<urn:capture:(-?\d+)-", 1).alias("to"),
     ).select("page_id", "payload_bytes", "payload_digest", "record_type", F.expr("try_cast(to AS BIGINT)").alias("refers_to"))
