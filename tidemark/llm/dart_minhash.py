@@ -153,7 +153,7 @@ def bands(sigs: np.ndarray) -> np.ndarray:
 def sketches(sigs: np.ndarray) -> np.ndarray:
     """n x 6 (int64): the low SKETCH_BITS of each coordinate."""
     per = 64 // SKETCH_BITS
-    low = (sigs & np.uint64((1 << SKETCH_BITS) - 1)).reshape(len(sigs), -1, per)
+    low = (sigs & np.uint64((1 << SKETCH_BITS) - 1)).reshape(len(sigs), sigs.shape[1] // per, per)
     return (low << (np.arange(per, dtype=np.uint64) * np.uint64(SKETCH_BITS))).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
