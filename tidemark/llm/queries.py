@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, dart_minhash, html_cut, langid, mixing, piece_codec, simhash, suffix_dedup, token_store, warc
-from .common import table
+from .common import shared_dir, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,9 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.edited_and_next(table(spark, sf_dir, "documents"))
+    path = shared_dir(spark, "simhash")
+    simhash.edited_and_next(table(spark, sf_dir, "documents")).write.parquet(path)
+    return simhash.with_neighbours(spark.read.parquet(path))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

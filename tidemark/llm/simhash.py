@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import batchwise, chunks, mix64, order_plan, packed_in_order, word_hashes
 
 BITS = 64
+#: Queries of one bucket that a task holds.
+BUCKET_QUERIES = 1 << 18
 _BYTE_SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64) * 2 - 1)
 
 
@@ -66,13 +68,12 @@ def fingerprint_table(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     return rows.transform(batchwise(run, f"k {kind}, fingerprint bigint")).withColumnRenamed("k", key)
 
 
-def within_radius(fps: DataFrame, queries: DataFrame, radius: int = 3, blocks: int | None = None, fp: str = "fingerprint") -> DataFrame:
-    """Pairs (query_fp, fp, distance) of distinct fingerprints at most `radius` bits apart.
+def block_masks(radius: int, blocks: int | None = None) -> list[int]:
+    """One mask (signed 64-bit) for each choice of blocks - radius of the blocks that the bits are cut into.
 
-    The 64 bits are cut into `blocks` (radius + 2 unless given); for every choice of blocks - radius
-    of them there is a table keyed by their bits, as if those blocks were permuted to the front. Two
-    fingerprints within the radius agree on at least one such choice, so none is missed. Equal
-    fingerprints are one row on either side, whatever number of documents share them; nulls take no part.
+    Two fingerprints within the radius agree on all bits of at least one choice. More blocks mean
+    longer keys and more tables: radius + 2 (26 bits for radius 3) suit some ten million fingerprints,
+    radius + 4 (36 bits) some ten thousand million.
     """
     b = blocks or radius + 2
     if not 0 <= radius < b <= BITS:
@@ -82,11 +83,102 @@ def within_radius(fps: DataFrame, queries: DataFrame, radius: int = 3, blocks: i
     for chosen in combinations(range(b), b - radius):
         m = sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen)
         masks.append(m - (1 << 64) if m >> 63 else m)
-    keys = F.array(*(F.struct(F.lit(n).alias("t"), F.col(fp).bitwiseAND(F.lit(m).cast("long")).alias("bits")) for n, m in enumerate(masks)))
-    tables = lambda d, name: d.where(F.col(fp).isNotNull()).select(fp).distinct().select(F.col(fp).alias(name), F.explode(keys).alias("e")).select(name, "e.t", "e.bits")
-    pairs = tables(queries, "query_fp").join(tables(fps, "fp"), ["t", "bits"])
+    return masks
+
+
+def _tables(fps: DataFrame, fp: str, masks: list[int], kind: int) -> DataFrame:
+    """(t, bits, kind, fp): each distinct fingerprint in every table, as if its blocks were permuted to the front."""
+    keys = F.array(*(F.struct(F.lit(n).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for n, m in enumerate(masks)))
+    each = fps.where(F.col(fp).isNotNull()).select(F.col(fp).cast("long").alias("fp")).distinct()
+    return each.select("fp", F.explode(keys).alias("e")).select("e.t", "e.bits", F.lit(kind).alias("kind"), "fp")
+
+
+def within_radius(fps: DataFrame, queries: DataFrame, radius: int = 3, blocks: int | None = None, fp: str = "fingerprint") -> DataFrame:
+    """Pairs (query_fp, fp, distance) of distinct fingerprints at most `radius` bits apart.
+
+    The 64 bits are cut into `blocks`; for every choice of blocks - radius of them there is a table
+    keyed by their bits, so none is missed. Equal fingerprints are one row on either side, whatever
+    number of documents share them; nulls take no part. For counts alone see count_within, which
+    emits no pairs.
+    """
+    masks = block_masks(radius, blocks)
+    a, b = _tables(queries, fp, masks, 0).withColumnRenamed("fp", "query_fp").drop("kind"), _tables(fps, fp, masks, 1).drop("kind")
     far = F.bit_count(F.col("query_fp").bitwiseXOR(F.col("fp")))
-    return pairs.where(far <= radius).select("query_fp", "fp", far.cast("int").alias("distance")).distinct()
+    return a.join(b, ["t", "bits"]).where(far <= radius).select("query_fp", "fp", far.cast("int").alias("distance")).distinct()
+
+
+def count_within(fps: DataFrame, queries: DataFrame, radius: int = 3, blocks: int | None = None, fp: str = "fingerprint") -> DataFrame:
+    """(query_fp, near): for each distinct query fingerprint, how many other distinct ones are at most `radius` bits apart.
+
+    Tables as in within_radius. A bucket's queries are held and the others stream past them, so what
+    leaves a task is one row for each query it holds; a pair counts in the first table that it
+    meets in. Buckets with more than BUCKET_QUERIES queries are shared out to several tasks.
+    """
+    masks = block_masks(radius, blocks)
+    spark = fps.sparkSession
+    own = _tables(queries, fp, masks, 0)
+    # buckets of so many queries are few: at most one for each BUCKET_QUERIES rows
+    hot = own.groupBy("t", "bits").agg(F.ceil(F.count(F.lit(1)) / BUCKET_QUERIES).cast("int").alias("salts")).where("salts > 1")
+    hot = F.broadcast(hot.select(F.col("t").alias("ht"), F.col("bits").alias("hb"), "salts"))
+    salted = lambda d: d.join(hot, (F.col("t") == F.col("ht")) & (F.col("bits") == F.col("hb")), "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    own = salted(own).withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int"))
+    other = salted(_tables(fps, fp, masks, 1)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    cols = ["t", "bits", "salt", "kind", "fp"]
+    bits = np.array([m & ((1 << 64) - 1) for m in masks], np.uint64)
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, held, near, out = None, [], None, ([], [])
+
+        def close():
+            if near is not None:
+                out[0].append(held)
+                out[1].append(near)
+
+        for batch in batches:
+            t, b, salt, kind = (batch.column(c).to_numpy() for c in range(4))
+            values = batch.column(4).to_numpy().view(np.uint64)
+            new = np.ones(len(t) + 1, bool)
+            new[1:-1] = (t[1:] != t[:-1]) | (b[1:] != b[:-1]) | (salt[1:] != salt[:-1]) | (kind[1:] != kind[:-1])
+            edge = np.flatnonzero(new) if len(t) else np.zeros(0, np.int64)
+            for lo, hi in zip(edge.tolist(), edge[1:].tolist(), strict=False):
+                key = (int(t[lo]), int(b[lo]), int(salt[lo]))
+                if key != now:
+                    close()
+                    now, held, near = key, np.zeros(0, np.uint64), None
+                if kind[lo] == 0:
+                    held = np.concatenate([held, values[lo:hi]])
+                    continue
+                if not len(held):
+                    continue
+                near = np.zeros(len(held), np.int64) if near is None else near
+                # blocks of bounded size: queries by candidates
+                for i in range(0, len(held), 1024):
+                    for j in range(lo, hi, 1024):
+                        apart = held[i : i + 1024, None] ^ values[None, j : min(hi, j + 1024)]
+                        q, c = np.nonzero((np.bitwise_count(apart) <= radius) & (apart != 0))
+                        if len(q):
+                            first = ((apart[q, c][:, None] & bits[None, :]) == 0).argmax(axis=1) == now[0]
+                            near[i : i + 1024] += np.bincount(q[first], minlength=len(near[i : i + 1024]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *out[0]]).view(np.int64)), pa.array(np.concatenate([np.zeros(0, np.int64), *out[1]]))], names=["query_fp", "near"])
+            out[0].clear()
+            out[1].clear()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *out[0]]).view(np.int64)), pa.array(np.concatenate([np.zeros(0, np.int64), *out[1]]))], names=["query_fp", "near"])
+
+    dealt = own.select(*cols).unionByName(other.select(*cols)).repartition("t", "bits", "salt").sortWithinPartitions("t", "bits", "salt", "kind")
+    found = dealt.transform(batchwise(run, "query_fp bigint, near bigint"))
+    return found.groupBy("query_fp").agg(F.sum("near").alias("near"))
+
+
+def with_neighbours(rows: DataFrame, every: int = 20, key: str = "doc_id", radius: int = 3) -> DataFrame:
+    """Rows of edited_and_next with `near_fingerprints`: for keys that `every` divides, how many other distinct fingerprints are within the radius; else null."""
+    fp = F.conv("fingerprint", 16, -10).cast("long")
+    asks = F.col(key) % every == 0
+    fps = rows.select(fp.alias("fingerprint"), asks.alias("asks"))
+    found = count_within(fps, fps.where("asks"), radius)
+    return rows.withColumn("_fp", F.when(asks, fp)).join(found, F.col("_fp") == F.col("query_fp"), "left").withColumn("near_fingerprints", F.when(asks, F.coalesce("near", F.lit(0)))).drop("_fp", "query_fp", "near")
 
 
 def edited_and_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
