@@ -1,11 +1,17 @@
 """Main text of web pages by minimum cut.
 
-A page becomes a row of text blocks (runs of text between block-level tags). A classifier gives each
-block a log-odds of being content, from its place in the document, its tag and attribute words, its
-share of linked text, its length and its punctuation; these become capacities to the two terminals.
-Neighbouring blocks, and blocks of the same parent element, are tied by smoothness edges whose
-capacity grows with the ancestors they share. The minimum cut is the labelling of least total cost;
-the content side, in page order, is the text.
+A page becomes a row of text blocks (runs of text between block-level tags) and the elements around
+them that tell their role by tag or by class words: a menu, a footer, an article. A classifier gives
+each block a log-odds of being content from its own text and tag; it is a logistic regression, fitted on
+a bounded sample of pages whose markup leaves no doubt about a block. The log-odds, bounded, are the
+block's capacities to the two terminals. An element's capacity comes from its tag and its own words,
+and grows with the blocks it holds. Smoothness edges tie neighbouring blocks, more so under one parent,
+and each block and element to the nearest element with a role around it. The minimum cut is the
+labelling of least total cost; the content side, in page order, is the text.
+
+Words weigh on the element that carries them only, whole class names before their parts; parts are a
+hint that the text within can outvote. An element around most of the page's text is a wrapper,
+whose words say little.
 """
 
 from __future__ import annotations
@@ -15,9 +21,12 @@ import re
 from collections import deque
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import batchwise, spread
+
 # Element names of HTML by what they do to text.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
@@ -25,107 +34,179 @@ BLOCK_TAGS = frozenset(
 RAW_TAGS = frozenset("script style template iframe noembed xmp svg annotation annotation-xml textarea".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that an opening tag of the key's kind ends, if the nearest open block is one of them.
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "tbody": {"tr", "td", "th", "thead"}, "thead": {"tr", "td", "th"}, "tfoot": {"tr", "td", "th", "tbody"}, "body": {"head"}}
-#: Elements whose verdict an article or main within them doesn't overrule.
-APART = frozenset("nav footer aside menu header dialog select search head title".split())
-# Log-odds of the classifier.
-PRIOR = -0.4
-TAG_ODDS = {"article": 3.0, "main": 2.5, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "menu": -9.0, "header": -9.0, "dialog": -9.0, "select": -9.0, "fieldset": -9.0, "search": -9.0, "head": -30.0, "title": -30.0, "button": -9.0, "h1": 1.0, "h2": 0.6, "h3": 0.4, "p": 0.8, "blockquote": 0.8, "pre": 0.8, "li": -0.3}
+ENDS = {
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"},
+    "tbody": {"tr", "td", "th", "thead"}, "thead": {"tr", "td", "th"}, "tfoot": {"tr", "td", "th", "tbody"}, "body": {"head"},
+}
+# Elements, roles and class words that tell what they hold.
+CONTENT_TAGS = frozenset("article main".split())
+APART = CONTENT_TAGS | frozenset("nav footer aside menu header dialog select search head title".split())
+BOILERPLATE_TAGS = frozenset("nav footer aside menu header dialog select search form fieldset button head title".split())
+ROLES = {"main": 1, "article": 1, "navigation": -1, "banner": -1, "contentinfo": -1, "complementary": -1, "search": -1, "dialog": -1, "alert": -1, "menu": -1, "menubar": -1, "form": -1}
 CONTENT_WORDS = frozenset("article content entry story post main maincontent mainbody articlebody postbody text prose".split())
 BOILERPLATE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar header masthead topbar footer foot bottombar sidebar side rail aside widget comment comments discussion disqus replies reply respond cookie cookies consent gdpr notice notification alert disclaimer warning popup modal overlay share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager login signin signup register subscribe subscription newsletter form search skip copyright legal tags toolbar hidden".split()
+    (
+        "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar header masthead topbar footer foot bottombar sidebar side rail aside widget "
+        "comment comments discussion disqus replies reply respond cookie cookies consent gdpr notice notification alert disclaimer warning popup modal overlay share sharing social related recommended recommendations "
+        "breadcrumb breadcrumbs pagination pager login signin signup register subscribe subscription newsletter form search skip copyright legal tags toolbar hidden"
+    ).split()
 )
-WORD_ODDS = {"content": 1.5, "boilerplate": -8.0}
-LINK_ODDS, LENGTH_ODDS, STOP_ODDS = -4.0, 1.5, 0.5
+#: Capacity of a role for each block within, of a hint, and of what a wrapper says.
+ROLE, HINT, WRAPPER = 8.0, 5.0, 1.0
+#: Ties: a block to the role around it, to a hint, an element to the role around it, neighbours under one parent and other neighbours.
+TIE, HINT_TIE, NESTED, SIBLINGS, NEIGHBOURS = 5.0, 2.5, 1.5, 0.75, 0.35
+#: Bound of a block's own log-odds: below TIE by more than its neighbours can add.
+MOST = 3.0
+#: Pages that the classifier is fitted on, and blocks of each, at most.
+FIT_PAGES, FIT_BLOCKS = 400, 200
 LONG_WORDS = 20
-# Smoothness capacities.
-ADJACENT, PROXIMITY = 0.25, 0.75
+FEATURES = ("bias", "linked", "length", "stop", "heading", "prose", "item")
+#: Weights before fitting, and without any labelled block.
+PRIOR = np.array([-0.4, -4.0, 1.5, 0.5, 0.6, 0.8, -0.3])
+#: Strength of the penalty that keeps weights near PRIOR: those of tags hardly move, since the pages whose markup is certain use tags otherwise than others do.
+RIDGE = np.array([20.0, 20.0, 20.0, 20.0, 1e5, 1e5, 1e5])
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+@dataclass
+class Element:
+    """An element with a role (or a hint of one): sign, and where it is."""
+
+    sign: int
+    around: int  # nearest element of this kind around it, -1 if none
+    certain: bool
+    softens: str = ""  # "words" or "form": what an element around most of the text loses
+    blocks: int = 0
+    chars: int = 0
+    titled: bool = False  # holds a h1 or an element of content
+
+
 @dataclass
 class Block:
-    path: tuple[int, ...]
-    odds: float
+    parent: int  # number of the block-level element directly around it
+    tag: str
+    element: int  # nearest element with a role or hint, -1 if none
+    hints: tuple[int, ...] = ()
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
-    forms: tuple[int, ...] = ()  # forms whose log-odds count
 
 
-def _passed(stack: list[tuple[str, int, float]]) -> tuple[float, tuple[int, ...]]:
-    """What open elements pass on to their text, and the forms that count in it.
+def _role(tag: str, attrs: str, around: int = 0, apart: bool = False) -> tuple[int, bool, str]:
+    """(sign, certain, softens) of an element; sign 0 tells nothing.
 
-    The outermost article or main (unless its own words lower it) overrules what is around it but
-    APART elements; one within another overrules forms only.
+    around: sign of the nearest certain element around it; within boilerplate, words of content say
+    nothing, and an article only if it is not apart (within another article, a menu or the like).
     """
-    total, apart, inner, forms = 0.0, 0.0, False, {}
-    for tag, number, odds in stack:
-        if tag in ("article", "main") and odds >= 0:
-            total -= sum(forms.values())
-            forms = {}
-            if not inner:
-                total, inner = apart, True
-        if tag in APART:
-            apart += odds
-        if tag in ("form", "fieldset"):
-            forms[number] = odds
-        total += odds
-    return total, tuple(forms)
-
-
-def _attribute_odds(attrs: str) -> float:
-    words: set[str] = set()
+    sign, certain, softens = _said(tag, attrs, around > 0)
+    if sign > 0 and (apart if tag in CONTENT_TAGS else around < 0):
+        return 0, True, ""
+    return sign, certain, softens
+
+
+def _said(tag: str, attrs: str, inside_content: bool) -> tuple[int, bool, str]:
+    sign, certain, softens = 0, True, ""
+    if tag in CONTENT_TAGS:
+        sign = 1
+    elif tag in BOILERPLATE_TAGS and not (tag == "header" and inside_content):
+        sign, softens = -1, "form" if tag in ("form", "fieldset") else "words" if tag == "header" else ""
+    if not attrs or tag in ("html", "body"):  # words there tell pages apart, not the texts within one
+        return sign, certain, softens
+    tokens: set[str] = set()
     for name, *values in _ATTR.findall(attrs):
         value, name = "".join(values), name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return WORD_ODDS["boilerplate"]
-        if name in ("class", "id", "role"):
-            words.update(w.lower() for w in _WORDS.findall(value))
-    if words & BOILERPLATE_WORDS:
-        return WORD_ODDS["boilerplate"]
-    return WORD_ODDS["content"] if words & CONTENT_WORDS else 0.0
-
-
-def blocks(page: str) -> list[Block]:
-    """The page's text blocks in order, with their log-odds; never fails on broken markup."""
-    stack: list[tuple[str, int, float]] = []  # block elements: tag, number, log-odds that it passes on
-    inline: list[tuple[str, float, Block | None]] = []  # open inline elements with a bearing (and those of their tag within): the block that goes on after them
-    out: list[Block] = []
-    wraps: dict[int, float] = {}  # forms and what they say
+            return -1, True, ""
+        if name == "role" and value.lower() in ROLES:
+            return ROLES[value.lower()], True, ""
+        if name in ("class", "id"):
+            tokens.update(value.split())
+    whole = {t.lower() for t in tokens}
+    said = bool(whole & CONTENT_WORDS) - bool(whole & BOILERPLATE_WORDS)
+    if said:
+        if tag in BOILERPLATE_TAGS and said > 0:  # a menu stays one, whatever it is called
+            return sign, certain, softens
+        return said, True, "words" if said < 0 else softens
+    if sign or whole & CONTENT_WORDS:
+        return sign, certain, softens
+    named = [{w.lower() for w in _WORDS.findall(t)} for t in tokens]
+    parts = set().union(*named)
+    hint = bool(parts & CONTENT_WORDS) - bool(parts & BOILERPLATE_WORDS)
+    # a name of such words only says as much as one of them
+    certain = hint < 0 and any(n and n <= BOILERPLATE_WORDS for n in named)
+    return hint, certain, "words" if certain else ""
+
+
+def parse(page: str) -> tuple[list[Block], list[Element]]:
+    """The page's text blocks in order and the elements with a role or hint; never fails on broken markup.
+
+    One pass: a tag that is never closed swallows the rest, as the HTML standard has it.
+    """
+    blocks: list[Block] = []
+    elements: list[Element] = []
+    stack: list[tuple[str, int, int, tuple[int, ...], int, bool]] = [("", 0, -1, (), 0, False)]  # tag, number, element, hints, its sign, apart
+    inline: list[tuple[str, int, Block | None]] = []  # open inline elements with a bearing (and those of their tag within): element, the block that goes on after them
     count, at, links, lowered = 0, 0, 0, None
+    current: Block | None = None
+
+    def enter(tag: str, attrs: str, around: tuple) -> tuple[int, tuple[int, ...], int, bool]:
+        """Element, hints, sign and whether it is apart, within a new element."""
+        _, _, element, hints, own, apart = around
+        sign, certain, softens = _role(tag, attrs, own, apart)
+        apart |= tag in APART and not (tag == "header" and sign >= 0)
+        if not sign:
+            return element, hints, own, apart
+        elements.append(Element(sign, element, certain, softens))
+        number = len(elements) - 1
+        if certain:
+            return number, (), sign, apart
+        return element, (*hints[-3:], number), own, apart
 
     def text(piece: str) -> None:
         nonlocal current
         if not piece or piece.isspace() and current is None:
             return
         if current is None:
-            # what the innermost article says outweighs a header within it
-            odds, forms = _passed(stack)
-            current = Block(tuple(n for _, n, _ in stack), PRIOR + odds + sum(o for _, o, _ in inline), forms=forms)
-            out.append(current)
+            tag, number, element, hints, *_ = stack[-1]
+            for _, e, _ in inline:
+                if e >= 0:
+                    element, hints = e, ()
+            current = Block(number, tag, element, hints)
+            blocks.append(current)
         piece = html_lib.unescape(piece) if "&" in piece else piece
         current.pieces.append(piece)
         if links:
             current.linked += len(piece.strip())
 
-    current: Block | None = None
     while at < len(page):
-        m = _TOKEN.search(page, at)
-        if m is None:
+        start = page.find("<", at)
+        if start < 0:
             text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        nxt = page[start + 1 : start + 3]
+        letter = nxt[:1] == "/" and nxt[1:2].isalpha() or nxt[:1].isalpha()
+        if not letter and nxt[:1] not in ("!", "?", "/"):
+            text(page[at : start + 1])
+            at = start + 1
             continue
+        text(page[at:start])
+        if not letter:  # comments, declarations and what is treated as a comment
+            end, size = (page.find("-->", start + 4), 3) if page.startswith("<!--", start) else (page.find(">", start), 1)
+            if end < 0:
+                break
+            at = end + size
+            continue
+        m = _TAG.match(page, start)
+        if m is None:
+            break
+        at = m.end()
         tag, closing = m[2].lower(), bool(m[1])
         if tag in RAW_TAGS:
             if not closing and not m[3].endswith("/"):
-                lowered = lowered or page.lower() if page.isascii() else _lower_ascii(page, lowered)
+                lowered = lowered if lowered is not None else page.lower() if page.isascii() else _lower_ascii(page)
                 stop = lowered.find(f"</{tag}", at)
                 at = len(page) if stop < 0 else stop
             continue
@@ -139,92 +220,114 @@ def blocks(page: str) -> list[Block]:
             if closing:
                 for i in range(len(inline) - 1, -1, -1):
                     if inline[i][0] == tag:
-                        _, odds, before = inline.pop(i)
-                        if odds < 0 and i < len(inline):  # badly nested: those left open go on
+                        _, e, before = inline.pop(i)
+                        if e >= 0 and i < len(inline):  # badly nested: those left open go on
                             inline[i], current = (*inline[i][:2], before), None
-                        elif odds < 0:
+                        elif e >= 0:
                             current = before
                         break
             elif tag not in VOID_TAGS and (m[3] or tag == "button" or inline):
-                odds = min(0.0, _attribute_odds(m[3]) + TAG_ODDS.get(tag, 0.0))
-                if odds < 0:
-                    inline.append((tag, odds, current))
+                sign, certain, _ = _role(tag, m[3])
+                if sign < 0 and certain:
+                    around = next((e for _, e, _ in reversed(inline) if e >= 0), stack[-1][2])
+                    elements.append(Element(-1, around, True))
+                    inline.append((tag, len(elements) - 1, current))
                     current = None
                 elif any(t == tag for t, _, _ in inline):
-                    inline.append((tag, odds, None))
+                    inline.append((tag, -1, None))
             continue
         current = None
         links = 0
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
                     inline.clear()
                     break
             continue
-        if stack and stack[-1][0] == "p":
+        if stack[-1][0] == "p":
             stack.pop()
             inline.clear()
-        while stack and stack[-1][0] in ENDS.get(tag, ()):
+        while stack[-1][0] in ENDS.get(tag, ()):
             stack.pop()
             inline.clear()
         if tag not in VOID_TAGS:
             count += 1
-            odds = TAG_ODDS.get(tag, 0.0)
-            if tag == "header" and any(t in ("article", "main") for t, _, _ in stack):
-                odds = 0.0
-            if tag == "article" and any(t == "article" for t, _, _ in stack):
-                odds = 0.0
-            # words on html and body tell pages apart, not the texts within one
-            odds += _attribute_odds(m[3]) if m[3] and tag not in ("html", "body") else 0.0
-            stack.append((tag, count, odds))
-            if tag in ("form", "fieldset"):
-                wraps[count] = odds
+            stack.append((tag, count, *enter(tag, m[3], stack[-1])))
+            if tag == "h1" or tag in CONTENT_TAGS:
+                e = stack[-1][2]
+                for h in (*stack[-1][3], *([e] if e >= 0 else [])):
+                    elements[h].titled = True
     kept = []
-    for b in out:
+    for b in blocks:
         b.text = " ".join("".join(b.pieces).split())
         if b.text:
-            n = len(b.text)
-            words = b.text.count(" ") + 1
-            b.odds += LINK_ODDS * min(1.0, b.linked / n) + LENGTH_ODDS * min(1.0, words / LONG_WORDS) + (STOP_ODDS if b.text[-1] in ".!?…:;\"”»" else 0.0)
             kept.append(b)
-    # a form around most of the page's text is no form to fill in
-    if wraps:
-        size = dict.fromkeys(wraps, 0)
-        for b in kept:
-            for f in wraps.keys() & set(b.path):
-                size[f] += len(b.text)
-        most = sum(len(b.text) for b in kept if b.odds > TAG_ODDS["head"] / 2) / 2
-        for b in kept:
-            b.odds -= sum(wraps[f] for f in b.forms if size[f] > most)
-    return kept
-
-
-def _lower_ascii(page: str, lowered: str | None) -> str:
+            for e in (b.element, *b.hints):
+                if e >= 0:
+                    elements[e].blocks += 1
+                    elements[e].chars += len(b.text)
+    # an element holds what those within it hold; they come after it
+    for e in range(len(elements) - 1, -1, -1):
+        around = elements[e].around
+        if around >= 0:
+            if elements[e].certain:
+                elements[around].blocks += elements[e].blocks
+                elements[around].chars += elements[e].chars
+            elements[around].titled |= elements[e].titled
+    return kept, elements
+
+
+def _lower_ascii(page: str) -> str:
     """Lower case that keeps every position."""
-    return lowered or re.sub(r"[A-Z]+", lambda m: m[0].lower(), page)
-
-
-def edges(bs: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness edges: neighbours, and the next block of the same parent."""
-    out, last = [], {}
-    for j, b in enumerate(bs):
-        parent = b.path[:-1]
-        if j:
-            a = bs[j - 1]
-            shared = 0
-            for x, y in zip(a.path, b.path, strict=False):
-                if x != y:
-                    break
-                shared += 1
-            out.append((j - 1, j, ADJACENT + PROXIMITY * shared / max(1, len(a.path), len(b.path))))
-        i = last.get(parent)
-        if i is not None and i < j - 1:
-            out.append((i, j, PROXIMITY))
-        last[parent] = j
+    return re.sub(r"[A-Z]+", lambda m: m[0].lower(), page)
+
+
+def features(b: Block) -> list[float]:
+    words = b.text.count(" ") + 1
+    heading, prose = b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), b.tag in ("p", "blockquote", "pre")
+    return [1.0, min(1.0, b.linked / len(b.text)), min(1.0, words / LONG_WORDS), float(b.text[-1] in ".!?…:;\"”»"), float(heading), float(prose), float(b.tag in ("li", "dt", "dd", "td", "th", "option"))]
+
+
+def capacities(elements: list[Element], chars: int) -> list[float]:
+    """Each element's capacity, by sign: with its blocks for a role, small for hints and wrappers."""
+    out = []
+    for e in elements:
+        most = 2 * e.chars > chars
+        if not e.certain:
+            out.append(e.sign * (WRAPPER if most else HINT))
+        elif e.sign < 0 and most and (e.softens == "form" or e.softens == "words" and e.titled):
+            out.append(-WRAPPER)
+        else:
+            out.append(e.sign * ROLE * max(1, e.blocks))
     return out
 
 
+def network(blocks: list[Block], elements: list[Element], odds: list[float]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Capacities of blocks, then of elements, to the terminals, and the smoothness edges between them."""
+    n, said = len(blocks), capacities(elements, sum(len(b.text) for b in blocks))
+    ties: list[tuple[int, int, float]] = []
+    soft = [e.certain and abs(c) <= WRAPPER for e, c in zip(elements, said, strict=True)]
+
+    def nearest(e: int) -> int:
+        while e >= 0 and soft[e]:  # a wrapper passes on what is around it
+            e = elements[e].around
+        return e
+
+    for i, b in enumerate(blocks):
+        if i:
+            ties.append((i - 1, i, SIBLINGS if b.parent == blocks[i - 1].parent else NEIGHBOURS))
+        e = nearest(b.element)
+        if e >= 0:
+            ties.append((i, n + e, TIE))
+        ties += [(i, n + h, HINT_TIE) for h in b.hints]
+    for k, e in enumerate(elements):
+        around = nearest(e.around)
+        if around >= 0:
+            ties.append((n + k, n + around, NESTED))
+    return [max(-MOST, min(MOST, o)) for o in odds] + said, ties
+
+
 def minimum_cut(odds: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
     """True for the content side of the minimum cut (undecided blocks go to boilerplate).
 
@@ -312,14 +415,85 @@ def minimum_cut(odds: list[float], ties: list[tuple[int, int, float]]) -> list[b
     return [bool(x) for x in label]
 
 
-def main_text(page: str) -> str:
-    bs = blocks(page)
-    keep = minimum_cut([b.odds for b in bs], edges(bs))
-    return "\n".join(b.text for b, k in zip(bs, keep, strict=True) if k)
+def labels(blocks: list[Block], elements: list[Element], weights: np.ndarray = PRIOR) -> list[bool]:
+    """True for the blocks on the content side of the minimum cut."""
+    if not blocks:
+        return []
+    odds = (np.array([features(b) for b in blocks]) @ weights).tolist()
+    return minimum_cut(*network(blocks, elements, odds))[: len(blocks)]
+
+
+def main_text(page: str, weights: np.ndarray = PRIOR) -> str:
+    blocks, elements = parse(page)
+    return "\n".join(b.text for b, k in zip(blocks, labels(blocks, elements, weights), strict=True) if k)
+
+
+def certain_blocks(page: str) -> tuple[list[list[float]], list[bool]]:
+    """Features and labels of blocks whose nearest role leaves no doubt; evenly drawn, FIT_BLOCKS at most."""
+    blocks, elements = parse(page)
+    said = capacities(elements, sum(len(b.text) for b in blocks))
+    sure = [b for b in blocks if b.element >= 0 and abs(said[b.element]) > WRAPPER and b.tag not in ("title", "head")]
+    if len(sure) > FIT_BLOCKS:
+        sure = [sure[i * len(sure) // FIT_BLOCKS] for i in range(FIT_BLOCKS)]
+    return [features(b) for b in sure], [elements[b.element].sign > 0 for b in sure]
+
+
+def regress(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic regression by Newton steps, with a penalty on the distance from PRIOR; both classes weigh alike."""
+    w = PRIOR.copy()
+    if not y.any() or y.all():
+        return w
+    weight = np.where(y, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (weight * (p - y)) + RIDGE * (w - PRIOR)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(RIDGE), grad)
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
 
+def fit(pages: DataFrame, key: str = "page_id", body: str = "html") -> np.ndarray:
+    """Weights of the block classifier, from about FIT_PAGES pages drawn by a hash of their key and url or body.
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
-    """Rows (key, url, text, n_chars), one for each row; '' and 0 if there is no content or the body is null."""
+    Only blocks whose role the markup leaves no doubt about are learned from. Without any of both kinds the
+    weights are PRIOR, as for an empty table.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            xs, ys = [], []
+            for page in batch.column(0).to_pylist():
+                x, y = certain_blocks(page)
+                xs += x
+                ys += y
+            yield pa.RecordBatch.from_arrays([pa.array([np.array(xs, np.float32).tobytes()]), pa.array([np.array(ys, bool).tobytes()])], names=["x", "y"])
+
+    n = pages.count()
+    if not n:
+        return PRIOR.copy()
+    share = min(1.0, FIT_PAGES / n)
+    drawn = F.pmod(F.xxhash64(F.col(key).cast("string"), F.octet_length(body)), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = pages.where(F.col(body).isNotNull() & drawn).select(F.col(body).cast("string").alias("h")).limit(2 * FIT_PAGES)
+    rows = sample.transform(batchwise(run, "x binary, y binary")).collect()
+    x = np.concatenate([np.zeros((0, len(FEATURES))), *(np.frombuffer(r["x"], np.float32).reshape(-1, len(FEATURES)) for r in rows)])
+    y = np.concatenate([np.zeros(0, bool), *(np.frombuffer(r["y"], bool) for r in rows)])
+    order = np.lexsort((*x.T, y))  # sums alike whatever order the rows come in
+    return regress(x[order], y[order])
+
+
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html", weights: np.ndarray | None = None) -> DataFrame:
+    """Rows (key, url, text, n_chars), one for each row; '' and 0 if there is no content or the body is null or empty.
+
+    weights: of the block classifier; fitted on the pages themselves unless given. Keys and urls may be
+    null or repeat: each row is extracted on its own, and equal bodies have equal texts. A block whose
+    two sides of the cut cost the same is boilerplate. A very long page is parsed in one pass, by
+    itself. An empty table gives no rows. Other columns are ignored.
+    """
+    learned = fit(pages, key, body) if weights is None else weights
 
     def run(batches):
         import pyarrow as pa
@@ -327,9 +501,9 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", body: str
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                texts = [main_text(h or "") for h in part.column(2).to_pylist()]
+                texts = [main_text(h or "", learned) for h in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["k", "u", "text", "n_chars"])
 
     kind = pages.schema[key].dataType.simpleString()
-    rows = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u"), F.col(body).cast("string").alias("h"))
-    return rows.mapInArrow(run, f"k {kind}, u string, text string, n_chars bigint").withColumnsRenamed({"k": key, "u": url})
+    rows = spread(pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u"), F.col(body).cast("string").alias("h")))
+    return rows.transform(batchwise(run, f"k {kind}, u string, text string, n_chars bigint")).withColumnsRenamed({"k": key, "u": url})
