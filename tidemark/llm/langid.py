@@ -129,6 +129,20 @@ class LanguageModel:
         return out
 
 
+def plain_prediction(model: LanguageModel, text: str) -> tuple[str, float]:
+    """What predict gives for one text, word by word and n-gram by n-gram; for tests."""
+    score, n = np.zeros(len(model.bias)), 0
+    for word in words_of(text):
+        for b in ngram_buckets([word])[1]:
+            score, n = score + model.weights[b], n + 1
+    if not n:
+        return UNDETERMINED, 0.0
+    z = (score / n + model.bias) / model.temperature
+    p = np.exp(z - z.max())
+    p /= p.sum()
+    return model.languages[int(p.argmax())], float(p.max())
+
+
 def train_mask(key: Column) -> Column:
     """Rows that may be learned from: crc32 of the key as text is not 2 modulo 4."""
     return F.coalesce(F.crc32(key.cast("string")) % 4 != 2, F.lit(True))
@@ -266,9 +280,12 @@ def fit(
 
 
 def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (key, keep..., lang_pred, score) for every whole text; 'und' with score 0 if it is null or has no letter.
+    """Rows (key, keep..., lang_pred, score), one for each row; 'und' with score 0 if its text is null or has no letter.
 
-    score: calibrated probability of the predicted language. Lang, source and key are not inputs.
+    score: calibrated probability of the predicted language; of equally probable ones the first by name
+    is predicted. Lang, source and key are not inputs, so rows that repeat a text are predicted alike.
+    A text is scored whole, a very long one by itself. A model without languages finds all undetermined.
+    An empty table gives no rows. Other columns than those in `keep` are ignored, whatever their names.
     """
     if not model.languages:
         return docs.select(key, *keep, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))

@@ -289,9 +289,11 @@ def write(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", tok
 
 
 def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
-    """Rows (key, start, n_tokens, ids_crc32) of the stored documents; each is read by random access.
+    """Rows (key, start, n_tokens, ids_crc32), one for each stored document; each is read by random access.
 
     start: ids of all documents before it, in file order. ids_crc32: of its ids in 4 little-endian bytes.
+    Keys are null or repeat as they were written; a document of a null or empty text has its end id.
+    An empty store gives no rows.
     """
 
     def run(batches):
