@@ -52,6 +52,18 @@ def test_files_to_landmarks_and_back(spark, tmp_path):
     assert dense["s0"].per_second == dense["s0"].landmarks / 8 and dense["none"].landmarks == 0 and dense["none"].per_second == 0
 
 
+def test_landmark_cache(spark, tmp_path):
+    rows = [(k, str(i), wav(x)) for i, (k, x) in enumerate(songs().items())] + [("bad", "9", b"junk")]
+    files = spark.createDataFrame(rows, "track_id string, sha256 string, content binary")
+    at = "file://" + str(tmp_path / "cache")
+    first, hits = audio.cached_landmarks(files.where("track_id <> 's2'"), at)
+    want = sorted(map(tuple, audio.landmarks(files.select("track_id", "content")).collect()))
+    assert hits == 0 and sorted(map(tuple, first.collect())) == [w for w in want if w[0] != "s2"]
+    again, hits = audio.cached_landmarks(files, at)
+    assert hits == 3 and sorted(map(tuple, again.collect())) == want
+    assert audio.cached_landmarks(files, at, LandmarkConfig(fan_out=2))[1] == 0
+
+
 def test_stored_index_refusals(spark, tmp_path):
     marks = spark.createDataFrame([(k % 7, f"t{k % 3}", k) for k in range(40)], "hash long, track_id string, anchor_frame int")
     path = str(tmp_path / "ix")

@@ -4,6 +4,7 @@ import hashlib
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import store as st
 
@@ -64,3 +65,36 @@ def test_catalog_delete_takes_children(spark):
     cats = spark.createDataFrame([("a",), ("b",)], "catalog_id string")
     rest, kids = st.delete_catalog(cats, {"t": spark.createDataFrame([("a", 1), ("b", 2)], "catalog_id string, n int")}, "a")
     assert [r.catalog_id for r in rest.collect()] == ["b"] and [r.n for r in kids["t"].collect()] == [2]
+
+
+def test_manifest_and_negative_set_round_trips(spark, tmp_path):
+    from tidemark.sources import files
+
+    track = files.TRACK[len("struct<") : -1].replace(":", " ")
+    rows = [("b", "p", "b" * 64, "s", "CC-BY", "u", 1.5, 10, "T", None, "g", None, False), ("a", "q", "a" * 64, "s", "CC0-1.0", "u", 2.5, 20, None, "A", "g", None, True)]
+    at = str(tmp_path / "m")
+    files.save_manifest(spark.createDataFrame(rows, track), at)
+    got = files.manifest(spark, at).collect()
+    assert [tuple(r)[2:] for r in got] == sorted(rows) and got[0].content_hash == hashlib.sha256(json.dumps([["a", "a" * 64], ["b", "b" * 64]]).encode()).hexdigest()
+    kinds = [k[len("array<struct<") : -2].replace(":", " ") for k in (files.SOURCE, files.EXCERPTS)]
+    sources = [("t", "p", "c" * 64, 9.0, "CC0-1.0", "u", "s", None, None, "T", "fetched")]
+    excerpts = [("q2", "music", "t", 4.0, 3.0, "evaluation", None), ("q1", "music", "t", 1.0, 3.0, "evaluation", None)]
+    files.save_negative_set(spark.createDataFrame(sources, kinds[0]), spark.createDataFrame(excerpts, kinds[1]), str(tmp_path / "n"))
+    s, e = files.negative_set(spark, str(tmp_path / "n"))
+    assert list(map(tuple, s.collect())) == sources and list(map(tuple, e.collect())) == sorted(excerpts)
+
+
+def test_detectors_are_judged_one_by_one(spark):
+    from tidemark.operators import items as it
+    from tidemark.operators import reports as rp
+
+    def detector(content):
+        if bytes(content) == b"boom":
+            raise RuntimeError("no sound")
+        return {"bpm": 120 if bytes(content) == b"ok" else "fast", "key": "Db minor", "timings": {"bpm_ms": 1.5, "key_ms": -1}}
+
+    items = spark.createDataFrame([("a", b"ok"), ("b", b"boom"), ("c", b"odd")], "track_id string, content binary")
+    rows = rp.run_detector(items, detector).withColumns({"b": it.bpm_prediction(F.col("bpm")), "k": it.key_prediction(F.col("key")), "t": it.timings(F.col("timings"))}).collect()
+    got = {r.track_id: (r.b.value, r.k.value, r.t.valid, r.t.unavailable, r.error) for r in rows}
+    assert got["a"] == (120.0, "C# minor", {"bpm_ms": 1.5}, ["key_ms"], None)
+    assert got["b"][:2] == (None, None) and got["b"][4].startswith("RuntimeError") and got["c"][0] is None and got["c"][1] == "C# minor"

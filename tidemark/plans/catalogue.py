@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cascades, evaluation, items, negatives, recognition, relations, service
+from . import cascades, evaluation, items, negatives, recognition, relations, reports, service
 
 FLAGSHIP = "identify"
-_GROUPS = (recognition, evaluation, relations, service, negatives, cascades, items)
+_GROUPS = (recognition, evaluation, relations, service, negatives, cascades, items, reports)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for g in _GROUPS for k, f in g.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for g in _GROUPS for k, s in g.ORACLE_SQL.items()}

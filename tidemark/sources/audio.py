@@ -184,6 +184,31 @@ def landmarks(files: DataFrame, cfg: LandmarkConfig = LandmarkConfig()) -> DataF
     return lm.pair_peaks(lm.density_caps(found, cfg).select("track_id", "frame", "freq_bin"), cfg)
 
 
+def config_digest(cfg: LandmarkConfig = LandmarkConfig()) -> str:
+    """What a cache entry was made with."""
+    return hashlib.sha256(repr((cfg, RATE, N_FFT, HOP, LOW_HZ, HIGH_HZ)).encode()).hexdigest()[:16]
+
+
+def cached_landmarks(files: DataFrame, cache: str, cfg: LandmarkConfig = LandmarkConfig()) -> tuple[DataFrame, int]:
+    """Landmarks of (track_id, sha256, content), and how many files the cache had.
+
+    The cache is Parquet by configuration: a row for each file's content hash with its landmarks. Files
+    that it lacks are analysed and appended; an unreadable file is kept as one without landmarks, so that it
+    isn't tried again.
+    """
+    spark, at = files.sparkSession, f"{cache}/config={config_digest(cfg)}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(at)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    kind = "sha256 string, marks array<struct<hash:bigint,anchor_frame:int>>"
+    held = spark.read.schema(kind).parquet(at) if there else spark.createDataFrame([], kind)
+    fresh = files.dropDuplicates(["sha256"]).join(held.select("sha256"), "sha256", "left_anti")
+    found = landmarks(fresh.select(F.col("sha256").alias("track_id"), "content"), cfg).groupBy(F.col("track_id").alias("sha256")).agg(F.collect_list(F.struct(F.col("hash"), F.col("anchor_frame").cast("int").alias("anchor_frame"))).alias("marks"))
+    hits = files.join(held.select("sha256"), "sha256", "left_semi").count()
+    fresh.select("sha256").join(found, "sha256", "left").write.mode("append").parquet(at)
+    rows = files.select("track_id", "sha256").join(spark.read.schema(kind).parquet(at).dropDuplicates(["sha256"]), "sha256")
+    return rows.select("track_id", F.explode("marks").alias("m")).select("track_id", "m.hash", "m.anchor_frame"), hits
+
+
 def density(marks: DataFrame, durations: DataFrame) -> DataFrame:
     """(track_id, landmarks, per_second, bytes) of tracks (track_id, duration_sec): 12 bytes a posting; 0 a second without duration."""
     n = marks.groupBy("track_id").agg(F.count(F.lit(1)).alias("landmarks"))

@@ -26,6 +26,45 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("version", "content_hash", F.explode("tracks").alias("t")).select("version", "content_hash", "t.*")
 
 
+SOURCE = "array<struct<track_id:string,path:string,sha256:string,duration_sec:double,license:string,license_url:string,source:string,source_url:string,artist:string,title:string,origin:string>>"
+EXCERPTS = "array<struct<query_id:string,category:string,source_track:string,start_sec:double,duration:double,split:string,rendered_path:string>>"
+
+
+def _one_object(row: DataFrame, path: str) -> None:
+    """One row as one JSON object in one file; nulls are kept."""
+    row.select(F.to_json(F.struct(*row.columns), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("errorifexists").text(path)
+
+
+def save_manifest(tracks: DataFrame, path: str, version: int = 1) -> None:
+    """A corpus manifest: one JSON object with its tracks in order of id, counts by licence, and the content hash.
+
+    The format holds all tracks in one object, so they are gathered; store.save_catalog writes lines instead.
+    """
+    from tidemark.operators.store import pair_hash
+
+    names = [f.split(":")[0] for f in TRACK[len("struct<") : -1].split(",")]
+    digest = pair_hash(tracks.withColumn("c", F.lit("")), "c", "track_id", "sha256").select("content_hash")
+    counts = tracks.groupBy("license").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("license", "n")))).alias("license_counts"))
+    whole = tracks.agg(F.array_sort(F.collect_list(F.struct(*names))).alias("tracks"), F.count(F.lit(1)).alias("track_count"))
+    _one_object(whole.crossJoin(F.broadcast(digest)).crossJoin(F.broadcast(counts)).select(F.lit(version).alias("version"), "content_hash", "track_count", "license_counts", "tracks"), path)
+
+
+def save_negative_set(sources: DataFrame, excerpts: DataFrame, path: str) -> None:
+    """A negative set as one JSON object: sources, excerpts, and their counts by category and by split."""
+    columns = lambda kind: [f.split(":")[0] for f in kind[len("array<struct<") : -2].split(",")]
+    s = sources.agg(F.array_sort(F.collect_list(F.struct(*columns(SOURCE)))).alias("sources"), F.count(F.lit(1)).alias("source_count"))
+    e = excerpts.agg(F.array_sort(F.collect_list(F.struct(*columns(EXCERPTS)))).alias("excerpts"), F.count(F.lit(1)).alias("excerpt_count"))
+    per = lambda c: excerpts.groupBy(c).agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "n")))).alias(f"counts_by_{c}"))
+    row = s.crossJoin(F.broadcast(e)).crossJoin(F.broadcast(per("category"))).crossJoin(F.broadcast(per("split")))
+    _one_object(row.withColumn("version", F.lit(1)), path)
+
+
+def negative_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Sources and excerpts of a negative set; unknown fields are dropped."""
+    whole = spark.read.schema(f"version int, sources {SOURCE}, excerpts {EXCERPTS}").option("multiLine", "true").json(path)
+    return whole.select(F.explode("sources").alias("s")).select("s.*"), whole.select(F.explode("excerpts").alias("e")).select("e.*")
+
+
 def annotation_sheet(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a CSV sheet without its comment block, header, and rows that are blank or only commas."""
     lines = spark.read.text(path).where(~F.ltrim("value").startswith("#") & ~F.ltrim("value").startswith('"#') & ~F.col("value").rlike(r"^[\s,]*$") & ~F.col("value").startswith("track_id,"))
