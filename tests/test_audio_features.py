@@ -112,6 +112,14 @@ def test_degradations():
     assert len(up) == len(x) and power(up[2000:-2000], 880) > 3 * power(up[2000:-2000], 440)
 
 
+def test_synthetic_negatives_have_no_landmarks_of_songs(spark):
+    from tidemark.operators import negatives as ng
+
+    made = {r.query_id: audio.decode_wav(bytes(r.content))[0] for r in audio.synthetic_audio(ng.synthetic_plan(spark)).collect()}
+    assert len(made) == 12 and len(made["synthetic__negative_silence__d3s__digital"]) == 3 * audio.RATE and not made["synthetic__negative_silence__d10s__digital"].any()
+    assert abs(np.std(made["synthetic__negative_noise_white__d5s__w"]) - 0.1) < 0.01 and np.std(made["synthetic__negative_near_silence__d5s__dither"]) < 2e-4
+
+
 def test_features(spark):
     tone = np.sin(2 * np.pi * 440 * np.arange(30000) / audio.RATE)
     assert audio.features(tone).shape == (96,) and np.isfinite(audio.features(tone)).all() and audio.features(np.zeros(9000)) is None and audio.features(tone[:100]) is None

@@ -74,6 +74,17 @@ def positive_plan(tracks: DataFrame) -> DataFrame:
     return rows.select(qid.alias("query_id"), "track_id", "duration", "position", "condition", "family", start.alias("start_sec"), F.col("sha256").alias("source_hash"), seed_of(qid).alias("seed"))
 
 
+#: Synthetic negatives, their tag and the loudness of their noise.
+SYNTHETIC = (("negative_silence", "digital", 0.0), ("negative_near_silence", "dither", 1e-4), ("negative_noise_white", "w", 0.1), ("negative_noise_pink", "p", 0.1))
+
+
+def synthetic_plan(spark) -> DataFrame:
+    """Silence and noise by duration: (query_id, condition, duration, level, seed). Speech needs a synthesizer and is left out."""
+    grid = spark.createDataFrame([(c, t, level, d) for c, t, level in SYNTHETIC for d in DURATIONS], "condition string, tag string, level double, duration double")
+    qid = F.concat(F.lit("synthetic__"), "condition", F.lit("__d"), shown_seconds(F.col("duration")), F.lit("s__"), "tag")
+    return grid.select(qid.alias("query_id"), "condition", "duration", "level", seed_of(qid).alias("seed"))
+
+
 def first_of_each(rows: DataFrame, key: str, digest: str, base: str) -> DataFrame:
     """Adds verdict: kept, 'digest' or 'base', as going through the rows in key order gives them.
 

@@ -26,6 +26,10 @@ def heldout(spark, d):
     return ng.heldout_plan(tracks(spark, d)).drop("source_hash")
 
 
+def synthetic(spark, d):
+    return ng.synthetic_plan(spark)
+
+
 def candidates(spark, d):
     k = F.col("p_partkey")
     return table(spark, d, "part").select(
@@ -93,7 +97,7 @@ def broken_set(spark, d):
 
 
 QUERIES = {
-    "condition_matrix__Q1": conditions, "positive_plan__Q2": positive_plan, "heldout_plan__Q3": heldout, "screen_leakage__J10": screened, "screen_corpus__J11": corpus_screened, "first_targets__limit": target_tracks, "content_gate__Z6": gated_candidates,
+    "condition_matrix__Q1": conditions, "positive_plan__Q2": positive_plan, "heldout_plan__Q3": heldout, "synthetic_plan__Z8": synthetic, "screen_leakage__J10": screened, "screen_corpus__J11": corpus_screened, "first_targets__limit": target_tracks, "content_gate__Z6": gated_candidates,
     "negative_set__Z7_Q5": assembled, "set_counts__A32": set_counts, "verify_set__Q7_J15": broken_set,
 }
 
@@ -126,6 +130,8 @@ ORACLE_SQL = {
     "positive_plan__Q2": f"""WITH {_TRACKS}, {_GRID}, {_CONDS}, q AS (SELECT track_id, dur, condition, family, sec, pos FROM cond CROSS JOIN t CROSS JOIN g CROSS JOIN pl WHERE sec <= dur AND (family = 'clean' OR pos = 'middle') AND (family IN ('clean', 'codec', 'filter') OR condition LIKE 'noise_pink%' OR sec = 5)),
   i AS (SELECT track_id || '__' || condition || '__d' || sec || 's__' || pos AS query_id, * FROM q) SELECT query_id, track_id, sec::DOUBLE AS duration, pos AS position, condition, family, {_START} AS start_sec, {_SEED} AS seed FROM i""",
     "heldout_plan__Q3": f"WITH {_TRACKS}, {_GRID}, i AS (SELECT track_id || '__neg_music__d' || sec || 's__' || pos AS query_id, * FROM t CROSS JOIN g CROSS JOIN pl WHERE sec <= dur) SELECT query_id, track_id AS source_track, sec::DOUBLE AS duration, pos AS position, {_START} AS start_sec, {_SEED} AS seed FROM i",
+    "synthetic_plan__Z8": f"""WITH c AS (SELECT unnest(['silence', 'near_silence', 'noise_white', 'noise_pink']) AS c, unnest(['digital', 'dither', 'w', 'p']) AS t, unnest([0.0, 0.0001, 0.1, 0.1])::DOUBLE AS level), g AS (SELECT unnest([3, 5, 10]) AS sec),
+  i AS (SELECT 'synthetic__negative_' || c || '__d' || sec || 's__' || t AS query_id, 'negative_' || c AS condition, sec::DOUBLE AS duration, level FROM c CROSS JOIN g) SELECT query_id, condition, duration, level, {_SEED} AS seed FROM i""",
     "screen_leakage__J10": f"""WITH RECURSIVE {_SCREEN}, {_WALK.format(order='id', kind='VARCHAR', src='SELECT track_id AS id, sha AS d, base AS b FROM r WHERE reason IS NULL')}
   SELECT track_id, reason FROM r WHERE reason IS NOT NULL UNION ALL SELECT id, CASE verdict WHEN 'd' THEN 'digest of another candidate' WHEN 'b' THEN 'id family of another candidate' ELSE 'kept' END FROM w WHERE i > 0""",
     "screen_corpus__J11": f"""WITH RECURSIVE {_FETCH}, {_FWALK}

@@ -267,6 +267,21 @@ def shift_pitch(x: np.ndarray, semitones: float, frame: int = 1024) -> np.ndarra
     return (out / weight)[: len(x)]
 
 
+def synthetic_audio(plan: DataFrame) -> DataFrame:
+    """(query_id, content) of a plan (query_id, condition, duration, level, seed) of silence and noise, as PCM-16 files."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for condition, seconds, level, seed in zip(batch["condition"], batch["duration"], batch["level"], batch["seed"], strict=True):
+                n = int(RATE * seconds)
+                noise = pink_noise(n, seed) if condition.endswith("pink") else np.random.default_rng(seed).standard_normal(n)
+                out.append(encode_wav(noise * level))
+            yield pd.DataFrame({"query_id": batch["query_id"], "content": out})
+
+    return plan.select("query_id", "condition", "duration", "level", "seed").mapInPandas(run, "query_id string, content binary")
+
+
 # ---- features of a whole signal ----
 
 
