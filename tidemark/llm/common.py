@@ -6,6 +6,7 @@ import math
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -18,6 +19,8 @@ __all__ = ["checkpointed", "release", "shared_dir", "spread", "table"]
 
 #: Characters of text that a Python worker handles at once (a longer single text is handled alone).
 CHUNK_CHARS = 2_000_000
+#: New words that are computed at once.
+MAKE_WORDS = 16384
 #: Bytes of an Arrow batch.
 BATCH_BYTES = 4 << 20
 #: Quantiles of the order column that are asked for at most; beyond, buckets grow, and are still streamed.
@@ -45,6 +48,17 @@ def trimmed(run: Callable) -> Callable:
     return out
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for the jobs that run within; then it is as it was."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def batchwise(run: Callable, schema: str) -> Callable[[DataFrame], DataFrame]:
     """mapInArrow over batches of about BATCH_BYTES (or one row), for DataFrame.transform.
 
@@ -161,7 +175,8 @@ class Runs:
         miss = np.flatnonzero(at < 0)
         if len(miss):
             new, first = np.unique(key[miss], return_index=True)
-            self.add(new, self.make(words(miss[first])))
+            for lo in range(0, len(new), MAKE_WORDS):
+                self.add(new[lo : lo + MAKE_WORDS], self.make(words(miss[first[lo : lo + MAKE_WORDS]])))
             at[miss] = self.find(key[miss])
         return at
 
@@ -308,7 +323,7 @@ def packed_in_order(df: DataFrame, key: str, text: str, plan: OrderPlan, sentine
             )
 
     spark = df.sparkSession
-    rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
+    rows = spread(df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")))
     return (
         rows.transform(batchwise(pack, "bucket int, late boolean, k long, packed binary"))
         .repartition(max(parts(spark), n), "bucket")

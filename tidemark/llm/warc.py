@@ -21,12 +21,14 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batchwise, shared_dir
+from .common import batchwise, setting, shared_dir
 
 END = "\r\n\r\n"
 #: The member that ends a record; its bytes stand in no member of a record in UTF-8 but by chance of 2^-192.
 END_MEMBER = gzip.compress(END.encode(), mtime=0)
 _TEXT = {"lineSep": END_MEMBER.decode("latin-1"), "encoding": "ISO-8859-1"}
+#: Shuffled payloads of one writing task, about: they are sorted and made into records in its memory.
+TASK_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -117,7 +119,8 @@ def write(caps: DataFrame, path: str) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     packed = records(caps).transform(batchwise(pack, "value binary"))
-    packed.select(F.col("value").cast("string").alias("value")).write.options(**_TEXT).text(path)
+    with setting(caps.sparkSession, "spark.sql.adaptive.advisoryPartitionSizeInBytes", str(TASK_BYTES)):
+        packed.select(F.col("value").cast("string").alias("value")).write.options(**_TEXT).text(path)
 
 
 _LENGTH = re.compile(rb"\r\nContent-Length: *(\d+)", re.I)
