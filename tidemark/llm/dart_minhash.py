@@ -225,7 +225,7 @@ def _packed(docs: DataFrame, text: str) -> DataFrame:
                 texts = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(list(texts), pa.binary()), pa.array([press((t or "").encode()) for t in texts.values()], pa.binary())], names=["tid", "z"])
 
-    return docs.select(text_id(text).alias("tid"), F.col(text).cast("string").alias("t")).transform(batchwise(run, "tid binary, z binary"))
+    return spread(docs.select(text_id(text).alias("tid"), F.col(text).cast("string").alias("t"))).transform(batchwise(run, "tid binary, z binary"))
 
 
 def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:

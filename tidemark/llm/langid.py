@@ -180,7 +180,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()]), pa.array([n], pa.int64())], names=["df", "n"])
 
     kind = "df binary, n bigint"
-    rows = texts.transform(batchwise(count, kind)).repartition(16).transform(batchwise(add, kind)).collect()
+    rows = spread(texts).transform(batchwise(count, kind)).repartition(16).transform(batchwise(add, kind)).collect()
     return sum((np.frombuffer(r["df"], np.int64) for r in rows), np.zeros(BUCKETS, np.int64)), sum(r["n"] for r in rows)
 
 
@@ -305,6 +305,6 @@ def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: st
                 got = model.predict([t or "" for t in batch.column(at).to_pylist()], known)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*(f"c{i}" for i in range(kept)), "lang_pred", "score"])
 
-    rows = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(cols)))
+    rows = spread(docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(cols))))
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(cols[:kept]))
     return rows.transform(batchwise(run, f"{kinds}, lang_pred string, score double")).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(cols[:kept])), "lang_pred", "score")

@@ -29,14 +29,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batchwise, mix64, parts, powers, shared_dir
+from .common import batchwise, mix64, parts, powers, shared_dir, spread
 
 MATCH = 50
 ANCHOR = 20
 #: Text of one index partition, and of one partition of documents, on average.
-PARTITION_BYTES = 12 << 20
+PARTITION_BYTES = 8 << 20
 #: A task sends what it gathered once it has read so much text.
-FLUSH_BYTES = 10 << 20
+FLUSH_BYTES = 8 << 20
 #: Text that is hashed at once (a longer single document is hashed alone).
 STEP_BYTES = 1 << 18
 #: Stands for a null id: larger than every other.
@@ -539,7 +539,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     equal to each other). Texts of fewer than MATCH bytes stay whole. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)))
+    rows = spread(docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep))))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(parts(spark), math.ceil(total / PARTITION_BYTES))
     path = shared_dir(spark, "suffix-answers")
