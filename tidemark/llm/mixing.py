@@ -61,7 +61,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, key: str = "doc_id",
     of its source's target times its size, plus its part of the last, incomplete epoch. The document
     at which a budget ends is cut there, so each source takes the whole part of its target.
     weights: optional (doc_id, weight), clipped to WEIGHTS; missing ones are 1. Rows of equal keys
-    and equal size in a source share their order and are summed by row. An empty table gives no rows.
+    and equal size in a source share their order and are summed by row; null keys are equal here, and null
+    sources are one source, the last. A null or empty text has size 0 and is not taken; a very long one counts
+    whole. An empty table gives no rows. Other columns than those in `keep` are ignored.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)))
     kept = [f"c{i}" for i in range(len(keep))]
