@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, dart_minhash, html_cut, langid, mixing, piece_codec, simhash, suffix_dedup, token_store, warc
+from . import ann, byte_pieces, dart_minhash, html_cut, langid, mixing, piece_codec, simhash, suffix_dedup, token_align, token_store, warc, whitening
 from .common import shared_dir, table
 
 
@@ -59,6 +59,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.with_neighbours(spark.read.parquet(path))
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.link_statistics(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_byte_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pieces.digests(byte_pieces.encode_decode(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_piece_codec": op2_piece_codec,
@@ -70,5 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_cut": op8_html_cut,
     "op9_token_store": op9_token_store,
     "op10_simhash": op10_simhash,
+    "op11_token_align": op11_token_align,
+    "op12_whitening": op12_whitening,
+    "op13_byte_pieces": op13_byte_pieces,
 }
 ORACLE_SQL: dict[str, str] = {"op3_source_mix": mixing.ORACLE_SQL}
