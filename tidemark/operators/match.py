@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import MatchConfig
-from tidemark.session import small
+from tidemark.session import fits, small, stored
 
 
 def query_landmarks(landmarks: DataFrame) -> DataFrame:
@@ -26,27 +28,38 @@ def probe(queries: DataFrame, landmarks: DataFrame) -> DataFrame:
     return hits.withColumn("offset", F.col("frame") - F.col("q_frame"))
 
 
-def alignments(hits: DataFrame, cfg: MatchConfig = MatchConfig(), by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+def alignments(hits: DataFrame, cfg: MatchConfig = MatchConfig(), by: tuple[str, ...] = ("query_id",), second: bool = False, dealt: bool = False) -> DataFrame:
     """For each query (by) and track_id: score, best_offset, best_offset_count, lo, hi, total_hits, matched_query_landmarks.
 
     The window [v - tolerance, v] with most distinct query landmarks, then most hits, then least v;
     only offsets that occur need to be tried as its end, since one that doesn't sees no more than the
     last one below it. best_offset is the window's most frequent offset (the least of several).
-    Hits move once, to their query and track; the rest happens there: hits of equal offset become one
-    row with the query landmarks it saw, and a frame of the tolerance's width looks back over them.
+    With `second` also second_best_score and second_best_offset, of the densest window among the hits
+    outside [lo - tolerance, hi + tolerance]; null where there are none.
+    Hits move once, to their query and track (not at all if they are `dealt` so already); the rest
+    happens there: hits of equal offset become one row with the query landmarks it saw, and a frame of
+    the tolerance's width looks back over them. The second window's frames look back over the outer rows only.
     """
     keys = [*by, "track_id"]
-    frame = Window.partitionBy(*keys).orderBy("offset").rangeBetween(-cfg.validate().tolerance, 0)
+    t = cfg.validate().tolerance
     distinct = lambda lists: F.size(F.array_distinct(F.flatten(lists))).cast("long")
-    per = hits.repartition(*keys).groupBy(*keys, "offset").agg(F.count(F.lit(1)).alias("n"), F.collect_set("qidx").alias("seen"))
-    modal = F.max(F.struct("n", (-F.col("offset")).alias("o"))).over(frame)["o"]
-    ends = per.select(
-        *keys, "n", "seen", F.struct(distinct(F.collect_list("seen").over(frame)).alias("d"), F.sum("n").over(frame).alias("h"), (-F.col("offset")).alias("v"), F.min("offset").over(frame).alias("lo"), modal.alias("o")).alias("end"),
-    )
-    best = ends.groupBy(*keys).agg(F.max("end").alias("b"), F.sum("n").alias("total_hits"), distinct(F.collect_list("seen")).alias("matched_query_landmarks"))
-    return best.select(
-        *keys, F.col("b.d").alias("score"), F.col("b.h").alias("best_offset_count"), (-F.col("b.o")).alias("best_offset"), F.col("b.lo").alias("lo"), (-F.col("b.v")).alias("hi"), "total_hits", "matched_query_landmarks",
-    )
+
+    def end(*among: str):
+        frame = Window.partitionBy(*keys, *among).orderBy("offset").rangeBetween(-t, 0)
+        modal = F.max(F.struct("n", (-F.col("offset")).alias("o"))).over(frame)["o"]
+        return F.struct(distinct(F.collect_list("seen").over(frame)).alias("d"), F.sum("n").over(frame).alias("h"), (-F.col("offset")).alias("v"), F.min("offset").over(frame).alias("lo"), modal.alias("o"))
+
+    per = (hits if dealt else hits.repartition(*keys)).groupBy(*keys, "offset").agg(F.count(F.lit(1)).alias("n"), F.collect_set("qidx").alias("seen"))
+    ends = per.select(*keys, "offset", "n", "seen", end().alias("end"))
+    made = [F.max("end").alias("b"), F.sum("n").alias("total_hits"), distinct(F.collect_list("seen")).alias("matched_query_landmarks")]
+    out = [F.col("b.d").alias("score"), F.col("b.h").alias("best_offset_count"), (-F.col("b.o")).alias("best_offset"), F.col("b.lo").alias("lo"), (-F.col("b.v")).alias("hi"), "total_hits", "matched_query_landmarks"]
+    if second:
+        first = F.max("end").over(Window.partitionBy(*keys))
+        ends = ends.withColumn("first", first).withColumn("outer", (F.col("offset") < F.col("first.lo") - t) | (F.col("offset") > t - F.col("first.v")))
+        ends = ends.withColumn("again", F.when(F.col("outer"), end("outer")))
+        made.append(F.max("again").alias("c"))
+        out += [F.col("c.d").alias("second_best_score"), (-F.col("c.o")).alias("second_best_offset")]
+    return ends.groupBy(*keys).agg(*made).select(*keys, *out)
 
 
 def densest(hits: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
@@ -62,15 +75,98 @@ def query_totals(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_hits"), F.countDistinct("qidx").alias("matched_query_landmarks"))
 
 
-def second_best(hits: DataFrame, best: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
-    """The densest window outside [lo - tolerance, hi + tolerance] of the first: second_best_score, second_best_offset."""
-    t = cfg.tolerance
-    rest = hits.join(best.select("query_id", "track_id", "lo", "hi"), ["query_id", "track_id"]).where((F.col("offset") < F.col("lo") - t) | (F.col("offset") > F.col("hi") + t))
-    again = densest(rest, cfg)
-    return again.select("query_id", "track_id", F.col("score").alias("second_best_score"), F.col("best_offset").alias("second_best_offset"))
+def second_best(hits: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+    """Both densest windows of each (query_id, track_id), in one pass over the hits."""
+    return alignments(hits, cfg, second=True).drop("total_hits", "matched_query_landmarks")
 
 
-def rank(hits: DataFrame, cfg: MatchConfig = MatchConfig(), by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+def rank(hits: DataFrame, cfg: MatchConfig = MatchConfig(), by: tuple[str, ...] = ("query_id",), dealt: bool = False) -> DataFrame:
     """The candidates of each query by (-score, -hits, -matched, track_id), at most max_candidates."""
     order = Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("best_offset_count"), F.desc("matched_query_landmarks"), "track_id")
-    return alignments(hits, cfg, by).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.max_candidates)
+    return alignments(hits, cfg, by, dealt=dealt).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.max_candidates)
+
+
+#: Offsets in a coarse bucket; a window must fit into half of one.
+COARSE = 64
+
+
+def open_pairs(hits: DataFrame, cfg: MatchConfig = MatchConfig(), by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """(by, track_id, bound, most, total_hits, open) of each pair that has hits; open: it may still be among its query's first k.
+
+    Two series of coarse buckets of offsets overlap by half, so each window lies in one bucket, and the largest
+    bucket bounds a pair's score (distinct query landmarks) and its window's hits; all hits bound what it
+    matched. The k pairs of largest bounds are ranked exactly; the last of them is a floor, and a pair
+    whose bounds stand behind it in the ranking's own order can't be among the first k. A query of
+    fewer pairs has no floor. Hits are read more than once, so they should be a stored table.
+    """
+    keys = [*by, "track_id"]
+    width = max(COARSE, 4 * (cfg.validate().tolerance + 1))
+    cells = F.array(*(F.struct(F.lit(i).alias("series"), F.floor((F.col("offset") + i * width // 2) / width).alias("cell")) for i in range(2)))
+    dealt = hits.repartition(*keys).select(*keys, "qidx", F.explode(cells).alias("c"))
+    each = dealt.groupBy(*keys, "c").agg(F.size(F.collect_set("qidx")).cast("long").alias("d"), F.count(F.lit(1)).alias("n"))
+    bounds = stored(each.groupBy(*keys).agg(F.max("d").alias("bound"), F.max("n").alias("most"), F.sum(F.when(F.col("c.series") == 0, F.col("n")).otherwise(0)).alias("total_hits")), "bounds")
+    order = Window.partitionBy(*by).orderBy(F.desc("bound"), F.desc("most"), F.desc("total_hits"), "track_id")
+    first = bounds.withColumn("r", F.row_number().over(order)).where(F.col("r") <= cfg.max_candidates)
+    some, _, _, _, moved = _some(hits, first.select(*keys), keys, cfg, by)
+    last = rank(some, cfg, by, moved).where(F.col("rank") == cfg.max_candidates)
+    floors = last.select(*by, F.struct("score", "best_offset_count", "matched_query_landmarks").alias("floor"), F.col("track_id").alias("floor_track"))
+    top = F.struct(F.col("bound").alias("score"), F.col("most").alias("best_offset_count"), F.col("total_hits").alias("matched_query_landmarks"))
+    may = F.col("floor").isNull() | (top > F.col("floor")) | ((top == F.col("floor")) & (F.col("track_id") <= F.col("floor_track")))
+    return bounds.join(floors, list(by), "left").select(*keys, "bound", "most", "total_hits", may.alias("open"))
+
+
+def _some(hits: DataFrame, pairs: DataFrame, keys: list[str], cfg: MatchConfig, by: tuple[str, ...]) -> tuple:
+    """Arguments of alignments for the hits of these pairs: a join that isn't broadcast has dealt them already."""
+    few = fits(pairs)
+    return hits.join(F.broadcast(pairs) if few else pairs.hint("shuffle_merge"), keys, "left_semi"), cfg, by, False, not few
+
+
+def bounded_rank(hits: DataFrame, cfg: MatchConfig = MatchConfig(), by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """What rank gives, with windows built only for pairs whose bound reaches the query's k-th score; hits are found once."""
+    keys = [*by, "track_id"]
+    held = stored(hits, "hits")
+    wanted = stored(open_pairs(held, cfg, by).where("open").select(*keys), "open")
+    some, _, _, _, dealt = _some(held, wanted, keys, cfg, by)
+    return rank(some, cfg, by, dealt)
+
+
+#: A hash is hot if it has more than this share of a shuffle partition's fair part, and HOT_ROWS rows at least.
+HOT_SHARE = 0.25
+HOT_ROWS = 1 << 16
+
+
+def hot_hashes(rows: DataFrame, least: int = HOT_ROWS) -> tuple[DataFrame, int]:
+    """(hash, n) of hashes with more rows than the bound, and the bound: so at most 1 / HOT_SHARE of them for each shuffle partition.
+
+    One aggregate that combines on the map side; a key has 28 bits, which bounds its result.
+    """
+    counts = stored(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")), "hash-counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bound = max(least, math.ceil(HOT_SHARE * total / int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return stored(counts.where(F.col("n") > bound), "hot-hashes"), bound
+
+
+def split_sides(queries: DataFrame, landmarks: DataFrame, least: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Postings and query landmarks with cells (salt, q_salt): a hot hash becomes a grid, any other hash one cell.
+
+    A hash's postings are dealt to as many rows of the grid as they exceed the bound, by track and frame, since
+    one track may hold most of them; its query landmarks likewise to columns. Each posting meets each query
+    landmark of its hash in one cell.
+    """
+    (p, p_bound), (q, q_bound) = hot_hashes(landmarks, least), hot_hashes(queries, least)
+    side = lambda rows, bound, name: rows.select("hash", F.ceil(F.col("n") / bound).cast("int").alias(name))
+    hot = stored(side(p, p_bound, "p").join(side(q, q_bound, "q"), "hash", "full").select("hash", F.coalesce("p", F.lit(1)).alias("p"), F.coalesce("q", F.lit(1)).alias("q")), "hot")
+
+    def dealt(rows: DataFrame, own: str, own_salt: str, other: str, other_salt: str, *by: str) -> DataFrame:
+        marked = rows.join(small(hot), "hash", "left").fillna(1, ["p", "q"])
+        cells = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        return marked.withColumn(own_salt, F.pmod(F.xxhash64(*by), F.col(own)).cast("int")).withColumn(other_salt, cells).drop("p", "q")
+
+    return dealt(landmarks, "p", "salt", "q", "q_salt", "track_id", "anchor_frame"), dealt(queries, "q", "q_salt", "p", "salt", "query_id", "qidx")
+
+
+def probe_split(queries: DataFrame, landmarks: DataFrame, least: int = HOT_ROWS) -> DataFrame:
+    """What probe gives when the queries are too many to broadcast: no hash is one task, on either side."""
+    a, b = split_sides(queries.select("query_id", "qidx", "hash", F.col("anchor_frame").alias("q_frame")), landmarks, least)
+    found = a.join(b.hint("shuffle_merge"), ["hash", "salt", "q_salt"]).select("query_id", "track_id", "qidx", F.col("anchor_frame").alias("frame"), "q_frame")
+    return found.withColumn("offset", F.col("frame") - F.col("q_frame"))

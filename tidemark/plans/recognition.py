@@ -10,7 +10,9 @@ from tidemark.operators import decide as dec
 from tidemark.operators import index as ix
 from tidemark.operators import landmarks as lm
 from tidemark.operators import match as mt
-from tidemark.session import checkpointed, shared_dir, small, spread, table
+from tidemark.operators import rates as rt
+from tidemark.operators.levels import LevelIndex
+from tidemark.session import shared_dir, small, spread, stored, table
 
 CASCADE = CascadeConfig()
 ANALYSIS = AnalysisConfig()
@@ -38,7 +40,11 @@ def longs(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def landmark_pairs(spark, d):
-    return catalog(spark, d).groupBy("track_id").agg(F.count(F.lit(1)).alias("landmarks"), F.sum("hash").alias("hash_sum"), F.min("hash").alias("hash_min"), F.max("hash").alias("hash_max"), F.sum("anchor_frame").alias("anchor_sum"))
+    return landmark_sums(catalog(spark, d))
+
+
+def landmark_sums(landmarks: DataFrame) -> DataFrame:
+    return landmarks.groupBy("track_id").agg(F.count(F.lit(1)).alias("landmarks"), F.sum("hash").alias("hash_sum"), F.min("hash").alias("hash_min"), F.max("hash").alias("hash_max"), F.sum("anchor_frame").alias("anchor_sum"))
 
 
 def landmark_unpack(spark, d):
@@ -114,10 +120,27 @@ def match_totals(spark, d):
 
 
 def second_best(spark, d):
-    h = hits(spark, d)
-    best = mt.densest(h)
-    out = best.join(mt.second_best(h, best), ["query_id", "track_id"], "left")
-    return longs(out.fillna(0, ["second_best_score"]), "best_offset", "second_best_offset").select("query_id", "track_id", "score", "best_offset", "second_best_score", "second_best_offset", (F.col("score") - F.col("second_best_score")).alias("cluster_margin"))
+    out = mt.second_best(hits(spark, d)).fillna(0, ["second_best_score"])
+    return longs(out, "best_offset", "second_best_offset").select("query_id", "track_id", "score", "best_offset", "second_best_score", "second_best_offset", (F.col("score") - F.col("second_best_score")).alias("cluster_margin"))
+
+
+def bounded_rank(spark, d):
+    return match_columns(mt.bounded_rank(hits(spark, d)))
+
+
+def expanded_pairs(spark, d):
+    """How many of each query's candidates have their windows built."""
+    pairs = mt.open_pairs(stored(hits(spark, d), "hits"))
+    return pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("open").cast("long")).alias("expanded"))
+
+
+#: Rows from which a hash is split here: low, so that small tables have hot hashes too.
+SPLIT_ROWS = 64
+
+
+def split_rank(spark, d):
+    """Candidates by a probe that shuffles both sides, with hot hashes dealt over a grid."""
+    return match_columns(mt.rank(mt.probe_split(excerpts(spark, d), catalog(spark, d), SPLIT_ROWS)))
 
 
 def identify(spark, d):
@@ -137,22 +160,6 @@ def gate(spark, d):
     return rows.select("query_id", value.alias("gate_value"), (value >= CASCADE.gate).alias("gate_passed"))
 
 
-def rated(hits: DataFrame, rates: tuple[float, ...]) -> DataFrame:
-    """Hits at each rate (percent): the query's anchor frames are divided by 1 + rate / 100 and rounded down.
-
-    The analogue on landmark streams of resampling the signal. Only anchors are scaled: the frame
-    difference in a landmark's key stays, so every rate meets the same postings and a rate shifts offsets only.
-    """
-    rows = hits.withColumn("rate", F.explode(F.array(*(F.lit(r) for r in rates))))
-    return rows.withColumn("offset", F.col("frame") - F.floor(F.col("q_frame") / (1 + F.col("rate") / 100)).cast("long"))
-
-
-def hypotheses(hits: DataFrame, rates: tuple[float, ...], sizes: DataFrame) -> DataFrame:
-    """The first candidate of each query and rate, with its evidence: score over the query's landmarks."""
-    tops = mt.rank(rated(hits, rates), MatchConfig(max_candidates=1), ("query_id", "rate"))
-    return tops.join(sizes, "query_id").select("query_id", "rate", "track_id", "score", dec.ratio(F.col("score"), F.col("query_landmarks")).alias("evidence"))
-
-
 def first_stage(spark, d, found: DataFrame) -> DataFrame:
     """Each query's verdict at stage 1, its first candidate's concentration (the gate value) and score."""
     heads = headers(spark, d)
@@ -166,17 +173,32 @@ def first_stage(spark, d, found: DataFrame) -> DataFrame:
     )
 
 
+def of_open(queries: DataFrame, open_: DataFrame) -> DataFrame:
+    """Landmarks of the open queries only; what is open is a stored table, so its size is known."""
+    return queries.join(small(open_.select("query_id")), "query_id", "left_semi")
+
+
+#: Rates of the sweep and one that can't be played.
+SWEPT = (*CASCADE.rates, -100.0)
+
+
+def rate_sweep(spark, d):
+    """Every query that stage 1 leaves open at every rate, with the rate's own error."""
+    first = stored(first_stage(spark, d, hits(spark, d)), "first-stage")
+    return rt.hypotheses(of_open(excerpts(spark, d), first.where(~F.col("at_once"))), catalog(spark, d), SWEPT)
+
+
 def cascade(spark, d):
     """Queries that stage 1 leaves open against all rates; the best hypothesis, stage 1's as rate 0 among them, decides at stage 2.
 
-    Hits are found once; the open queries' ones are scaled. A match at stage 1 costs nothing more. NO_MATCH has no stage.
+    A match at stage 1 costs nothing more: only open queries' landmarks are paired anew and probed. NO_MATCH has no stage.
     """
-    found = hits(spark, d)
-    first = checkpointed(first_stage(spark, d, found))
+    first = stored(first_stage(spark, d, hits(spark, d)), "first-stage")
     open_ = first.where(~F.col("at_once"))
-    tried = hypotheses(found.join(F.broadcast(open_.select("query_id")), "query_id", "left_semi"), CASCADE.rates, open_.select("query_id", "query_landmarks"))
+    tried = rt.hypotheses(of_open(excerpts(spark, d), open_), catalog(spark, d), CASCADE.rates)
+    found = tried.where("error IS NULL AND track_id IS NOT NULL").select("query_id", "rate", "track_id", "score", "evidence")
     zero = open_.where("track_id IS NOT NULL").select("query_id", F.lit(0.0).alias("rate"), "track_id", F.col("aligned").alias("score"), "evidence")
-    best = dec.best_hypothesis(tried.unionByName(zero)).select("query_id", "rate", F.col("track_id").alias("best_track"), F.col("evidence").alias("best_evidence"), F.col("score").alias("best_aligned"))
+    best = dec.best_hypothesis(found.unionByName(zero)).select("query_id", "rate", F.col("track_id").alias("best_track"), F.col("evidence").alias("best_evidence"), F.col("score").alias("best_aligned"))
     ok = dec.accepted(F.col("best_evidence"), F.col("best_aligned"), CASCADE.stage2, CASCADE.min_aligned)
     once = F.col("at_once")
     return first.join(best, "query_id", "left").select(
@@ -200,20 +222,15 @@ def identify_gated(spark, d):
     A match at stage 1 passes no gate. A rejected query, wherever it was rejected, has rate 0 and its
     stage-1 evidence. Probes with too few aligned landmarks don't compete, nor does rate 0.
     """
-    found = hits(spark, d)
-    first = checkpointed(first_stage(spark, d, found))
-    open_ = first.where(~F.col("at_once") & (F.col("gate_value") >= CASCADE.gate))
-    mine = found.join(F.broadcast(open_.select("query_id")), "query_id", "left_semi")
-    early = F.col("q_frame") < CASCADE.probe_frames
-    n_early = lm.landmark_count(F.col("text"), CASCADE.probe_frames)
-    sizes = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), n_early.alias("query_landmarks"))
-    probes = hypotheses(mine.where(early), CASCADE.probe_rates, sizes).where(F.col("score") >= CASCADE.min_aligned)
-    probe = checkpointed(dec.best_hypothesis(probes).select("query_id", F.col("rate").alias("p_rate")))
-    # the whole query at the one rate that won: each hit is scaled once
-    again = mine.join(F.broadcast(probe), "query_id").withColumn("offset", F.col("frame") - F.floor(F.col("q_frame") / (1 + F.col("p_rate") / 100)).cast("long"))
-    full = mt.rank(again, MatchConfig(max_candidates=1)).select("query_id", F.col("track_id").alias("f_track"), F.col("score").alias("f_aligned"), F.col("best_offset").alias("f_offset"))
+    first = stored(first_stage(spark, d, hits(spark, d)), "first-stage")
+    mine = of_open(excerpts(spark, d), first.where(~F.col("at_once") & (F.col("gate_value") >= CASCADE.gate)))
+    probes = rt.hypotheses(mine.where(F.col("anchor_frame") < CASCADE.probe_frames), catalog(spark, d), CASCADE.probe_rates)
+    won = dec.best_hypothesis(probes.where((F.col("score") >= CASCADE.min_aligned) & F.col("error").isNull()))
+    probe = stored(won.select("query_id", F.col("rate").alias("p_rate")), "probes")
+    full = rt.at_rate(mine, catalog(spark, d), probe.withColumnRenamed("p_rate", "rate"))
+    full = full.select("query_id", F.col("track_id").alias("f_track"), F.col("score").alias("f_aligned"), F.col("query_landmarks").alias("f_size"), F.col("best_offset").alias("f_offset"))
     rows = first.join(probe, "query_id", "left").join(full, "query_id", "left")
-    once, f_evidence = F.col("at_once"), dec.ratio(F.col("f_aligned"), F.col("query_landmarks"))
+    once, f_evidence = F.col("at_once"), dec.ratio(F.col("f_aligned"), F.col("f_size"))
     tried, good = ~once & (F.col("gate_value") >= CASCADE.gate), F.col("p_rate").isNotNull()
     ok = good & dec.accepted(f_evidence, F.col("f_aligned"), CASCADE.stage2, CASCADE.min_aligned)
     return rows.select(
@@ -240,10 +257,38 @@ def service_identify(spark, d):
 
 
 def stored_index_rank(spark, d):
-    """Candidates by an index that was written, checked and read again."""
+    """Candidates by an index that was written, checked, and probed where its postings lie."""
+    path = shared_dir(spark, "index")
+    LevelIndex.create(spark, path).ingest(catalog(spark, d))
+    return match_columns(mt.rank(LevelIndex.open(spark, path, LandmarkConfig()).probe(excerpts(spark, d))))
+
+
+def grown_index(spark, d, path: str) -> LevelIndex:
+    """All documents in six ingests (by a hash of their id), one of them twice; toxic documents are taken down in between."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(6)))
+    index = LevelIndex.create(spark, path)
+    for batch in (0, 1, 2, 1, 3, 4, 5):
+        index = index.ingest(lm.token_landmarks(docs.where(F.col("batch") == batch), "doc_id", "text", "track_id"))
+    return index.delete(table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("track_id")))
+
+
+def incremental_index(spark, d):
+    """Every track's landmarks in an index that grew by ingests, merges and a deletion."""
     path = shared_dir(spark, "index")
-    ix.save(catalog(spark, d), path, "documents")
-    return match_columns(mt.rank(mt.probe(excerpts(spark, d), ix.load(spark, path, "documents", LandmarkConfig()))))
+    grown_index(spark, d, path)
+    return landmark_sums(LevelIndex.open(spark, path, LandmarkConfig()).postings())
+
+
+def index_segments(spark, d):
+    """The index is intact by leaves and footers; each segment's leaves are verified against its postings."""
+    path = shared_dir(spark, "index")
+    index = grown_index(spark, d, path)
+    bad = index.verify()
+    leaves = [spark.read.parquet(f"{path}/segments/{s.segment}/leaves").withColumn("level", F.lit(s.level)) for s in index.segments]
+    rows = leaves[0]
+    for other in leaves[1:]:
+        rows = rows.unionByName(other)
+    return rows.groupBy(F.col("level").cast("long").alias("level")).agg(F.sum("rows").alias("postings")).withColumn("differing", F.lit(len(bad)).cast("long"))
 
 
 def evidence_rows(spark, d):
@@ -342,18 +387,51 @@ QUERIES = {
     "match_rank__A1_W4": match_rank,
     "match_totals__A2_A3": match_totals,
     "second_best__A4": second_best,
+    "bounded_rank__A1": bounded_rank,
+    "expanded_pairs__A1": expanded_pairs,
+    "split_probe_rank__J1": split_rank,
     "runner_up_margin__W4": runner_up_margin,
     "gate__P4_D4": gate,
+    "rate_sweep__D3_X13": rate_sweep,
     "cascade_rates__D3": cascade,
     "gated_cascade__D4_D5": gated,
     "service_identify__D7_J5": service_identify,
     "stored_index_rank__S7_S8": stored_index_rank,
+    "incremental_index__S6_S7": incremental_index,
+    "index_segments__S8_S14": index_segments,
     "evidence_rows__Z9": evidence_rows,
     "replay__Q8": replay,
     "identify_confusion__A15": identify_confusion,
 }
 
+_MATCH_RANK = f"{_RANKED} SELECT query_id, track_id, rank, score, best_offset, best_offset_count, total_hits, matched_query_landmarks FROM ranked"
 _GATE, _S1, _S2 = CASCADE.gate, CASCADE.stage1, CASCADE.stage2
+
+
+def _rated(rates: tuple[float, ...]) -> str:
+    """Query landmarks paired anew at each rate: both whole frame differences around the scaled one; how many have a key; their hits."""
+    scaled = "(hash & 255) / (1 + rate / 100)"
+    return f"""rates AS (SELECT unnest([{', '.join(map(str, rates))}])::DOUBLE AS rate),
+rk AS (SELECT DISTINCT query_id, qidx, rate, anchor_frame AS qf, floor(anchor_frame / (1 + rate / 100))::BIGINT AS rf, ((hash >> 8) << 8) | dt AS hash
+  FROM (SELECT q.*, rate, unnest([floor({scaled}), ceil({scaled})])::BIGINT AS dt FROM q CROSS JOIN rates WHERE rate > -100) WHERE dt BETWEEN 1 AND 255),
+rn AS (SELECT query_id, rate, count(DISTINCT qidx) AS n, count(DISTINCT qidx) FILTER (qf < {CASCADE.probe_frames}) AS n_early FROM rk GROUP BY ALL),
+rh AS (SELECT struct_pack(q := k.query_id, r := k.rate) AS query_id, p.track_id, k.qidx, k.qf, p.anchor_frame - k.rf AS off FROM rk k JOIN track_id_l p ON p.hash = k.hash)"""
+
+
+def _rated_best(src: str, name: str) -> str:
+    """The first candidate of each query and rate, as {name}1."""
+    return f"""{_densest(src, name + 'b')}, {name}t AS (SELECT query_id, track_id, count(DISTINCT qidx) AS m FROM {src} GROUP BY ALL),
+{name}1 AS (SELECT query_id.q AS query_id, query_id.r AS rate, track_id, score, best_offset FROM {name}b JOIN {name}t USING (query_id, track_id)
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_offset_count DESC, m DESC, track_id) = 1)"""
+
+
+_GATED = f"""{_RANKED}, {_rated(CASCADE.probe_rates)}, ph AS (SELECT query_id, track_id, qidx, off FROM rh WHERE qf < {CASCADE.probe_frames}), {_rated_best('ph', 'p')}, {_rated_best('rh', 'r')},
+p2 AS (SELECT query_id, rate, score FROM p1 JOIN rn USING (query_id, rate) WHERE score >= 5 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score::DOUBLE / n_early DESC, abs(rate), rate) = 1),
+f AS (SELECT dec.query_id, dec.track_id AS t1, coalesce(ev0, 0.0) AS e1, coalesce(aligned::DOUBLE / m, 0.0) >= {_GATE} AS gate_passed, coalesce(ev0 >= {_S1} AND aligned >= 5, FALSE) AS once,
+  p2.rate AS pr, r1.track_id AS ft, r1.score AS fa, r1.best_offset AS fo, dec.best_offset AS o1, r1.score::DOUBLE / rn.n AS fe
+  FROM dec LEFT JOIN p2 USING (query_id) LEFT JOIN r1 ON r1.query_id = dec.query_id AND r1.rate = p2.rate LEFT JOIN rn ON rn.query_id = dec.query_id AND rn.rate = p2.rate),
+g AS (SELECT *, NOT once AND gate_passed AS escalated, NOT once AND gate_passed AND pr IS NOT NULL AS probe_passed FROM f),
+a AS (SELECT *, probe_passed AND coalesce(fe >= {_S2} AND fa >= 5, FALSE) AS ok FROM g)"""
 ORACLE_SQL = {
     "identify": f"""{_RANKED} SELECT query_id, CASE WHEN ok THEN 'MATCH' ELSE 'NO_MATCH' END AS decision, CASE WHEN ok THEN track_id END AS track_id, coalesce(ev0, 0.0) AS evidence, aligned::BIGINT AS aligned,
   CASE WHEN ok THEN best_offset END::BIGINT AS best_offset, CASE WHEN ok THEN aligned::DOUBLE / m ELSE 0.0 END AS concentration, CASE WHEN ok THEN runner_up END AS runner_up,
@@ -373,45 +451,42 @@ ORACLE_SQL = {
     "hash_histogram__J2": f"WITH {_CAT} SELECT postings_per_hash, count(*) AS hashes FROM (SELECT hash, count(*) AS postings_per_hash FROM track_id_l GROUP BY 1) GROUP BY 1",
     "index_content_hash__A31": f"WITH {_CAT} SELECT track_id, count(*) AS row_count, sum(('0x' || substr(sha256(hash::VARCHAR || chr(31) || anchor_frame::VARCHAR), 1, 15))::BIGINT)::VARCHAR AS digest_sum FROM track_id_l GROUP BY 1",
     "probe_hits__J1": f"{_HITS} SELECT query_id, track_id, off::BIGINT AS \"offset\", count(*) AS hits FROM hits GROUP BY ALL",
-    "match_rank__A1_W4": f"{_RANKED} SELECT query_id, track_id, rank, score, best_offset, best_offset_count, total_hits, matched_query_landmarks FROM ranked",
+    "match_rank__A1_W4": _MATCH_RANK,
+    "bounded_rank__A1": _MATCH_RANK,
+    "split_probe_rank__J1": _MATCH_RANK,
+    "expanded_pairs__A1": f"""{_HITS}, {_densest('hits', 'best')}, {_TOTALS},
+  cel AS (SELECT query_id, track_id, i, floor((off + i * 32) / 64) AS c, count(DISTINCT qidx) AS d, count(*) AS n FROM hits CROSS JOIN (SELECT unnest([0, 1]) AS i) GROUP BY ALL),
+  bnd AS (SELECT query_id, track_id, max(d)::BIGINT AS d, max(n)::BIGINT AS n, (sum(n) FILTER (i = 0))::BIGINT AS t FROM cel GROUP BY ALL),
+  fst AS (SELECT * FROM bnd QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d DESC, n DESC, t DESC, track_id) <= 10),
+  flr AS (SELECT query_id, track_id AS ft, score AS fs, best_offset_count AS fc, matched_query_landmarks AS fm FROM fst JOIN best USING (query_id, track_id) JOIN tot USING (query_id, track_id)
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_offset_count DESC, matched_query_landmarks DESC, track_id) = 10)
+  SELECT query_id, count(*) AS pairs, count(*) FILTER (fs IS NULL OR d > fs OR (d = fs AND (n > fc OR (n = fc AND (t > fm OR (t = fm AND track_id <= ft)))))) AS expanded FROM bnd LEFT JOIN flr USING (query_id) GROUP BY 1""",
     "match_totals__A2_A3": f"{_HITS}, {_TOTALS} SELECT tot.*, (SELECT count(*) FROM hits h WHERE h.query_id = tot.query_id) AS query_hits, (SELECT count(DISTINCT qidx) FROM hits h WHERE h.query_id = tot.query_id) AS query_matched FROM tot",
     "second_best__A4": f"""{_HITS}, {_densest('hits', 'best')}, rest AS (SELECT h.* FROM hits h JOIN best b USING (query_id, track_id) WHERE h.off < b.lo - 2 OR h.off > b.hi + 2), {_densest('rest', 'nxt')}
   SELECT b.query_id, b.track_id, b.score, b.best_offset, coalesce(n.score, 0) AS second_best_score, n.best_offset AS second_best_offset, b.score - coalesce(n.score, 0) AS cluster_margin FROM best b LEFT JOIN nxt n USING (query_id, track_id)""",
     "runner_up_margin__W4": f"{_RANKED} SELECT query_id, track_id, score, runner_up, runner_up_score, score - runner_up_score AS margin FROM led WHERE rank = 1",
     "gate__P4_D4": f"{_RANKED} SELECT query_id, coalesce(aligned::DOUBLE / m, 0.0) AS gate_value, coalesce(aligned::DOUBLE / m, 0.0) >= {_GATE} AS gate_passed FROM dec",
-    "cascade_rates__D3": f"""{_RANKED}, rates AS (SELECT unnest([0.0, {', '.join(map(str, CASCADE.rates))}])::DOUBLE AS rate),
-  rh AS (SELECT struct_pack(q := q.query_id, r := rate) AS query_id, p.track_id, q.qidx, p.anchor_frame - floor(q.anchor_frame / (1 + rate / 100))::BIGINT AS off FROM q CROSS JOIN rates JOIN track_id_l p ON p.hash = q.hash), {_densest('rh', 'rb')},
-  rt AS (SELECT query_id, track_id, count(DISTINCT qidx) AS m FROM rh GROUP BY ALL),
-  r1 AS (SELECT query_id.q AS query_id, query_id.r AS rate, track_id, score FROM rb JOIN rt USING (query_id, track_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_offset_count DESC, m DESC, track_id) = 1),
-  r2 AS (SELECT r1.*, score::DOUBLE / query_landmarks AS evidence FROM r1 JOIN head USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score::DOUBLE / query_landmarks DESC, abs(rate), rate) = 1),
+    "rate_sweep__D3_X13": f"""{_RANKED}, {_rated(SWEPT)}, {_rated_best('rh', 'r')}
+  SELECT h.query_id, h.rate, r.track_id, coalesce(r.score, 0)::BIGINT AS score, coalesce(n.n, 0)::BIGINT AS query_landmarks, coalesce(r.score::DOUBLE / n.n, 0.0) AS evidence, r.best_offset::BIGINT AS best_offset,
+    CASE WHEN h.rate <= -100 THEN 'rate ' || h.rate::VARCHAR || '% is not a playable speed' END AS error
+  FROM (SELECT DISTINCT q.query_id, rate FROM q CROSS JOIN rates JOIN dec USING (query_id) WHERE NOT coalesce(ev0 >= {_S1} AND aligned >= 5, FALSE)) h
+  LEFT JOIN rn n USING (query_id, rate) LEFT JOIN r1 r USING (query_id, rate)""",
+    "cascade_rates__D3": f"""{_RANKED}, {_rated((0.0, *CASCADE.rates))}, {_rated_best('rh', 'r')},
+  r2 AS (SELECT r1.*, score::DOUBLE / n AS evidence FROM r1 JOIN rn USING (query_id, rate) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score::DOUBLE / n DESC, abs(rate), rate) = 1),
   f AS (SELECT dec.*, r2.rate, r2.track_id AS bt, r2.evidence, r2.score AS bs, coalesce(ev0 >= {_S1} AND aligned >= 5, FALSE) AS once, coalesce(r2.evidence >= {_S2} AND r2.score >= 5, FALSE) AS ok FROM dec LEFT JOIN r2 USING (query_id))
-  SELECT query_id, CASE WHEN once THEN 1 WHEN ok THEN 2 END::BIGINT AS stage, CASE WHEN once OR ok THEN 'MATCH' ELSE 'NO_MATCH' END AS decision, CASE WHEN once THEN track_id WHEN ok THEN bt END AS track_id,
-  CASE WHEN once THEN 0.0 ELSE coalesce(rate, 0.0) END::DOUBLE AS rate, CASE WHEN once THEN ev0 ELSE coalesce(evidence, ev0, 0.0) END AS evidence, (CASE WHEN once THEN aligned ELSE coalesce(bs, aligned) END)::BIGINT AS aligned FROM f""",
-    "gated_cascade__D4_D5": f"""{_RANKED}, rates AS (SELECT unnest([{', '.join(map(str, CASCADE.probe_rates))}])::DOUBLE AS rate),
-  rh AS (SELECT struct_pack(q := q.query_id, r := rate) AS query_id, p.track_id, q.qidx, q.anchor_frame AS qf, p.anchor_frame - floor(q.anchor_frame / (1 + rate / 100))::BIGINT AS off FROM q CROSS JOIN rates JOIN track_id_l p ON p.hash = q.hash),
-  ph AS (SELECT query_id, track_id, qidx, off FROM rh WHERE qf < {CASCADE.probe_frames}), {_densest('ph', 'pb')}, {_densest('rh', 'rb')},
-  pt AS (SELECT query_id, track_id, count(DISTINCT qidx) AS m FROM ph GROUP BY ALL), rt AS (SELECT query_id, track_id, count(DISTINCT qidx) AS m FROM rh GROUP BY ALL),
-  p1 AS (SELECT query_id.q AS query_id, query_id.r AS rate, score FROM pb JOIN pt USING (query_id, track_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_offset_count DESC, m DESC, track_id) = 1),
-  r1 AS (SELECT query_id.q AS query_id, query_id.r AS rate, track_id, score FROM rb JOIN rt USING (query_id, track_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_offset_count DESC, m DESC, track_id) = 1),
-  p2 AS (SELECT query_id, rate, score FROM p1 WHERE score >= 5 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, abs(rate), rate) = 1),
-  f AS (SELECT dec.query_id, dec.track_id AS t1, coalesce(ev0, 0.0) AS e1, coalesce(aligned::DOUBLE / m, 0.0) >= {_GATE} AS gate_passed, coalesce(ev0 >= {_S1} AND aligned >= 5, FALSE) AS once, p2.rate AS pr, p2.score AS pa, r1.track_id AS ft, r1.score AS fa, r1.score::DOUBLE / dec.query_landmarks AS fe
-    FROM dec LEFT JOIN p2 USING (query_id) LEFT JOIN r1 ON r1.query_id = dec.query_id AND r1.rate = p2.rate),
-  g AS (SELECT *, NOT once AND gate_passed AS escalated, NOT once AND gate_passed AND pr IS NOT NULL AS probe_passed FROM f)
-  SELECT query_id, escalated AS gate_passed, escalated, probe_passed, CASE WHEN once THEN 1 WHEN ok THEN 2 END::BIGINT AS stage, CASE WHEN once OR ok THEN 'MATCH' ELSE 'NO_MATCH' END AS decision, CASE WHEN once THEN t1 WHEN ok THEN ft END AS track_id, CASE WHEN ok THEN pr ELSE 0.0 END::DOUBLE AS rate,
-  CASE WHEN ok THEN fe ELSE e1 END AS evidence FROM (SELECT *, probe_passed AND coalesce(fe >= {_S2} AND fa >= 5, FALSE) AS ok FROM g)""",
-    "service_identify__D7_J5": f"""{_RANKED}, rates AS (SELECT unnest([{', '.join(map(str, CASCADE.probe_rates))}])::DOUBLE AS rate),
-  rh AS (SELECT struct_pack(q := q.query_id, r := rate) AS query_id, p.track_id, q.qidx, q.anchor_frame AS qf, p.anchor_frame - floor(q.anchor_frame / (1 + rate / 100))::BIGINT AS off FROM q CROSS JOIN rates JOIN track_id_l p ON p.hash = q.hash),
-  ph AS (SELECT query_id, track_id, qidx, off FROM rh WHERE qf < {CASCADE.probe_frames}), {_densest('ph', 'pb')}, {_densest('rh', 'rb')},
-  pt AS (SELECT query_id, track_id, count(DISTINCT qidx) AS m FROM ph GROUP BY ALL), rt AS (SELECT query_id, track_id, count(DISTINCT qidx) AS m FROM rh GROUP BY ALL),
-  p1 AS (SELECT query_id.q AS query_id, query_id.r AS rate, score FROM pb JOIN pt USING (query_id, track_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_offset_count DESC, m DESC, track_id) = 1),
-  r1 AS (SELECT query_id.q AS query_id, query_id.r AS rate, track_id, score, best_offset FROM rb JOIN rt USING (query_id, track_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_offset_count DESC, m DESC, track_id) = 1),
-  p2 AS (SELECT query_id, rate, score FROM p1 WHERE score >= 5 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, abs(rate), rate) = 1),
-  f AS (SELECT dec.query_id, dec.track_id AS t1, coalesce(ev0, 0.0) AS e1, coalesce(aligned::DOUBLE / m, 0.0) >= {_GATE} AS gate_passed, coalesce(ev0 >= {_S1} AND aligned >= 5, FALSE) AS once, p2.rate AS pr, p2.score AS pa, r1.track_id AS ft, r1.score AS fa, r1.best_offset AS fo, dec.best_offset AS o1, r1.score::DOUBLE / dec.query_landmarks AS fe
-    FROM dec LEFT JOIN p2 USING (query_id) LEFT JOIN r1 ON r1.query_id = dec.query_id AND r1.rate = p2.rate),
-  g AS (SELECT *, NOT once AND gate_passed AS escalated, NOT once AND gate_passed AND pr IS NOT NULL AS probe_passed FROM f),
-  a AS (SELECT *, probe_passed AND coalesce(fe >= {_S2} AND fa >= 5, FALSE) AS ok FROM g), b AS (SELECT query_id, CASE WHEN once OR ok THEN 'MATCH' ELSE 'NO_MATCH' END AS decision, CASE WHEN once THEN 1 WHEN ok THEN 2 END::BIGINT AS stage, CASE WHEN once THEN t1 WHEN ok THEN ft END AS track_id, CASE WHEN ok THEN pr ELSE 0.0 END::DOUBLE AS rate, CASE WHEN ok THEN fe ELSE e1 END AS evidence, CASE WHEN once THEN o1 WHEN ok THEN fo END AS o FROM a)
+  SELECT query_id, CASE WHEN once THEN 1 WHEN ok THEN 2 END::BIGINT AS stage, CASE WHEN once OR ok THEN 'MATCH' ELSE 'NO_MATCH' END AS decision,
+    CASE WHEN once THEN track_id WHEN ok THEN bt END AS track_id, CASE WHEN once THEN 0.0 ELSE coalesce(rate, 0.0) END::DOUBLE AS rate,
+    CASE WHEN once THEN ev0 ELSE coalesce(evidence, ev0, 0.0) END AS evidence, (CASE WHEN once THEN aligned ELSE coalesce(bs, aligned) END)::BIGINT AS aligned FROM f""",
+    "gated_cascade__D4_D5": f"""{_GATED}
+  SELECT query_id, escalated AS gate_passed, escalated, probe_passed, CASE WHEN once THEN 1 WHEN ok THEN 2 END::BIGINT AS stage, CASE WHEN once OR ok THEN 'MATCH' ELSE 'NO_MATCH' END AS decision,
+    CASE WHEN once THEN t1 WHEN ok THEN ft END AS track_id, CASE WHEN ok THEN pr ELSE 0.0 END::DOUBLE AS rate, CASE WHEN ok THEN fe ELSE e1 END AS evidence FROM a""",
+    "service_identify__D7_J5": f"""{_GATED},
+  b AS (SELECT query_id, CASE WHEN once OR ok THEN 'MATCH' ELSE 'NO_MATCH' END AS decision, CASE WHEN once THEN 1 WHEN ok THEN 2 END::BIGINT AS stage, CASE WHEN once THEN t1 WHEN ok THEN ft END AS track_id,
+    CASE WHEN ok THEN pr ELSE 0.0 END::DOUBLE AS rate, CASE WHEN ok THEN fe ELSE e1 END AS evidence, CASE WHEN once THEN o1 WHEN ok THEN fo END AS o FROM a)
   SELECT query_id, decision, stage, track_id, source, lang, rate, evidence, o * 128 / 11025.0::DOUBLE AS offset_seconds FROM b LEFT JOIN documents ON doc_id = track_id""",
-    "stored_index_rank__S7_S8": f"{_RANKED} SELECT query_id, track_id, rank, score, best_offset, best_offset_count, total_hits, matched_query_landmarks FROM ranked",
+    "stored_index_rank__S7_S8": _MATCH_RANK,
+    "incremental_index__S6_S7": f"""WITH {_CAT} SELECT track_id, count(*) AS landmarks, sum(hash)::BIGINT AS hash_sum, min(hash) AS hash_min, max(hash) AS hash_max, sum(anchor_frame)::BIGINT AS anchor_sum
+  FROM track_id_l WHERE track_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) GROUP BY track_id""",
     "evidence_rows__Z9": f"{_EVID} SELECT * FROM evid",
     "replay__Q8": f"""{_EVID} SELECT query_id, split, CASE WHEN one THEN 'stage1' WHEN pass AND two THEN 'stage2' WHEN pass THEN 'open' ELSE 'gated' END AS verdict, one OR (pass AND two) AS accepted, is_negative
   FROM (SELECT *, evidence >= {_S1} AND aligned >= 5 AS one, concentration >= {_GATE} AS pass, evidence >= {_S2} AND aligned >= 5 AS two FROM evid)""",

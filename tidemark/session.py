@@ -23,13 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(df: DataFrame, factor: int = 1) -> DataFrame:
-    """A broadcast hint if the plan's estimated size, times a factor for what the estimate leaves out, is small; else the frame as it is.
+def fits(df: DataFrame, factor: int = 1) -> bool:
+    """Whether the plan's estimated size, times a factor for what the estimate leaves out, may be broadcast.
 
     No job runs for it. An explode multiplies rows and the estimate doesn't know by how much: hence the factor.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size * factor <= BROADCAST_BYTES else df
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) * factor <= BROADCAST_BYTES
+
+
+def small(df: DataFrame, factor: int = 1) -> DataFrame:
+    """A broadcast hint if the frame fits; else the frame as it is."""
+    return F.broadcast(df) if fits(df, factor) else df
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -42,17 +46,19 @@ _MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which all executors see; release() removes it.
+    """A fresh folder under spark.checkpoint.dir, which all executors see; release() removes it."""
+    _MADE.append(f"{_shared_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
-    Where that isn't set, a local master gets a temporary folder; a cluster is refused.
-    """
+
+def _shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that isn't set, a local master gets a temporary folder and a cluster is refused."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         conf = "file://" + tempfile.gettempdir() + "/tidemark-shared"
-    _MADE.append(f"{conf.rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    return _MADE[-1]
+    return conf.rstrip("/")
 
 
 def made() -> tuple[str, ...]:
@@ -68,12 +74,21 @@ def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
         _MADE.remove(path)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame written to a fresh shared folder and read again: lineage is cut, and its size is known from its files."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder, in no more parts than a shuffle has."""
+    """Cut the lineage with a reliable checkpoint in the shared folder, in no more parts than a shuffle has; release() removes it."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession, "checkpoint"))
-    return df.coalesce(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)).checkpoint()
+        sc.setCheckpointDir(_shared_root(df.sparkSession))
+    out = df.coalesce(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)).checkpoint()
+    _MADE.append(out._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
+    return out
 
 
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
