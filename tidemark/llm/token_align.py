@@ -4,8 +4,8 @@ Tokens of side A and side B spell the same bytes. The transducer's state is whic
 bytes by which it is ahead; it reads the next token of the side that is behind (of A where none is
 ahead). An empty residual closes a group. Transitions are memoised by state and token: residuals are
 suffixes of tokens, so states recur. Both tokenizers also end a token before a single space between
-other characters, where the residual is empty: what lies between two such places is a unit, whose
-groups are remembered as a whole.
+other characters, and between a Latin letter and a sign, where the residual is empty: what lies between
+two such places is a unit, whose groups are remembered as a whole.
 
 Corpus-wide counts of linked id pairs come from blocks of documents. A block has each of its pairs
 once, with a count; counts are summed by pair, and each block gets back the sums of its own pairs. So
@@ -25,19 +25,24 @@ from pyspark.sql import functions as F
 
 from .byte_pieces import byte_characters
 from .common import batchwise, chunks, shared_dir, spread
+from .piece_codec import LETTERS
 
 MARK = "▁"
 #: Units that a Python worker remembers, and transitions.
-CACHE_UNITS = 120_000
+CACHE_UNITS = 200_000
 CACHE_STEPS = 1_000_000
-#: Units that the libraries get at once.
+#: Units that are encoded and aligned together, and that the libraries get as one text.
 ENCODE_UNITS = 4096
+GROUP_UNITS = 256
 #: Characters of texts that are aligned together (a longer text alone).
 CHUNK = 1 << 19
 #: A block is closed once it has so many links.
 BLOCK_LINKS = 500_000
+#: Signs that begin a token of their own after a Latin letter: in side A by its pattern, in side B if no piece has both.
+SIGNS = re.escape('.,;:!?%*#$&)]}"')
 #: Python's white space holds all that the tokenizers take for white space, so no other place is cut.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_SPACES = re.compile(r"(?<=\S)(?= \S)")
+_SPACES_SIGNS = re.compile(rf"(?<=\S)(?= \S)|(?<=[{LETTERS}])(?=[{SIGNS}])")
 
 
 def default_models() -> tuple[str, str]:
@@ -104,6 +109,30 @@ class DanglingSuffix:
         return ends if state == 0 and i == len(a) and j == len(b) else None
 
 
+class Flat:
+    """Runs of numbers one after another, in a buffer that doubles."""
+
+    def __init__(self, dtype):
+        self.values, self.ends, self.runs = np.zeros(1024, dtype), np.zeros(1025, np.int64), 0
+
+    def extend(self, runs: list) -> None:
+        new = np.fromiter(chain.from_iterable(runs), self.values.dtype)
+        used = self.ends[self.runs]
+        if used + len(new) > len(self.values):
+            self.values = np.concatenate([self.values[:used], np.zeros(used + 2 * len(new), self.values.dtype)])
+        self.values[used : used + len(new)] = new
+        if self.runs + len(runs) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends[: self.runs + 1], np.zeros(self.runs + 2 * len(runs), np.int64)])
+        self.ends[self.runs + 1 : self.runs + 1 + len(runs)] = used + np.cumsum([len(r) for r in runs])
+        self.runs += len(runs)
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of these numbers one after another, and the size of each."""
+        begin, size = self.ends[at], self.ends[at + 1] - self.ends[at]
+        ends = np.cumsum(size)
+        return self.values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)], size
+
+
 class Aligner:
     """Both tokenizers, the transducer, and what is remembered for each unit."""
 
@@ -133,56 +162,96 @@ class Aligner:
         if any(MARK in p.piece.lstrip(MARK) for p in proto.pieces):
             raise ValueError("side B must have word marks at the start of pieces only")
         b_bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace(MARK, " ").encode() for p in proto.pieces]
+        mixed = re.compile(f"[{LETTERS}][{SIGNS}]")
+        self.cut = _SPACES if any(mixed.search(p.piece) for p in proto.pieces if p.type == 1) else _SPACES_SIGNS
         self.transducer = DanglingSuffix(a_bytes, b_bytes)
+        self.size = [np.array([len(x) for x in side], np.int64) for side in (a_bytes, b_bytes)]
+        self.name = [[str(i) for i in range(len(side))] for side in (a_bytes, b_bytes)]
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
-        #: By unit: ids and group ends of both sides (None where the bytes disagree), and the groups' text.
-        self.found: list[tuple[list[int], list[int], list[tuple[int, int]]] | None] = []
+        #: Units whose bytes disagree, and each unit's groups as text.
+        self.bad: set[int] = set()
         self.groups: list[str] = []
-        self.links: list[np.ndarray] = []
-        self.counts: list[tuple[int, int]] = []
+        #: By unit: ids of both sides, ends of its groups on both sides, and linked pairs.
+        self.ids, self.ends, self.links = (Flat(np.int32), Flat(np.int32)), (Flat(np.int32), Flat(np.int32)), Flat(np.int64)
+
+    def encode(self, units: list[str]) -> list[tuple[list[int], list[int]]]:
+        """Ids of both sides of each unit.
+
+        Units that begin with one space, or a sign after a letter, and don't end in white space are asked for
+        many at once, as one text; a sign gets a letter before it. Where the ids' bytes don't end with the
+        units, and for all other units, each is asked for alone.
+        """
+        out: list[tuple[list[int], list[int]] | None] = [None] * len(units)
+        plain = [i for i, u in enumerate(units) if not u[-1].isspace() and (u[0] != " " or not u[1].isspace())]
+        for lo in range(0, len(plain), GROUP_UNITS):
+            group = plain[lo : lo + GROUP_UNITS]
+            parts = [p for i in group for p in ((units[i],) if units[i][0] == " " else (" a", units[i]))]
+            text = "".join(parts)
+            ends = np.cumsum([len(p.encode()) for p in parts])
+            found = []
+            for side, ids in enumerate((self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:]))):
+                at = np.cumsum(self.size[side][ids])
+                cut = np.searchsorted(at, ends)
+                found.append((ids, [0, *(cut + 1).tolist()]) if at[-1] == ends[-1] and np.array_equal(at[cut], ends) else None)
+            if None in found:
+                continue
+            k = 0
+            (a, x), (b, y) = found
+            for i in group:
+                k += units[i][0] != " "
+                out[i] = (a[x[k] : x[k + 1]], b[y[k] : y[k + 1]])
+                k += 1
+        for i, u in enumerate(units):
+            if out[i] is None:
+                lead = "" if u[0] == " " else " a"
+                a, b = self.a.encode(lead + u, add_special_tokens=False).ids, self.b.encode((lead + u)[1:])
+                out[i] = (a[len(lead) > 0 :], b[len(lead) > 0 :])
+        return out
 
     def remember(self, units: list[str]) -> None:
-        """Encode and align new units; each starts with the space before it."""
+        """Encode and align new units."""
+        spelled, (name_a, name_b) = self.transducer.bytes[0], self.name
         for lo in range(0, len(units), ENCODE_UNITS):
             part = units[lo : lo + ENCODE_UNITS]
-            left = self.a.encode_batch_fast(part, add_special_tokens=False)
-            right = self.b.encode([u[1:] for u in part], num_threads=1)  # the library adds the space
-            for unit, e, b in zip(part, left, right, strict=True):
-                a = e.ids
+            rows: tuple[list, list, list, list, list] = ([], [], [], [], [])
+            for unit, (a, b) in zip(part, self.encode(part), strict=True):
                 ends = self.transducer.align(a, b)
+                self.place[unit] = len(self.groups)
                 # equal sides may still spell something else than the unit
-                if ends is not None and b"".join([self.transducer.bytes[0][i] for i in a]) != unit.encode():
-                    ends = None
-                self.place[unit] = len(self.found)
-                if ends is None:
-                    self.found.append(None)
-                    ends, a, b = [], [], []
-                else:
-                    self.found.append((a, b, ends))
-                starts = [(0, 0), *ends[:-1]]
-                self.groups.append(";".join([f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}" for (i, j), (k, m) in zip(starts, ends, strict=False)]))
-                self.links.append(np.array([a[k - 1] << 32 | b[m - 1] for k, m in ends], np.int64))
-                self.counts.append((len(a), len(b)))
-
-    def units(self, texts: list[str]) -> list[list[int] | None]:
+                if ends is None or b"".join([spelled[i] for i in a]) != unit.encode():
+                    self.bad.add(len(self.groups))
+                    a, b, ends = [], [], []
+                text, links, i, j = [], [], 0, 0
+                for k, m in ends:
+                    left = name_a[a[i]] if k == i + 1 else ",".join([name_a[t] for t in a[i:k]])
+                    text.append(f"{left}|{name_b[b[j]] if m == j + 1 else ','.join([name_b[t] for t in b[j:m]])}")
+                    links.append(a[k - 1] << 32 | b[m - 1])
+                    i, j = k, m
+                self.groups.append(";".join(text))
+                for col, v in zip(rows, (a, b, [k for k, _ in ends], [m for _, m in ends], links), strict=True):
+                    col.append(v)
+            for flat, runs in zip((*self.ids, *self.ends, self.links), rows, strict=True):
+                flat.extend(runs)
+
+    def units(self, texts: list[str]) -> list[np.ndarray | None]:
         """The remembered units of each text, None for a text without tokens.
 
         A unit whose bytes disagree holds a literal word mark, which side B spells as a space: two bytes
         less, that no other unit makes up for. So the text disagrees exactly if one of its units does.
         """
-        cut = [[" " + u for u in _CUT.split(t)] if t else [] for t in texts]
+        cut = [self.cut.split(" " + t) if t else [] for t in texts]
         new = set(chain.from_iterable(cut)).difference(self.place)
         if len(self.place) + len(new) > CACHE_UNITS:
             self.forget()
             new = set(chain.from_iterable(cut))
         self.remember(sorted(new))
-        out: list[list[int] | None] = []
+        place, out = self.place, []
         for us in cut:
-            at = [self.place[u] for u in us]
-            out.append(at if at and all([self.found[i] is not None for i in at]) else None)
+            at = [place[u] for u in us]
+            out.append(np.array(at, np.int64) if at and (not self.bad or self.bad.isdisjoint(at)) else None)
         return out
 
 
@@ -217,14 +286,12 @@ def align(df: DataFrame, key: str = "doc_id", text: str = "text", a_path: str |
             for at in chunks(texts, CHUNK):
                 rows: list[list] = [[], [], [], []]
                 for found in own.units(texts[at]):
-                    a, b, ends = [], [], []
-                    for i in found or ():
-                        x, y, e = own.found[i]
-                        ends += [(len(a) + k, len(b) + m) for k, m in e]
-                        a += x
-                        b += y
-                    for col, v in zip(rows, (a, b, [k for k, _ in ends], [m for _, m in ends]), strict=True):
-                        col.append(v)
+                    found = np.zeros(0, np.int64) if found is None else found
+                    for side in range(2):
+                        ids, size = own.ids[side].gather(found)
+                        ends, groups = own.ends[side].gather(found)
+                        rows[side].append(ids)
+                        rows[2 + side].append(ends + np.repeat(np.cumsum(size) - size, groups))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at.start, at.stop - at.start), *(pa.array(c, pa.list_(pa.int32())) for c in rows)], names=["k", "a_ids", "b_ids", "a_ends", "b_ends"])
 
     kind = df.schema[key].dataType.simpleString()
@@ -260,9 +327,10 @@ def write_blocks(df: DataFrame, path: str, key: str, text: str, paths: tuple[str
                     if found is None:
                         docs.append((0, 0, 0, ""))
                         continue
-                    mine = np.concatenate([own.links[i] for i in found])
-                    n_a, n_b = np.sum([own.counts[i] for i in found], axis=0).tolist()
-                    docs.append((n_a, n_b, len(mine), hashlib.sha256(";".join([own.groups[i] for i in found]).encode()).hexdigest()))
+                    mine, _ = own.links.gather(found)
+                    n_a, n_b = (int((flat.ends[found + 1] - flat.ends[found]).sum()) for flat in own.ids)
+                    groups = own.groups
+                    docs.append((n_a, n_b, len(mine), hashlib.sha256(";".join([groups[i] for i in found.tolist()]).encode()).hexdigest()))
                     links.append(mine)
                     held += len(mine)
                 if held >= BLOCK_LINKS or len(docs) >= BLOCK_LINKS:
