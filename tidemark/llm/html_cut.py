@@ -1,17 +1,21 @@
 """Main text of web pages by minimum cut.
 
 A page becomes a row of text blocks (runs of text between block-level tags) and the elements around
-them that tell their role by tag or by class words: a menu, a footer, an article. A classifier gives
-each block a log-odds of being content from its own text and tag; it is a logistic regression, fitted on
-a bounded sample of pages whose markup leaves no doubt about a block. The log-odds, bounded, are the
-block's capacities to the two terminals. An element's capacity comes from its tag and its own words,
-and grows with the blocks it holds. Smoothness edges tie neighbouring blocks, more so under one parent,
-and each block and element to the nearest element with a role around it. The minimum cut is the
-labelling of least total cost; the content side, in page order, is the text.
+them that tell something by tag or by class words: a menu, a footer, an article. A classifier gives each
+block a log-odds of being content: a logistic regression over its text (length, share of links, end,
+kind of tag) and over what the nearest telling element says. The text's part is bounded, the sum is too, and
+is the block's capacities to the two terminals. No element has a capacity of its own: elements are nodes
+that tie their blocks together. Smoothness edges tie neighbouring blocks, more so under one parent, each
+block to its element, and each element to the one around it. The minimum cut is the labelling of least
+total cost; the content side, in page order, is the text.
+
+So a class word that fits few pages well (tags, alert, legal) is outvoted by a paragraph under it, and a list of
+links by none. Tags and words of what is never main text (menus, adverts, reader comments) weigh more than a
+block's own text can. Weights of the text's features are fitted on a bounded sample of pages, on blocks whose
+markup leaves no doubt; what markup itself weighs is given, as the labels come from it.
 
 Words weigh on the element that carries them only, whole class names before their parts; parts are a
-hint that the text within can outvote. An element around most of the page's text is a wrapper,
-whose words say little.
+hint. An element around most of the page's text is a wrapper, whose words say little.
 """
 
 from __future__ import annotations
@@ -51,22 +55,31 @@ BOILERPLATE_WORDS = frozenset(
         "breadcrumb breadcrumbs pagination pager login signin signup register subscribe subscription newsletter form search skip copyright legal tags toolbar hidden"
     ).split()
 )
-#: Capacity of a role for each block within, of a hint, and of what a wrapper says.
-ROLE, HINT, WRAPPER = 8.0, 5.0, 1.0
-#: Ties: a block to the role around it, to a hint, an element to the role around it, neighbours under one parent and other neighbours.
-TIE, HINT_TIE, NESTED, SIBLINGS, NEIGHBOURS = 5.0, 2.5, 1.5, 0.75, 0.35
-#: Bound of a block's own log-odds: below TIE by more than its neighbours can add.
-MOST = 3.0
+#: Of these words, those that also stand on elements of main text.
+WEAK_WORDS = frozenset("alert banner disclaimer legal promotion rail register respond side skip tags toolbar warning".split())
+#: What an element says: a tag of content, a word of it, a hint; a tag, role or word of boilerplate, a weak word; what isn't shown.
+IS_CONTENT, NAMED_CONTENT, HINTED = 4.0, 1.5, 1.0
+IS_BOILERPLATE, NAMED_WEAKLY, NOT_SHOWN = 6.0, 2.0, 8.0
+#: What a wrapper says, at most.
+WRAPPER = 0.5
+#: Ties: a block to its element, an element to the one around it, neighbours under one parent and other neighbours.
+TIE, NESTED, SIBLINGS, NEIGHBOURS = 0.75, 0.5, 0.75, 0.35
+#: Bounds of the log-odds from a block's text, and of all.
+TEXT_MOST, MOST = 3.0, 8.0
 #: Pages that the classifier is fitted on, and blocks of each, at most.
 FIT_PAGES, FIT_BLOCKS = 400, 200
-LONG_WORDS = 20
-FEATURES = ("bias", "linked", "length", "stop", "heading", "prose", "item")
+LONG_WORDS = 30
+FEATURES = ("bias", "linked", "length", "stop", "heading", "prose", "item", "inside", "outside")
+TEXT = 7
 #: Weights before fitting, and without any labelled block.
-PRIOR = np.array([-0.4, -4.0, 1.5, 0.5, 0.6, 0.8, -0.3])
-#: Strength of the penalty that keeps weights near PRIOR: those of tags hardly move, since the pages whose markup is certain use tags otherwise than others do.
-RIDGE = np.array([20.0, 20.0, 20.0, 20.0, 1e5, 1e5, 1e5])
-
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+PRIOR = np.array([-1.2, -4.0, 2.5, 0.6, 1.2, 0.8, -0.3, 1.0, 1.0])
+#: Strength of the penalty that keeps weights near PRIOR. Those of tags hardly move, since the pages whose markup is certain use tags
+#: otherwise than others do; the last two can't be learned from labels that markup gives.
+RIDGE = np.array([50.0, 50.0, 50.0, 50.0, 1e5, 1e5, 1e5, 1e9, 1e9])
+
+# A tag with its attributes, whose names and values end as in the HTML standard: a quote within an unquoted value or a name is part of it.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+|(?=>)))?+)*+)>")
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -78,6 +91,7 @@ class Element:
     sign: int
     around: int  # nearest element of this kind around it, -1 if none
     certain: bool
+    said: float  # log-odds, by size
     softens: str = ""  # "words" or "form": what an element around most of the text loses
     blocks: int = 0
     chars: int = 0
@@ -87,6 +101,8 @@ class Element:
 @dataclass
 class Block:
     parent: int  # number of the block-level element directly around it
+    within: int  # number of the one around that
+    inline: bool  # in an inline element that tells something: part of no row of blocks
     tag: str
     element: int  # nearest element with a role or hint, -1 if none
     hints: tuple[int, ...] = ()
@@ -95,49 +111,59 @@ class Block:
     text: str = ""
 
 
-def _role(tag: str, attrs: str, around: int = 0, apart: bool = False) -> tuple[int, bool, str]:
-    """(sign, certain, softens) of an element; sign 0 tells nothing.
+def _role(tag: str, attrs: str, around: int = 0, apart: bool = False) -> tuple[float, bool, str]:
+    """(what an element says, certain, softens); 0 tells nothing.
 
     around: sign of the nearest certain element around it; within boilerplate, words of content say
     nothing, and an article only if it is not apart (within another article, a menu or the like).
     """
-    sign, certain, softens = _said(tag, attrs, around > 0)
-    if sign > 0 and (apart if tag in CONTENT_TAGS else around < 0):
-        return 0, True, ""
-    return sign, certain, softens
+    said, certain, softens = _said(tag, attrs, around > 0)
+    if said > 0 and (apart if tag in CONTENT_TAGS else around < 0):
+        return 0.0, True, ""
+    return said, certain, softens
 
 
-def _said(tag: str, attrs: str, inside_content: bool) -> tuple[int, bool, str]:
-    sign, certain, softens = 0, True, ""
+def _said(tag: str, attrs: str, inside_content: bool) -> tuple[float, bool, str]:
+    said, softens = 0.0, ""
     if tag in CONTENT_TAGS:
-        sign = 1
+        said = IS_CONTENT
     elif tag in BOILERPLATE_TAGS and not (tag == "header" and inside_content):
-        sign, softens = -1, "form" if tag in ("form", "fieldset") else "words" if tag == "header" else ""
+        said, softens = -IS_BOILERPLATE, "form" if tag in ("form", "fieldset") else "words" if tag == "header" else ""
     if not attrs or tag in ("html", "body"):  # words there tell pages apart, not the texts within one
-        return sign, certain, softens
+        return said, True, softens
     tokens: set[str] = set()
     for name, *values in _ATTR.findall(attrs):
         value, name = "".join(values), name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return -1, True, ""
+            return -NOT_SHOWN, True, ""
         if name == "role" and value.lower() in ROLES:
-            return ROLES[value.lower()], True, ""
+            return IS_CONTENT if ROLES[value.lower()] > 0 else -IS_BOILERPLATE, True, ""
         if name in ("class", "id"):
             tokens.update(value.split())
     whole = {t.lower() for t in tokens}
-    said = bool(whole & CONTENT_WORDS) - bool(whole & BOILERPLATE_WORDS)
-    if said:
-        if tag in BOILERPLATE_TAGS and said > 0:  # a menu stays one, whatever it is called
-            return sign, certain, softens
-        return said, True, "words" if said < 0 else softens
-    if sign or whole & CONTENT_WORDS:
-        return sign, certain, softens
+    good, poor = whole & CONTENT_WORDS, whole & BOILERPLATE_WORDS
+    if bool(good) != bool(poor):
+        if tag in BOILERPLATE_TAGS and good:  # a menu stays one, whatever it is called
+            return said, True, softens
+        if tag in CONTENT_TAGS and poor <= WEAK_WORDS:
+            return said, True, softens
+        return _weight(poor) if poor else max(said, NAMED_CONTENT), True, "words" if poor else softens
+    if said or good:
+        return said, True, softens
     named = [{w.lower() for w in _WORDS.findall(t)} for t in tokens]
     parts = set().union(*named)
-    hint = bool(parts & CONTENT_WORDS) - bool(parts & BOILERPLATE_WORDS)
+    good, poor = parts & CONTENT_WORDS, parts & BOILERPLATE_WORDS
+    if bool(good) == bool(poor):
+        return 0.0, True, ""
     # a name of such words only says as much as one of them
-    certain = hint < 0 and any(n and n <= BOILERPLATE_WORDS for n in named)
-    return hint, certain, "words" if certain else ""
+    only = [n for n in named if n and n <= BOILERPLATE_WORDS]
+    if poor and only:
+        return _weight(set().union(*only)), True, "words"
+    return HINTED if good else -HINTED, False, ""
+
+
+def _weight(words: set[str]) -> float:
+    return -NAMED_WEAKLY if words <= WEAK_WORDS else -IS_BOILERPLATE
 
 
 def parse(page: str) -> tuple[list[Block], list[Element]]:
@@ -155,11 +181,12 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
     def enter(tag: str, attrs: str, around: tuple) -> tuple[int, tuple[int, ...], int, bool]:
         """Element, hints, sign and whether it is apart, within a new element."""
         _, _, element, hints, own, apart = around
-        sign, certain, softens = _role(tag, attrs, own, apart)
-        apart |= tag in APART and not (tag == "header" and sign >= 0)
-        if not sign:
+        said, certain, softens = _role(tag, attrs, own, apart)
+        apart |= tag in APART and not (tag == "header" and said >= 0)
+        if not said:
             return element, hints, own, apart
-        elements.append(Element(sign, element, certain, softens))
+        sign = 1 if said > 0 else -1
+        elements.append(Element(sign, element, certain, said, softens))
         number = len(elements) - 1
         if certain:
             return number, (), sign, apart
@@ -171,10 +198,10 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
             return
         if current is None:
             tag, number, element, hints, *_ = stack[-1]
-            for _, e, _ in inline:
-                if e >= 0:
-                    element, hints = e, ()
-            current = Block(number, tag, element, hints)
+            apart = [e for _, e, _ in inline if e >= 0]
+            if apart:
+                element, hints = apart[-1], ()
+            current = Block(number, stack[-2][1] if len(stack) > 1 else -1, bool(apart), tag, element, hints)
             blocks.append(current)
         piece = html_lib.unescape(piece) if "&" in piece else piece
         current.pieces.append(piece)
@@ -187,7 +214,7 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
             text(page[at:])
             break
         nxt = page[start + 1 : start + 3]
-        letter = nxt[:1] == "/" and nxt[1:2].isalpha() or nxt[:1].isalpha()
+        letter = (nxt[1:2] if nxt[:1] == "/" else nxt[:1]) in _LETTERS  # of any other alphabet it is text
         if not letter and nxt[:1] not in ("!", "?", "/"):
             text(page[at : start + 1])
             at = start + 1
@@ -200,12 +227,12 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
             at = end + size
             continue
         m = _TAG.match(page, start)
-        if m is None:
+        if m is None:  # no end anywhere: the tag is open at the end of the page
             break
         at = m.end()
         tag, closing = m[2].lower(), bool(m[1])
         if tag in RAW_TAGS:
-            if not closing and not m[3].endswith("/"):
+            if not closing and not (m[3].endswith("/") and tag == "svg"):
                 lowered = lowered if lowered is not None else page.lower() if page.isascii() else _lower_ascii(page)
                 stop = lowered.find(f"</{tag}", at)
                 at = len(page) if stop < 0 else stop
@@ -227,10 +254,10 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
                             current = before
                         break
             elif tag not in VOID_TAGS and (m[3] or tag == "button" or inline):
-                sign, certain, _ = _role(tag, m[3])
-                if sign < 0 and certain:
+                said, certain, _ = _role(tag, m[3])
+                if said < 0 and certain:
                     around = next((e for _, e, _ in reversed(inline) if e >= 0), stack[-1][2])
-                    elements.append(Element(-1, around, True))
+                    elements.append(Element(-1, around, True, said))
                     inline.append((tag, len(elements) - 1, current))
                     current = None
                 elif any(t == tag for t, _, _ in inline):
@@ -283,49 +310,64 @@ def _lower_ascii(page: str) -> str:
     return re.sub(r"[A-Z]+", lambda m: m[0].lower(), page)
 
 
-def features(b: Block) -> list[float]:
+def text_features(b: Block) -> list[float]:
     words = b.text.count(" ") + 1
     heading, prose = b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), b.tag in ("p", "blockquote", "pre")
     return [1.0, min(1.0, b.linked / len(b.text)), min(1.0, words / LONG_WORDS), float(b.text[-1] in ".!?…:;\"”»"), float(heading), float(prose), float(b.tag in ("li", "dt", "dd", "td", "th", "option"))]
 
 
-def capacities(elements: list[Element], chars: int) -> list[float]:
-    """Each element's capacity, by sign: with its blocks for a role, small for hints and wrappers."""
+def sayings(elements: list[Element], chars: int) -> list[float]:
+    """What each element says, less if it is a wrapper around most of the page's text."""
     out = []
     for e in elements:
         most = 2 * e.chars > chars
-        if not e.certain:
-            out.append(e.sign * (WRAPPER if most else HINT))
-        elif e.sign < 0 and most and (e.softens == "form" or e.softens == "words" and e.titled):
-            out.append(-WRAPPER)
-        else:
-            out.append(e.sign * ROLE * max(1, e.blocks))
+        soft = not e.certain or e.sign < 0 and (e.softens == "form" or e.softens == "words" and e.titled)
+        out.append(e.sign * min(abs(e.said), WRAPPER) if most and soft else e.said)
     return out
 
 
-def network(blocks: list[Block], elements: list[Element], odds: list[float]) -> tuple[list[float], list[tuple[int, int, float]]]:
-    """Capacities of blocks, then of elements, to the terminals, and the smoothness edges between them."""
-    n, said = len(blocks), capacities(elements, sum(len(b.text) for b in blocks))
-    ties: list[tuple[int, int, float]] = []
-    soft = [e.certain and abs(c) <= WRAPPER for e, c in zip(elements, said, strict=True)]
+def telling(elements: list[Element], said: list[float]) -> list[int]:
+    """For each element the nearest one, itself or around it, that is no wrapper; -1 if there is none."""
+    out: list[int] = []
+    for k, e in enumerate(elements):  # those around come before
+        out.append(k if abs(said[k]) > WRAPPER else out[e.around] if e.around >= 0 else -1)
+    return out
 
-    def nearest(e: int) -> int:
-        while e >= 0 and soft[e]:  # a wrapper passes on what is around it
-            e = elements[e].around
-        return e
 
+def features(blocks: list[Block], elements: list[Element]) -> np.ndarray:
+    """A row for each block: its text's features, and what the markup around says for and against."""
+    said = sayings(elements, sum(len(b.text) for b in blocks))
+    near = telling(elements, said)
+    rows = np.zeros((len(blocks), len(FEATURES)))
+    for row, b in zip(rows, blocks, strict=True):
+        row[:TEXT] = text_features(b)
+        words = [said[h] for h in b.hints] + ([said[near[b.element]]] if b.element >= 0 and near[b.element] >= 0 else [])
+        row[TEXT], row[TEXT + 1] = sum(w for w in words if w > 0), sum(w for w in words if w < 0)
+    return rows
+
+
+def log_odds(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return np.clip(np.clip(x[:, :TEXT] @ weights[:TEXT], -TEXT_MOST, TEXT_MOST) + x[:, TEXT:] @ weights[TEXT:], -MOST, MOST)
+
+
+def network(blocks: list[Block], elements: list[Element], odds: list[float]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Terminal capacities of blocks, and of elements (none), and the smoothness edges between them."""
+    n, ties = len(blocks), []
+    near = telling(elements, sayings(elements, sum(len(b.text) for b in blocks)))
+    last = -1
     for i, b in enumerate(blocks):
-        if i:
-            ties.append((i - 1, i, SIBLINGS if b.parent == blocks[i - 1].parent else NEIGHBOURS))
-        e = nearest(b.element)
-        if e >= 0:
-            ties.append((i, n + e, TIE))
-        ties += [(i, n + h, HINT_TIE) for h in b.hints]
+        if not b.inline:
+            if last >= 0:
+                p = blocks[last]
+                near_by = b.within == p.within or b.parent in (p.parent, p.within) or b.within == p.parent
+                ties.append((last, i, SIBLINGS if near_by else NEIGHBOURS))
+            last = i
+        if b.element >= 0 and near[b.element] >= 0:
+            ties.append((i, n + near[b.element], TIE))
     for k, e in enumerate(elements):
-        around = nearest(e.around)
-        if around >= 0:
-            ties.append((n + k, n + around, NESTED))
-    return [max(-MOST, min(MOST, o)) for o in odds] + said, ties
+        if e.around >= 0 and near[e.around] >= 0:
+            ties.append((n + k, n + near[e.around], NESTED))
+    return odds + [0.0] * len(elements), ties
 
 
 def minimum_cut(odds: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
@@ -419,7 +461,7 @@ def labels(blocks: list[Block], elements: list[Element], weights: np.ndarray = P
     """True for the blocks on the content side of the minimum cut."""
     if not blocks:
         return []
-    odds = (np.array([features(b) for b in blocks]) @ weights).tolist()
+    odds = log_odds(features(blocks, elements), weights).tolist()
     return minimum_cut(*network(blocks, elements, odds))[: len(blocks)]
 
 
@@ -429,13 +471,15 @@ def main_text(page: str, weights: np.ndarray = PRIOR) -> str:
 
 
 def certain_blocks(page: str) -> tuple[list[list[float]], list[bool]]:
-    """Features and labels of blocks whose nearest role leaves no doubt; evenly drawn, FIT_BLOCKS at most."""
+    """Features of the text, and labels, of blocks whose nearest element leaves no doubt; evenly drawn, FIT_BLOCKS at most."""
     blocks, elements = parse(page)
-    said = capacities(elements, sum(len(b.text) for b in blocks))
-    sure = [b for b in blocks if b.element >= 0 and abs(said[b.element]) > WRAPPER and b.tag not in ("title", "head")]
+    said = sayings(elements, sum(len(b.text) for b in blocks))
+    near = telling(elements, said)
+    sure = [(b, said[near[b.element]]) for b in blocks if b.element >= 0 and near[b.element] >= 0 and b.tag not in ("title", "head")]
+    sure = [(b, v) for b, v in sure if abs(v) >= IS_CONTENT]
     if len(sure) > FIT_BLOCKS:
         sure = [sure[i * len(sure) // FIT_BLOCKS] for i in range(FIT_BLOCKS)]
-    return [features(b) for b in sure], [elements[b.element].sign > 0 for b in sure]
+    return [text_features(b) + [0.0, 0.0] for b, _ in sure], [v > 0 for _, v in sure]
 
 
 def regress(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -455,7 +499,7 @@ def regress(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit(pages: DataFrame, key: str = "page_id", body: str = "html") -> np.ndarray:
-    """Weights of the block classifier, from about FIT_PAGES pages drawn by a hash of their key and url or body.
+    """Weights of the block classifier, from FIT_PAGES pages at most, those of least hash of the whole body.
 
     Only blocks whose role the markup leaves no doubt about are learned from. Without any of both kinds the
     weights are PRIOR, as for an empty table.
@@ -476,8 +520,10 @@ def fit(pages: DataFrame, key: str = "page_id", body: str = "html") -> np.ndarra
     if not n:
         return PRIOR.copy()
     share = min(1.0, FIT_PAGES / n)
-    drawn = F.pmod(F.xxhash64(F.col(key).cast("string"), F.octet_length(body)), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = pages.where(F.col(body).isNotNull() & drawn).select(F.col(body).cast("string").alias("h")).limit(2 * FIT_PAGES)
+    page = pages.select(F.col(body).cast("string").alias("h")).where("h IS NOT NULL").withColumn("order", F.xxhash64("h"))
+    # a hash below a bound first, so that few pages are sorted; then exactly those of least hash
+    drawn = F.pmod("order", F.lit(1 << 30)) < int(min(1.0, 2 * share) * (1 << 30))
+    sample = page.where(drawn).orderBy(F.pmod("order", F.lit(1 << 30)), "h").limit(FIT_PAGES).select("h")
     rows = sample.transform(batchwise(run, "x binary, y binary")).collect()
     x = np.concatenate([np.zeros((0, len(FEATURES))), *(np.frombuffer(r["x"], np.float32).reshape(-1, len(FEATURES)) for r in rows)])
     y = np.concatenate([np.zeros(0, bool), *(np.frombuffer(r["y"], bool) for r in rows)])
