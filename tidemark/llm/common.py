@@ -13,9 +13,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import checkpointed, release, shared_dir, spread, table
+from tidemark.session import checkpointed, release, shared_dir, small, spread, stored, table
 
-__all__ = ["checkpointed", "release", "shared_dir", "spread", "table"]
+__all__ = ["checkpointed", "release", "shared_dir", "small", "spread", "stored", "table"]
 
 #: Characters of text that a Python worker handles at once (a longer single text is handled alone).
 CHUNK_CHARS = 2_000_000

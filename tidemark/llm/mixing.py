@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small, stored
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: No document is taken more often than this.
 MAX_EPOCHS = 3
@@ -72,10 +74,12 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, key: str = "doc_id",
     else:
         rows = rows.withColumn("weight", F.lit(1.0))
     weight = F.greatest(F.lit(WEIGHTS[0]), F.least(F.lit(WEIGHTS[1]), F.coalesce("weight", F.lit(1.0))))
-    rows = rows.select("k", "source", "size", *kept, (-F.log(uniform(F.col("k"))) / weight).alias("at"))
+    # a few numbers for each document are written once, so that texts are read once
+    rows = stored(rows.select("k", "source", "size", *kept, (-F.log(uniform(F.col("k"))) / weight).alias("at")), "mix-sizes")
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")))
     same = lambda a, b: a.eqNullSafe(b)
-    plan = plan.withColumnRenamed("source", "s")
+    # a row for each source; its files say whether it may be broadcast, so that no source becomes one task
+    plan = small(stored(plan.withColumnRenamed("source", "s"), "mix-plan"))
     rows = rows.join(plan, same(F.col("source"), F.col("s"))).drop("s")
     # Keys grow with the cell, and cells fill alike but for the bounded spread of the weights.
     cells = F.greatest(F.lit(1.0), F.ceil(F.col("docs") / CELL_ROWS))
