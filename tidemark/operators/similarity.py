@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import small
+from tidemark.operators.pivots import knn_join
+from tidemark.session import fits, stored
 
 
 def knn(queries: DataFrame, catalog: DataFrame, k: int = 3) -> DataFrame:
     """(query_id, track_id, dist, rank) by squared L2 distance, ties to the smaller id; inputs (query_id, qv) and (track_id, v).
 
-    Exact search is a product of the query set with the catalog: the queries (checked to be few) are
-    broadcast, and each catalog partition keeps its own k best before they meet.
+    Where both sides may be broadcast, the queries are, and each catalog partition keeps its own k best before they
+    meet. Anything larger is a join by pivots, which makes no product.
     """
+    if not (fits(queries) and fits(catalog)):
+        return knn_join(queries, catalog, k).drop("verified")
     d = F.aggregate(F.zip_with("qv", "v", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    pairs = catalog.crossJoin(small(queries)).select("query_id", "track_id", d.alias("dist")).withColumn("part", F.spark_partition_id())
+    pairs = catalog.crossJoin(F.broadcast(queries)).select("query_id", "track_id", d.alias("dist")).withColumn("part", F.spark_partition_id())
     near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "part").orderBy("dist", "track_id"))).where(F.col("r") <= k)
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "track_id"))).where(F.col("rank") <= k).select("query_id", "track_id", "dist", "rank")
 
@@ -61,22 +63,157 @@ def dtw_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row[-1] / len(a)
 
 
-def melody_match(queries: DataFrame, melodies: DataFrame, limit: float = 10.0, k: int = 3) -> DataFrame:
-    """(query_id, song, cost, rank, accepted): the k songs of least warping cost; accepted if the best is within the limit."""
+def warping_bounds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lower bounds of dtw(a, row) for each row of b.
+
+    A path pairs both first and both last entries, and each entry between with some entry of the other
+    side, which lies within that side's range; so on either side those distances are part of the cost.
+    """
+    if not len(a) or not b.shape[1]:
+        return np.full(len(b), np.inf)
+    lo, hi = b.min(axis=1), b.max(axis=1)
+    ends = np.abs(b[:, 0] - a[0]) + (np.abs(b[:, -1] - a[-1]) if max(len(a), b.shape[1]) > 1 else 0.0)
+    mid = a[1:-1]
+    ours = np.maximum(np.maximum(mid[None, :] - hi[:, None], lo[:, None] - mid[None, :]), 0).sum(axis=1)
+    theirs = np.maximum(np.maximum(b[:, 1:-1] - a.max(), a.min() - b[:, 1:-1]), 0).sum(axis=1)
+    # rounding of sums in another order must not lift a bound above the cost
+    return (ends + np.maximum(ours, theirs)) / len(a) * (1 - 1e-12)
+
 
-    @F.pandas_udf("double")
-    def cost(q: pd.Series, m: pd.Series) -> pd.Series:
-        out = np.empty(len(q))
-        sizes = pd.DataFrame({"q": q.map(len).to_numpy(), "m": m.map(len).to_numpy()})
-        for at in sizes.groupby(["q", "m"]).indices.values():
-            for lo in range(0, len(at), 2000):  # bounds what is stacked
-                some = at[lo : lo + 2000]
-                out[some] = dtw_pairs(np.stack(q.iloc[some].to_list()).astype(float), np.stack(m.iloc[some].to_list()).astype(float))
-        return pd.Series(out)
-
-    pairs = melodies.crossJoin(small(queries)).select("query_id", "song", cost("qm", "melody").alias("cost"))
+def dtw_below(a: np.ndarray, b: np.ndarray, most: float) -> tuple[np.ndarray, int]:
+    """dtw(a, row) of each row of b, or infinity where it exceeds `most`; and how many warpings ran to their end.
+
+    Costs only grow along a path, so a warping whose row of partial costs is above the bound is given up.
+    """
+    out = np.full(len(b), np.inf)
+    if not len(a) or not b.shape[1]:
+        return out, 0
+    at, cols = np.arange(len(b)), np.ascontiguousarray(b.T)
+    row = np.full((len(cols) + 1, len(b)), np.inf)
+    row[0] = 0.0
+    for x in a:
+        cost, best = np.abs(cols - x), np.minimum(row[1:], row[:-1])
+        row[0] = last = np.inf
+        for j in range(len(cols)):
+            last = cost[j] + np.minimum(best[j], last)
+            row[j + 1] = last
+        alive = row.min(axis=0) / len(a) <= most
+        if alive.sum() < 0.75 * len(alive):
+            at, cols, row = at[alive], np.ascontiguousarray(cols[:, alive]), np.ascontiguousarray(row[:, alive])
+            if not len(at):
+                return out, 0
+    costs = row[-1] / len(a)
+    out[at] = np.where(costs <= most, costs, np.inf)
+    return out, int((costs <= most).sum())
+
+
+class Melodies:
+    """Melodies of a block by length, in id order within each, and the search through them."""
+
+    #: Melodies that are warped at once, least bound first.
+    STEP = 64
+
+    def __init__(self, melodies: list[np.ndarray]):
+        sizes = np.array([len(m) for m in melodies])
+        self.n = len(melodies)
+        self.groups = [(np.flatnonzero(sizes == n), np.stack([melodies[i] for i in np.flatnonzero(sizes == n)])) for n in np.unique(sizes)]
+
+    def search(self, a: np.ndarray, k: int, most: float) -> tuple[np.ndarray, np.ndarray, int]:
+        """Places and costs of the k best within `most` (ties to the first), and the warpings that ran to their end."""
+        where = np.concatenate([at for at, _ in self.groups])
+        low = np.concatenate([warping_bounds(a, b) for _, b in self.groups])
+        group = np.repeat(np.arange(len(self.groups)), [len(at) for at, _ in self.groups])
+        inside = np.concatenate([np.arange(len(at)) for at, _ in self.groups])
+        order = np.argsort(low, kind="stable")
+        places, costs, full = np.zeros(0, np.int64), np.zeros(0), 0
+        for lo in range(0, len(order), self.STEP):
+            some = order[lo : lo + self.STEP]
+            some = some[low[some] <= most]
+            if not len(some):
+                break
+            for g in np.unique(group[some]):
+                mine = some[group[some] == g]
+                found, done = dtw_below(a, self.groups[g][1][inside[mine]], most)
+                full += done
+                places, costs = np.concatenate([places, where[mine]]), np.concatenate([costs, found])
+            keep = np.lexsort((places, costs))[:k]
+            places, costs = places[keep], costs[keep]
+            if len(costs) == k:
+                most = min(most, costs[-1])
+        return places, costs, full
+
+
+#: Melodies that first bound each query's answer; melodies and queries of a block.
+SEEDS, BLOCK_MELODIES, BLOCK_QUERIES = 64, 4096, 4096
+
+
+def warped(queries: DataFrame, melodies: DataFrame, k: int = 3) -> DataFrame:
+    """(query_id, song, cost, rank, full): the k songs of least warping cost, ties to the smaller name; inputs (query_id, qm) and (song, melody).
+
+    A bounded sample of melodies first gives each query a cost that k songs stay within. Then blocks of queries meet
+    blocks of melodies: in each, candidates go by lower bound, and a warping is given up once it exceeds the k-th
+    cost so far. full: warpings that ran to their end. Nulls are empty melodies; an empty side costs infinity.
+    Query ids and songs are distinct.
+    """
+    asked = queries.select("query_id", F.coalesce(F.col("qm").cast("array<double>"), F.array().cast("array<double>")).alias("m"))
+    known = melodies.select("song", F.coalesce(F.col("melody").cast("array<double>"), F.array().cast("array<double>")).alias("m"))
+    kinds = (queries.schema["query_id"].dataType.simpleString(), melodies.schema["song"].dataType.simpleString())
+    drawn = Melodies([np.array(r["m"]) for r in known.orderBy(F.xxhash64("song"), "song").limit(SEEDS).collect()] or [np.zeros(0)])
+    held = queries.sparkSession.sparkContext.broadcast(drawn)
+
+    def bound(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            most = []
+            for m in b.column(1):
+                _, costs, _ = held.value.search(np.array(m.as_py(), float), k, np.inf)
+                most.append(float(costs[k - 1]) if len(costs) >= k else np.inf)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(most, pa.float64())], names=["query_id", "m", "most"])
+
+    def meet(batches):
+        """Rows sorted by block: melodies by name, then queries."""
+        import pyarrow as pa
+
+        now, names, songs, block = None, [], [], None
+        for b in batches:
+            cells = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            kind = b.column(2).to_pylist()
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for i, cell in enumerate(cells):
+                if cell != now:
+                    now, names, songs, block = cell, [], [], None
+                m = np.array(b.column(5)[i].as_py(), float)
+                if kind[i] == 0:
+                    names.append(b.column(4)[i].as_py())
+                    songs.append(m)
+                    continue
+                if not songs:
+                    continue
+                block = block or Melodies(songs)
+                at, costs, full = block.search(m, k, b.column(6)[i].as_py())
+                for col, v in zip(out, ([b.column(3)[i].as_py()] * (len(at) + 1), [None, *(names[j] for j in at)], [None, *costs.tolist()], [full] + [0] * len(at)), strict=True):
+                    col.extend(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], b.column(3).type), pa.array(out[1], b.column(4).type), pa.array(out[2], pa.float64()), pa.array(out[3], pa.int64())], names=["query_id", "song", "cost", "full"])
+
+    counts = [max(1, -(-df.count() // size)) for df, size in ((known, BLOCK_MELODIES), (asked, BLOCK_QUERIES))]
+    rows, columns = max(counts[0], queries.sparkSession.sparkContext.defaultParallelism // counts[1]), counts[1]
+    deal = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    ready = asked.mapInArrow(bound, f"query_id {kinds[0]}, m array<double>, most double")
+    a = known.select(deal("song", rows).alias("row"), every(columns).alias("column"), F.lit(0).alias("kind"), F.lit(None).cast(kinds[0]).alias("query_id"), "song", "m", F.lit(0.0).alias("most"))
+    b = ready.select(every(rows).alias("row"), deal("query_id", columns).alias("column"), F.lit(1).alias("kind"), "query_id", F.lit(None).cast(kinds[1]).alias("song"), "m", "most")
+    dealt = a.unionByName(b).repartition("row", "column").sortWithinPartitions("row", "column", "kind", "song")
+    found = stored(dealt.mapInArrow(meet, f"query_id {kinds[0]}, song {kinds[1]}, cost double, full long"), "warped")
     w = Window.partitionBy("query_id").orderBy("cost", "song")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("accepted", F.min("cost").over(Window.partitionBy("query_id")) <= limit)
+    best = found.where("song IS NOT NULL").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("full")
+    return best.join(found.groupBy("query_id").agg(F.sum("full").alias("full")), "query_id")
+
+
+def melody_match(queries: DataFrame, melodies: DataFrame, limit: float = 10.0, k: int = 3) -> DataFrame:
+    """(query_id, song, cost, rank, accepted): the k songs of least warping cost; accepted if the best is within the limit."""
+    best = warped(queries, melodies, k).select("query_id", "song", "cost", "rank")
+    return best.withColumn("accepted", F.min("cost").over(Window.partitionBy("query_id")) <= limit)
 
 
 def vote(segments: DataFrame, least: float = 0.5) -> DataFrame:

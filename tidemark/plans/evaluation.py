@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import evaluate as ev
 from tidemark.operators import keys as ky
 from tidemark.operators import similarity as sim
+from tidemark.operators.pivots import knn_join
 from tidemark.session import table
 
 K = 3
@@ -26,6 +27,13 @@ def knn_top3(spark, d):
     return near.select("query_id", "track_id", F.col("rank").cast("long").alias("rank"), F.round("dist", 9).alias("dist"))
 
 
+def knn_by_pivots(spark, d):
+    """The same neighbours by the join that larger sides take."""
+    catalog, queries = vectors(spark, d)
+    near = knn_join(queries.select("query_id", "qv"), catalog, K)
+    return near.select("query_id", "track_id", F.col("rank").cast("long").alias("rank"), F.round("dist", 9).alias("dist"))
+
+
 def scored(spark, d):
     """Each asking vector's nearest other catalog vector: score -distance, right if the labels agree."""
     catalog, queries = vectors(spark, d)
@@ -201,7 +209,7 @@ def melody_resize(spark, d):
 
 
 QUERIES = {
-    "knn_top3__J18": knn_top3, "confusion__A15": confusion, "sweep__A16": sweep, "pick_threshold__A17": pick_threshold, "best_recalls__A12": best_recalls, "recall_at_k__A39": recall_at_k,
+    "knn_top3__J18": knn_top3, "knn_join__J18": knn_by_pivots, "confusion__A15": confusion, "sweep__A16": sweep, "pick_threshold__A17": pick_threshold, "best_recalls__A12": best_recalls, "recall_at_k__A39": recall_at_k,
     "summarize__A8_A10": summarize, "summarize_grouping_sets__A10": summarize_sets, "latency_percentiles__A9": latency, "dist_summary__A13": distribution, "condition_table__A11": conditions, "worst_best__A14": worst_best,
     "phase_compare__J12": phase_compare, "family_rollup__J13": family_rollup, "interleave_split__W7": interleave_split, "hash_split__Q5": hash_split, "holdout__W8": holdout, "stride_sample__W10": stride_sample,
     "plan_queries__Q2": plan_queries, "bpm_metrics__A27": bpm, "key_relation_grid__A28": key_grid, "key_parse__scalar": key_parse, "key_confusion__A28": key_confusion, "genre_vote__A37": genre_vote,
@@ -218,6 +226,7 @@ _OUT = """outcomes AS (SELECT *, CASE WHEN k % 4 = 0 THEN [] ELSE [(k % 5)::VARC
   value AS latency_ms, (props->>'k')::INT AS k, (user_id % 5)::VARCHAR AS truth, user_id % 3 AS cohort, strftime(ts, '%Y-%m-%d') AS day FROM events))"""
 
 ORACLE_SQL = {
+    "knn_join__J18": f"WITH {_NEAR} SELECT query_id, track_id, rank, round(dist, 9) AS dist FROM near WHERE rank <= 3",
     "knn_top3__J18": f"WITH {_NEAR} SELECT query_id, track_id, rank, round(dist, 9) AS dist FROM near WHERE rank <= 3",
     "confusion__A15": f"""{_SCORED} SELECT count(*) FILTER (ok AND NOT is_negative AND "right") AS tp, count(*) FILTER (ok AND NOT is_negative AND NOT "right") AS wrong, count(*) FILTER (NOT ok AND NOT is_negative) AS fn, count(*) FILTER (ok AND is_negative) AS fp, count(*) FILTER (NOT ok AND is_negative) AS tn FROM (SELECT *, score >= -1.2 AS ok FROM scored)""",
     "sweep__A16": f"{_SWEPT} SELECT * FROM swept",
