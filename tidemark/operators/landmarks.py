@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import LandmarkConfig
+from tidemark.operators.ranks import percentiles
 
 BIN_BITS, DT_BITS = 10, 8
 MAX_BIN, MAX_DT = (1 << BIN_BITS) - 1, (1 << DT_BITS) - 1
@@ -65,8 +66,8 @@ def pair_peaks(peaks: DataFrame, cfg: LandmarkConfig = LandmarkConfig()) -> Data
 
 
 def amplitude_gate(peaks: DataFrame, cfg: LandmarkConfig = LandmarkConfig()) -> DataFrame:
-    """Peaks strictly above their track's percentile of magnitude."""
-    gate = peaks.groupBy("track_id").agg(F.percentile("mag", F.lit(cfg.gate_percentile)).alias("gate"))
+    """Peaks strictly above their track's percentile of magnitude. A track of many peaks is not one task: its rank comes from brackets."""
+    gate = percentiles(peaks, ["track_id"], "mag", [cfg.gate_percentile]).select("track_id", F.col("value").alias("gate"))
     return peaks.join(gate, "track_id").where(F.col("mag") > F.col("gate")).drop("gate")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import evaluate as ev
 from tidemark.operators import keys as ky
+from tidemark.operators import ranks
 from tidemark.operators import similarity as sim
 from tidemark.operators.pivots import knn_join
 from tidemark.session import table
@@ -90,13 +91,16 @@ def summarize_sets(spark, d):
 
 
 def latency(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.95).alias("p95"), F.min("value").alias("low"), F.max("value").alias("high"), (F.sum(F.col("value").cast("decimal(18,4)")).cast("double") / F.count(F.lit(1))).alias("mean"))
+    e = table(spark, d, "events").select("event_type", "value")
+    ranked = ranks.wide(ranks.percentiles(e, ["event_type"], "value", [0.5, 0.95]), ["event_type"], {0.5: "p50", 0.95: "p95"}).drop("n")
+    mean = F.sum(F.col("value").cast("decimal(18,4)")).cast("double") / F.count(F.lit(1))
+    rest = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), mean.alias("mean"))
+    return rest.join(ranked, "event_type").select("event_type", "n", "p50", "p95", "low", "high", "mean")
 
 
 def distribution(spark, d):
-    p = F.percentile("value", F.array(*(F.lit(x) for x in (0.0, 0.05, 0.5, 0.95, 1.0))))
-    rows = table(spark, d, "events").agg(p.alias("p"))
-    return rows.select(*(F.col("p")[i].alias(n) for i, n in enumerate(("least", "p05", "middle", "p95", "most"))))
+    names = {0.0: "least", 0.05: "p05", 0.5: "middle", 0.95: "p95", 1.0: "most"}
+    return ranks.wide(ranks.percentiles(table(spark, d, "events"), [], "value", list(names)), [], names).drop("n")
 
 
 def conditions(spark, d):
