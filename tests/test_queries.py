@@ -15,3 +15,9 @@ def test_query(spark, name):
         assert got[1] == want[1]
     else:
         assert got[1]
+
+
+@pytest.mark.parametrize("name", catalogue.FIXED)
+def test_fixed_relation(spark, name):
+    query, sql = catalogue.FIXED_RELATIONS[name]
+    assert result(query(spark, SF)) == oracle(sql)

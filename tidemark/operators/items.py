@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import keys as ky
+from tidemark.session import small
 from tidemark.operators.evaluate import n_if, share
 
 # Labels that exclude a quantity, statuses of sheet rows and manifest tracks, limits, timed components.
@@ -56,9 +57,9 @@ def timing_percentiles(rows: DataFrame, raw: str) -> DataFrame:
     return each.groupBy("component").agg(F.count(F.lit(1)).alias("n"), p.alias("p"), F.max("ms").alias("longest")).select("component", "n", *(F.col("p")[i].alias(c) for i, c in enumerate(("p50", "p95", "p99"))), "longest")
 
 
-def pilot(tracks: DataFrame) -> DataFrame:
-    """The first PILOT_SIZE tracks by id."""
-    return tracks.orderBy("track_id").limit(PILOT_SIZE)
+def pilot(tracks: DataFrame, size: int | None = PILOT_SIZE) -> DataFrame:
+    """The first `size` tracks by id; all without one."""
+    return tracks if size is None else tracks.orderBy("track_id").limit(size)
 
 
 def manifest_problems(tracks: DataFrame) -> DataFrame:
@@ -67,17 +68,17 @@ def manifest_problems(tracks: DataFrame) -> DataFrame:
     return tracks.select("track_id", bad.alias("error")).where("error IS NOT NULL")
 
 
-def sheet_errors(rows: DataFrame, tracks: DataFrame) -> DataFrame:
+def sheet_errors(rows: DataFrame, tracks: DataFrame, size: int | None = PILOT_SIZE) -> DataFrame:
     """(track_id, error) of a sheet (all columns text) against the manifest's tracks: every rule that is broken, by row.
 
-    Exactly the pilot tracks, each once; metadata as in the manifest, durations within DURATION_SLACK;
+    Exactly the pilot tracks (all, without a size), each once; metadata as in the manifest, durations within DURATION_SLACK;
     pending rows without labels; annotated ones with all of them, plausible and in canonical spelling.
     """
-    expected = pilot(tracks)
+    expected = pilot(tracks, size)
     truth = expected.select(F.col("track_id").alias("_t"), F.struct(*METADATA, "duration_sec").alias("truth"))
     t = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
     sheet = rows.withColumn("track_id", t("track_id"))
-    joined = sheet.join(F.broadcast(truth), F.col("track_id") == F.col("_t"), "left")
+    joined = sheet.join(small(truth), F.col("track_id") == F.col("_t"), "left")
     status, known = t("annotation_status"), F.col("_t").isNotNull()
     done, open_ = status == ANNOTATED, status == PENDING
     bpm, key, when = t("bpm"), t("key"), t("annotated_utc")

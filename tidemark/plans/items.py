@@ -46,12 +46,13 @@ def manifest_tracks(spark, d):
 
 
 def sheet(spark, d):
-    """The pilot's sheet with a fault in most rows: tracks 1 to 22 without 5, and 6 twice."""
-    m = manifest_tracks(spark, d).withColumn("k", F.substring("track_id", 2, 6).cast("int")).where("k BETWEEN 1 AND 22 AND k <> 5")
+    """A sheet of all tracks with a fault in most rows, by the id's remainder of 25: some are missing, some stand twice, some have another id."""
+    m = manifest_tracks(spark, d).withColumn("k", F.substring("track_id", 2, 6).cast("int") % 25).where("k <> 5")
     m = m.withColumn("copy", F.explode(F.when(F.col("k") == 6, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
     k = F.col("k")
     return m.select(
-        "track_id", "path", F.when(k == 1, "edited").otherwise(F.concat(F.lit(" "), "title")).alias("title"), "artist", F.when(k == 2, "MIT").otherwise(F.col("license")).alias("license"), "license_url",
+        F.when(k == 20, F.concat(F.lit("x"), "track_id")).otherwise(F.col("track_id")).alias("track_id"), "path", F.when(k == 1, "edited").otherwise(F.concat(F.lit(" "), "title")).alias("title"), "artist",
+        F.when(k == 2, "MIT").otherwise(F.col("license")).alias("license"), "license_url",
         F.when(k == 3, F.lit("long")).when(k == 4, (F.col("duration_sec") + 0.04).cast("string")).when(k == 7, (F.col("duration_sec") + 1).cast("string")).otherwise(F.col("duration_sec").cast("string")).alias("duration_sec"),
         F.when(k == 8, "fast").when(k == 9, "10").when(k == 10, "no_stable_tempo").when(k == 11, "").otherwise("120").alias("bpm"), F.when(k == 12, "H minor").when(k == 13, "Db minor").when(k == 14, "no_tonal_centre").otherwise("C# minor").alias("key"),
         F.when(k == 15, "pending").when(k == 16, "done").otherwise("annotated").alias("annotation_status"), F.when(k == 17, " ").otherwise("ann").alias("annotator"), F.when(k == 18, "2026-08-31 14:05").when(k == 19, "2026-08-31T14:05Z").otherwise("2026-08-31T14:05:00.5Z").alias("annotated_utc"), F.lit("").alias("notes"),
@@ -59,7 +60,7 @@ def sheet(spark, d):
 
 
 def sheet_errors(spark, d):
-    return it.sheet_errors(sheet(spark, d), manifest_tracks(spark, d))
+    return it.sheet_errors(sheet(spark, d), manifest_tracks(spark, d), None)
 
 
 def real_items(spark, d):
@@ -95,7 +96,30 @@ _PAIRS = "p AS (SELECT source, CASE WHEN doc_id % 29 <> 0 THEN doc_id % 24 END A
 _REL = """r AS (SELECT *, CASE WHEN t IS NULL OR p IS NULL THEN NULL WHEN t = p THEN 'exact' WHEN (t < 12 AND p >= 12 AND p - 12 = (t + 9) % 12) OR (t >= 12 AND p < 12 AND p = (t + 3) % 12) THEN 'relative' WHEN abs(t - p) = 12 THEN 'parallel'
   WHEN t // 12 = p // 12 AND (p - t + 24) % 12 = 7 THEN 'dominant' WHEN t // 12 = p // 12 AND (p - t + 24) % 12 = 5 THEN 'subdominant' ELSE 'other' END AS rel FROM p)"""
 _RELS = ("exact", "dominant", "subdominant", "relative", "parallel", "other")
-_SHEET = "k AS (SELECT unnest(range(1, 23)) AS k), s AS (SELECT k FROM k WHERE k <> 5), p AS (SELECT p_partkey AS k, 'm' || lpad(p_partkey::VARCHAR, 6, '0') AS id, p_name, p_size FROM part)"
+_SHEET = """m AS (SELECT p_partkey % 25 AS k, 'm' || lpad(p_partkey::VARCHAR, 6, '0') AS id, p_name AS title, p_type AS artist, p_size::DOUBLE AS len,
+  CASE WHEN p_partkey % 50 = 9 THEN 'excluded' WHEN p_partkey % 50 = 10 THEN 'lost' WHEN p_partkey % 2 = 0 THEN 'annotated' ELSE 'pending' END AS status,
+  CASE WHEN p_partkey % 100 = 9 THEN ' ' WHEN p_partkey % 50 = 9 THEN 'speech' END AS notes FROM part),
+s AS (SELECT k, CASE WHEN k = 20 THEN 'x' || id ELSE id END AS id, CASE WHEN k = 1 THEN 'edited' ELSE ' ' || title END AS title, artist, CASE WHEN k = 2 THEN 'MIT' ELSE 'CC0-1.0' END AS license,
+  CASE WHEN k = 3 THEN 'long' WHEN k = 4 THEN (len + 0.04)::VARCHAR WHEN k = 7 THEN (len + 1)::VARCHAR ELSE len::VARCHAR END AS len,
+  CASE k WHEN 8 THEN 'fast' WHEN 9 THEN '10' WHEN 10 THEN 'no_stable_tempo' WHEN 11 THEN '' ELSE '120' END AS bpm, CASE k WHEN 12 THEN 'H minor' WHEN 13 THEN 'Db minor' WHEN 14 THEN 'no_tonal_centre' ELSE 'C# minor' END AS key,
+  CASE k WHEN 15 THEN 'pending' WHEN 16 THEN 'done' ELSE 'annotated' END AS status, CASE WHEN k = 17 THEN '' ELSE 'ann' END AS annotator,
+  CASE k WHEN 18 THEN '2026-08-31 14:05' WHEN 19 THEN '2026-08-31T14:05Z' ELSE '2026-08-31T14:05:00.5Z' END AS at
+  FROM (SELECT * FROM m WHERE k <> 5 UNION ALL SELECT * FROM m WHERE k = 6))"""
+# each rule by itself, over the sheet's rows beside the track that they name
+_RULES = {
+    "not a pilot track": "t.id IS NULL",
+    "title was edited": "trim(s.title) <> t.title",
+    "license was edited": "t.id IS NOT NULL AND s.license <> 'CC0-1.0'",
+    "duration was edited": f"t.id IS NOT NULL AND (TRY_CAST(s.len AS DOUBLE) IS NULL OR abs(TRY_CAST(s.len AS DOUBLE) - t.len) > {it.DURATION_SLACK})",
+    "unknown status": "s.status NOT IN ('annotated', 'pending')",
+    **{f"{n} on a pending row": f"s.status = 'pending' AND s.{c} <> ''" for n, c in (("bpm", "bpm"), ("key", "key"), ("annotator", "annotator"), ("annotated_utc", "at"))},
+    **{f"{n} is missing": f"s.status = 'annotated' AND s.{c} = ''" for n, c in (("bpm", "bpm"), ("key", "key"), ("annotator", "annotator"), ("annotated_utc", "at"))},
+    "bpm is no number": "s.status = 'annotated' AND s.bpm NOT IN ('', 'no_stable_tempo') AND TRY_CAST(s.bpm AS DOUBLE) IS NULL",
+    "bpm is not plausible": f"s.status = 'annotated' AND TRY_CAST(s.bpm AS DOUBLE) NOT BETWEEN {it.BPM_MIN} AND {it.BPM_MAX}",
+    "key is none of the 24": "s.status = 'annotated' AND s.key NOT IN ('', 'no_tonal_centre') AND NOT regexp_full_match(s.key, '[A-G][#b]? (major|minor)')",
+    "key is not in canonical spelling": "s.status = 'annotated' AND regexp_full_match(s.key, '[A-G]b (major|minor)')",
+    "time is not UTC ISO-8601": r"s.status = 'annotated' AND s.at <> '' AND NOT regexp_full_match(s.at, '\d{4}-\d\d-\d\dT\d\d:\d\d(:\d\d(\.\d+)?)?Z')",
+}
 ORACLE_SQL = {
     "bpm_answers__P12": """WITH a AS (SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_orderkey + l_linenumber AS n, l_quantity::INT AS q FROM lineitem)
   SELECT l_orderkey, l_linenumber, CASE WHEN n % 13 <> 0 AND n % 11 <> 0 AND n % 7 <> 0 AND n % 5 <> 0 AND n % 17 <> 0 AND n % 19 <> 0 THEN q + 0.5 END::DOUBLE AS value, CASE WHEN n % 13 = 0 THEN 'declined' WHEN n % 11 = 0 OR n % 7 = 0 OR n % 5 = 0 OR n % 17 = 0 THEN 'invalid answer' WHEN n % 19 = 0 THEN 'no answer' END AS error FROM a""",
@@ -104,12 +128,13 @@ ORACLE_SQL = {
     "component_timings__Z22": """WITH t AS (SELECT 'bpm_ms' AS component, l_quantity AS q FROM lineitem WHERE l_linenumber <> 3 UNION ALL SELECT 'key_ms', l_quantity FROM lineitem WHERE l_linenumber NOT IN (4, 5))
   SELECT component, count(*) AS n, quantile_cont(q, 0.5) AS p50, quantile_cont(q, 0.95) AS p95, quantile_cont(q, 0.99) AS p99, max(q) AS longest FROM t GROUP BY 1""",
     "timing_failures__Z22": "SELECT 'bpm_ms' AS component, count(*) AS n FROM lineitem WHERE l_linenumber = 3 UNION ALL SELECT 'key_ms', count(*) FROM lineitem WHERE l_linenumber = 4",
-    "sheet_errors__P13_J14": f"""WITH {_SHEET}, e AS (SELECT unnest([1, 2, 3, 7, 8, 9, 11, 12, 13, 15, 15, 15, 15, 16, 17, 18, 20, 21, 22, 6, 5, 0]) AS k, unnest(['title was edited', 'license was edited', 'duration was edited', 'duration was edited', 'bpm is no number', 'bpm is not plausible', 'bpm is missing', 'key is none of the 24',
-    'key is not in canonical spelling', 'bpm on a pending row', 'key on a pending row', 'annotator on a pending row', 'annotated_utc on a pending row', 'unknown status', 'annotator is missing', 'time is not UTC ISO-8601', 'not a pilot track', 'not a pilot track', 'not a pilot track', 'track repeats', 'track is missing', 'track is missing']) AS error)
-  SELECT id AS track_id, error FROM e JOIN p USING (k) UNION ALL SELECT id, 'manifest: unknown status' FROM p WHERE k % 50 = 10 UNION ALL SELECT id, 'manifest: exclusion without a reason' FROM p WHERE k % 100 = 9""",
-    "real_items__Z21_P11": f"""WITH {_SHEET}, i AS (SELECT k, id FROM s JOIN p USING (k) WHERE k NOT IN (15, 16) AND k % 50 <> 9 UNION ALL SELECT k, id FROM p WHERE k = 6)
-  SELECT id AS track_id, CASE WHEN k IN (8, 10, 11) THEN NULL ELSE 120.0 END::DOUBLE AS bpm_truth, CASE WHEN k IN (12, 14) THEN NULL ELSE 'C# minor' END AS key_truth, k NOT IN (8, 10, 11) AS bpm_scorable, k NOT IN (12, 14) AS key_scorable FROM i""",
-    "new_sheet__Z25": f"WITH {_SHEET} SELECT id AS track_id, p_name AS title, p_size::DOUBLE AS duration_sec, 'pending' AS annotation_status, NULL::VARCHAR AS bpm, NULL::VARCHAR AS key, NULL::VARCHAR AS annotator FROM p ORDER BY id LIMIT 20",
+    "sheet_errors__P13_J14": f"WITH {_SHEET} "
+    + " UNION ALL ".join(f"SELECT s.id AS track_id, '{error}' AS error FROM s LEFT JOIN m t USING (id) WHERE {rule}" for error, rule in _RULES.items())
+    + " UNION ALL SELECT id, 'track repeats' FROM s GROUP BY id HAVING count(*) > 1 UNION ALL SELECT id, 'track is missing' FROM m WHERE id NOT IN (SELECT id FROM s)"
+    " UNION ALL SELECT id, 'manifest: unknown status' FROM m WHERE status = 'lost' UNION ALL SELECT id, 'manifest: exclusion without a reason' FROM m WHERE status = 'excluded' AND trim(coalesce(notes, '')) = ''",
+    "real_items__Z21_P11": f"""WITH {_SHEET} SELECT s.id AS track_id, TRY_CAST(bpm AS DOUBLE) AS bpm_truth, CASE s.key WHEN 'Db minor' THEN 'C# minor' WHEN 'C# minor' THEN s.key END AS key_truth,
+  TRY_CAST(bpm AS DOUBLE) IS NOT NULL AS bpm_scorable, s.key IN ('Db minor', 'C# minor') AS key_scorable FROM s JOIN m t USING (id) WHERE s.status = 'annotated' AND t.status <> 'excluded'""",
+    "new_sheet__Z25": f"WITH {_SHEET} SELECT id AS track_id, title, len AS duration_sec, 'pending' AS annotation_status, NULL::VARCHAR AS bpm, NULL::VARCHAR AS key, NULL::VARCHAR AS annotator FROM m ORDER BY id LIMIT 20",
     "key_metrics__A28": f"""WITH {_PAIRS}, {_REL}, g AS (SELECT source, count(rel) AS evaluable, count(*) FILTER (t IS NOT NULL AND p IS NULL) AS failed, count(*) FILTER (t IS NULL) AS excluded, {', '.join(f"count(*) FILTER (rel = '{n}') AS {n}" for n in _RELS)} FROM r GROUP BY 1)
   SELECT *, exact::DOUBLE / nullif(evaluable + failed, 0) AS exact_accuracy, (exact * 10 + dominant * 5 + subdominant * 5 + relative * 3 + parallel * 2)::DOUBLE / nullif(10 * (evaluable + failed), 0) AS mean_score, {', '.join(f"{n}::DOUBLE / nullif(evaluable + failed, 0) AS {n}_rate" for n in _RELS)} FROM g""",
     "confusion_lines__A29": f"WITH {_PAIRS}, c AS (SELECT t, p, count(*) AS n FROM p WHERE t IS NOT NULL AND p IS NOT NULL GROUP BY 1, 2) SELECT {_KEY.format('t')} AS truth, string_agg({_KEY.format('p')} || 'x' || n, ', ' ORDER BY p) AS line FROM c GROUP BY t",
