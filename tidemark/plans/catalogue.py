@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cascades, evaluation, items, negatives, recognition, relations, reports, service
+from . import cascades, evaluation, items, negatives, recognition, relations, reports, service, storage
 
 FLAGSHIP = "identify"
-_GROUPS = (recognition, evaluation, relations, service, negatives, cascades, items, reports)
+_GROUPS = (recognition, evaluation, relations, service, negatives, cascades, items, reports, storage)
 #: Relations of the rules themselves, which read no table: tested against their SQL, but not registered.
 FIXED = ("key_relation_grid__A28", "condition_matrix__Q1", "synthetic_plan__Z8", "fixture_specs__X20")
 _ALL = {k: f for g in _GROUPS for k, f in g.QUERIES.items()}
