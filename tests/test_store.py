@@ -98,3 +98,20 @@ def test_detectors_are_judged_one_by_one(spark):
     got = {r.track_id: (r.b.value, r.k.value, r.t.valid, r.t.unavailable, r.error) for r in rows}
     assert got["a"] == (120.0, "C# minor", {"bpm_ms": 1.5}, ["key_ms"], None)
     assert got["b"][:2] == (None, None) and got["b"][4].startswith("RuntimeError") and got["c"][0] is None and got["c"][1] == "C# minor"
+
+
+def test_parts_of_a_manifest_are_one_object(spark, tmp_path):
+    """The parts, one after another, are the single JSON object of the format; a file laid out otherwise is read too."""
+    from tidemark.sources import files
+
+    track = files.TRACK[len("struct<") : -1].replace(":", " ")
+    rows = [(f"t{i:03d}", 'p "q", {x}', "a" * 64, "s", "CC-BY" if i % 2 else None, "u", 1.5, 10, "T\\n", None, "g", None, False) for i in range(50)]
+    at = tmp_path / "m"
+    files.save_manifest(spark.createDataFrame(rows, track).repartition(7), str(at))
+    whole = json.loads("".join(p.read_text() for p in sorted(at.glob("part-*"))))
+    assert [t["track_id"] for t in whole["tracks"]] == [r[0] for r in rows] and whole["track_count"] == 50 and whole["license_counts"] == {"": 25, "CC-BY": 25}
+    (tmp_path / "one.json").write_text(json.dumps(whole, indent=2))
+    for path in (at, tmp_path / "one.json"):
+        assert sorted(tuple(r)[2:] for r in files.manifest(spark, str(path)).collect()) == rows
+    files.save_manifest(spark.createDataFrame([], track), str(tmp_path / "e"))
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "e").glob("part-*"))))["tracks"] == [] and files.manifest(spark, str(tmp_path / "e")).count() == 0

@@ -236,6 +236,14 @@ def moving_average(df: DataFrame, by: str, order: list[str], value: str, taps: i
     return df.withColumn("smooth", F.sum(F.col(value).cast("decimal(18,6)")).over(w).cast("double") / taps)
 
 
+def normalise_pitch(df: DataFrame, by: str, order: list[str], value: str, taps: int = 5) -> DataFrame:
+    """`pitch`: positive values' log(1 + x), smoothed, over their series' mean; other values and nulls leave the series."""
+    logs = df.where(F.col(value) > 0).withColumn("_log", F.log1p(value))
+    smooth = moving_average(logs, by, order, "_log", taps)
+    mean = F.sum(F.col("smooth").cast("decimal(24,9)")).over(Window.partitionBy(by)).cast("double") / F.count(F.lit(1)).over(Window.partitionBy(by))
+    return smooth.withColumn("pitch", F.col("smooth") / mean).drop("_log", "smooth")
+
+
 def resize(df: DataFrame, values: str, n: int = 100) -> DataFrame:
     """Linear interpolation of an array at n even places from 0 to its length, clamped past its end."""
     size = F.size(values)

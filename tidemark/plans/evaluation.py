@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from tidemark.operators import evaluate as ev
 from tidemark.operators import keys as ky
 from tidemark.operators import ranks
+from tidemark.operators import recognizer as rc
 from tidemark.operators import similarity as sim
 from tidemark.operators.pivots import knn_join
-from tidemark.session import table
+from tidemark.config import MatchConfig
+from tidemark.plans import recognition
+from tidemark.session import shared_dir, table
 
 K = 3
 
@@ -192,6 +195,29 @@ def moving_average(spark, d):
     return sim.moving_average(table(spark, d, "events").select("user_id", "event_id", "value"), "user_id", ["event_id"], "value").select("user_id", "event_id", "smooth")
 
 
+def pitch(spark, d):
+    out = sim.normalise_pitch(table(spark, d, "events").select("user_id", "event_id", "value"), "user_id", ["event_id"], "value")
+    return out.select("user_id", "event_id", F.round("pitch", 4).alias("pitch"))
+
+
+def recognizers(spark, d):
+    """Landmarks, vectors and melodies through one interface: how many queries each answers, and finds in its first places."""
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    held = recognition.hits(spark, d).select("query_id", "track_id").distinct().join(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")), "query_id")
+    held = held.join(docs.select(F.col("doc_id").alias("track_id"), "text"), "track_id").where(F.contains("text", "passage")).select("query_id", "track_id")
+    marks = rc.LandmarkRecognizer(shared_dir(spark, "index"), MatchConfig(max_candidates=3)).prepare(recognition.catalog(spark, d))
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    own = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("track_id"))
+    near = rc.VectorRecognizer(limit=1e-9).prepare(e.select(F.col("vec_id").alias("track_id"), F.col("x").alias("v")))
+    sung = rc.MelodyRecognizer(limit=1e-9).prepare(e.select(F.col("vec_id").alias("song"), F.col("x").alias("melody")))
+    asked = e.where("vec_id % 20 = 0")
+    return (
+        rc.recall(marks, recognition.excerpts(spark, d), held, 3)
+        .unionByName(rc.recall(near, asked.select(F.col("vec_id").alias("query_id"), F.col("x").alias("qv")), own))
+        .unionByName(rc.recall(sung, asked.select(F.col("vec_id").alias("query_id"), F.col("x").alias("qm")), own))
+    )
+
+
 def recommend(spark, d):
     e = table(spark, d, "embeddings")
     songs = e.select(F.col("vec_id").alias("track_id"), F.col("embedding").alias("v"))
@@ -217,7 +243,7 @@ QUERIES = {
     "summarize__A8_A10": summarize, "summarize_grouping_sets__A10": summarize_sets, "latency_percentiles__A9": latency, "dist_summary__A13": distribution, "condition_table__A11": conditions, "worst_best__A14": worst_best,
     "phase_compare__J12": phase_compare, "family_rollup__J13": family_rollup, "interleave_split__W7": interleave_split, "hash_split__Q5": hash_split, "holdout__W8": holdout, "stride_sample__W10": stride_sample,
     "plan_queries__Q2": plan_queries, "bpm_metrics__A27": bpm, "key_relation_grid__A28": key_grid, "key_parse__scalar": key_parse, "key_confusion__A28": key_confusion, "genre_vote__A37": genre_vote,
-    "moving_average__W12": moving_average, "recommend__J19": recommend, "melody_match__J20": melody, "melody_resize__X19": melody_resize,
+    "moving_average__W12": moving_average, "pitch_normalised__X17": pitch, "recognizers__2.13b": recognizers, "recommend__J19": recommend, "melody_match__J20": melody, "melody_resize__X19": melody_resize,
 }
 
 _DIST = "(list_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) ^ 2)"
@@ -273,6 +299,13 @@ ORACLE_SQL = {
     "genre_vote__A37": """WITH s AS (SELECT user_id AS file, event_type AS class, (fmod(value, 1)::DECIMAL(9,6))::DOUBLE AS c FROM events), k AS (SELECT * FROM s WHERE c >= 0.5), t AS (SELECT file, class, sum(c::DECIMAL(18,6)) AS total FROM k GROUP BY 1, 2),
   w AS (SELECT file, class AS winner, total::DOUBLE AS total FROM t QUALIFY row_number() OVER (PARTITION BY file ORDER BY t.total DESC, class) = 1)
   SELECT file, winner, total, (max(c) + sum(c::DECIMAL(18,6))::DOUBLE / count(*)) / 2 AS confidence, count(*) AS segments FROM k JOIN w USING (file) GROUP BY 1, 2, 3""",
+    "pitch_normalised__X17": """WITH s AS (SELECT user_id, event_id, (sum(ln(1 + value)::DECIMAL(18,6)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))::DOUBLE / 5 AS smooth FROM events WHERE value > 0)
+  SELECT user_id, event_id, round(smooth / (avg(smooth) OVER (PARTITION BY user_id)), 4) AS pitch FROM s""",
+    "recognizers__2.13b": f"""{recognition._RANKED}, held AS (SELECT item_id AS query_id, doc_id AS track_id FROM benchmark b JOIN documents x ON contains(x.text, b.text)),
+  _ AS (SELECT 1) SELECT 'landmarks' AS name, (SELECT count(DISTINCT query_id) FROM held) AS queries, (SELECT count(DISTINCT query_id) FROM held WHERE query_id IN (SELECT query_id FROM ranked)) AS answered,
+    (SELECT count(DISTINCT query_id) FROM held JOIN ranked USING (query_id, track_id) WHERE rank <= 3) AS found
+  UNION ALL SELECT n, count(*), count(*), count(*) FILTER (NOT EXISTS (SELECT 1 FROM embeddings o WHERE o.embedding = e.embedding AND o.vec_id < e.vec_id))
+    FROM embeddings e CROSS JOIN (SELECT unnest(['vectors', 'melodies']) AS n) WHERE vec_id % 20 = 0 GROUP BY n""",
     "moving_average__W12": "SELECT user_id, event_id, (sum(value::DECIMAL(18,6)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))::DOUBLE / 5 AS smooth FROM events",
     "melody_resize__X19": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS m, len(embedding) AS n FROM embeddings), p AS (SELECT vec_id, m, n, i, i * n / 99.0::DOUBLE AS x FROM e CROSS JOIN (SELECT unnest(range(100)) AS i)),
   q AS (SELECT vec_id, m, i, least(floor(x), n - 1)::INT AS lo, least(floor(x) + 1, n - 1)::INT AS hi, least(x, (n - 1)::DOUBLE) - least(floor(x), n - 1) AS f FROM p) SELECT vec_id, i::BIGINT AS place, round(m[lo + 1] * (1 - f) + m[hi + 1] * f, 9) AS value FROM q""",

@@ -34,6 +34,18 @@ def catalog_files(spark, d):
     return st.load_catalog(spark, path).withColumn("fingerprint_count", F.col("fingerprint_count").cast("long"))
 
 
+def manifest_file(spark, d):
+    """Documents as a corpus manifest: one JSON object over the parts of a folder, read back line by line."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    tracks = table(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("track_id"), F.concat(F.lit('a "b"/'), F.col("doc_id").cast("string")).alias("path"), F.sha2(text, 256).alias("sha256"), "source", F.coalesce("lang", F.lit("none")).alias("license"), F.lit(None).cast("string").alias("license_url"),
+        (F.length(text) / 8).alias("duration_sec"), F.octet_length(text).cast("long").alias("bytes"), F.substring(text, 1, 40).alias("title"), F.lit("x").alias("artist"), F.col("lang").alias("genre"), F.lit(None).cast("string").alias("source_url"), (F.col("doc_id") % 5 == 0).alias("held_out"),
+    )
+    path = shared_dir(spark, "manifest")
+    files.save_manifest(tracks, path)
+    return files.manifest(spark, path).withColumn("version", F.col("version").cast("long")).drop("content_hash", "license_url", "source_url")
+
+
 def query_index(spark, d):
     """Conversation turns as query specifications, through JSON lines."""
     c = table(spark, d, "conversations")
@@ -112,6 +124,7 @@ def stream_usage(spark, d):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "catalog_files__S9": catalog_files,
+    "manifest_file__S16": manifest_file,
     "query_index__S15": query_index,
     "annotation_csv__S18": annotation_csv,
     "stream_quota__T2": stream_quota,
@@ -123,6 +136,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL = {
     "catalog_files__S9": """SELECT doc_id::VARCHAR AS track_id, concat_ws('/', source, doc_id::VARCHAR) AS source_path, sha256(coalesce(text, '')) AS sha256, length(coalesce(text, '')) / 8.0::DOUBLE AS duration_sec,
   octet_length(encode(coalesce(text, '')))::BIGINT AS bytes, length(coalesce(text, ''))::BIGINT AS fingerprint_count, lang AS title, source AS artist FROM documents""",
+    "manifest_file__S16": """SELECT 1::BIGINT AS version, doc_id::VARCHAR AS track_id, 'a "b"/' || doc_id::VARCHAR AS path, sha256(coalesce(text, '')) AS sha256, source, coalesce(lang, 'none') AS license, length(coalesce(text, '')) / 8.0::DOUBLE AS duration_sec,
+  octet_length(encode(coalesce(text, '')))::BIGINT AS bytes, substr(coalesce(text, ''), 1, 40) AS title, 'x' AS artist, lang AS genre, doc_id % 5 = 0 AS held_out FROM documents""",
     "query_index__S15": """SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS query_id, conv_id::VARCHAR AS track_id, length(text) / 4.0::DOUBLE AS duration, CASE WHEN turn = 0 THEN 'head' ELSE 'tail' END AS position,
   role AS condition, 'clean' AS family, turn::VARCHAR AS turn, turn::BIGINT AS seed, md5(text) AS source_hash, role = 'system' AS is_negative, TRUE AS unrendered FROM conversations""",
     "annotation_csv__S18": """WITH s AS (SELECT p_partkey % 40 AS k, p_size, CASE WHEN p_partkey % 40 = 5 THEN 'open' WHEN p_partkey % 4 = 0 THEN 'pending' ELSE 'annotated' END AS status FROM part),

@@ -22,47 +22,84 @@ def write_query_index(specs: DataFrame, path: str) -> None:
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """One row for each track of a corpus manifest; unknown fields are dropped."""
-    whole = spark.read.schema(f"version int, content_hash string, tracks array<{TRACK}>").option("multiLine", "true").json(path)
-    return whole.select("version", "content_hash", F.explode("tracks").alias("t")).select("version", "content_hash", "t.*")
+    head, arrays = _elements(spark, path, tracks=TRACK)
+    return head.crossJoin(arrays["tracks"])  # the head is one row
 
 
 SOURCE = "array<struct<track_id:string,path:string,sha256:string,duration_sec:double,license:string,license_url:string,source:string,source_url:string,artist:string,title:string,origin:string>>"
 EXCERPTS = "array<struct<query_id:string,category:string,source_track:string,start_sec:double,duration:double,split:string,rendered_path:string>>"
 
 
-def _one_object(row: DataFrame, path: str) -> None:
-    """One row as one JSON object in one file; nulls are kept."""
-    row.select(F.to_json(F.struct(*row.columns), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("errorifexists").text(path)
+def _written(path: str, head: DataFrame, **arrays: DataFrame) -> None:
+    """One JSON object over the part files in the order of their names: the one row of head, then each array, one element a line.
 
+    head's last column is a number, so that its line ends otherwise than an element's. Elements are rows (at, element)
+    with element a struct; they are dealt by ranges of `at` and never gathered. Whoever wants one file concatenates the parts.
+    """
+    top = head.select(F.to_json(F.struct(*head.columns), {"ignoreNullFields": "false"}).alias("h"))
+    lines = top.select(F.lit(-1).alias("section"), F.lit(0).alias("part"), F.lit("").alias("at"), F.expr("substring(h, 1, length(h) - 1)").alias("value"))
+    for i, (name, rows) in enumerate(arrays.items()):
+        texts = rows.select("at", F.to_json("element", {"ignoreNullFields": "false"}).alias("j"))
+        least = texts.agg(F.min(F.struct("at", "j")).alias("least"))  # the first element has no comma before it
+        body = texts.crossJoin(F.broadcast(least)).select("at", F.when(F.struct("at", "j") == F.col("least"), F.col("j")).otherwise(F.concat(F.lit(","), F.col("j"))).alias("value"), (F.struct("at", "j") != F.col("least")).alias("later"))
+        edge = lambda part, text: head.select(F.lit(part).alias("part"), F.lit("").alias("at"), F.lit(text).alias("value"))
+        body = body.select(F.when(F.col("later"), 2).otherwise(1).alias("part"), "at", "value")
+        section = edge(0, f', "{name}": [').unionByName(body).unionByName(edge(3, "]" + ("}" if i + 1 == len(arrays) else "")))
+        lines = lines.unionByName(section.select(F.lit(i).alias("section"), "part", "at", "value"))
+    order = ["section", "part", "at", "value"]
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("errorifexists").text(path)
+
+
+def _elements(spark: SparkSession, path: str, **kinds: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The head and the arrays of what _written wrote, line by line; a file laid out otherwise is read as a whole.
+
+    A line belongs to an array by its fields: no two arrays of one object share their first field.
+    """
+    text = spark.read.text(path).select(F.trim("value").alias("v"))
+    opened = text.where(F.col("v").rlike(r'^, "\w+": \[$')).limit(1).count()
+    if not opened:
+        whole = spark.read.schema(", ".join(f"{n} array<{k}>" for n, k in kinds.items()) + ", version int, content_hash string").option("multiLine", "true").json(path)
+        return whole.select("version", "content_hash"), {n: whole.select(F.explode(n).alias("e")).select("e.*") for n in kinds}
+    head = text.where(F.col("v").startswith("{") & ~F.col("v").endswith("}")).select(F.from_json(F.concat("v", F.lit("}")), "version int, content_hash string").alias("h")).where("h.version IS NOT NULL").select("h.*")
+    lines = text.where(F.col("v").rlike(r"^,?\{.*\}$")).select(F.regexp_replace("v", "^,", "").alias("v"))
+    out = {}
+    for n, k in kinds.items():
+        first = k[len("struct<") :].split(":")[0]
+        out[n] = lines.where(F.col("v").startswith('{"' + first + '"')).select(F.from_json("v", k).alias("e")).select("e.*")
+    return head, out
 
-def save_manifest(tracks: DataFrame, path: str, version: int = 1) -> None:
-    """A corpus manifest: one JSON object with its tracks in order of id, counts by licence, and the content hash.
 
-    The format holds all tracks in one object, so they are gathered; store.save_catalog writes lines instead.
-    """
+def _element(kind: str) -> str:
+    return kind[len("array<") : -1] if kind.startswith("array<") else kind
+
+
+def _struct(kind: str) -> list[str]:
+    return [f.split(":")[0] for f in _element(kind)[len("struct<") : -1].split(",")]
+
+
+def save_manifest(tracks: DataFrame, path: str, version: int = 1) -> None:
+    """A corpus manifest: one JSON object over the folder's parts, with its tracks in order of id, counts by licence, and the content hash."""
     from tidemark.operators.store import pair_hash
 
-    names = [f.split(":")[0] for f in TRACK[len("struct<") : -1].split(",")]
     digest = pair_hash(tracks.withColumn("c", F.lit("")), "c", "track_id", "sha256").select("content_hash")
-    counts = tracks.groupBy("license").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("license", "n")))).alias("license_counts"))
-    whole = tracks.agg(F.array_sort(F.collect_list(F.struct(*names))).alias("tracks"), F.count(F.lit(1)).alias("track_count"))
-    _one_object(whole.crossJoin(F.broadcast(digest)).crossJoin(F.broadcast(counts)).select(F.lit(version).alias("version"), "content_hash", "track_count", "license_counts", "tracks"), path)
+    counts = tracks.groupBy("license").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("license", F.lit("")).alias("license"), "n")))).alias("license_counts"))
+    head = tracks.agg(F.count(F.lit(1)).alias("track_count")).crossJoin(F.broadcast(counts)).join(F.broadcast(digest), F.lit(True), "left").select("content_hash", "license_counts", "track_count", F.lit(version).alias("version"))
+    _written(path, head, tracks=tracks.select(F.coalesce("track_id", F.lit("")).alias("at"), F.struct(*_struct(TRACK)).alias("element")))
 
 
 def save_negative_set(sources: DataFrame, excerpts: DataFrame, path: str) -> None:
-    """A negative set as one JSON object: sources, excerpts, and their counts by category and by split."""
-    columns = lambda kind: [f.split(":")[0] for f in kind[len("array<struct<") : -2].split(",")]
-    s = sources.agg(F.array_sort(F.collect_list(F.struct(*columns(SOURCE)))).alias("sources"), F.count(F.lit(1)).alias("source_count"))
-    e = excerpts.agg(F.array_sort(F.collect_list(F.struct(*columns(EXCERPTS)))).alias("excerpts"), F.count(F.lit(1)).alias("excerpt_count"))
-    per = lambda c: excerpts.groupBy(c).agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "n")))).alias(f"counts_by_{c}"))
-    row = s.crossJoin(F.broadcast(e)).crossJoin(F.broadcast(per("category"))).crossJoin(F.broadcast(per("split")))
-    _one_object(row.withColumn("version", F.lit(1)), path)
+    """A negative set as one JSON object over the folder's parts: counts by category and by split, sources, excerpts."""
+    per = lambda c: excerpts.groupBy(c).agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(c, F.lit("")).alias(c), "n")))).alias(f"counts_by_{c}"))
+    head = sources.agg(F.count(F.lit(1)).alias("source_count")).crossJoin(F.broadcast(excerpts.agg(F.count(F.lit(1)).alias("excerpt_count"))))
+    head = head.crossJoin(F.broadcast(per("category"))).crossJoin(F.broadcast(per("split"))).withColumn("version", F.lit(1))
+    rows = lambda df, key, kind: df.select(F.coalesce(key, F.lit("")).alias("at"), F.struct(*_struct(kind)).alias("element"))
+    _written(path, head, sources=rows(sources, "track_id", SOURCE), excerpts=rows(excerpts, "query_id", EXCERPTS))
 
 
 def negative_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Sources and excerpts of a negative set; unknown fields are dropped."""
-    whole = spark.read.schema(f"version int, sources {SOURCE}, excerpts {EXCERPTS}").option("multiLine", "true").json(path)
-    return whole.select(F.explode("sources").alias("s")).select("s.*"), whole.select(F.explode("excerpts").alias("e")).select("e.*")
+    _, arrays = _elements(spark, path, sources=_element(SOURCE), excerpts=_element(EXCERPTS))
+    return arrays["sources"], arrays["excerpts"]
 
 
 def annotation_sheet(spark: SparkSession, path: str) -> DataFrame:
