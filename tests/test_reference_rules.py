@@ -80,3 +80,24 @@ def test_landmark_count_is_what_is_made(spark):
         want = {r.i2: r["count"] for r in (made if frames is None else made.where(F.col("anchor_frame") < frames)).groupBy("i2").count().collect()}
         got = {r.i: r.n for r in df.select("i", lm.landmark_count(F.col("t"), frames).alias("n")).collect()}
         assert got == {i: want.get(i, 0) for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("rest", [0, 20, 100_000])
+def test_first_of_each_is_the_walk_in_order(spark, monkeypatch, rest):
+    """A chain in which each row shares its digest with one neighbour and its base with the other, and random rows."""
+    import random
+
+    from tidemark.operators import negatives as ng
+
+    monkeypatch.setattr(ng, "REST_ROWS", rest)
+    rng = random.Random(2)
+    chain = [(i, f"d{i // 2}", f"b{(i + 1) // 2}") for i in range(12)]
+    rows = chain + [(100 + i, f"x{rng.randrange(60)}", f"y{rng.randrange(60)}") for i in range(200)]
+    digests, bases, want = set(), set(), {}
+    for k, d, b in rows:
+        want[k] = "digest" if d in digests else "base" if b in bases else "kept"
+        if want[k] == "kept":
+            digests.add(d)
+            bases.add(b)
+    got = ng.first_of_each(spark.createDataFrame(rows, "k long, d string, b string"), "k", "d", "b").collect()
+    assert {r.k: r.verdict for r in got} == want

@@ -85,16 +85,39 @@ def synthetic_plan(spark) -> DataFrame:
     return grid.select(qid.alias("query_id"), "condition", "duration", "level", seed_of(qid).alias("seed"))
 
 
+#: Undecided rows that one task may go through.
+REST_ROWS = 100_000
+
+
 def first_of_each(rows: DataFrame, key: str, digest: str, base: str) -> DataFrame:
     """Adds verdict: kept, 'digest' or 'base', as going through the rows in key order gives them.
 
     A row is kept if no kept row before it has its digest or its base; a rejected row shadows none.
     In each round the rows that are first both by digest and by base among the undecided are kept,
-    and what they shadow is rejected; rounds end when none is undecided.
+    and what they shadow is rejected. Chains of alternating digests and bases would take as many rounds, so
+    once REST_ROWS or fewer are undecided, one task goes through those in order.
     """
     keyed = rows.select(F.col(key).alias("_k"), F.col(digest).alias("_d"), F.col(base).alias("_b"))
     left, kept = checkpointed(keyed), None
-    while not left.isEmpty():
+
+    def in_order(batches):
+        import pyarrow as pa
+
+        digests, bases = set(), set()
+        for batch in batches:
+            keep = []
+            for d, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                keep.append(d not in digests and b not in bases)
+                if keep[-1]:
+                    digests |= {d} - {None}
+                    bases |= {b} - {None}
+            yield batch.filter(pa.array(keep))
+
+    while n := left.count():
+        if n <= REST_ROWS:
+            now = checkpointed(left.coalesce(1).sortWithinPartitions("_k").mapInArrow(in_order, left.schema))
+            kept = now if kept is None else kept.unionByName(now)
+            break
         firsts = lambda c: left.groupBy(c).agg(F.min("_k").alias("_k")).select("_k")
         now = checkpointed(left.join(firsts("_d").join(firsts("_b"), "_k"), "_k", "left_semi"))
         kept = now if kept is None else kept.unionByName(now)
