@@ -21,8 +21,8 @@ def rate_error(rate: Column) -> Column:
     return F.when(factor(rate) <= 0, F.format_string("rate %s%% is not a playable speed", rate.cast("string")))
 
 
-def rated_keys(queries: DataFrame, scale_bins: bool = False) -> DataFrame:
-    """(query_id, rate, qidx, hash, q_frame) of query landmarks (query_id, rate, qidx, hash, anchor_frame) played at their rate in percent.
+def rated_keys(queries: DataFrame, scale_bins: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, rate, qidx, hash, q_frame, keep..) of query landmarks (query_id, rate, qidx, hash, anchor_frame) played at their rate in percent.
 
     Frames shrink by the rate's factor. A landmark's frame difference falls between two whole numbers then, so it
     probes both keys; those outside 1 to the key's largest difference are none. Rates that can't be played
@@ -34,15 +34,15 @@ def rated_keys(queries: DataFrame, scale_bins: bool = False) -> DataFrame:
     scaled = dt / by
     near = F.array_distinct(F.array(F.floor(scaled), F.ceil(scaled)))
     keys = F.transform(F.filter(near, lambda d: d >= 1), lambda d: lm.pack_key(bin_(f1), bin_(f2), d))
-    rows = queries.where(by > 0).select("query_id", "rate", "qidx", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("hash"), F.floor(F.col("anchor_frame") / by).cast("long").alias("q_frame"))
+    rows = queries.where(by > 0).select("query_id", "rate", "qidx", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("hash"), F.floor(F.col("anchor_frame") / by).cast("long").alias("q_frame"), *keep)
     return rows
 
 
-def rated_hits(keys: DataFrame, landmarks: DataFrame) -> DataFrame:
-    """(query_id, rate, track_id, qidx, offset); both keys of a landmark keep its qidx, so it counts once in a window."""
+def rated_hits(keys: DataFrame, landmarks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, rate, track_id, qidx, offset, keep..); both keys of a landmark keep its qidx, so it counts once in a window."""
     few = fits(keys, mt.LANDMARK_FACTOR)
     found = landmarks.join(F.broadcast(keys) if few else keys, "hash")
-    return found.select("query_id", "rate", "track_id", "qidx", (F.col("anchor_frame") - F.col("q_frame")).alias("offset"))
+    return found.select("query_id", "rate", "track_id", "qidx", (F.col("anchor_frame") - F.col("q_frame")).alias("offset"), *keep)
 
 
 def hypotheses(queries: DataFrame, landmarks: DataFrame, rates: tuple[float, ...], scale_bins: bool = False) -> DataFrame:
@@ -52,11 +52,20 @@ def hypotheses(queries: DataFrame, landmarks: DataFrame, rates: tuple[float, ...
     landmarks that have a key there; track null and 0 where nothing is met. A rate that can't be played says so
     in `error` and sinks no other.
     """
-    asked = queries.withColumn("rate", F.explode(F.array(*(F.lit(float(r)) for r in rates))))
+    asked = at_rates(queries, rates)
     keys = rated_keys(asked, scale_bins)
+    return judged(asked, keys, rated_hits(keys, landmarks))
+
+
+def at_rates(queries: DataFrame, rates: tuple[float, ...]) -> DataFrame:
+    return queries.withColumn("rate", F.explode(F.array(*(F.lit(float(r)) for r in rates))))
+
+
+def judged(asked: DataFrame, keys: DataFrame, hits: DataFrame) -> DataFrame:
+    """What hypotheses gives, from the asked landmarks by rate, their keys, and the keys' hits."""
     heads = asked.select("query_id", "rate").distinct()
     sizes = keys.groupBy("query_id", "rate").agg(F.countDistinct("qidx").alias("query_landmarks"))
-    tops = mt.rank(rated_hits(keys, landmarks), MatchConfig(max_candidates=1), ("query_id", "rate")).select("query_id", "rate", "track_id", "score", "best_offset")
+    tops = mt.rank(hits, MatchConfig(max_candidates=1), ("query_id", "rate")).select("query_id", "rate", "track_id", "score", "best_offset")
     rows = heads.join(sizes, ["query_id", "rate"], "left").join(tops, ["query_id", "rate"], "left").fillna(0, ["score", "query_landmarks"])
     return rows.select("query_id", "rate", "track_id", F.col("score").cast("long").alias("score"), F.col("query_landmarks").cast("long").alias("query_landmarks"), dec.ratio(F.col("score"), F.col("query_landmarks")).alias("evidence"), F.col("best_offset").cast("long").alias("best_offset"), rate_error(F.col("rate")).alias("error"))
 

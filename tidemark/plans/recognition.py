@@ -224,11 +224,16 @@ def identify_gated(spark, d):
     """
     first = stored(first_stage(spark, d, hits(spark, d)), "first-stage")
     mine = of_open(excerpts(spark, d), first.where(~F.col("at_once") & (F.col("gate_value") >= CASCADE.gate)))
-    probes = rt.hypotheses(mine.where(F.col("anchor_frame") < CASCADE.probe_frames), catalog(spark, d), CASCADE.probe_rates)
+    # hits at all probe rates are found once: the probe ranks those of early landmarks, the rest serves the rate that won
+    asked = rt.at_rates(mine, CASCADE.probe_rates).withColumn("early", F.col("anchor_frame") < CASCADE.probe_frames)
+    keys = stored(rt.rated_keys(asked, keep=("early",)), "rated-keys")
+    met = stored(rt.rated_hits(keys, catalog(spark, d), ("early",)), "rated-hits")
+    probes = rt.judged(asked.where("early"), keys.where("early"), met.where("early"))
     won = dec.best_hypothesis(probes.where((F.col("score") >= CASCADE.min_aligned) & F.col("error").isNull()))
     probe = stored(won.select("query_id", F.col("rate").alias("p_rate")), "probes")
-    full = rt.at_rate(mine, catalog(spark, d), probe.withColumnRenamed("p_rate", "rate"))
-    full = full.select("query_id", F.col("track_id").alias("f_track"), F.col("score").alias("f_aligned"), F.col("query_landmarks").alias("f_size"), F.col("best_offset").alias("f_offset"))
+    chosen = small(probe.withColumnRenamed("p_rate", "rate"))
+    full = rt.judged(chosen, keys.join(chosen, ["query_id", "rate"], "left_semi"), met.join(chosen, ["query_id", "rate"], "left_semi"))
+    full = full.where("track_id IS NOT NULL").select("query_id", F.col("track_id").alias("f_track"), F.col("score").alias("f_aligned"), F.col("query_landmarks").alias("f_size"), F.col("best_offset").alias("f_offset"))
     rows = first.join(probe, "query_id", "left").join(full, "query_id", "left")
     once, f_evidence = F.col("at_once"), dec.ratio(F.col("f_aligned"), F.col("f_size"))
     tried, good = ~once & (F.col("gate_value") >= CASCADE.gate), F.col("p_rate").isNotNull()
