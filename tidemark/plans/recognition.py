@@ -269,8 +269,8 @@ def stored_index_rank(spark, d):
 
 
 def grown_index(spark, d, path: str) -> LevelIndex:
-    """All documents in six ingests (by a hash of their id), one of them twice; toxic documents are taken down in between."""
-    docs = spread(table(spark, d, "documents").select("doc_id", "text")).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(6)))
+    """All documents in six ingests (by their id's remainder), one of them twice; toxic documents are taken down at the end."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).withColumn("batch", F.coalesce(F.pmod("doc_id", F.lit(6)), F.lit(0)))
     index = LevelIndex.create(spark, path)
     for batch in (0, 1, 2, 1, 3, 4, 5):
         index = index.ingest(lm.token_landmarks(docs.where(F.col("batch") == batch), "doc_id", "text", "track_id"))
@@ -285,7 +285,7 @@ def incremental_index(spark, d):
 
 
 def index_segments(spark, d):
-    """The index is intact by leaves and footers; each segment's leaves are verified against its postings."""
+    """Postings by level, and how many runs of leaves differ from what was written: the first four ingests have become one segment of level 1."""
     path = shared_dir(spark, "index")
     index = grown_index(spark, d, path)
     bad = index.verify()
@@ -490,6 +490,7 @@ ORACLE_SQL = {
     CASE WHEN ok THEN pr ELSE 0.0 END::DOUBLE AS rate, CASE WHEN ok THEN fe ELSE e1 END AS evidence, CASE WHEN once THEN o1 WHEN ok THEN fo END AS o FROM a)
   SELECT query_id, decision, stage, track_id, source, lang, rate, evidence, o * 128 / 11025.0::DOUBLE AS offset_seconds FROM b LEFT JOIN documents ON doc_id = track_id""",
     "stored_index_rank__S7_S8": _MATCH_RANK,
+    "index_segments__S8_S14": f"WITH {_CAT} SELECT CASE WHEN coalesce(track_id % 6, 0) < 3 THEN 1 ELSE 0 END::BIGINT AS level, count(*) AS postings, 0::BIGINT AS differing FROM track_id_l GROUP BY 1",
     "incremental_index__S6_S7": f"""WITH {_CAT} SELECT track_id, count(*) AS landmarks, sum(hash)::BIGINT AS hash_sum, min(hash) AS hash_min, max(hash) AS hash_max, sum(anchor_frame)::BIGINT AS anchor_sum
   FROM track_id_l WHERE track_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) GROUP BY track_id""",
     "evidence_rows__Z9": f"{_EVID} SELECT * FROM evid",
