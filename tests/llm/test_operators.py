@@ -285,6 +285,50 @@ def test_texts_of_one_anchor_whose_hashes_agree_in_32_bits_stay(spark):
         assert [r.kept for r in suffix_dedup.remove_repeats(dealt, as_text=True).orderBy("doc_id").collect()] == texts
 
 
+
+def test_repeats_around_a_hot_anchor(spark, monkeypatch):
+    """One 20-byte string in every document, with other text around it, copies of some of that and passages of 60 bytes."""
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    hot, sides = word(20), [word(40) for _ in range(6)]
+    passage = word(60)
+    texts = [word(rng.integers(0, 50)) + sides[rng.integers(6)] + hot + sides[rng.integers(6)][: rng.integers(10, 41)] + word(30) + (passage if i % 7 == 0 else "") for i in range(300)]
+    rows = [(i, t) for i, t in zip(rng.permutation(290).tolist() + [3, 3, 9, 9, 9, 20, None, None, 4, 5], texts, strict=True)] + [(1000, None), (1001, ""), (1002, hot * 40), (1003, hot * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(str(Row(doc_id=a, n_bytes=b, n_removed=c, n_spans=d, kept_sha256=e)) for a, b, c, d, e in suffix_dedup.brute_force(rows))
+    monkeypatch.setattr(suffix_dedup, "PARTITION_BYTES", 1 << 11)  # some 20 index partitions
+    monkeypatch.setattr(suffix_dedup, "MOST_TASKS", 2)  # that share the shuffle's 4 tasks
+    for most in (0, 5, 1 << 15):
+        assert sorted(map(str, suffix_dedup.digests(suffix_dedup.remove_repeats(df, hot=most)).collect())) == want
+
+
+def test_hot_windows_are_spread():
+    """20,000 texts that share an anchor, and only that: no index partition of 64 gets more than twice its share of windows."""
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(6), 64
+    around = rng.integers(97, 123, (20000, 80), np.uint8)
+    around[:, 30:50] = np.frombuffer(b"shared passage here!", np.uint8)
+    texts = [r.tobytes().decode() for r in around]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["k", "t"])
+    offers = [r for b in suffix_dedup._offers(n)(iter([batch])) for r in b.to_pylist()]
+    as_batch = lambda rows: pa.RecordBatch.from_pylist(sorted(rows, key=lambda r: (r["home"], r["kind"])), pa.schema({"home": pa.int32(), "kind": pa.int32(), "blob": pa.binary()}))
+    for hot, even in ((50, True), (1 << 30, False)):
+        half = [r for b in suffix_dedup._settle(n, hot)(iter([as_batch(offers)])) for r in b.to_pylist() if r["kind"] == suffix_dedup.HALF]
+        by_home: dict = {}
+        for h, at in suffix_dedup._groups(suffix_dedup._home(np.arange(len(texts)), n)):
+            by_home[h] = batch.take(pa.array(at))
+        packed = [r for h, part in by_home.items() for b in suffix_dedup._packed(n, ["k", "t"])(iter([part])) for r in b.to_pylist()]
+        sent = [r for b in suffix_dedup._doubtful(n)(iter([as_batch(half + packed)])) for r in b.to_pylist()]
+        windows: dict = {}
+        for r in sent:
+            size = int.from_bytes(r["blob"][:8], "little")
+            length = suffix_dedup._unpress(r["blob"][8 : 8 + size], "i8", "u8", "u1", "u1", "u2")[4]
+            windows[r["home"]] = windows.get(r["home"], 0) + int((length.astype(int) - suffix_dedup.MATCH + 1).sum())
+        assert sum(windows.values()) > 50000
+        assert (max(windows.values()) < 2 * sum(windows.values()) / n) == even
+
+
 def test_family_merges_geometrically():
     f, rng, all_ = suffix_dedup.Family(), np.random.default_rng(7), {}
     for _ in range(40):

@@ -12,7 +12,9 @@ windows led by one anchor are neighbours; the bytes they span are the anchor's s
    a smaller id, and finds those whose anchor alone does.
 2. For the latter, stretches are sent as bytes. Each batch gets a suffix array of their suffixes
    (to MATCH bytes), arrays merge geometrically in the same way, and each batch is scanned against
-   the family for matches of MATCH bytes with a smaller id.
+   the family for matches of MATCH bytes with a smaller id. An anchor with more than HOT such
+   stretches doesn't meet in one partition: its windows go one by one to the partition of their
+   own hash, and what each of them finds is put together at the document.
 3. The settled windows meet their documents, and the bytes they cover go.
 
 A stretch's fingerprint in step 1 has 64 bits of its own beside the partition number, also among
@@ -37,6 +39,12 @@ ANCHOR = 20
 PARTITION_BYTES = 8 << 20
 #: A task sends what it gathered once it has read so much text.
 FLUSH_BYTES = 8 << 20
+#: Index partitions and homes beyond so many share tasks, which take them one after another.
+MOST_TASKS = 20_000
+#: An anchor with more stretches to compare than this is spread over partitions by window (31 windows of 50 bytes each at most).
+HOT = 1 << 15
+#: Hot stretches whose windows are made at once.
+HOT_STEP = 1 << 13
 #: Text that is hashed at once (a longer single document is hashed alone).
 STEP_BYTES = 1 << 18
 #: Stands for a null id: larger than every other.
@@ -201,7 +209,7 @@ def _documents(batches):
 
 
 def _dealt(df: DataFrame, n: int) -> DataFrame:
-    return df.repartition(max(n, parts(df.sparkSession)), "home").sortWithinPartitions("home", "kind")
+    return df.repartition(min(max(n, parts(df.sparkSession)), max(MOST_TASKS, parts(df.sparkSession))), "home").sortWithinPartitions("home", "kind")
 
 
 def _by_home(batches):
@@ -250,10 +258,11 @@ def _offers(n: int):
     return run
 
 
-def _settle(n: int):
+def _settle(n: int, hot: int):
     """Step 1, in an index partition: FULL rows (id, key) and HALF rows (id, key, flag) for the documents' homes.
 
-    Flag 1: the anchor occurs with a smaller id, the stretch as a whole doesn't; 2: it is such a smaller one.
+    Flag 1: the anchor occurs with a smaller id, the stretch as a whole doesn't; 2: it is such a smaller one;
+    4 beside them: the anchor has more than `hot` of these.
     """
 
     def close(family: Family, held: list):
@@ -269,6 +278,7 @@ def _settle(n: int):
         top = np.maximum.reduceat(np.where(half, ids, np.iinfo(np.int64).min), head)[group]
         source = ~full & (top > ids)
         flag = half + 2 * source
+        flag += 4 * ((flag > 0) & (np.add.reduceat(flag > 0, head, dtype=np.int64)[group] > hot))
         # by key again: neighbours are pressed together
         pairs = np.argsort(key, kind="stable")
         key, ids, full, flag = key[pairs], ids[pairs], full[pairs], flag[pairs]
@@ -346,7 +356,7 @@ def _unpacked(blob: bytes):
 
 
 class Answers:
-    """What a home has heard of its documents: sorted (id, key) with a value."""
+    """What a home has heard of its documents: sorted (id, key) with a value, the bits of all that were heard."""
 
     def __init__(self, kinds: tuple[str, ...]):
         self.kinds, self.held, self.table = kinds, [], None
@@ -362,7 +372,13 @@ class Answers:
             cols = [np.concatenate(x) for x in zip(*self.held, strict=True)]
             tag = mix64(cols[0].view(np.uint64)) ^ cols[1]
             order = np.argsort(tag, kind="stable")
-            self.table = (tag[order], cols[0][order], cols[1][order], cols[2][order].astype(np.int64) if len(cols) > 2 else np.ones(len(tag), np.int64))
+            if len(cols) > 2 and (tag[order][1:] == tag[order][:-1]).any():
+                order = np.lexsort((cols[1], cols[0], tag))
+            tag, i, k, value = tag[order], cols[0][order], cols[1][order], cols[2][order].astype(np.int64) if len(cols) > 2 else np.ones(len(tag), np.int64)
+            if len(cols) > 2 and len(tag):
+                head = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (k[1:] != k[:-1])))
+                tag, i, k, value = tag[head], i[head], k[head], np.bitwise_or.reduceat(value, head)
+            self.table = (tag, i, k, value)
         tag, i, k, value = self.table
         want = mix64(ids.view(np.uint64)) ^ key
         at = np.minimum(np.searchsorted(tag, want), len(tag) - 1)
@@ -385,15 +401,14 @@ def _doubtful(n: int):
         now, heard, held, size = None, Answers(("i8", "u8", "u1")), [], 0
 
         def flush():
-            cols = [np.concatenate(x) for x in zip(*(h[:-1] for h in held), strict=True)]
-            bucket, ids, key, flag, length = cols
+            bucket, ids, key, flag, base, length = (np.concatenate(x) for x in zip(*(h[:-1] for h in held), strict=True))
             raw = np.frombuffer(b"".join(h[-1] for h in held), np.uint8)
             start = np.cumsum(length) - length
             rows = []
             for b, at in _groups(bucket):
                 at = at[np.argsort(key[at], kind="stable")]
                 take = np.repeat(start[at] - (np.cumsum(length[at]) - length[at]), length[at]) + np.arange(length[at].sum())
-                head = _press(ids[at], key[at], flag[at], length[at].astype(np.uint16))
+                head = _press(ids[at], key[at], flag[at], base[at], length[at].astype(np.uint16))
                 rows.append((b, 0, len(head).to_bytes(8, "little") + head + zstandard.ZstdCompressor(level=3).compress(raw[take].tobytes())))
             yield from _rows(rows)
 
@@ -416,13 +431,24 @@ def _doubtful(n: int):
                     # a document's equal stretches have one answer
                     some = some[np.lexsort((own[some], key[some]))]
                     some = some[np.append(True, (own[some][1:] != own[some][:-1]) | (key[some][1:] != key[some][:-1]))]
-                    length = (a.last - a.first)[some] + MATCH
-                    take = np.repeat(a.first[some] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-                    held.append((a.bucket(n)[some], own[some], key[some], flag[some].astype(np.uint8), length, a.raw[take].tobytes()))
-                    size += int(length.sum())
-                    if size >= FLUSH_BYTES:
-                        yield from flush()
-                        held, size = [], 0
+                    hot = flag[some] & 4 > 0
+                    spread_out = some[hot]
+                    bucket = a.bucket(n)
+                    for stretches in [some[~hot], *(spread_out[i : i + HOT_STEP] for i in range(0, len(spread_out), HOT_STEP))]:
+                        if not len(stretches):
+                            continue
+                        length = (a.last - a.first)[stretches] + MATCH
+                        take = np.repeat(a.first[stretches] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+                        to, base, raw = bucket[stretches], np.zeros(len(stretches), np.uint8), a.raw[take].tobytes()
+                        if hot.any() and flag[stretches[0]] & 4:
+                            windows, which, place = _windows(raw, length)
+                            to, base, raw = _window_home(windows, n), place.astype(np.uint8), windows.tobytes()
+                            stretches, length = stretches[which], np.full(len(which), MATCH)
+                        held.append((to, own[stretches], key[stretches], flag[stretches].astype(np.uint8), base, length, raw))
+                        size += len(raw)
+                        if size >= FLUSH_BYTES:
+                            yield from flush()
+                            held, size = [], 0
         if held:
             yield from flush()
 
@@ -439,15 +465,24 @@ def _windows(raw: bytes, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return np.ascontiguousarray(view[start]).view(f"S{MATCH}").reshape(-1), which, place
 
 
+def _window_home(windows: np.ndarray, n: int) -> np.ndarray:
+    """The index partition of each MATCH-byte window on its own."""
+    code = np.zeros(len(windows), np.uint64)
+    for column in windows.view(np.uint8).reshape(-1, MATCH).T:
+        code = code * np.uint64(0x9E3779B97F4A7C15) + column + np.uint64(1)
+    return (mix64(code) % np.uint64(n)).astype(np.int64)
+
+
 def _scanned(n: int):
     """Step 2, in an index partition: FULL rows (id, key, mask) for the homes; bit i of a mask is the i-th window of the stretch."""
 
     def close(family: Family, held: list):
         import zstandard
 
-        for ids, key, flag, length, packed in held:
+        for ids, key, flag, base, length, packed in held:
             raw = zstandard.ZstdDecompressor().decompress(packed)
             suffixes, which, place = _windows(raw, length)
+            place += base[which]
             want = flag[which] & 1 > 0
             suffixes, which, place = suffixes[want], which[want], place[want]
             hit = family.least(suffixes) < ids[which]
@@ -467,8 +502,8 @@ def _scanned(n: int):
                 out += close(family, held)
                 now, family, held = home, Family(), []
             size = int.from_bytes(blob[:8], "little")
-            ids, key, flag, length = _unpress(blob[8 : 8 + size], "i8", "u8", "u1", "u2")
-            held.append((ids, key, flag, length, blob[8 + size :]))
+            ids, key, flag, base, length = _unpress(blob[8 : 8 + size], "i8", "u8", "u1", "u1", "u2")
+            held.append((ids, key, flag, base, length, blob[8 + size :]))
             suffixes, which, _ = _windows(zstandard.ZstdDecompressor().decompress(blob[8 + size :]), length)
             family.insert(suffixes, ids[which])
             if len(out) >= 4096:
@@ -530,20 +565,21 @@ def _cut(n: int, keep: list[str], as_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), as_text: bool = False, hot: int = HOT) -> DataFrame:
     """Rows (key, n_bytes, spans, kept, keep...), one for each row of docs.
 
     spans: the removed runs of the UTF-8 bytes, start to before stop, ascending and apart; kept: the
     other bytes (as_text: as a string, without characters of which a part was removed). Matches are judged on the input and never cross documents. Null texts are empty.
     Rows of equal keys don't remove each other's bytes; null keys are larger than all others (and
     equal to each other). Texts of fewer than MATCH bytes stay whole. An empty table gives no rows.
+    Anchors with more than `hot` stretches to compare are spread by window; the result is the same.
     """
     spark = docs.sparkSession
     rows = spread(docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep))))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(parts(spark), math.ceil(total / PARTITION_BYTES))
     path = shared_dir(spark, "suffix-answers")
-    _dealt(rows.select("k", "t").transform(batchwise(_offers(n), ROW)), n).transform(batchwise(_settle(n), ROW)).write.parquet(path)
+    _dealt(rows.select("k", "t").transform(batchwise(_offers(n), ROW)), n).transform(batchwise(_settle(n, hot), ROW)).write.parquet(path)
     answers = spark.read.schema(ROW).parquet(path)
 
     def with_texts(answers: DataFrame, rows: DataFrame) -> DataFrame:
