@@ -54,18 +54,23 @@ def hypotheses(queries: DataFrame, landmarks: DataFrame, rates: tuple[float, ...
     """
     asked = at_rates(queries, rates)
     keys = rated_keys(asked, scale_bins)
-    return judged(asked, keys, rated_hits(keys, landmarks))
+    return judged(asked, keys, *dealt_hits(keys, landmarks))
+
+
+def dealt_hits(keys: DataFrame, landmarks: DataFrame) -> tuple[DataFrame, bool]:
+    """Hits of keys, and whether they lie as the landmarks do: then ranks needn't move those that are dealt by track."""
+    return rated_hits(keys, landmarks), fits(keys, mt.LANDMARK_FACTOR)
 
 
 def at_rates(queries: DataFrame, rates: tuple[float, ...]) -> DataFrame:
     return queries.withColumn("rate", F.explode(F.array(*(F.lit(float(r)) for r in rates))))
 
 
-def judged(asked: DataFrame, keys: DataFrame, hits: DataFrame) -> DataFrame:
+def judged(asked: DataFrame, keys: DataFrame, hits: DataFrame, dealt: bool = False) -> DataFrame:
     """What hypotheses gives, from the asked landmarks by rate, their keys, and the keys' hits."""
     heads = asked.select("query_id", "rate").distinct()
     sizes = keys.groupBy("query_id", "rate").agg(F.countDistinct("qidx").alias("query_landmarks"))
-    tops = mt.rank(hits, MatchConfig(max_candidates=1), ("query_id", "rate")).select("query_id", "rate", "track_id", "score", "best_offset")
+    tops = mt.rank(hits, MatchConfig(max_candidates=1), ("query_id", "rate"), dealt).select("query_id", "rate", "track_id", "score", "best_offset")
     rows = heads.join(sizes, ["query_id", "rate"], "left").join(tops, ["query_id", "rate"], "left").fillna(0, ["score", "query_landmarks"])
     return rows.select("query_id", "rate", "track_id", F.col("score").cast("long").alias("score"), F.col("query_landmarks").cast("long").alias("query_landmarks"), dec.ratio(F.col("score"), F.col("query_landmarks")).alias("evidence"), F.col("best_offset").cast("long").alias("best_offset"), rate_error(F.col("rate")).alias("error"))
 
