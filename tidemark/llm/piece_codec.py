@@ -6,8 +6,9 @@ bytes. A text splits exactly wherever no piece has characters of both sides next
 before word marks, and between Latin letters and other characters, if the vocabulary allows it. Each
 distinct unit is encoded once. The agendas of
 many short units are kept side by side, as rows of ranks whose least is taken from each; a long unit
-has a heap of its own. In that batch the sentencepiece library encodes and decodes every new unit,
-and one text in WHOLE as a whole; where it differs, its result is returned and the row says so.
+has a heap of its own. In that batch the sentencepiece library encodes every new unit, and one text in
+WHOLE as a whole; where it differs, its ids are returned and the row says so. The library then decodes
+the ids of every text.
 """
 
 from __future__ import annotations
@@ -257,8 +258,8 @@ class PieceVocabulary:
         lead = "." if unit[0].isalpha() else "a"
         return lead + unit, self.lead[lead]
 
-    def differing(self, units: list[str], own: list[bytes]) -> list[tuple[int, bytes, str]]:
-        """(place, ids, decoded text) of the units whose ids or decoded text the library has otherwise.
+    def differing(self, units: list[str], own: list[bytes]) -> list[tuple[int, bytes]]:
+        """(place, ids) of the units whose ids the library has otherwise.
 
         Many units are asked for as one text; where that differs, each alone. A lone mark can't be
         asked for by itself: texts that are checked as a whole hold it.
@@ -269,16 +270,13 @@ class PieceVocabulary:
         while todo:
             group = todo.pop()
             shown = [self.shown(units[i]) for i in group]
-            text = " ".join([t for t, _ in shown])
-            got = self.lib.encode(text)
-            raw = np.array(got, np.int32).tobytes()
-            if raw == b"".join([lead + own[i] for (_, lead), i in zip(shown, group, strict=True)]) and self.lib.decode(got) == text:
+            raw = np.array(self.lib.encode(" ".join([t for t, _ in shown])), np.int32).tobytes()
+            if raw == b"".join([lead + own[i] for (_, lead), i in zip(shown, group, strict=True)]):
                 continue
             if len(group) > 1:
                 todo += [[i] for i in group]
             else:
-                lead = shown[0][1]
-                out.append((group[0], raw[len(lead) :], self.lib.decode(got)[bool(lead) :]))
+                out.append((group[0], raw[len(shown[0][1]) :]))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -322,33 +320,28 @@ _WORKER: dict[str, tuple] = {}
 
 
 def _worker(path: str) -> tuple:
-    """The vocabulary, ids by unit, and the units whose ids or decoded text aren't the plain ones."""
+    """The vocabulary, ids by unit, and the units whose ids the library has otherwise."""
     if path not in _WORKER:
         vocab = PieceVocabulary(path)
         bad: set[str] = set()
-        odd: dict[str, str] = {}
 
         def make(units: list[str]) -> list[bytes]:
             own = vocab.encode_units(units)
-            for i, ids, text in vocab.differing(units, own):
-                if ids != own[i]:
-                    bad.add(units[i])
-                    own[i] = ids
-                mark = " " if units[i][0] == MARK else ""
-                if mark + text != units[i].replace(MARK, " "):
-                    odd[units[i]] = mark + text
+            for i, ids in vocab.differing(units, own):
+                bad.add(units[i])
+                own[i] = ids
             return own
 
-        _WORKER[path] = (vocab, Runs(make, np.int32, CACHE_UNITS), bad, odd)
+        _WORKER[path] = (vocab, Runs(make, np.int32, CACHE_UNITS), bad)
     return _WORKER[path]
 
 
 def encode_decode(df: DataFrame, key: str = "doc_id", text: str = "text", model_path: str | None = None) -> DataFrame:
     """Rows (key, ids array<int>, decoded string, agreed boolean), one for each row of df.
 
-    ids: of the whole text, without begin and end ids. decoded: the library's decode of them, put
-    together from its decode of each unit. agreed: the agenda's ids were the library's for every
-    unit, and for the text where it was checked as a whole (else the library's are returned).
+    ids: of the whole text, without begin and end ids. decoded: the library's decode of these ids, all of
+    a text's at once. agreed: the agenda's ids were the library's for every unit, and for the text where
+    it was checked as a whole (else the library's are returned).
     A null text is encoded as an empty one (no ids, decoded ''). Keys may be null or repeat; each
     row is encoded on its own. A very long text is encoded whole, by itself. An empty table gives
     no rows. Other columns are ignored, whatever their names.
@@ -358,7 +351,7 @@ def encode_decode(df: DataFrame, key: str = "doc_id", text: str = "text", model_
     def run(batches):
         import pyarrow as pa
 
-        vocab, known, bad, odd = _worker(path)
+        vocab, known, bad = _worker(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for at in chunks(texts, CHUNK):
@@ -368,15 +361,11 @@ def encode_decode(df: DataFrame, key: str = "doc_id", text: str = "text", model_
                 parts = np.split(ids, cuts[:-1])
                 decoded, agreed, whole = [], [], False
                 for i, (t, own) in enumerate(zip(texts[at], parts, strict=True)):
-                    back, fine = t.replace(MARK, " "), True
-                    if odd or bad:  # units that the library has otherwise
-                        us = vocab.units(t)
-                        back, fine = "".join([odd.get(u) or u.replace(MARK, " ") for u in us])[1:], bad.isdisjoint(us)
-                    if zlib.crc32(own.tobytes()) % WHOLE == 0:
-                        want = vocab.lib.encode(t)
-                        if want != own.tolist() or vocab.lib.decode(want) != back:
-                            parts[i], back, fine, whole = np.array(want, np.int32), vocab.lib.decode(want), False, True
-                    decoded.append(back)
+                    fine = not bad or bad.isdisjoint(vocab.units(t))
+                    got = own.tolist()
+                    if zlib.crc32(own.tobytes()) % WHOLE == 0 and got != (want := vocab.lib.encode(t)):
+                        parts[i], got, fine, whole = np.array(want, np.int32), want, False, True
+                    decoded.append(vocab.lib.decode(got) if got else "")
                     agreed.append(fine)
                 if whole:
                     ids, cuts = np.concatenate(parts), np.cumsum([len(p) for p in parts])
