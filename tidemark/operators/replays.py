@@ -108,13 +108,15 @@ def grid_study(rows: DataFrame, hypotheses: DataFrame, grids: dict[str, tuple[fl
     """(grid, rates, tp, recall): stage 1 or the best hypothesis of a subset of the rates (0 always among them).
 
     hypotheses: (query_id, rate, id, aligned, evidence, error); rows: (query_id, stage1_accept, stage1_top, truth, is_negative).
-    A grid's best is taken by one aggregate over all grids.
+    Only a hypothesis whose evidence reaches stage2 can be a grid's best and accepted, and only an open query can win:
+    the others go before anything is grouped. Hypotheses move once, to their query, where each grid takes its best.
     """
     spark = rows.sparkSession
     names = spark.createDataFrame([(n, float(r), len(g)) for n, g in grids.items() for r in {*g, 0.0}], "grid string, rate double, rates long")
-    usable = hypotheses.where("error IS NULL AND id IS NOT NULL").join(F.broadcast(names), "rate")
-    best = usable.groupBy("grid", "query_id").agg(F.min_by(F.struct("id", "aligned", "evidence"), F.struct((-F.col("evidence")).alias("e"), F.abs("rate").alias("a"), "rate")).alias("b"))
-    open_ = rows.where(~F.col("stage1_accept") & ~F.col("is_negative"))
+    open_ = rows.where(~F.col("stage1_accept") & ~F.col("is_negative")).select("query_id", "truth")
+    usable = hypotheses.where("error IS NULL AND id IS NOT NULL").where(F.col("evidence") >= stage2).join(F.broadcast(names.select("rate").distinct()), "rate", "left_semi")
+    asked = usable.select("query_id", "rate", "id", "aligned", "evidence").repartition("query_id").join(open_, "query_id", "left_semi")
+    best = asked.join(F.broadcast(names), "rate").groupBy("grid", "query_id").agg(F.max_by(F.struct("id", "aligned", "evidence"), F.struct("evidence", (-F.abs("rate")).alias("a"), (-F.col("rate")).alias("r"))).alias("b"))
     won = open_.join(best, "query_id").where(accepted(F.col("b.evidence"), F.col("b.aligned"), stage2, MIN_ALIGNED) & (F.col("b.id") == F.col("truth"))).groupBy("grid").agg(F.count(F.lit(1)).alias("won"))
     first = rows.agg(n_if(~F.col("is_negative")).alias("positives"), n_if(F.col("stage1_accept") & ~F.col("is_negative") & (F.col("stage1_top") == F.col("truth"))).alias("tp1"))
     out = names.select("grid", "rates").distinct().join(won, "grid", "left").crossJoin(F.broadcast(first))
