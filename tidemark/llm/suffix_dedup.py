@@ -39,6 +39,8 @@ ANCHOR = 20
 PARTITION_BYTES = 8 << 20
 #: A task sends what it gathered once it has read so much text.
 FLUSH_BYTES = 8 << 20
+#: Beyond so much text both grow with the root of it, up to MOST_BYTES: each flush sends a blob to each partition.
+ROOT_BYTES, MOST_BYTES = 1 << 30, 32 << 20
 #: Index partitions and homes beyond so many share tasks, which take them one after another.
 MOST_TASKS = 20_000
 #: An anchor with more stretches to compare than this is spread over partitions by window (31 windows of 50 bytes each at most).
@@ -208,6 +210,12 @@ def _documents(batches):
         yield np.array([LAST_ID if k is None else k for k in batch.column(0).to_pylist()], np.int64), [(t or "").encode() for t in batch.column(1).to_pylist()], batch
 
 
+def portions(total: int) -> tuple[int, int]:
+    """Bytes of text of a partition and of a flush, so that blobs (partitions times flushes) grow as the text does up to 16 GB."""
+    by = max(1.0, math.sqrt(total / ROOT_BYTES))
+    return tuple(max(size, min(MOST_BYTES, int(size * by))) for size in (PARTITION_BYTES, FLUSH_BYTES))
+
+
 def _dealt(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(min(max(n, parts(df.sparkSession)), max(MOST_TASKS, parts(df.sparkSession))), "home").sortWithinPartitions("home", "kind")
 
@@ -219,7 +227,7 @@ def _by_home(batches):
             yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
 
 
-def _offers(n: int):
+def _offers(n: int, most: int = FLUSH_BYTES):
     """Step 1, from documents: batches of (key, id, anchor) for each index partition, the least id of equal keys.
 
     A key is a stretch's hash. Larger ids of a key of the same flush are settled at once and sent as rows to pass on.
@@ -249,7 +257,7 @@ def _offers(n: int):
                 if len(a.doc):
                     held.append((a.bucket(n), a.stretch, ids[at][a.doc], a.short(n)))
                 size += len(a.raw)
-                if size >= FLUSH_BYTES and held:
+                if size >= most and held:
                     yield from flush()
                     held, size = [], 0
         if held:
@@ -313,7 +321,7 @@ def _settle(n: int, hot: int):
     return run
 
 
-def _packed(n: int, names: list[str]):
+def _packed(n: int, names: list[str], most: int = FLUSH_BYTES):
     """TEXT rows: the documents of each home, as compressed Arrow streams."""
 
     def run(batches):
@@ -339,7 +347,7 @@ def _packed(n: int, names: list[str]):
                 held.append(part)
                 homes.append(_home(np.array([LAST_ID if k is None else k for k in part.column(0).to_pylist()], np.int64), n))
                 size += part.nbytes
-                if size >= FLUSH_BYTES:
+                if size >= most:
                     yield from flush()
                     held, homes, size = [], [], 0
         if held:
@@ -392,7 +400,7 @@ class Answers:
         return np.where(hit, value[at], 0)
 
 
-def _doubtful(n: int):
+def _doubtful(n: int, most: int = FLUSH_BYTES):
     """Step 2, at the homes: the bytes of HALF stretches, for their index partitions."""
 
     def run(batches):
@@ -446,7 +454,7 @@ def _doubtful(n: int):
                             stretches, length = stretches[which], np.full(len(which), MATCH)
                         held.append((to, own[stretches], key[stretches], flag[stretches].astype(np.uint8), base, length, raw))
                         size += len(raw)
-                        if size >= FLUSH_BYTES:
+                        if size >= most:
                             yield from flush()
                             held, size = [], 0
         if held:
@@ -577,16 +585,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     spark = docs.sparkSession
     rows = spread(docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep))))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(parts(spark), math.ceil(total / PARTITION_BYTES))
+    portion, flush = portions(total)
+    n = max(parts(spark), math.ceil(total / portion))
     path = shared_dir(spark, "suffix-answers")
-    _dealt(rows.select("k", "t").transform(batchwise(_offers(n), ROW)), n).transform(batchwise(_settle(n, hot), ROW)).write.parquet(path)
+    _dealt(rows.select("k", "t").transform(batchwise(_offers(n, flush), ROW)), n).transform(batchwise(_settle(n, hot), ROW)).write.parquet(path)
     answers = spark.read.schema(ROW).parquet(path)
 
     def with_texts(answers: DataFrame, rows: DataFrame) -> DataFrame:
-        packed = rows.transform(batchwise(_packed(n, rows.columns), ROW))
+        packed = rows.transform(batchwise(_packed(n, rows.columns, flush), ROW))
         return _dealt(answers.select("home", "kind", "blob").union(packed), n)
 
-    doubtful = with_texts(answers.where(F.col("kind") == HALF), rows.select("k", "t")).transform(batchwise(_doubtful(n), ROW))
+    doubtful = with_texts(answers.where(F.col("kind") == HALF), rows.select("k", "t")).transform(batchwise(_doubtful(n, flush), ROW))
     masks = _dealt(doubtful, n).transform(batchwise(_scanned(n), ROW))
     kinds = "".join(f", c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     out = with_texts(answers.where(F.col("kind") == FULL).union(masks), rows).transform(batchwise(_cut(n, list(keep), as_text), f"k bigint, n_bytes bigint, spans array<struct<start:bigint,stop:bigint>>, kept {'string' if as_text else 'binary'}{kinds}"))
