@@ -27,23 +27,54 @@ BATCH_BYTES = 4 << 20
 MAX_BUCKETS = 65536
 
 
+#: What a worker keeps from one task to the next, and the module of its last task.
+_KEPT: dict[str, dict] = {}
+_LAST: list[str] = []
+
+
+def kept(module: str) -> dict:
+    """A dict that lasts in a worker until it gets a task of another module."""
+    return _KEPT.setdefault(module, {})
+
+
+def only(module: str) -> None:
+    """A task of this module begins: what those of others have left in the worker goes."""
+    if _LAST == [module]:
+        return
+    for other, held in _KEPT.items():
+        if other != module:
+            held.clear()
+    if Runs.asked is not None:
+        Runs.asked.clear()
+        Runs.asked = None
+    _LAST[:] = [module]
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory goes back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect(0)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def trimmed(run: Callable) -> Callable:
-    """The function over batches; once it ends, the worker gives free memory back to the system."""
+    """The function over batches, beside which the worker keeps its own module's things only; once it ends, free memory goes back to the system."""
+    module = run.__module__
 
     def out(batches):
+        only(module)
         try:
             yield from run(batches)
         finally:
-            import ctypes
-            import gc
-
-            import pyarrow as pa
-
-            gc.collect(0)
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return out
 
@@ -212,9 +243,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n of an odd number, and of its inverse, modulo 2^64."""
     out = []
     for base in (_ODD, pow(_ODD, -1, 1 << 64)):
-        x = np.full(n + 1, np.uint64(base))
-        x[0] = 1
-        out.append(np.multiply.accumulate(x))
+        x = np.ones(n + 1, np.uint64)
+        done = 1
+        while done <= n:  # by doubling, in place
+            step = min(done, n + 1 - done)
+            np.multiply(x[:step], np.uint64(pow(base, done, 1 << 64)), out=x[done : done + step])
+            done += step
+        out.append(x)
     return out[0], out[1]
 
 

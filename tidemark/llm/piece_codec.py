@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Runs, batchwise, chunks, sliced, span_hashes, spread
+from .common import Runs, batchwise, chunks, kept, sliced, span_hashes, spread
 
 MARK = "▁"
 #: Latin letters, as a class of a regular expression.
@@ -31,7 +31,7 @@ _LETTER = np.array([re.match(f"[{LETTERS}]", chr(c)) is not None for c in range(
 #: Units that a Python worker remembers.
 CACHE_UNITS = 400_000
 #: Characters of texts that are encoded together (a longer text alone).
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Symbols of a unit, at most, whose agenda is kept beside others.
 ROW_SYMBOLS = 32
 #: Units whose agendas are kept side by side.
@@ -316,7 +316,7 @@ def _decode_bytes(b: bytes) -> str:
     return "".join(out)
 
 
-_WORKER: dict[str, tuple] = {}
+_WORKER: dict[str, tuple] = kept(__name__)
 
 
 def _worker(path: str) -> tuple:

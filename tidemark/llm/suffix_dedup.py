@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batchwise, mix64, parts, powers, shared_dir, spread
+from .common import BATCH_BYTES, batchwise, mix64, parts, powers, shared_dir, spread
 
 MATCH = 50
 ANCHOR = 20
@@ -197,7 +197,7 @@ def _rows(rows: list[tuple[int, int, bytes]]):
 
     while rows:  # bounded batches
         n, total = 0, 0
-        while n < len(rows) and (n == 0 or total + len(rows[n][2]) <= 32 << 20):
+        while n < len(rows) and (n == 0 or total + len(rows[n][2]) <= BATCH_BYTES):
             total += len(rows[n][2])
             n += 1
         part, rows = rows[:n], rows[n:]
@@ -239,13 +239,14 @@ def _offers(n: int, most: int = FLUSH_BYTES):
 
         def flush():
             bucket, key, ids, lead = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             order = np.lexsort((ids, key, bucket))
             bucket, key, ids, lead = bucket[order], key[order], ids[order], lead[order]
             new = np.ones(len(key), bool)
             new[1:] = (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1])
             head = np.flatnonzero(new)
             least = ids[head][np.cumsum(new) - 1]
-            rows = [(int(b), BATCH, _press(key[head][at], ids[head][at], lead[head][at])) for b, at in _groups(bucket[head])]
+            rows = [(b, BATCH, _press(key[at], ids[at], lead[at])) for b, at in ((b, head[some]) for b, some in _groups(bucket[head]))]
             rest = np.flatnonzero(ids > least)
             # sent to whichever partition shares the home's number; step 1 passes them on
             rows += [(h, FULL, _press(ids[rest][at], key[rest][at])) for h, at in _groups(_home(ids[rest], n))]
@@ -275,9 +276,11 @@ def _settle(n: int, hot: int):
 
     def close(family: Family, held: list):
         key, ids, lead = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         pairs = np.lexsort((ids, key))
         key, ids, lead = key[pairs], ids[pairs], lead[pairs]
         full = family.least(key) < ids
+        family.levels.clear()
         pairs = np.argsort(lead, kind="stable")
         key, ids, lead, full = key[pairs], ids[pairs], lead[pairs], full[pairs]
         new = np.append(True, lead[1:] != lead[:-1])
@@ -411,6 +414,7 @@ def _doubtful(n: int, most: int = FLUSH_BYTES):
         def flush():
             bucket, ids, key, flag, base, length = (np.concatenate(x) for x in zip(*(h[:-1] for h in held), strict=True))
             raw = np.frombuffer(b"".join(h[-1] for h in held), np.uint8)
+            held.clear()
             start = np.cumsum(length) - length
             rows = []
             for b, at in _groups(bucket):
