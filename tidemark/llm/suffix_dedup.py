@@ -10,9 +10,9 @@ windows led by one anchor are neighbours; the bytes they span are the anchor's s
    gets its own array, and arrays of equal size class merge, so each entry is merged a logarithmic
    number of times. Scanning the family settles stretches that occur as a whole in a document with
    a smaller id, and finds those whose anchor alone does.
-2. For the latter, stretches are sent as bytes. Each batch gets a suffix array of their suffixes
-   (to MATCH bytes), arrays merge geometrically in the same way, and each batch is scanned against
-   the family for matches of MATCH bytes with a smaller id. An anchor with more than HOT such
+2. For the latter, stretches are sent as bytes. A family of 64-bit hashes says which suffixes (to
+   MATCH bytes) may occur with a smaller id. Only those get suffix arrays of their bytes by batch, which
+   merge geometrically in the same way, and each batch is scanned against them for matches of MATCH bytes with a smaller id. An anchor with more than HOT such
    stretches doesn't meet in one partition: its windows go one by one to the partition of their
    own hash, and what each of them finds is put together at the document.
 3. The settled windows meet their documents, and the bytes they cover go.
@@ -240,13 +240,19 @@ def _offers(n: int, most: int = FLUSH_BYTES):
         def flush():
             bucket, key, ids, lead = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order = np.lexsort((ids, key, bucket))
+            order = np.argsort(key)
+            order = order[np.argsort(bucket[order].astype(np.min_scalar_type(n)), kind="stable")]
             bucket, key, ids, lead = bucket[order], key[order], ids[order], lead[order]
             new = np.ones(len(key), bool)
             new[1:] = (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1])
             head = np.flatnonzero(new)
-            least = ids[head][np.cumsum(new) - 1]
-            rows = [(b, BATCH, _press(key[at], ids[at], lead[at])) for b, at in ((b, head[some]) for b, some in _groups(bucket[head]))]
+            first = np.minimum.reduceat(ids, head)
+            least = first[np.cumsum(new) - 1]
+            cuts = np.flatnonzero(np.append(True, bucket[head][1:] != bucket[head][:-1])).tolist()
+            rows = []
+            for lo, hi in zip(cuts, [*cuts[1:], len(head)], strict=True):
+                at = head[lo:hi]
+                rows.append((int(bucket[at[0]]), BATCH, _press(key[at], first[lo:hi], lead[at])))
             rest = np.flatnonzero(ids > least)
             # sent to whichever partition shares the home's number; step 1 passes them on
             rows += [(h, FULL, _press(ids[rest][at], key[rest][at])) for h, at in _groups(_home(ids[rest], n))]
@@ -277,7 +283,7 @@ def _settle(n: int, hot: int):
     def close(family: Family, held: list):
         key, ids, lead = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        pairs = np.lexsort((ids, key))
+        pairs = np.argsort(key)  # in order, keys are found faster
         key, ids, lead = key[pairs], ids[pairs], lead[pairs]
         full = family.least(key) < ids
         family.levels.clear()
@@ -334,13 +340,18 @@ def _packed(n: int, names: list[str], most: int = FLUSH_BYTES):
         held, homes, size = [], [], 0
 
         def flush():
-            table = pa.Table.from_batches(held)
+            # sorted by home once: taking each home's rows from many chunks would copy all of them for each home
+            home = np.concatenate(homes)
+            order = np.argsort(home, kind="stable")
+            home = home[order]
+            table = pa.Table.from_batches(held).combine_chunks().take(pa.array(order)).combine_chunks()
+            cuts = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
             rows = []
-            for h, at in _groups(np.concatenate(homes)):
+            for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(home)], strict=True):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, table.schema) as w:
-                    w.write_table(table.take(pa.array(at)).combine_chunks())
-                rows.append((h, TEXT, zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())))
+                    w.write_table(table.slice(lo, hi - lo))
+                rows.append((int(home[lo]), TEXT, zstandard.ZstdCompressor(level=3).compress(sink.getvalue())))
             yield from _rows(rows)
 
         for batch in batches:
@@ -467,16 +478,40 @@ def _doubtful(n: int, most: int = FLUSH_BYTES):
     return run
 
 
-def _windows(raw: bytes, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All MATCH-byte suffixes within the stretches: their bytes, their stretch, their place in it."""
+def _window_places(length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all MATCH-byte windows within the stretches: their stretch, their place in it, their start in the joined bytes."""
     count = length.astype(np.int64) - MATCH + 1
     which = np.repeat(np.arange(len(length)), count)
     place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    start = (np.cumsum(length, dtype=np.int64) - length)[which] + place
+    return which, place, (np.cumsum(length, dtype=np.int64) - length)[which] + place
+
+
+def _windows(raw: bytes, length: np.ndarray, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All MATCH-byte suffixes within the stretches, or `some` of them: their bytes, their stretch, their place in it."""
+    which, place, start = _window_places(length)
+    if some is not None:
+        which, place, start = which[some], place[some], start[some]
+    if not len(start):
+        return np.zeros(0, f"S{MATCH}"), which, place
     view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), MATCH)
     return np.ascontiguousarray(view[start]).view(f"S{MATCH}").reshape(-1), which, place
 
 
+def _window_codes(raw: bytes, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each window's bytes, its stretch, its place in it."""
+    which, place, start = _window_places(length)
+    body = np.frombuffer(raw, np.uint8)
+    up, down = powers(1 << max(20, len(body).bit_length()))
+    sums = np.zeros(len(body) + 1, np.uint64)
+    np.cumsum((body.astype(np.uint64) + np.uint64(1)) * up[: len(body)], out=sums[1:])
+    return mix64((sums[start + MATCH] - sums[start]) * down[start]), which, place
+
+
+def _among(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Whether each number is among the sorted ones, of which there is one at least."""
+    return known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked
+
+
 def _window_home(windows: np.ndarray, n: int) -> np.ndarray:
     """The index partition of each MATCH-byte window on its own."""
     code = np.zeros(len(windows), np.uint64)
@@ -488,16 +523,43 @@ def _window_home(windows: np.ndarray, n: int) -> np.ndarray:
 def _scanned(n: int):
     """Step 2, in an index partition: FULL rows (id, key, mask) for the homes; bit i of a mask is the i-th window of the stretch."""
 
-    def close(family: Family, held: list):
+    def opened(blob: bytes):
         import zstandard
 
-        for ids, key, flag, base, length, packed in held:
-            raw = zstandard.ZstdDecompressor().decompress(packed)
-            suffixes, which, place = _windows(raw, length)
+        size = int.from_bytes(blob[:8], "little")
+        return *_unpress(blob[8 : 8 + size], "i8", "u8", "u1", "u1", "u2"), zstandard.ZstdDecompressor().decompress(blob[8 + size :])
+
+    def close(held: list[bytes]):
+        """Windows meet by 64 bits first; only those whose bits a wanted one shares with a smaller id meet as bytes."""
+        if not held:
+            return
+        family, exact, codes, asked = Family(), Family(), [], []
+        for blob in held:
+            ids, _, _, _, length, raw = opened(blob)
+            code, which, _ = _window_codes(raw, length)
+            family.insert(code, ids[which])
+            codes.append(code)
+        for blob, code in zip(held, codes, strict=True):
+            ids, _, flag, _, length, _ = opened(blob)
+            which, _, _ = _window_places(length)
+            some = np.flatnonzero(flag[which] & 1 > 0)
+            asked.append(code[some][family.least(code[some]) < ids[which[some]]])
+        family.levels.clear()
+        asked = np.unique(np.concatenate(asked))
+        if not len(asked):
+            return
+        for blob, code in zip(held, codes, strict=True):
+            ids, _, _, _, length, raw = opened(blob)
+            some = np.flatnonzero(_among(asked, code))
+            suffixes, which, _ = _windows(raw, length, some)
+            exact.insert(suffixes, ids[which])
+        for blob, code in zip(held, codes, strict=True):
+            ids, key, flag, base, length, raw = opened(blob)
+            which, _, _ = _window_places(length)
+            some = np.flatnonzero((flag[which] & 1 > 0) & _among(asked, code))
+            suffixes, which, place = _windows(raw, length, some)
             place += base[which]
-            want = flag[which] & 1 > 0
-            suffixes, which, place = suffixes[want], which[want], place[want]
-            hit = family.least(suffixes) < ids[which]
+            hit = exact.least(suffixes) < ids[which]
             mask = np.zeros(len(ids), np.uint64)
             np.bitwise_or.at(mask, which[hit], np.uint64(1) << place[hit].astype(np.uint64))
             some = np.flatnonzero(mask)
@@ -506,22 +568,16 @@ def _scanned(n: int):
                 yield h, HALF, _press(ids[at], key[at], mask[at])
 
     def run(batches):
-        import zstandard
-
-        now, family, held, out = None, Family(), [], []
+        now, held, out = None, [], []
         for home, _, blob in _by_home(batches):
             if home != now:
-                out += close(family, held)
-                now, family, held = home, Family(), []
-            size = int.from_bytes(blob[:8], "little")
-            ids, key, flag, base, length = _unpress(blob[8 : 8 + size], "i8", "u8", "u1", "u1", "u2")
-            held.append((ids, key, flag, base, length, blob[8 + size :]))
-            suffixes, which, _ = _windows(zstandard.ZstdDecompressor().decompress(blob[8 + size :]), length)
-            family.insert(suffixes, ids[which])
+                out += close(held)
+                now, held = home, []
+            held.append(blob)
             if len(out) >= 4096:
                 yield from _rows(out)
                 out = []
-        out += close(family, held)
+        out += close(held)
         yield from _rows(out)
 
     return run
