@@ -28,8 +28,9 @@ from .common import batchwise, chunks, shared_dir, spread
 from .piece_codec import LETTERS
 
 MARK = "▁"
-#: Units that a Python worker remembers, and transitions.
+#: Units that a Python worker remembers, their characters (each costs some 50 bytes), and transitions.
 CACHE_UNITS = 200_000
+CACHE_CHARS = 2_000_000
 CACHE_STEPS = 1_000_000
 #: Units that are encoded and aligned together, and that the libraries get as one text.
 ENCODE_UNITS = 4096
@@ -38,6 +39,8 @@ GROUP_UNITS = 256
 CHUNK = 1 << 19
 #: A block is closed once it has so many links.
 BLOCK_LINKS = 500_000
+#: Row groups of the blocks' files: a reader holds one, a writer too, and a block has some megabytes.
+ROW_GROUP = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1"}
 #: Signs that begin a token of their own after a Latin letter: in side A by its pattern, in side B if no piece has both.
 SIGNS = re.escape('.,;:!?%*#$&)]}"')
 #: Python's white space holds all that the tokenizers take for white space, so no other place is cut.
@@ -171,6 +174,7 @@ class Aligner:
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
+        self.held = 0
         #: Units whose bytes disagree, and each unit's groups as text.
         self.bad: set[int] = set()
         self.groups: list[str] = []
@@ -244,9 +248,10 @@ class Aligner:
         """
         cut = [self.cut.split(" " + t) if t else [] for t in texts]
         new = set(chain.from_iterable(cut)).difference(self.place)
-        if len(self.place) + len(new) > CACHE_UNITS:
+        if len(self.place) + len(new) > CACHE_UNITS or self.held + sum(map(len, new)) > CACHE_CHARS:
             self.forget()
             new = set(chain.from_iterable(cut))
+        self.held += sum(map(len, new))
         self.remember(sorted(new))
         place, out = self.place, []
         for us in cut:
@@ -342,7 +347,7 @@ def write_blocks(df: DataFrame, path: str, key: str, text: str, paths: tuple[str
 
     kind = df.schema[key].dataType.simpleString()
     schema = f"block bigint, pairs array<bigint>, n array<bigint>, links binary, keys array<{kind}>, n_a array<bigint>, n_b array<bigint>, n_links array<bigint>, sha array<string>"
-    _texts(df, key, text).transform(batchwise(run, schema)).write.parquet(path)
+    _texts(df, key, text).transform(batchwise(run, schema)).write.options(**ROW_GROUP).parquet(path)
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
@@ -371,6 +376,7 @@ def link_statistics(df: DataFrame, key: str = "doc_id", text: str = "text", a_pa
     def run(batches):
         import pyarrow as pa
 
+        _WORKER.clear()  # what the blocks were made with isn't needed beside their sums
         now, counts, best = None, [], []
         for batch in batches:
             ids, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
